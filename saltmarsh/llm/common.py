@@ -75,3 +75,18 @@ def running_start(df: DataFrame, group: list[str], order: list[str], value: str,
         same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
     joined = df.join(totals, same, "left")
     return joined.withColumn(out, F.col("_inner") + F.col("_offset")).drop("_block", "_inner", "_offset", "_b", *[f"_g{i}" for i in range(len(group))])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """Semi or anti join of docs with a table of ids (its one column), null matching null."""
+    other = fresh(docs, "_id")
+    ids = ids.toDF(other).distinct()
+    return docs.join(ids, F.col(id_col).eqNullSafe(F.col(other)), how)

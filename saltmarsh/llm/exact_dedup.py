@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import ascii_lower, staged, table, text_of
+from saltmarsh.llm.common import ascii_lower, staged, table, text_of, with_ids
 
 RUNS = "doc_id long, sha string, run string, run_size long, run_id long, edge_text binary, edge boolean"
 
@@ -92,10 +92,10 @@ def mark_exact_duplicates(docs: DataFrame, keep: str = "max", id_col: str = "doc
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns as they are."""
+    """The rows of docs that stay, all columns as they are. Identifiers tell texts apart: rows that
+    share one stay or go together, and go if one of them is a copy of a row that stays."""
     marked = mark_exact_duplicates(docs, keep, id_col, text_col)
-    drop = marked.filter("not kept").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col(id_col).cast("long") == F.col("_drop"), "left_anti")
+    return with_ids(docs, marked.filter("not kept").select("doc_id"), "left_anti", id_col)
 
 
 def op7_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,11 +154,11 @@ def documents_with_sizes(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents: a row for every stretch of a document that a pass takes without a gap.
 
-    All columns of docs (row, size and n_chars excepted) are carried; a document taken as a whole
+    All columns of docs are carried; a document taken as a whole
     keeps its text, of another the stretch's words and the white space between them stay. n_chars,
     if there, is counted anew. Documents without words are never taken.
     """
-    rows, _, spans = mix_sources(docs.withColumn("size", n_words(text_of())), **settings)
+    rows, _, spans = mix_sources(docs.select("doc_id", "source", "text", n_words(text_of()).alias("size"), F.struct(*docs.columns).alias("_doc")), **settings)
     in_pass = Window.partitionBy("row", "n_pass").orderBy("doc_start")
     gap = F.coalesce(F.lag(F.col("doc_start") + F.col("length")).over(in_pass) != F.col("doc_start"), F.lit(True))
     runs = spans.withColumn("_gap", gap.cast("int")).withColumn("_run", F.sum("_gap").over(in_pass))
@@ -166,10 +166,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     joined = rows.join(runs, "row")
     part = F.slice(F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0)), F.col("_start") + 1, F.col("_length"))
     text = F.when(F.col("_length") == F.col("size"), F.col("text")).otherwise(F.regexp_replace(F.concat_ws("", part), f"^{SPACE}", ""))
-    joined = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.char_length("text").cast("long"))
-    return joined.select(*docs.columns)
+    made = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return joined.select(*[made[c].alias(c) if c in made else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def op10_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

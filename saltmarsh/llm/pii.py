@@ -158,22 +158,23 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     """docs with the text rewritten, + n_entities and kinds (sorted type names).
 
     A text without entities (null and empty ones too) comes back as it is, with n_entities 0.
-    Repeated rows are rewritten alike. Columns of docs keep their names; _row, _found and _gaps are
-    reserved. An empty table stays empty.
+    Repeated rows are rewritten alike. All columns are carried; columns of docs named n_entities or
+    kinds are replaced. An empty table stays empty.
     """
-    has = F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))
-    clean = docs.filter(~has).withColumn("n_entities", F.lit(0)).withColumn("kinds", F.array().cast("array<string>"))
-    hit = docs.filter(has).withColumn("_row", F.monotonically_increasing_id())
-    hit = hit.withColumn("_found", F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))).withColumn("_gaps", F.split(text_col, ANY, -1)).drop(text_col)
+    names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
+    text = F.col(text_col)
+    has = F.coalesce(text.rlike(ANY), F.lit(False))
+    clean = docs.filter(~has).select(*names, F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    rest = F.struct(*[F.lit(None).cast("string").alias(c) if c == text_col else F.col(c) for c in names])
+    hit = docs.filter(has).select(rest.alias("_doc"), F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("_found"), F.split(text, ANY, -1).alias("_gaps"))
     hit = staged(hit, "with_entities")
     places = hit.select("_row", F.posexplode("_found").alias("_at", "entity"))
     named = assign_surrogates(places.groupBy("entity").agg(F.count("*").alias("_n")).select("entity"), key)
     new = places.join(named, "entity").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", "surrogate", "kind"))).alias("_new"))
     built = hit.join(new, "_row")
-    text = F.concat_ws("", F.flatten(F.zip_with("_gaps", F.concat(F.col("_new.surrogate"), F.array(F.lit(""))), lambda g, s: F.array(g, s))))
-    built = built.withColumn(text_col, text).withColumn("n_entities", F.size("_new")).withColumn("kinds", F.array_sort(F.array_distinct(F.col("_new.kind"))))
-    columns = [*docs.columns, "n_entities", "kinds"]
-    return clean.select(*columns).unionByName(built.select(*columns))
+    made = F.concat_ws("", F.flatten(F.zip_with("_gaps", F.concat(F.col("_new.surrogate"), F.array(F.lit(""))), lambda g, s: F.array(g, s))))
+    built = built.select(*[made.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in names], F.size("_new").alias("n_entities"), F.array_sort(F.array_distinct(F.col("_new.kind"))).alias("kinds"))
+    return clean.unionByName(built)
 
 
 def op5_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import WORD, staged, table, text_of
+from saltmarsh.llm.common import WORD, staged, table, text_of, with_ids
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -163,8 +163,7 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -
 def keep_good(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs with a kept doc_id, all columns as they are. Rows that share a doc_id (a null
     one too) stay or go together: they stay if one of them is kept."""
-    good = judge(docs, **settings).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return with_ids(docs, judge(docs, **settings).filter("kept").select("doc_id"), "left_semi")
 
 
 def op8_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,13 @@ upper nodes (the bits that all members share, as pattern and mask). Pairs of nod
 together; a pair whose shared bits already differ in more than h places is dropped with all its
 members. A bucket gives a spanning forest of its links, never all pairs, and the forests are joined
 into components by alternating star contraction.
+
+Two kinds of links: fingerprints of shingles within a few bits (near_duplicate_components), and
+texts whose sets of five-word shingles are alike (similar_components). For the latter one
+fingerprint would not do: at a similarity of 0.8 five-word fingerprints differ in some 10 of 64
+bits. Several fingerprints of the set of words, in which such texts differ by about 4 bits each,
+find the candidates with the same index, and a 256-bit sketch of the shingle set decides in the
+bucket.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import staged, table, text_of
+from saltmarsh.llm.common import staged, table, text_of, with_ids
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 CHUNK = 1_000_000
@@ -56,6 +63,43 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "do
     return rows.mapInArrow(compute, "doc_id long, fp long")
 
 
+#: Fingerprints of the word set, bits of the shingle sketch, and the slack of its estimate (1.3
+#: standard errors at a similarity of 0.8).
+FINGERPRINTS, SKETCH, SLACK = 10, 256, 0.05
+
+
+def word_set_fingerprints(words: list[bytes], count: int = FINGERPRINTS) -> np.ndarray:
+    """`count` independent fingerprints of the set of distinct words; no words: zeros."""
+    out = np.zeros(count, dtype=np.uint64)
+    distinct = list(set(words))
+    if not distinct:
+        return out
+    h = np.array([xxhash.xxh64_intdigest(w) for w in distinct], dtype=np.uint64)
+    for k in range(count):
+        with np.errstate(over="ignore"):
+            x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        ones = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(x), bitorder="little").view("<u8")[0]
+    return out
+
+
+def shingle_sketch(words: list[bytes], shingle: int = 5) -> bytes:
+    """One bit for each of 256 bins of the shingles' hashes: that of the bin's smallest, an empty
+    bin having its right neighbour's. Two sets agree in a bit with probability (1 + Jaccard) / 2."""
+    if len(words) < shingle:
+        codes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+    else:
+        codes = [xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(words[i:] for i in range(shingle)))]
+    h = np.sort(np.array(codes, dtype=np.uint64))
+    bins, first = np.unique(h >> np.uint64(56), return_index=True)
+    at = np.searchsorted(bins, np.arange(SKETCH, dtype=np.uint64))
+    bits = (h[first] & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits[at % len(bins)], bitorder="little").tobytes()
+
+
 def gray_rank(code: Column) -> Column:
     """The place of a code in the reflected Gray order."""
     for by in (1, 2, 4, 8, 16, 32):
@@ -87,8 +131,9 @@ PAIRS = 1 << 20
 class GrayIndex:
     """The hierarchical index over codes that are sorted by bucket, then by Gray rank."""
 
-    def __init__(self, bucket: np.ndarray, code: np.ndarray, max_bits: int):
-        self.code, self.max_bits = code, max_bits
+    def __init__(self, bucket: np.ndarray, code: np.ndarray, max_bits: int, sketch: np.ndarray | None = None, max_apart: int = 0):
+        """sketch: (n, words) of uint64; links must be within max_apart of its bits as well."""
+        self.code, self.max_bits, self.sketch, self.max_apart = code, max_bits, sketch, max_apart
         self.label = np.arange(len(code))
         new_bucket = np.ones(len(code), dtype=bool)
         new_bucket[1:] = bucket[1:] != bucket[:-1]
@@ -128,7 +173,13 @@ class GrayIndex:
             if level == LEVELS:
                 i, j = self.starts[level][a], self.starts[level][b]
                 keep = (i < j) & (np.bitwise_count(self.code[i] ^ self.code[j]) <= self.max_bits)
-                self.union(i[keep], j[keep])
+                i, j = i[keep], j[keep]
+                if self.sketch is not None:
+                    keep = self.label[i] != self.label[j]
+                    i, j = i[keep], j[keep]
+                    keep = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64) <= self.max_apart
+                    i, j = i[keep], j[keep]
+                self.union(i, j)
                 continue
             first = self.first_child[level]
             na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
@@ -154,14 +205,22 @@ class GrayIndex:
         return self.root(np.arange(len(self.code)))
 
 
-def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
-    """fps: fp (distinct), rep -> links (a, b), a > b, between reps: a spanning forest per bucket."""
+def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, max_apart: int = 0) -> DataFrame:
+    """fps: fp, rep -> links (a, b), a > b, between reps: a spanning forest per bucket.
+
+    fps may have `kind`, an int (only fingerprints of one kind are compared), and `sketch`, a
+    binary of fixed length (only rows within max_apart bits of it are linked).
+    """
+    sketched = "sketch" in fps.columns
+    if "kind" not in fps.columns:
+        fps = fps.withColumn("kind", F.lit(0))
     masks = block_masks(blocks or max_bits + 1, max_bits)
     rows = fps.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
     rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).withColumn("gray", gray_rank(F.col("fp")))
     # Signed order would put the upper half of the ranks first.
     rows = rows.withColumn("gray", F.col("gray").bitwiseXOR(F.lit(-(1 << 63))))
-    rows = rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "gray").select("mask", "key", "fp", "rep")
+    columns = ["kind", "mask", "key", "fp", "rep", *["sketch"] * sketched]
+    rows = rows.repartition("kind", "mask", "key").sortWithinPartitions("kind", "mask", "key", "gray").select(*columns)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -169,23 +228,27 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
 
         def solve(rows: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(rows), dtype=bool)
-            new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
+            new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
             bucket = np.cumsum(new)
-            index = GrayIndex(bucket, np.ascontiguousarray(rows[:, 2]).view(np.uint64), max_bits)
+            sketch = np.ascontiguousarray(rows[:, 5:]).view(np.uint64) if sketched else None
+            index = GrayIndex(bucket, np.ascontiguousarray(rows[:, 3]).view(np.uint64), max_bits, sketch, max_apart)
             label = index.search()
-            rep, root = rows[:, 3], rows[label, 3]
-            low = root.copy()  # the smallest rep of each component
+            rep = rows[:, 4]
+            low = rep[label]  # the smallest rep of each component
             np.minimum.at(low, label, rep)
             low = low[label]
             out = rep != low
             return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(low[out])], ["a", "b"])
 
         for batch in batches:
-            held.append(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]]
+            if sketched and len(batch):
+                cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64).reshape(len(batch), -1))
+            held.append(np.column_stack(cols))
             size += len(held[-1])
             if size >= 100_000:
                 rows = np.concatenate(held)
-                last = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
+                last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
                 whole = last[-1] + 1 if len(last) else 0  # the last bucket may go on
                 if whole:
                     yield solve(rows[:whole])
@@ -235,11 +298,35 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, max_bits:
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest id."""
-    found = near_duplicate_components(docs, shingle, max_bits)
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, component_id (the smallest doc_id reachable by links).
+
+    Texts are linked if their sketches put the Jaccard similarity of their sets of `shingle`-word
+    shingles at `similarity` or more, 1.3 standard errors allowed, and one of their word-set
+    fingerprints is within max_bits. Null, empty and short texts, ties and empty tables as in
+    near_duplicate_components; texts without words are alike.
+    """
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [t.as_py().lower().split() for t in batch.column(1)]
+            fps = [word_set_fingerprints(w).view(np.int64).tolist() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array([shingle_sketch(w, shingle) for w in words], pa.binary())], ["doc_id", "fps", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
+    marks = staged(rows.mapInArrow(compute, "doc_id long, fps array<long>, sketch binary"), "sketches")
+    distinct = staged(marks.groupBy("fps", "sketch").agg(F.min("doc_id").alias("rep")), "distinct_sketches")
+    each = distinct.filter("rep is not null").select("rep", "sketch", F.posexplode("fps").alias("kind", "fp"))
+    max_apart = int(SKETCH * (1 - similarity + SLACK) / 2)
+    roots = components(bucket_links(each, max_bits, blocks_for_size(distinct.count(), max_bits), max_apart))
+    found = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fps", "sketch", F.coalesce("root", "rep").alias("component_id"))
+    return marks.join(found, ["fps", "sketch"]).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The documents that stay: of each component of similar texts the one with the smallest id."""
+    found = similar_components(docs, similarity, shingle)
+    return with_ids(docs, found.filter("not doc_id <=> component_id").select("doc_id"), "left_anti")
 
 
 def op6_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
