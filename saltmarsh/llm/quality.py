@@ -114,14 +114,16 @@ def mcd_estimates(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> Da
     Starts from medians and absolute deviations; each step keeps the `core` nearest documents of
     every group and estimates again from them, which never raises the determinant.
     """
-    medians = rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in DIMS])
+    # Written tables of a row per group are of known size: Spark sends them to the rows and never
+    # shuffles a large group to one place, or shuffles if there are too many groups for that.
+    medians = staged(rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in DIMS]), "mcd_medians")
     near = rows.join(medians, "grp")
     spread = near.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i in DIMS])
     found = medians.join(spread, "grp").select("grp", *[f"m{i}" for i in DIMS], *[(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(LEAST_SD[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in DIMS for j in range(i + 1)])
     for step in range(steps):
         found = staged(found, "mcd")
         far = rows.join(found, "grp").withColumn("d2", _distance())
-        limits = far.groupBy("grp").agg(F.percentile_approx("d2", core, 2000).alias("limit"))
+        limits = staged(far.groupBy("grp").agg(F.percentile_approx("d2", core, 2000).alias("limit")), "mcd_limits")
         inside = far.join(limits, "grp").filter("d2 <= limit")
         found = _estimates(inside, core / CHI2_6_AT_CORE if step == steps - 1 else 1.0)
     return staged(found, "mcd")

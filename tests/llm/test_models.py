@@ -1,0 +1,175 @@
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+from fixtures import SF, documents, empty_docs, odd_docs, odd_rows
+from pyspark.sql import functions as F
+
+from saltmarsh.llm import lm_scoring, packing, pii, token_counts, toxicity
+
+
+def test_token_rollup_equals_recount(spark, tmp_path):
+    encode = packing.byte_bpe(packing.tokenizer_path())
+    for name, docs in (("a", documents(spark)), ("b", odd_docs(spark).filter("doc_id is not null").dropDuplicates(["doc_id"]))):
+        first = {}
+        rows = docs.select("doc_id", "source", "lang", "text").collect()
+        for r in sorted(rows, key=lambda r: r.doc_id):
+            first.setdefault(r.text or "", r)
+        want = defaultdict(lambda: [0, 0])
+        for r in first.values():
+            want[r.source, r.lang][0] += 1
+            want[r.source, r.lang][1] += len(encode(r.text or ""))
+        got = token_counts.maintain_token_counts(docs, f"file://{tmp_path}/{name}").collect()
+        bpe = {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in got if r.tokenizer == "byte_bpe_50k" and r.n_docs}
+        assert bpe == dict(want)
+        assert all(r.n_docs == r.n_tokens == 0 for r in got if r.tokenizer == "words")
+    assert token_counts.maintain_token_counts(empty_docs(spark), f"file://{tmp_path}/e").count() == 0
+
+
+def test_commits_are_idempotent(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    assert rollup.totals().count() == 0
+    rows = spark.createDataFrame([("s", "en", 5), ("s", "en", 7), (None, None, 1)], "source string, lang string, tokens long")
+    batch = token_counts.inserted(rows, "v1")
+    assert rollup.commit("one", batch) and not rollup.commit("one", batch)
+    assert rollup.commit("two", token_counts.deleted(rows.filter("tokens = 5"), "v1"))
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+    assert got == {("s", "en"): (1, 7), (None, None): (1, 1)}
+
+
+def test_toxic_documents_are_found_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    half = labels.filter("doc_id % 2 = 0")
+    scored = toxicity.score(docs, *toxicity.train(docs, half)).join(labels.filter("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("truth")), "doc_id").collect()
+    tp = sum(r.toxic and r.truth == 1 for r in scored)
+    fp = sum(r.toxic and r.truth == 0 for r in scored)
+    fn = sum(not r.toxic and r.truth == 1 for r in scored)
+    print(tp, fp, fn)
+    assert tp / (tp + fn) >= 0.8 and fp <= 0.02 * len(scored)
+
+
+def test_ordinal_fit_recovers_ordered_grades():
+    rng = np.random.default_rng(1)
+    bad = np.arange(10)
+    rows, grades = [], []
+    for _ in range(3000):
+        g = int(rng.integers(0, 3))
+        noise = rng.integers(100, 400, 20)
+        rows.append(np.unique(np.concatenate([noise, rng.choice(bad, 3 * g, replace=False)])))
+        grades.append(g)
+    w, t = toxicity.fit(np.array(grades), rows)
+    assert t[0] < t[1] and w[bad].min() > 0.3 and np.abs(w[100:400]).max() < 0.25 * w[bad].min()
+    s = np.array([w[r].sum() for r in rows])
+    expected = (1 / (1 + np.exp(-(s[:, None] - t)))).sum(1)
+    assert np.mean(np.round(expected) == grades) > 0.95
+
+
+def test_toxicity_of_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
+    docs = odd_docs(spark)
+    got = toxicity.score(docs, *toxicity.train(docs, labels)).collect()
+    assert len(got) == len(odd_rows()) and all(0 <= r.expected_severity <= 2 for r in got)
+    assert toxicity.score(empty_docs(spark), *toxicity.train(empty_docs(spark), labels)).count() == 0
+
+
+def slow_scores(docs, good):
+    """The same models with dictionaries."""
+    words = {i: (t or "").encode().lower().split() for i, t in docs.items()}
+    parts = [{i: w for i, w in words.items() if i in good}, words]
+    uni = [Counter(w for ws in p.values() for w in ws) for p in parts]
+    total = [sum(c.values()) for c in uni]
+    vocab = {w for w, n in uni[1].items() if n >= max(2.0, lm_scoring.VOCAB_SHARE * total[1])}
+    cut = {i: ["<s>", *[w if w in vocab else "<unk>" for w in ws]] for i, ws in words.items()}
+    count = [Counter(), Counter()]
+    pair = [Counter(), Counter()]
+    for k in (0, 1):
+        for i in parts[k]:
+            count[k].update(cut[i][1:])
+            pair[k].update(zip(cut[i], cut[i][1:]))
+    kept = {b for b in pair[1] if pair[1][b] >= max(2.0, lm_scoring.BIGRAM_SHARE * total[1]) or pair[0][b] >= max(2.0, lm_scoring.BIGRAM_SHARE * total[0])}
+    a, lam = lm_scoring.ALPHA, lm_scoring.LAMBDA
+    size = len(vocab) + 1
+    out = {}
+    for i, ws in cut.items():
+        loss = []
+        for k in (0, 1):
+            p = lambda w: (count[k][w] + a) / (total[k] + a * size)  # noqa: B023, E731
+            logs = []
+            for x, y in zip(ws, ws[1:]):
+                before = len(parts[k]) / total[k] if x == "<s>" else p(x)
+                q = p(y)
+                if (x, y) in kept:
+                    q = lam * min(pair[k][x, y] / total[k] / before, 1.0) + (1 - lam) * q
+                logs.append(np.log(q))
+            loss.append(-np.mean(logs) if logs else None)
+        out[i] = None if loss[0] is None else loss[0] - loss[1]
+    return out
+
+
+def test_scores_equal_dictionary_models(spark):
+    got = {r.doc_id: r.score for r in lm_scoring.op4_cross_entropy_difference(spark, SF).collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1 and toxic = 0").collect()}
+    want = slow_scores({r.doc_id: r.text for r in documents(spark).collect()}, good)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert (got[i] is None) == (want[i] is None) and (want[i] is None or abs(got[i] - want[i]) < 1e-9)
+
+
+def test_scores_of_odd_rows(spark):
+    docs = odd_docs(spark)
+    for target in (docs.filter("doc_id in (3, 4, 10)"), empty_docs(spark)):
+        got = lm_scoring.cross_entropy_difference(docs, target.select("doc_id")).collect()
+        assert len(got) == len(odd_rows())
+        assert all((r.score is None) == (r.n_tokens == 0) for r in got)
+    assert lm_scoring.cross_entropy_difference(empty_docs(spark), docs.select("doc_id")).count() == 0
+
+
+def test_surrogates_keep_type_form_and_identity(spark):
+    rows = pii.op5_keyed_surrogates(spark, SF).collect()
+    before = {r.doc_id: r for r in documents(spark).collect()}
+    found, pairs = defaultdict(set), {}
+    pattern = spark.sparkContext.broadcast(None)
+    del pattern
+    for r in rows:
+        if not r.n_entities:
+            assert r.text == before[r.doc_id].text
+    ents = documents(spark).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pii.ANY), F.lit(0))).alias("at", "old"))
+    new = spark.createDataFrame(pii.op5_keyed_surrogates(spark, SF).select("doc_id", "text").collect()).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pii.ANY), F.lit(0))).alias("at", "new"))
+    joined = ents.join(new, ["doc_id", "at"], "left").collect()
+    assert len(joined) > 10
+    for r in joined:
+        assert r.new is not None and r.new != r.old
+        shape = lambda s: re.sub("[a-z]", "a", re.sub("[0-9]", "0", s)) if "@" in s or not re.fullmatch("[0-9a-f]+|[0-9.]+", s) else re.sub("[0-9a-f]+", "x", s)
+        assert shape(r.old) == shape(r.new)
+        assert pairs.setdefault(r.old, r.new) == r.new
+        found[r.new].add(r.old)
+    assert all(len(v) == 1 for v in found.values()) and not set(found) & set(pairs)
+
+
+def test_surrogates_of_people_and_odd_rows(spark):
+    texts = ["Mr. John Smith and Mrs Anna Smith", "Frau Erika Muster rief Herrn Karl Groß an", "Госпожа Анна Петрова", "Κύριος Νίκος Παππάς", "card 4111 1111 1111 1111 or 4111-1111-1111-1112", "+1 (017) 555-7713, 10.0.0.1", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r.doc_id: r for r in pii.replace_personal_data(docs, "k").collect()}
+    a = re.fullmatch(r"Mr\. ([A-Z][a-z]+)on ([A-Z][a-z]+) and Mrs ([A-Z][a-z]+)a ([A-Z][a-z]+)", out[0].text)
+    assert a
+    assert re.fullmatch(r"Frau [A-Z][a-z]+a [A-Z][a-z]+ rief Herrn [A-Z][a-z]+on [A-Z][a-z]+ an", out[1].text)
+    assert re.fullmatch(r"Госпожа [А-Я][а-я]+а [А-Я][а-я]+", out[2].text)
+    assert re.fullmatch(r"Κύριος [Α-Ω][α-ω]+ος [Α-Ω][α-ω]+", out[3].text)
+    cards = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) or (\d{4}-\d{4}-\d{4}-\d{4})", out[4].text)
+    luhn = lambda s: sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(re.sub(r"\D", "", s))) % 10 == 0
+    assert luhn(cards[1]) and not luhn(cards[2])
+    assert re.fullmatch(r"\+\d \(\d{3}\) \d{3}-\d{4}, \d+\.\d+\.\d+\.\d+", out[5].text) and out[5].kinds == ["ip", "phone"]
+    assert out[6].text is None and out[7].text == ""
+    docs = odd_docs(spark)
+    got = pii.replace_personal_data(docs, "k")
+    assert got.columns == [*docs.columns, "n_entities", "kinds"] and got.count() == len(odd_rows())
+    assert pii.replace_personal_data(empty_docs(spark), "k").count() == 0
+
+
+def test_collisions_are_settled(spark):
+    # Ten one-digit octet... few forms: 4-letter local parts over one-letter hosts collide by chance.
+    rows = [(f"{a}@{b}.example.com",) for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]
+    got = pii.assign_surrogates(spark.createDataFrame(rows, "entity string"), "key", max_attempts=200).collect()
+    new = {r.surrogate for r in got}
+    assert len(got) == len(new) == 256 and not new & {r[0] for r in rows}
