@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,8 +54,10 @@ def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
-def blocks_for(rows: int, rows_per_block: int) -> int:
-    return max(1, -(-rows // rows_per_block))
+def blocks_for(rows: int, rows_per_block: int | None = None) -> int:
+    """Blocks to number rows in. By default about the square root of the rows, so that neither a
+    block's rows nor the list of blocks grows as fast as the table."""
+    return max(1, -(-rows // (rows_per_block or max(500, math.isqrt(rows)))))
 
 
 def running_start(df: DataFrame, group: list[str], order: list[str], value: str, blocks: int, out: str) -> DataFrame:

@@ -93,7 +93,7 @@ def draw_plan(targets: list[tuple], block_words: int, shard_blocks: int, seed: i
     return plan
 
 
-def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 7, rows_per_block: int = 50_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 7, rows_per_block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs: doc_id, source, size (+ anything) -> (rows, placed, spans).
 
     rows: docs as staged, with a row number `row`. placed: row, doc_id, source, size with

@@ -85,7 +85,7 @@ def write_shards(docs: DataFrame, path: str, tree: Tree, key: str = "doc_id", se
     assign_shards(docs, tree, key, seed).write.mode(mode).partitionBy("shard").parquet(path)
 
 
-def shard_slots(rows: DataFrame, rows_per_block: int = 50_000) -> DataFrame:
+def shard_slots(rows: DataFrame, rows_per_block: int | None = None) -> DataFrame:
     """Adds slot: the number of a row within its shard, gapless from 0. rows: doc_id, shard and small columns."""
     rows = staged(rows.withColumn("_one", F.lit(1).cast("long")), "shard_rows")
     blocks = blocks_for(rows.count(), rows_per_block)
