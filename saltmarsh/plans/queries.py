@@ -65,13 +65,13 @@ def wave_readings(spark, d):
     return o.select("event_id", *r4("wave_power_kw_m"), S.sea_state(F.col("wave_height_m")).alias("sea_state"), S.compass(F.col("wave_direction_deg")).alias("compass"), F.round(S.still_water_level(F.col("sea_level_anomaly_m"), F.col("wave_height_m")), 4).alias("level"))
 
 
-@query(OBS + "SELECT event_id, round(latitude, 4) AS latitude, round(longitude, 4) AS longitude, sha1(printf('%.4f', latitude) || '|' || printf('%.4f', longitude) || '|' || CAST(epoch_ms(time) AS VARCHAR)) AS obs_id FROM obs")
+@query(OBS + "SELECT event_id, round(latitude, 4) AS latitude, round(longitude, 4) AS longitude, sha1(printf('%.4f', latitude) || '|' || printf('%.4f', longitude) || '|' || CAST(epoch_us(time) // 1000 AS VARCHAR)) AS obs_id FROM obs")
 def validated_observations(spark, d):
     good, _ = O.validate(obs(spark, d).drop("wave_power_kw_m"))
     return good.select("event_id", *r4("latitude", "longitude"), "obs_id")
 
 
-@query(OBS + "SELECT event_id, cell FROM obs WHERE latitude BETWEEN -20 AND 40 AND longitude BETWEEN -60 AND 90 AND epoch_ms(time) >= 1704500000000 AND NOT is_forecast AND sst_celsius IS NOT NULL")
+@query(OBS + "SELECT event_id, cell FROM obs WHERE latitude BETWEEN -20 AND 40 AND longitude BETWEEN -60 AND 90 AND epoch_us(time) // 1000 >= 1704500000000 AND NOT is_forecast AND sst_celsius IS NOT NULL")
 def observations_in_box(spark, d):
     f = O.ObservationFilter(start_ms=1_704_500_000_000, bbox=(40, -20, 90, -60), require_columns=("sst_celsius", "unknown"))
     return f.apply(obs(spark, d)).select("event_id", "cell")
