@@ -107,7 +107,7 @@ def initial_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 #: The 16 compass points, the Douglas sea states and the current bands.
 COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 SEA_STATES = ((0.1, "Calm"), (0.5, "Smooth"), (1.25, "Slight"), (2.5, "Moderate"), (4.0, "Rough"), (6.0, "Very rough"), (9.0, "High"), (14.0, "Very high"), (999.0, "Phenomenal"))
-CURRENT_BANDS = ((2.0, "weak"), (5.0, "moderate"), (10.0, "strong"), (1e9, "extreme"))
+CURRENT_BANDS = ((2.0, "0–2 km/h"), (5.0, "2–5 km/h"), (10.0, "5–10 km/h"), (1e9, "over 10 km/h"))
 
 
 def compass(deg: Column) -> Column:

@@ -116,8 +116,9 @@ def merge_observations(batches: DataFrame, key: str = "obs_id", order: str = "in
     batches: observation columns, key, order (unique within a key) and source. The first row of a
     key sets every column. After it the last value of an owner stands; a column that a source may
     only fill takes its first value if no other is there. A forecast becomes an analysis for good,
-    history is remembered, sources are listed as they came. One shuffle on the key; measures that
-    are never null before the shuffle are reduced there.
+    history is remembered, sources are listed as they came. Rows merged before may take part as the
+    first of their key: their array `sources` stands for `source`, and created_at and updated_at, if
+    present, become the earliest and the latest. One shuffle on the key.
     """
     first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
     rows = batches.withColumn("_first", first)
@@ -132,8 +133,10 @@ def merge_observations(batches: DataFrame, key: str = "obs_id", order: str = "in
         out.append(value.alias(c))
     fixed = [F.min_by(c, order).alias(c) for c in ("latitude", "longitude", "timestamp")]
     port = F.max_by("port_id", F.when(F.col("port_id").isNotNull(), seq)).alias("port_id")
-    listed = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct(seq.alias("q"), F.col("source").alias("s")))), lambda x: x["s"])).alias("sources")
-    return rows.groupBy(key).agg(*fixed, port, *out, F.bool_and("is_forecast").alias("is_forecast"), F.bool_or("is_historical_cache").alias("is_historical_cache"), listed, F.min(order).alias("created_seq"), F.max(order).alias("updated_seq"))
+    tags = F.coalesce("sources", F.array("source")) if "sources" in batches.columns else F.array("source")
+    listed = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(seq.alias("q"), tags.alias("s")))), lambda x: x["s"]))).alias("sources")
+    ages = [f(c).alias(c) for f, c in ((F.min, "created_at"), (F.max, "updated_at")) if c in batches.columns]
+    return rows.groupBy(key).agg(*fixed, port, *out, F.bool_and("is_forecast").alias("is_forecast"), F.bool_or("is_historical_cache").alias("is_historical_cache"), listed, *ages, F.min(order).alias("created_seq"), F.max(order).alias("updated_seq"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], overwrite: list[str], keep_if_null: list[str], keep: list[str]) -> DataFrame:

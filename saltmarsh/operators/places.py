@@ -40,13 +40,14 @@ def attach_city_population(ports: DataFrame, cities: DataFrame, port_id: str, ra
     return ports.join(found.groupBy(port_id).agg(F.max("_pop").alias("city_population")), port_id, "left")
 
 
-def coastal(points: DataFrame, ocean: DataFrame, key: str, km: float = 50.0) -> DataFrame:
+def coastal(points: DataFrame, ocean: DataFrame, key: str, km: float = 60.0) -> DataFrame:
     """Points in or near an ocean cell. ocean: cell_id."""
     import math
 
     rings = max(1, math.ceil(km / 111.0))
-    wide = F.ceil(rings / F.greatest(F.lit(0.15), F.cos(F.radians("latitude")))).cast("int")
+    wide = F.ceil(km / (111.0 * F.greatest(F.lit(0.15), F.cos(F.radians("latitude"))))).cast("int")
     cells = points.select(key, "latitude", "longitude", F.explode(F.sequence(F.lit(-rings), F.lit(rings))).alias("_dy"), wide.alias("_w"))
+    cells = cells.filter(F.col("latitude") + F.col("_dy") <= 90).filter(F.col("latitude") + F.col("_dy") >= -90)
     cells = cells.select(key, "latitude", "longitude", "_dy", F.explode(F.sequence(-F.col("_w"), F.col("_w"))).alias("_dx"))
     cells = cells.select(key, S.mask_cell(F.col("latitude") + F.col("_dy"), F.col("longitude") + F.col("_dx")).alias("cell_id"))
     hit = cells.join(ocean.select("cell_id"), "cell_id", "left_semi").select(key).distinct()
@@ -54,10 +55,16 @@ def coastal(points: DataFrame, ocean: DataFrame, key: str, km: float = 50.0) ->
 
 
 def covered(requests: DataFrame, ledger: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Requests (dataset, box, start_ts, end_ts) that one ledger row contains; left_anti: the others."""
-    r, g = requests.alias("r"), ledger.alias("g")
-    inside = (F.col("r.dataset") == F.col("g.dataset")) & (F.col("g.min_lat") <= F.col("r.min_lat")) & (F.col("g.max_lat") >= F.col("r.max_lat")) & (F.col("g.min_lon") <= F.col("r.min_lon")) & (F.col("g.max_lon") >= F.col("r.max_lon")) & (F.col("g.start_timestamp") <= F.col("r.start_ts")) & (F.col("g.end_timestamp") >= F.col("r.end_ts"))
-    return r.join(g, inside, how)
+    """Requests (dataset, box, start_ts, end_ts) that one ledger row contains; left_anti: the others.
+
+    A ledger row is held once per 10-degree tile of its box (648 at most); a request meets only the
+    rows of the tile that its south-west corner lies in.
+    """
+    tile = lambda c: F.floor(F.col(c) / 10)
+    r = requests.withColumn("_ty", tile("min_lat")).withColumn("_tx", tile("min_lon")).alias("r")
+    g = ledger.withColumn("_ty", F.explode(F.sequence(tile("min_lat"), tile("max_lat")))).withColumn("_tx", F.explode(F.sequence(tile("min_lon"), tile("max_lon")))).alias("g")
+    inside = (F.col("r.dataset") == F.col("g.dataset")) & (F.col("r._ty") == F.col("g._ty")) & (F.col("r._tx") == F.col("g._tx")) & (F.col("g.min_lat") <= F.col("r.min_lat")) & (F.col("g.max_lat") >= F.col("r.max_lat")) & (F.col("g.min_lon") <= F.col("r.min_lon")) & (F.col("g.max_lon") >= F.col("r.max_lon")) & (F.col("g.start_timestamp") <= F.col("r.start_ts")) & (F.col("g.end_timestamp") >= F.col("r.end_ts"))
+    return r.join(g, inside, how).drop("_ty", "_tx")
 
 
 def date_chunks(ranges: DataFrame, start: str, end: str, days: int) -> DataFrame:
@@ -86,9 +93,9 @@ def backfill_plan(requests: DataFrame, coverage: DataFrame, ledger: DataFrame, d
 def equal_area_points(spark: SparkSession, spacing: float, max_latitude: float = 80.0) -> DataFrame:
     """Sample points with equal area each, by bands of latitude."""
     bands = spark.range(int(2 * max_latitude / spacing + 1)).select((F.lit(-max_latitude + spacing / 2) + F.col("id") * spacing).alias("lat")).filter(F.col("lat") <= max_latitude)
-    count = F.greatest(F.lit(1), F.round(F.lit(360.0) * F.cos(F.radians("lat")) / spacing)).cast("int")
+    count = F.greatest(F.lit(1), F.bround(F.lit(360.0) * F.cos(F.radians("lat")) / spacing)).cast("int")
     rows = bands.withColumn("_n", count).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return rows.select(F.round("lat", 4).alias("latitude"), F.round(-180.0 + (F.col("_i") + 0.5) * 360.0 / F.col("_n"), 4).alias("longitude"))
+    return rows.select(F.bround("lat", 4).alias("latitude"), F.bround(-180.0 + (F.col("_i") + 0.5) * 360.0 / F.col("_n"), 4).alias("longitude"))
 
 
 def search_index(places: DataFrame, place_id: str, fields: list[str]) -> DataFrame:

@@ -6,12 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import scalar as S
+from saltmarsh.schema import BEARINGS
 
 INTERVALS = {"1h": ("1 hour", 1.0), "6h": ("6 hours", 6.0), "1d": ("1 day", 24.0), "1w": ("7 days", 168.0)}
-MEANS = ["wave_period_s", "current_velocity_kmh", "sst_celsius", "sea_level_anomaly_m", "geostrophic_u_ms", "geostrophic_v_ms"]
+#: Columns with a mean per window, and those with a peak.
+MEANS = ["wave_height_m", "wave_period_s", "current_velocity_kmh", "sst_celsius", "sea_level_anomaly_m", "wave_power_kw_m"]
 PEAKS = ["wave_height_m", "wave_power_kw_m"]
 
 
+def window_aggregates() -> list[Column]:
+    """What a window of observations is reduced to, in batches and in streams."""
+    return [
+        F.count("*").alias("observation_count"), *[F.avg(c).alias(c) for c in MEANS], *[F.max(c).alias(f"{c}_max") for c in PEAKS],
+        *[S.circular_mean(F.col(c)).alias(c) for c in BEARINGS],
+    ]
+
+
 def resample(obs: DataFrame, interval: str = "1d", start: Column | None = None, end: Column | None = None, keys: list[str] | None = None, time: str = "time", fill: str = "none") -> DataFrame:
     """A row per interval from floor(start) to ceil(end) inclusive: count, means, peaks, mean wave
     bearing, energy. keys (e.g. the cell) give a calendar each; without keys all rows share one.
@@ -22,10 +32,7 @@ def resample(obs: DataFrame, interval: str = "1d", start: Column | None = None,
     keys = keys or []
     step, hours = INTERVALS.get(interval, INTERVALS["1d"])
     at = F.window(time, step)["start"]
-    aggs = [F.count("*").alias("observation_count")]
-    aggs += [F.avg(c).alias(c) for c in MEANS] + [F.max(c).alias(f"{c}_max") for c in PEAKS]
-    aggs += [F.avg("wave_power_kw_m").alias("_power"), S.circular_mean(F.col("wave_direction_deg")).alias("wave_direction_deg")]
-    found = obs.groupBy(*keys, at.alias("window_start")).agg(*aggs)
+    found = obs.groupBy(*keys, at.alias("window_start")).agg(*window_aggregates())
     floor = lambda c: F.window(c, step)["start"]
     spans = obs.groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
     spans = spans.withColumn("_lo", F.coalesce(start, F.col("_lo")) if start is not None else F.col("_lo")).withColumn("_hi", F.coalesce(end, F.col("_hi")) if end is not None else F.col("_hi"))
@@ -35,7 +42,7 @@ def resample(obs: DataFrame, interval: str = "1d", start: Column | None = None,
     grid = spans.select(*keys, F.explode(F.sequence("_lo", last, F.expr(f"INTERVAL {step}"))).alias("window_start"))
     out = grid.join(found, [*keys, "window_start"], "left")
     out = out.withColumn("observation_count", F.coalesce("observation_count", F.lit(0)))
-    out = out.withColumn("energy_kwh_m", F.coalesce(S.window_energy(F.col("_power"), hours), F.lit(0.0))).drop("_power")
+    out = out.withColumn("energy_kwh_m", F.coalesce(S.window_energy(F.col("wave_power_kw_m"), hours), F.lit(0.0)))
     return fill_gaps(out, [*MEANS, *[f"{c}_max" for c in PEAKS]], fill, keys, "window_start")
 
 
@@ -47,7 +54,7 @@ def fill_gaps(rows: DataFrame, columns: list[str], how: str, keys: list[str], or
         return rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
     if how == "ffill":
         return rows.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in columns})
-    if how == "linear":
+    if how in ("linear", "interpolate"):
         rows = rows.withColumn("_i", F.row_number().over(by))
         made = {}
         for c in columns:

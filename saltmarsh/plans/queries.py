@@ -26,10 +26,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def obs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     u = F.col("user_id")
-    rows = read(spark, sf_dir, "events").select(
+    rows = (read(spark, sf_dir, "events") if events is None else events).select(
         "event_id", u.alias("cell"), (((u * 37) % 160 - 80).cast("double") + 0.5).alias("latitude"), (((u * 73) % 360 - 180).cast("double") + 0.5).alias("longitude"),
         F.col("ts").alias("time"), F.col("event_type").alias("source"), (F.col("value") / 50).alias("wave_height_m"), (k / 5.0).alias("wave_period_s"), S.bearing((k * 7).cast("double")).alias("wave_direction_deg"),
         F.when(k % 7 != 0, 10 + F.col("value") / 20).alias("sst_celsius"), (k % 10 == 9).alias("is_forecast"), (F.col("value") / 100 - 0.5).alias("sea_level_anomaly_m"), (F.col("value") / 4).alias("current_velocity_kmh"),

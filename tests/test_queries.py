@@ -6,6 +6,7 @@ import math
 import duckdb
 import pytest
 
+from saltmarsh.plans import more_queries  # noqa: F401
 from saltmarsh.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
