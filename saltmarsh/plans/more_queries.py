@@ -184,11 +184,11 @@ def folder(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query(DAYS + ", n AS (SELECT cell, date_trunc('day', time) AS day, count(*) AS n FROM p GROUP BY ALL) SELECT d.cell, d.day AS window_start, n AS observation_count, round(d.sst_celsius, 4) AS sst_celsius, round(d.wave_height_m, 4) AS wave_height_m FROM d JOIN n ON n.cell = d.cell AND n.day = d.day")
+@query(DAYS + ", n AS (SELECT cell, date_trunc('day', time) AS day, count(*) AS n FROM p GROUP BY ALL) SELECT d.cell, d.day AS window_start, n AS observation_count, round(d.sst_celsius, 6) AS sst_celsius, round(d.wave_height_m, 6) AS wave_height_m FROM d JOIN n ON n.cell = d.cell AND n.day = d.day")
 def streamed_resample(spark, d):
     out = folder(spark, "resampled")
     X.write_updates(X.resample_stream(streamed(spark, d), "1d", ["cell"]), f"{out}/rows", f"{out}/log").awaitTermination()
-    return X.newest(spark, f"{out}/rows", ["cell", "window_start"]).select("cell", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "observation_count", *r4("sst_celsius", "wave_height_m"))
+    return X.newest(spark, f"{out}/rows", ["cell", "window_start"]).select("cell", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "observation_count", *[F.round(c, 6).alias(c) for c in ("sst_celsius", "wave_height_m")])
 
 
 @query(OBS + "SELECT cell, round(arg_max(sst_celsius, struct_pack(t := time, v := sst_celsius)) FILTER (WHERE sst_celsius IS NOT NULL), 4) AS sst_celsius, round(arg_max(wave_height_m, struct_pack(t := time, v := wave_height_m)), 4) AS wave_height_m FROM p GROUP BY cell")
