@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import scalar as S
 
 
-def nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1, pads: tuple[float, ...] = (2.0, 5.0, 15.0, 45.0)) -> DataFrame:
-    """The k nearest places in the first box (of +-pad degrees) that holds any. No wrap at 180.
+def across_seam(places: DataFrame, longitude: str, margin: float) -> DataFrame:
+    """Adds copies, 360 degrees on, of the places within `margin` degrees of the antimeridian."""
+    at = F.col(longitude)
+    copies = F.filter(F.array(at, at - 360, at + 360), lambda x: (x >= -180 - margin) & (x <= 180 + margin))
+    return places.withColumn(longitude, F.explode(copies))
+
+
+def nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1, pads: tuple[float, ...] = (2.0, 5.0, 15.0, 45.0), wrap: bool = False) -> DataFrame:
+    """The k nearest places in the first box (of +-pad degrees) that holds any; wrap: boxes go on
+    beyond 180 degrees. See exact_nearest_places for the k nearest of all.
 
     Each pad is a join on grid cells of that width between the points not served so far and the
     places, so no point meets a place outside the nine cells around it.
@@ -20,30 +30,68 @@ def nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id
         cell = lambda c: F.floor(c / pad)  # noqa: B023, E731
         near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
         asked = left.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near)).withColumn("_cy", cell(F.col("_lat")) + F.col("_dy")).withColumn("_cx", cell(F.col("_lon")) + F.col("_dx"))
-        held = right.withColumn("_cy", cell(F.col("_plat"))).withColumn("_cx", cell(F.col("_plon")))
+        held = (across_seam(right, "_plon", pad) if wrap else right).withColumn("_cy", cell(F.col("_plat"))).withColumn("_cx", cell(F.col("_plon")))
         hit = asked.join(held, ["_cy", "_cx"]).filter((F.abs(F.col("_plat") - F.col("_lat")) <= pad) & (F.abs(F.col("_plon") - F.col("_lon")) <= pad))
         hit = hit.select(point_id, "_lat", "_lon", "place", "_plat", "_plon", S.haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("distance_km"))
         rank = F.row_number().over(Window.partitionBy(point_id).orderBy("distance_km", "place"))
         best = hit.withColumn("rank", rank).filter(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
         left = left.join(best.select(point_id).distinct(), point_id, "left_anti")
-    return out.select(point_id, "place", "rank", "distance_km", S.initial_bearing(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("bearing_deg"))
+    return _with_bearing(out, point_id)
+
 
+def _with_bearing(found: DataFrame, point_id: str) -> DataFrame:
+    return found.select(point_id, "place", "rank", "distance_km", S.initial_bearing(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("bearing_deg"))
 
-def attach_city_population(ports: DataFrame, cities: DataFrame, port_id: str, radius_km: float = 35.0) -> DataFrame:
-    """The largest population within the radius, among the nine 1-degree cells around; ports
-    without any keep null."""
+
+def exact_nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1, widths: tuple[float, ...] = (0.03, 0.12, 0.5)) -> DataFrame:
+    """The k nearest places of every point, over poles and antimeridian.
+
+    Points and places are laid on the unit sphere and into cubes of a width. The 27 cubes around a
+    point hold everything within one width of it (chord length), so k places at most that far are
+    final; points that have fewer go on to the next width, those left after the last meet all
+    places, which none but the points of near-empty regions do. Ties: the smaller place_id.
+    """
+    def on_sphere(lat: Column, lon: Column) -> list[Column]:
+        lat, lon = F.radians(lat), F.radians(lon)
+        return [(F.cos(lat) * F.cos(lon)).alias("_x"), (F.cos(lat) * F.sin(lon)).alias("_y"), F.sin(lat).alias("_z")]
+
+    left = points.select(point_id, F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), *on_sphere(F.col("latitude"), F.col("longitude"))).filter("_x is not null and _z is not null")
+    right = places.select(F.col(place_id).alias("place"), F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon"), *on_sphere(F.col("latitude"), F.col("longitude")))
+    rank, near, out = F.row_number().over(Window.partitionBy(point_id).orderBy("distance_km", "place")), F.array(*[F.lit(i) for i in (-1, 0, 1)]), None
+    for width in (*widths, 2.0):  # within cubes of width 2 around it lies the whole sphere
+        cube = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
+        asked, held = left, right.select("place", "_plat", "_plon", *[cube(f"_{a}").alias(f"_c{a}") for a in "xyz"])
+        for a in "xyz":
+            asked = asked.withColumn(f"_c{a}", F.explode(F.transform(near, lambda i: cube(f"_{a}") + i)))  # noqa: B023
+        hit = asked.join(held, ["_cx", "_cy", "_cz"])
+        hit = hit.select(point_id, "_lat", "_lon", "place", "_plat", "_plon", S.haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("distance_km"))
+        if width < 2.0:
+            # A little less than the width, for rounding.
+            reach = 2 * S.EARTH_KM * math.asin(width / 2) * (1 - 1e-9)
+            hit = hit.filter(F.col("distance_km") <= reach)
+        best = hit.withColumn("rank", rank).filter(F.col("rank") <= k)
+        if width < 2.0:
+            full = best.filter(F.col("rank") == k).select(point_id)
+            best = best.join(full, point_id, "left_semi")
+            left = left.join(full, point_id, "left_anti")
+        out = best if out is None else out.unionByName(best)
+    return _with_bearing(out, point_id)
+
+
+def attach_city_population(ports: DataFrame, cities: DataFrame, port_id: str, radius_km: float = 35.0, wrap: bool = False) -> DataFrame:
+    """The largest population within the radius, among the nine 1-degree cells around (wrap: beyond
+    180 degrees as well); ports without any keep null."""
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     p = ports.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near)).withColumn("_cy", F.floor("latitude") + F.col("_dy")).withColumn("_cx", F.floor("longitude") + F.col("_dx"))
-    c = cities.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col("population").alias("_pop"), F.floor("latitude").alias("_cy"), F.floor("longitude").alias("_cx"))
+    c = cities.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), F.col("population").alias("_pop"))
+    c = (across_seam(c, "_lon", 2.0) if wrap else c).withColumn("_cy", F.floor("_lat")).withColumn("_cx", F.floor("_lon"))
     found = p.join(c, ["_cy", "_cx"]).filter((F.col("_pop") > 0) & (S.haversine_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon")) <= radius_km))
     return ports.join(found.groupBy(port_id).agg(F.max("_pop").alias("city_population")), port_id, "left")
 
 
 def coastal(points: DataFrame, ocean: DataFrame, key: str, km: float = 60.0) -> DataFrame:
     """Points in or near an ocean cell. ocean: cell_id."""
-    import math
-
     rings = max(1, math.ceil(km / 111.0))
     wide = F.ceil(km / (111.0 * F.greatest(F.lit(0.15), F.cos(F.radians("latitude"))))).cast("int")
     cells = points.select(key, "latitude", "longitude", F.explode(F.sequence(F.lit(-rings), F.lit(rings))).alias("_dy"), wide.alias("_w"))

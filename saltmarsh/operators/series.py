@@ -91,8 +91,18 @@ def derived_features(rows: DataFrame, columns: list[str], keys: list[str], order
     return rows.withColumns(made)
 
 
-def warm_spells(rows: DataFrame, value: str, keys: list[str], order: str, window: int = 90, share: float = 0.9, min_duration: int = 5) -> DataFrame:
-    """Adds warm_spell: over the trailing quantile for min_duration rows or more in a row."""
+def warm_spells(rows: DataFrame, value: str, keys: list[str], order: str, window: int = 90, share: float = 0.9, min_duration: int = 5, calendar: bool = False) -> DataFrame:
+    """Adds warm_spell: over the trailing quantile for min_duration rows or more in a row.
+
+    calendar: first to daily means with a row for every day between a series' first and last, so
+    that the window and the duration count days and a day without a value ends a spell; `order` is
+    then a time and the result has the keys, `day`, the value and warm_spell.
+    """
+    if calendar:
+        days = daily_means(rows, [value], keys, order)
+        spans = days.groupBy(*keys).agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
+        grid = spans.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
+        rows, order = grid.join(days, [*keys, "day"], "left"), "day"
     by = Window.partitionBy(*keys).orderBy(order)
     before = by.rowsBetween(-window, -1)
     hot = (F.count(value).over(before) >= max(10, 2 * min_duration)) & (F.col(value) > F.percentile(value, share).over(before))

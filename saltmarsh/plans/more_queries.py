@@ -10,6 +10,7 @@ from saltmarsh.functions import scalar as S
 from saltmarsh.operators import observations as O
 from saltmarsh.operators import places as P
 from saltmarsh.operators import planning as L
+from saltmarsh.operators import series as R
 from saltmarsh.plans.queries import DAYS, HAV, OBS, XY, obs, placed, query, r4, read, sq
 from saltmarsh.session import shared_folder
 from saltmarsh.sources import exports, readers
@@ -205,3 +206,53 @@ def streamed_merge(spark, d):
     out = folder(spark, "merged")
     X.merge_stream(rows, f"{out}/table", f"{out}/log", lambda: 0, f"{out}/metrics").awaitTermination()
     return X.stored(spark, f"{out}/table").select(*r4("latitude", "longitude"), "timestamp", *r4("wave_height_m", "sst_celsius"), "is_forecast")
+
+
+@query(f"""WITH {SUPPLIERS}, {CUSTOMERS}, r AS (SELECT s_suppkey, c_custkey AS place, {HAV.format(a='lat', b='plat', c='lon', d='plon')} AS km FROM s, c),
+n AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY km, place) AS rank FROM r)
+SELECT s_suppkey, place, rank, round(km, 3) AS distance_km FROM n WHERE rank <= 3""")
+def exact_nearest_three(spark, d):
+    found = P.exact_nearest_places(suppliers(spark, d), customers(spark, d), "s_suppkey", "c_custkey", 3)
+    return found.select("s_suppkey", "place", "rank", F.round("distance_km", 3).alias("distance_km"))
+
+
+SEAM = "least(abs(lon - plon), 360 - abs(lon - plon))"
+
+
+@query(f"""WITH {SUPPLIERS}, {CUSTOMERS}, j AS (SELECT s_suppkey, c_custkey AS place, {HAV.format(a='lat', b='plat', c='lon', d='plon')} AS km, greatest(abs(lat - plat), {SEAM}) AS apart FROM s, c),
+m AS (SELECT *, min(CASE WHEN apart <= 2 THEN 1 WHEN apart <= 5 THEN 2 WHEN apart <= 15 THEN 3 ELSE 4 END) OVER (PARTITION BY s_suppkey) AS best FROM j WHERE apart <= 45),
+r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY km, place) AS rank FROM m WHERE apart <= [2, 5, 15, 45][best])
+SELECT s_suppkey, place, round(km, 3) AS distance_km FROM r WHERE rank = 1""")
+def nearest_across_seam(spark, d):
+    found = P.nearest_places(suppliers(spark, d), customers(spark, d), "s_suppkey", "c_custkey", wrap=True)
+    return found.select("s_suppkey", "place", F.round("distance_km", 3).alias("distance_km"))
+
+
+@query(f"""WITH {SUPPLIERS}, c AS (SELECT CAST(c_acctbal AS BIGINT) AS pop, {XY.format(k='c_custkey', a=389, b=1117, p='p')} FROM customer)
+SELECT s_suppkey, max(pop) AS city_population FROM s LEFT JOIN c ON pop > 0 AND abs(floor(lat) - floor(plat)) <= 1 AND least(abs(floor(lon) - floor(plon)), 360 - abs(floor(lon) - floor(plon))) <= 1 AND {HAV.format(a='lat', b='plat', c='lon', d='plon')} <= 100 GROUP BY s_suppkey""")
+def port_population_across_seam(spark, d):
+    cities = customers(spark, d).withColumn("population", F.round("c_acctbal").cast("long"))
+    return P.attach_city_population(suppliers(spark, d), cities, "s_suppkey", 100.0, wrap=True).select("s_suppkey", "city_population")
+
+
+@query(DAYS + """, b AS (SELECT cell, min(day) AS lo, max(day) AS hi FROM d GROUP BY cell), g AS (SELECT cell, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS day FROM b),
+c AS (SELECT g.cell, g.day, wave_height_m FROM g LEFT JOIN d ON d.cell = g.cell AND d.day = g.day),
+q AS (SELECT *, coalesce(count(wave_height_m) OVER w >= 10 AND wave_height_m > quantile_cont(wave_height_m, 0.5) OVER w, false) AS hot, row_number() OVER (PARTITION BY cell ORDER BY day) AS rn FROM c WINDOW w AS (PARTITION BY cell ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+i AS (SELECT *, rn - sum(CASE WHEN hot THEN 1 ELSE 0 END) OVER (PARTITION BY cell ORDER BY day) AS island FROM q)
+SELECT cell, day, hot AND count(*) OVER (PARTITION BY cell, hot, island) >= 2 AS warm_spell FROM i""")
+def calendar_warm_spells(spark, d):
+    out = R.warm_spells(obs(spark, d), "wave_height_m", ["cell"], "time", 30, 0.5, 2, calendar=True)
+    return out.select("cell", F.col("day").cast("timestamp_ntz").alias("day"), "warm_spell")
+
+
+@query(f"""WITH {SUPPLIERS}, {CUSTOMERS}, n AS (SELECT s_suppkey + 5 AS k, s_name, lat, lon, CASE WHEN s_acctbal > 0 THEN lat + 0.5 END AS cell, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS elevation FROM s)
+SELECT CAST(coalesce(n.k, c.c_custkey) AS VARCHAR) AS port_id, coalesce(s_name, c_name) AS port_name, round(coalesce(plat, lat), 4) AS latitude, round(coalesce(cell, plat), 4) AS marine_latitude, round(coalesce(elevation, c_acctbal), 4) AS elevation_m, CAST(CASE WHEN c_custkey IS NULL THEN 2 ELSE 1 END AS BIGINT) AS added_at FROM c FULL JOIN n ON n.k = c.c_custkey""")
+def tracked_ports(spark, d):
+    """Customers as the ports tracked so far, suppliers as ports added to them."""
+    def port(df, key, name, added, cell, elevation):
+        null = lambda t: F.lit(None).cast(t)
+        return df.select(key.cast("string").alias("port_id"), F.col(name).alias("port_name"), F.lit("xx").alias("country_code"), null("string").alias("country_name"), "latitude", "longitude", cell.alias("marine_latitude"), cell.alias("marine_longitude"), elevation.alias("elevation_m"), F.lit(added).cast("long").alias("added_at"), null("long").alias("last_polled_at"), null("long").alias("backfilled_to"))
+
+    old = port(customers(spark, d), F.col("c_custkey"), "c_name", 1, F.col("latitude"), F.col("c_acctbal"))
+    new = port(suppliers(spark, d), F.col("s_suppkey") + 5, "s_name", 2, F.when(F.col("s_acctbal") > 0, F.col("latitude") + 0.5), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")))
+    return O.upsert_tracked_ports(old, new).select("port_id", "port_name", *r4("latitude", "marine_latitude", "elevation_m"), "added_at")

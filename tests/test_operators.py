@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.functions import scalar as S
 from saltmarsh.operators import observations as O
+from saltmarsh.operators import places as P
 from saltmarsh.operators import planning as L
 from saltmarsh.operators import series as R
 from saltmarsh.schema import MEASURES, SAVED
@@ -175,3 +176,44 @@ def test_listings(spark):
     assert L.preview(rows.orderBy("timestamp"), 2).collect()[1].v == "0.333"
     grid = L.grid_summary(spark.createDataFrame([(1.0, 2.0)], "latitude double, longitude double")).first()
     assert tuple(grid) == (1, 1.0, 1.0)
+
+
+def test_exact_nearest_over_pole_and_seam(spark):
+    points = {"seam": (0.2, 179.9), "pole": (89.9, 10.0), "far": (-60.0, 40.0), "on": (10.0, 10.0), "tie": (0.0, 0.0)}
+    places = [(1, 0.2, -179.9), (2, 0.2, 178.0), (3, 89.8, -170.0), (4, 88.0, 10.0), (5, 10.0, 10.0), (6, 10.0, 10.1), (7, 0.0, 1.0), (8, 0.0, -1.0), (9, 12.0, 170.0)]
+    km = lambda a, b: 2 * 6371.0088 * math.asin(min(1, math.sqrt(math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2)))
+    asked = spark.createDataFrame([(n, *v) for n, v in points.items()] + [("null", None, 1.0)], "k string, latitude double, longitude double")
+    held = spark.createDataFrame(places + [(10, None, None)], "p int, latitude double, longitude double")
+    for k in (1, 3, 20):
+        got = {(r.k, r.rank): r.place for r in P.exact_nearest_places(asked, held, "k", "p", k).collect()}
+        want = {}
+        for n, at in points.items():
+            for i, p in enumerate(sorted(places, key=lambda p: (round(km(at, p[1:]), 9), p[0]))[:k]):
+                want[n, i + 1] = p[0]
+        assert got == want
+    wrapped = {r.k: r.place for r in P.nearest_places(asked, held, "k", "p", wrap=True).collect()}
+    assert wrapped["seam"] == 1 and {r.k: r.place for r in P.nearest_places(asked, held, "k", "p").collect()}["seam"] == 2
+    cities = held.withColumn("population", F.col("p").cast("long") * 100)
+    assert {r.k: r.city_population for r in P.attach_city_population(asked, cities, "k", wrap=True).collect()}["seam"] == 100
+    assert {r.k: r.city_population for r in P.attach_city_population(asked, cities, "k").collect()}["seam"] is None
+
+
+def test_calendar_spells_end_at_missing_days(spark):
+    start = dt.datetime(2024, 1, 1, 6)
+    warm = {20, 21, 22, 23, 24, 30, 31, 32, 34, 35}  # day 33 is missing
+    rows = [("a", start + dt.timedelta(days=i, hours=h), 30.0 + i if i in warm else 20.0 - i * 0.001) for i in range(40) if i != 33 for h in (0, 6)]
+    df = spark.createDataFrame(rows, "cell string, time timestamp, sst double")
+    out = R.warm_spells(df, "sst", ["cell"], "time", 90, 0.9, 5, calendar=True).orderBy("day").collect()
+    assert len(out) == 40
+    assert [i for i, r in enumerate(out) if r.warm_spell] == [20, 21, 22, 23, 24]
+    by_row = R.warm_spells(R.daily_means(df, ["sst"], ["cell"]), "sst", ["cell"], "day").filter("warm_spell").collect()
+    assert {(r.day - start).days + 1 for r in by_row} == warm
+
+
+def test_tracked_ports_keep_what_they_know(spark):
+    cols = "port_id string, port_name string, country_code string, country_name string, latitude double, longitude double, marine_latitude double, marine_longitude double, elevation_m double, added_at long, last_polled_at long, backfilled_to long"
+    old = spark.createDataFrame([("a", "Old", "fr", None, 1.0, 2.0, 1.5, 2.5, None, 10, 20, None), ("b", "Kept", "de", "Germany", 3.0, 4.0, None, None, 7.0, 11, None, None)], cols)
+    new = spark.createDataFrame([("a", "New", "fr", "France", 9.0, 9.0, None, None, 3.0, 99, None, 5), ("c", "Added", "es", None, 5.0, 6.0, None, None, None, 12, None, None)], cols)
+    got = {r.port_id: tuple(r)[1:] for r in O.upsert_tracked_ports(old, new).collect()}
+    assert got == {"a": ("New", "fr", "France", 1.0, 2.0, 1.5, 2.5, 3.0, 10, 20, 5), "b": ("Kept", "de", "Germany", 3.0, 4.0, None, None, 7.0, 11, None, None), "c": ("Added", "es", None, 5.0, 6.0, None, None, None, 12, None, None)}
+    assert O.upsert_tracked_ports(old.limit(0), new).count() == 2 and O.upsert_tracked_ports(old, new.limit(0)).count() == 2
