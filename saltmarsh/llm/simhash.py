@@ -12,7 +12,7 @@ Two kinds of links: fingerprints of shingles within a few bits (near_duplicate_c
 texts whose sets of five-word shingles are alike (similar_components). For the latter one
 fingerprint would not do: at a similarity of 0.8 five-word fingerprints differ in some 10 of 64
 bits. Several fingerprints of the set of words, in which such texts differ by about 4 bits each,
-find the candidates with the same index, and a 256-bit sketch of the shingle set decides in the
+find the candidates with the same index, and a 512-bit sketch of the shingle set decides in the
 bucket.
 """
 
@@ -63,9 +63,18 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "do
     return rows.mapInArrow(compute, "doc_id long, fp long")
 
 
-#: Fingerprints of the word set, bits of the shingle sketch, and the slack of its estimate (1.3
-#: standard errors at a similarity of 0.8).
-FINGERPRINTS, SKETCH, SLACK = 10, 256, 0.05
+#: Fingerprints of the word set; rounds and bins of the shingle sketch, and the slack of its
+#: estimate (1.5 standard errors at a similarity of 0.8).
+FINGERPRINTS, ROUNDS, BINS, SLACK = 10, 16, 32, 0.04
+
+
+def remixed(h: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+    """An independent hash of every h for each round: (rounds, len(h))."""
+    with np.errstate(over="ignore"):
+        x = h + np.uint64(0x9E3779B97F4A7C15) * (rounds[:, None].astype(np.uint64) + np.uint64(1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def word_set_fingerprints(words: list[bytes], count: int = FINGERPRINTS) -> np.ndarray:
@@ -76,28 +85,29 @@ def word_set_fingerprints(words: list[bytes], count: int = FINGERPRINTS) -> np.n
         return out
     h = np.array([xxhash.xxh64_intdigest(w) for w in distinct], dtype=np.uint64)
     for k in range(count):
-        with np.errstate(over="ignore"):
-            x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
+        x = remixed(h, np.array([k]))[0]
         ones = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out[k] = np.packbits(2 * ones > len(x), bitorder="little").view("<u8")[0]
     return out
 
 
 def shingle_sketch(words: list[bytes], shingle: int = 5) -> bytes:
-    """One bit for each of 256 bins of the shingles' hashes: that of the bin's smallest, an empty
-    bin having its right neighbour's. Two sets agree in a bit with probability (1 + Jaccard) / 2."""
+    """ROUNDS times BINS bits: in each round the distinct shingles are hashed anew into the bins,
+    and a bin's bit is that of its smallest hash, an empty bin having its right neighbour's. Two sets
+    agree in a bit with probability (1 + Jaccard) / 2. Several rounds keep the bits of short texts,
+    which leave bins empty, independent."""
     if len(words) < shingle:
         codes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     else:
         codes = [xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(words[i:] for i in range(shingle)))]
-    h = np.sort(np.array(codes, dtype=np.uint64))
-    bins, first = np.unique(h >> np.uint64(56), return_index=True)
-    at = np.searchsorted(bins, np.arange(SKETCH, dtype=np.uint64))
-    bits = (h[first] & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits[at % len(bins)], bitorder="little").tobytes()
+    h = np.unique(np.array(codes, dtype=np.uint64))
+    edges = np.arange(BINS, dtype=np.uint64) * np.uint64((1 << 64) // BINS)
+    bits = np.empty((ROUNDS, BINS), dtype=np.uint8)
+    step = max(1, CHUNK // len(h))
+    for at in range(0, ROUNDS, step):
+        for r, x in enumerate(np.sort(remixed(h, np.arange(at, min(ROUNDS, at + step))), axis=1), at):
+            bits[r] = x[np.searchsorted(x, edges) % len(x)] & np.uint64(1)
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def gray_rank(code: Column) -> Column:
@@ -215,12 +225,12 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
     if "kind" not in fps.columns:
         fps = fps.withColumn("kind", F.lit(0))
     masks = block_masks(blocks or max_bits + 1, max_bits)
-    rows = fps.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks])))
-    rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).withColumn("gray", gray_rank(F.col("fp")))
+    rows = fps.withColumn("slot", F.explode(F.sequence(F.col("kind") * len(masks), F.col("kind") * len(masks) + len(masks) - 1))).drop("kind")
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("slot") % len(masks) + 1))
+    # Key and rank are worked out on either side of the shuffle rather than carried through it.
     # Signed order would put the upper half of the ranks first.
-    rows = rows.withColumn("gray", F.col("gray").bitwiseXOR(F.lit(-(1 << 63))))
-    columns = ["kind", "mask", "key", "fp", "rep", *["sketch"] * sketched]
-    rows = rows.repartition("kind", "mask", "key").sortWithinPartitions("kind", "mask", "key", "gray").select(*columns)
+    rows = rows.repartition("slot", key).withColumn("key", key).withColumn("gray", gray_rank(F.col("fp")).bitwiseXOR(F.lit(-(1 << 63))))
+    rows = rows.sortWithinPartitions("slot", "key", "gray").select("slot", "key", "fp", "rep", *["sketch"] * sketched)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -228,12 +238,12 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
 
         def solve(rows: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(rows), dtype=bool)
-            new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
+            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
             bucket = np.cumsum(new)
-            sketch = np.ascontiguousarray(rows[:, 5:]).view(np.uint64) if sketched else None
-            index = GrayIndex(bucket, np.ascontiguousarray(rows[:, 3]).view(np.uint64), max_bits, sketch, max_apart)
+            sketch = np.ascontiguousarray(rows[:, 4:]).view(np.uint64) if sketched else None
+            index = GrayIndex(bucket, np.ascontiguousarray(rows[:, 2]).view(np.uint64), max_bits, sketch, max_apart)
             label = index.search()
-            rep = rows[:, 4]
+            rep = rows[:, 3]
             low = rep[label]  # the smallest rep of each component
             np.minimum.at(low, label, rep)
             low = low[label]
@@ -241,14 +251,14 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
             return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(low[out])], ["a", "b"])
 
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]]
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]]
             if sketched and len(batch):
-                cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64).reshape(len(batch), -1))
+                cols.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64).reshape(len(batch), -1))
             held.append(np.column_stack(cols))
             size += len(held[-1])
             if size >= 100_000:
                 rows = np.concatenate(held)
-                last = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
+                last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
                 whole = last[-1] + 1 if len(last) else 0  # the last bucket may go on
                 if whole:
                     yield solve(rows[:whole])
@@ -302,7 +312,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     """One row per input row: doc_id, component_id (the smallest doc_id reachable by links).
 
     Texts are linked if their sketches put the Jaccard similarity of their sets of `shingle`-word
-    shingles at `similarity` or more, 1.3 standard errors allowed, and one of their word-set
+    shingles at `similarity` or more, 1.5 standard errors allowed, and one of their word-set
     fingerprints is within max_bits. Null, empty and short texts, ties and empty tables as in
     near_duplicate_components; texts without words are alike.
     """
@@ -317,7 +327,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     marks = staged(rows.mapInArrow(compute, "doc_id long, fps array<long>, sketch binary"), "sketches")
     distinct = staged(marks.groupBy("fps", "sketch").agg(F.min("doc_id").alias("rep")), "distinct_sketches")
     each = distinct.filter("rep is not null").select("rep", "sketch", F.posexplode("fps").alias("kind", "fp"))
-    max_apart = int(SKETCH * (1 - similarity + SLACK) / 2)
+    max_apart = int(ROUNDS * BINS * (1 - similarity + SLACK) / 2)
     roots = components(bucket_links(each, max_bits, blocks_for_size(distinct.count(), max_bits), max_apart))
     found = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fps", "sketch", F.coalesce("root", "rep").alias("component_id"))
     return marks.join(found, ["fps", "sketch"]).select("doc_id", "component_id")
