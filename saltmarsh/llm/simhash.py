@@ -135,7 +135,20 @@ def blocks_for_size(n: int, max_bits: int = MAX_BITS, bucket: int = 4096) -> int
 
 STEP = 4  # bits that a level of the index adds
 LEVELS = 64 // STEP
-PAIRS = 1 << 20
+PAIRS, MANY = 1 << 20, 1 << 14
+
+
+def crossed(na: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For counts na, nb: the places (k, i, j) with i < na[k], j < nb[k], about PAIRS at a time."""
+    total = na * nb
+    for part in np.split(np.arange(len(na)), np.flatnonzero(np.diff(np.cumsum(total) // PAIRS, prepend=0))):
+        if len(part) == 0:
+            continue
+        t = total[part]
+        at = np.repeat(np.arange(len(part)), t)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(t) - t, t)
+        width = nb[part][at]
+        yield part[at], k // width, k % width
 
 
 class GrayIndex:
@@ -159,6 +172,7 @@ class GrayIndex:
             self.none_of.append(~np.bitwise_or.reduceat(code, start))
         for upper, lower in zip(self.starts, self.starts[1:]):
             self.first_child.append(np.append(np.searchsorted(lower, upper), len(lower)))
+        self.leaf_size = np.diff(np.append(self.starts[LEVELS], len(code)))
 
     def root(self, i: np.ndarray) -> np.ndarray:
         while not np.array_equal(r := self.label[i], i):
@@ -174,37 +188,57 @@ class GrayIndex:
             i, j, a, b = i[open_], j[open_], a[open_], b[open_]
             np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
 
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Unites rows i and j, whose codes are near, where their sketches are near too."""
+        keep = self.label[i] != self.label[j]
+        i, j = i[keep], j[keep]
+        if self.sketch is not None:
+            keep = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64) <= self.max_apart
+            i, j = i[keep], j[keep]
+        self.union(i, j)
+
+    def link_leaves(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Compares the rows of leaves (rows of one code) a with those of b."""
+        start, size = self.starts[LEVELS], self.leaf_size
+        keep = np.bitwise_count(self.code[start[a]] ^ self.code[start[b]]) <= self.max_bits
+        keep &= ~(self.whole[a] & self.whole[b]) | (self.label[start[a]] != self.label[start[b]])
+        a, b = a[keep], b[keep]
+        if self.sketch is None:  # the rows of a leaf are linked already
+            self.link(start[a], start[b])
+            return
+        many = size[a] * size[b] > MANY
+        for x, y in zip(a[many], b[many]):
+            # Leaves of many rows are mostly one component: its own pairs are left out.
+            i, j = np.arange(start[x], start[x] + size[x]), np.arange(start[y], start[y] + size[y])
+            of_i, of_j = self.root(i), self.root(j)
+            names, count = np.unique(np.concatenate([of_i, of_j]), return_counts=True)
+            most = names[count.argmax()]
+            for p, q in ((i[of_i != most], j), (j[of_j != most], i)):
+                step = max(1, PAIRS // len(q))
+                for at in range(0, len(p), step):
+                    part = p[at : at + step]
+                    self.link(np.repeat(part, len(q)), np.tile(q, len(part)))
+        a, b = a[~many], b[~many]
+        for part, i, j in crossed(size[a], size[b]):
+            self.link(start[a[part]] + i, start[b[part]] + j)
+
     def search(self) -> np.ndarray:
         """Labels: the first member of each member's component."""
+        leaf = np.repeat(self.starts[LEVELS], self.leaf_size)
+        self.link(leaf, np.arange(len(leaf)))
+        # Leaves that are in one component.
+        self.whole = np.logical_and.reduceat(self.root(np.arange(len(leaf))) == leaf, self.starts[LEVELS])
         n = len(self.starts[0])
         work = [(0, np.arange(n), np.arange(n))]
         while work:
             level, a, b = work.pop()
             if level == LEVELS:
-                i, j = self.starts[level][a], self.starts[level][b]
-                keep = (i < j) & (np.bitwise_count(self.code[i] ^ self.code[j]) <= self.max_bits)
-                i, j = i[keep], j[keep]
-                if self.sketch is not None:
-                    keep = self.label[i] != self.label[j]
-                    i, j = i[keep], j[keep]
-                    keep = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64) <= self.max_apart
-                    i, j = i[keep], j[keep]
-                self.union(i, j)
+                self.link_leaves(a, b)
                 continue
             first = self.first_child[level]
-            na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
-            total = na * nb
-            # Slices of whole node pairs, each with about PAIRS pairs of children.
-            cut = np.flatnonzero(np.diff(np.cumsum(total) // PAIRS, prepend=0))
-            for part in np.split(np.arange(len(a)), cut):
-                if len(part) == 0:
-                    continue
-                t = total[part]
-                at = np.repeat(np.arange(len(part)), t)
-                k = np.arange(len(at)) - np.repeat(np.cumsum(t) - t, t)
-                pa_, pb_ = a[part][at], b[part][at]
-                width = nb[part][at]
-                x, y = first[pa_] + k // width, first[pb_] + k % width
+            for part, i, j in crossed(first[a + 1] - first[a], first[b + 1] - first[b]):
+                pa_, pb_ = a[part], b[part]
+                x, y = first[pa_] + i, first[pb_] + j
                 keep = (pa_ != pb_) | (x <= y)
                 x, y = x[keep], y[keep]
                 all_of, none_of = self.all_of[level + 1], self.none_of[level + 1]

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 from collections import defaultdict
 
 import duckdb
@@ -155,3 +156,28 @@ def test_near_drop_of_odd_rows(spark):
     ids = sorted(r.doc_id for r in left.filter("doc_id is not null").collect())
     assert 0 in ids and 1 not in ids and 6 not in ids and 11 not in ids
     assert simhash.drop_near_duplicates(empty_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("many", [1 << 14, 4])
+def test_index_compares_rows_of_equal_codes_by_their_sketches(many, monkeypatch):
+    """Words repeated in other orders have one fingerprint but differ in their shingles."""
+    monkeypatch.setattr(simhash, "MANY", many)
+    rng = random.Random(5)
+    codes = np.sort(np.array([rng.choice([0, 1, 3, 255, 1 << 40, (1 << 40) + 7]) for _ in range(300)], dtype=np.uint64))
+    bases = [[rng.getrandbits(64) for _ in range(2)] for _ in range(6)]
+    sketch = np.array([[w ^ (1 << rng.randrange(64)) for w in rng.choice(bases)] for _ in codes], dtype=np.uint64)
+    label = simhash.GrayIndex(np.zeros(len(codes)), codes, 3, sketch, 4).search()
+    root = list(range(len(codes)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(codes)):
+        for j in range(i):
+            if int(codes[i] ^ codes[j]).bit_count() <= 3 and sum(int(a ^ b).bit_count() for a, b in zip(sketch[i], sketch[j])) <= 4:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert label.tolist() == [find(i) for i in range(len(codes))]
+    assert len(set(label.tolist())) > 6
