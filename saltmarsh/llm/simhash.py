@@ -11,9 +11,9 @@ into components by alternating star contraction.
 Two kinds of links: fingerprints of shingles within a few bits (near_duplicate_components), and
 texts whose sets of five-word shingles are alike (similar_components). For the latter one
 fingerprint would not do: at a similarity of 0.8 five-word fingerprints differ in some 10 of 64
-bits. Several fingerprints of the set of words, in which such texts differ by about 4 bits each,
-find the candidates with the same index, and a 512-bit sketch of the shingle set decides in the
-bucket.
+bits. Codes of several min-hashes of the shingle set, of which such texts share one or more
+whatever part of them differs, find the candidates with the same index (at no bits apart), and a
+512-bit sketch of the shingle set decides in the bucket.
 """
 
 from __future__ import annotations
@@ -63,9 +63,10 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "do
     return rows.mapInArrow(compute, "doc_id long, fp long")
 
 
-#: Fingerprints of the word set; rounds and bins of the shingle sketch, and the slack of its
-#: estimate (1.5 standard errors at a similarity of 0.8).
-FINGERPRINTS, ROUNDS, BINS, SLACK = 10, 16, 32, 0.04
+#: Bands of min-hashes and min-hashes in each: at a similarity of 0.8 two texts share a band but for
+#: 1 in 2800 pairs. Rounds and bins of the shingle sketch, and the slack of its estimate (1.5 standard
+#: errors at a similarity of 0.8).
+BANDS, BAND_ROWS, ROUNDS, BINS, SLACK = 20, 5, 16, 32, 0.04
 
 
 def remixed(h: np.ndarray, rounds: np.ndarray) -> np.ndarray:
@@ -77,30 +78,33 @@ def remixed(h: np.ndarray, rounds: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_set_fingerprints(words: list[bytes], count: int = FINGERPRINTS) -> np.ndarray:
-    """`count` independent fingerprints of the set of distinct words; no words: zeros."""
-    out = np.zeros(count, dtype=np.uint64)
-    distinct = list(set(words))
-    if not distinct:
-        return out
-    h = np.array([xxhash.xxh64_intdigest(w) for w in distinct], dtype=np.uint64)
-    for k in range(count):
-        x = remixed(h, np.array([k]))[0]
-        ones = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > len(x), bitorder="little").view("<u8")[0]
-    return out
+MULTIPLIERS = remixed(np.array([SEED], dtype=np.uint64), np.arange(BANDS * BAND_ROWS))[:, 0] | np.uint64(1)
 
 
-def shingle_sketch(words: list[bytes], shingle: int = 5) -> bytes:
-    """ROUNDS times BINS bits: in each round the distinct shingles are hashed anew into the bins,
-    and a bin's bit is that of its smallest hash, an empty bin having its right neighbour's. Two sets
-    agree in a bit with probability (1 + Jaccard) / 2. Several rounds keep the bits of short texts,
-    which leave bins empty, independent."""
+def shingle_hashes(words: list[bytes], shingle: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of the shingles; fewer words than a shingle are one shingle."""
     if len(words) < shingle:
         codes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     else:
         codes = [xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(words[i:] for i in range(shingle)))]
-    h = np.unique(np.array(codes, dtype=np.uint64))
+    return np.unique(np.array(codes, dtype=np.uint64))
+
+
+def band_codes(h: np.ndarray) -> np.ndarray:
+    """BANDS codes of BAND_ROWS min-hashes each of a set of hashes: two sets share a code with
+    probability Jaccard ** BAND_ROWS, whichever way they differ."""
+    low = np.full(len(MULTIPLIERS), (1 << 64) - 1, dtype=np.uint64)
+    step = max(1, CHUNK // len(MULTIPLIERS))
+    for at in range(0, len(h), step):
+        low = np.minimum(low, (h[None, at : at + step] * MULTIPLIERS[:, None]).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), SEED) for band in low.reshape(BANDS, BAND_ROWS)], dtype=np.uint64)
+
+
+def shingle_sketch(h: np.ndarray) -> bytes:
+    """ROUNDS times BINS bits: in each round the distinct shingles are hashed anew into the bins,
+    and a bin's bit is that of its smallest hash, an empty bin having its right neighbour's. Two sets
+    agree in a bit with probability (1 + Jaccard) / 2. Several rounds keep the bits of short texts,
+    which leave bins empty, independent."""
     edges = np.arange(BINS, dtype=np.uint64) * np.uint64((1 << 64) // BINS)
     bits = np.empty((ROUNDS, BINS), dtype=np.uint8)
     step = max(1, CHUNK // len(h))
@@ -342,27 +346,27 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, max_bits:
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, component_id (the smallest doc_id reachable by links).
 
     Texts are linked if their sketches put the Jaccard similarity of their sets of `shingle`-word
-    shingles at `similarity` or more, 1.5 standard errors allowed, and one of their word-set
-    fingerprints is within max_bits. Null, empty and short texts, ties and empty tables as in
+    shingles at `similarity` or more, 1.5 standard errors allowed, and they share the code of one of
+    the bands of min-hashes. Null, empty and short texts, ties and empty tables as in
     near_duplicate_components; texts without words are alike.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [t.as_py().lower().split() for t in batch.column(1)]
-            fps = [word_set_fingerprints(w).view(np.int64).tolist() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array([shingle_sketch(w, shingle) for w in words], pa.binary())], ["doc_id", "fps", "sketch"])
+            sets = [shingle_hashes(t.as_py().lower().split(), shingle) for t in batch.column(1)]
+            fps = [band_codes(h).view(np.int64).tolist() for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array([shingle_sketch(h) for h in sets], pa.binary())], ["doc_id", "fps", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     marks = staged(rows.mapInArrow(compute, "doc_id long, fps array<long>, sketch binary"), "sketches")
     distinct = staged(marks.groupBy("fps", "sketch").agg(F.min("doc_id").alias("rep")), "distinct_sketches")
     each = distinct.filter("rep is not null").select("rep", "sketch", F.posexplode("fps").alias("kind", "fp"))
     max_apart = int(ROUNDS * BINS * (1 - similarity + SLACK) / 2)
-    roots = components(bucket_links(each, max_bits, blocks_for_size(distinct.count(), max_bits), max_apart))
+    roots = components(bucket_links(each, 0, 1, max_apart))
     found = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fps", "sketch", F.coalesce("root", "rep").alias("component_id"))
     return marks.join(found, ["fps", "sketch"]).select("doc_id", "component_id")
 

@@ -181,3 +181,27 @@ def test_index_compares_rows_of_equal_codes_by_their_sketches(many, monkeypatch)
                 root[max(a, b)] = min(a, b)
     assert label.tolist() == [find(i) for i in range(len(codes))]
     assert len(set(label.tolist())) > 6
+
+
+def cut_pairs(similarity, pairs=40, seed=11):
+    """Texts and their copies with a passage appended, inserted, or the end cut off."""
+    rng = random.Random(seed)
+    rows = []
+    for n in range(pairs):
+        words = [f"w{rng.randrange(40_000)}" for _ in range(300)]
+        extra = [f"w{rng.randrange(40_000)}" for _ in range(int(300 * (1 / similarity - 1)) - 3)]
+        at = rng.randrange(300)
+        other = [words + extra, words[:at] + extra + words[at:], words[: int(300 * similarity) + 3]][n % 3]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    return rows
+
+
+@pytest.mark.parametrize("similarity", [0.82, 0.85, 0.9])
+def test_copies_with_one_part_more_or_less_are_found(spark, similarity):
+    rows = cut_pairs(similarity)
+    sets = {i: shingles(t) for i, t in rows}
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    high = [i for i in range(0, len(rows), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    caught = sum(found[i] == found[i + 1] for i in high)
+    print(similarity, caught, len(high))
+    assert len(high) > 30 and caught >= 0.97 * len(high)
