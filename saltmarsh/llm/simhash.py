@@ -12,8 +12,9 @@ Two kinds of links: fingerprints of shingles within a few bits (near_duplicate_c
 texts whose sets of five-word shingles are alike (similar_components). For the latter one
 fingerprint would not do: at a similarity of 0.8 five-word fingerprints differ in some 10 of 64
 bits. Codes of several min-hashes of the shingle set, of which such texts share one or more
-whatever part of them differs, find the candidates with the same index (at no bits apart), and a
-512-bit sketch of the shingle set decides in the bucket.
+whatever part of them differs, find the candidates with the same index (at no bits apart), a
+512-bit sketch of the shingle set leaves out the unlike ones in the bucket, and the exact similarity
+of the hashed shingle sets decides on each link that is used.
 """
 
 from __future__ import annotations
@@ -64,9 +65,9 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "do
 
 
 #: Bands of min-hashes and min-hashes in each: at a similarity of 0.8 two texts share a band but for
-#: 1 in 2800 pairs. Rounds and bins of the shingle sketch, and the slack of its estimate (1.5 standard
-#: errors at a similarity of 0.8).
-BANDS, BAND_ROWS, ROUNDS, BINS, SLACK = 20, 5, 16, 32, 0.04
+#: 1 in 2800 pairs. Rounds and bins of the shingle sketch, and how far its estimate may be
+#: below the similarity for a pair to be looked at (nearly 4 standard errors at a similarity of 0.8).
+BANDS, BAND_ROWS, ROUNDS, BINS, SLACK = 20, 5, 16, 32, 0.1
 
 
 def remixed(h: np.ndarray, rounds: np.ndarray) -> np.ndarray:
@@ -158,10 +159,13 @@ def crossed(na: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
 class GrayIndex:
     """The hierarchical index over codes that are sorted by bucket, then by Gray rank."""
 
-    def __init__(self, bucket: np.ndarray, code: np.ndarray, max_bits: int, sketch: np.ndarray | None = None, max_apart: int = 0):
-        """sketch: (n, words) of uint64; links must be within max_apart of its bits as well."""
-        self.code, self.max_bits, self.sketch, self.max_apart = code, max_bits, sketch, max_apart
-        self.label = np.arange(len(code))
+    def __init__(self, bucket: np.ndarray, code: np.ndarray, max_bits: int, sketch: np.ndarray | None = None, max_apart: int = 0, doubtful: int | None = None, label: np.ndarray | None = None):
+        """sketch: (n, words) of uint64; links must be within max_apart of its bits as well. With
+        `doubtful`, rows up to so many bits apart are noted, too. label: the first row of each row's
+        component, if some are known."""
+        self.code, self.max_bits, self.sketch, self.max_apart, self.doubtful = code, max_bits, sketch, max_apart, doubtful
+        self.label = np.arange(len(code)) if label is None else label
+        self.forest, self.doubts, self.n_doubts = [], [], 0
         new_bucket = np.ones(len(code), dtype=bool)
         new_bucket[1:] = bucket[1:] != bucket[:-1]
         self.starts, self.all_of, self.none_of, self.first_child = [], [], [], []
@@ -190,16 +194,41 @@ class GrayIndex:
             if not open_.any():
                 return
             i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(self.label, high, low)
+            if self.doubtful is not None:  # the pair by which each root came under another
+                used = np.flatnonzero(self.label[high] == low)
+                used = used[np.unique(high[used], return_index=True)[1]]
+                self.forest.append((i[used], j[used]))
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
         """Unites rows i and j, whose codes are near, where their sketches are near too."""
         keep = self.label[i] != self.label[j]
         i, j = i[keep], j[keep]
         if self.sketch is not None:
-            keep = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64) <= self.max_apart
+            apart = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64)
+            if self.doubtful is not None:
+                doubt = (apart > self.max_apart) & (apart <= self.doubtful)
+                self.doubts.append((np.maximum(i[doubt], j[doubt]), np.minimum(i[doubt], j[doubt])))
+                self.n_doubts += int(doubt.sum())
+            keep = apart <= self.max_apart
             i, j = i[keep], j[keep]
         self.union(i, j)
+        if self.n_doubts > 4 * PAIRS:
+            self.open_doubts()
+
+    def open_doubts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The doubtful pairs of different components, each once."""
+        i, j = (np.concatenate(x) for x in zip(*self.doubts)) if self.doubts else (np.zeros(0, np.int64),) * 2
+        keep = self.root(i) != self.root(j)
+        pair = np.unique(i[keep] * len(self.code) + j[keep])
+        self.doubts, self.n_doubts = [(pair // len(self.code), pair % len(self.code))], 0
+        return self.doubts[0]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, whether of the forest): a forest of the links, and the doubtful pairs."""
+        parts = [*((*p, True) for p in self.forest), (*self.open_doubts(), False)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
 
     def link_leaves(self, a: np.ndarray, b: np.ndarray) -> None:
         """Compares the rows of leaves (rows of one code) a with those of b."""
@@ -253,13 +282,18 @@ class GrayIndex:
         return self.root(np.arange(len(self.code)))
 
 
-def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, max_apart: int = 0) -> DataFrame:
+def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, max_apart: int = 0, doubtful: int = 0) -> DataFrame:
     """fps: fp, rep -> links (a, b), a > b, between reps: a spanning forest per bucket.
 
     fps may have `kind`, an int (only fingerprints of one kind are compared), and `sketch`, a
-    binary of fixed length (only rows within max_apart bits of it are linked).
+    binary of fixed length (only rows within max_apart bits of it are linked). With a sketch each
+    link is a pair that was compared, and there is a third column, forest: false for pairs up to
+    `doubtful` bits apart that no links of their bucket connect; `known`, a long, then names the
+    components known before, within which nothing is compared.
     """
     sketched = "sketch" in fps.columns
+    if sketched and "known" not in fps.columns:
+        fps = fps.withColumn("known", F.col("rep"))
     if "kind" not in fps.columns:
         fps = fps.withColumn("kind", F.lit(0))
     masks = block_masks(blocks or max_bits + 1, max_bits)
@@ -268,7 +302,8 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
     # Key and rank are worked out on either side of the shuffle rather than carried through it.
     # Signed order would put the upper half of the ranks first.
     rows = rows.repartition("slot", key).withColumn("key", key).withColumn("gray", gray_rank(F.col("fp")).bitwiseXOR(F.lit(-(1 << 63))))
-    rows = rows.sortWithinPartitions("slot", "key", "gray").select("slot", "key", "fp", "rep", *["sketch"] * sketched)
+    rows = rows.sortWithinPartitions("slot", "key", "gray").select("slot", "key", "fp", "rep", *["known", "sketch"] * sketched)
+    names = ["a", "b", *["forest"] * sketched]
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -278,20 +313,25 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
             new = np.ones(len(rows), dtype=bool)
             new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
             bucket = np.cumsum(new)
-            sketch = np.ascontiguousarray(rows[:, 4:]).view(np.uint64) if sketched else None
-            index = GrayIndex(bucket, np.ascontiguousarray(rows[:, 2]).view(np.uint64), max_bits, sketch, max_apart)
-            label = index.search()
-            rep = rows[:, 3]
+            code, rep = np.ascontiguousarray(rows[:, 2]).view(np.uint64), rows[:, 3]
+            if sketched:
+                _, first, at = np.unique(np.column_stack([bucket, rows[:, 4]]), axis=0, return_index=True, return_inverse=True)
+                index = GrayIndex(bucket, code, max_bits, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), max_apart, doubtful, first[at.reshape(-1)])
+                index.search()
+                i, j, forest = index.pairs()
+                a, b = np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])
+                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(forest)], names)
+            label = GrayIndex(bucket, code, max_bits).search()
             low = rep[label]  # the smallest rep of each component
             np.minimum.at(low, label, rep)
             low = low[label]
             out = rep != low
-            return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(low[out])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(low[out])], names)
 
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]]
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[: 4 + sketched]]
             if sketched and len(batch):
-                cols.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64).reshape(len(batch), -1))
+                cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64).reshape(len(batch), -1))
             held.append(np.column_stack(cols))
             size += len(held[-1])
             if size >= 100_000:
@@ -304,7 +344,7 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
         if size:
             yield solve(np.concatenate(held))
 
-    return rows.mapInArrow(links, "a long, b long")
+    return rows.mapInArrow(links, "a long, b long, forest boolean" if sketched else "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -346,12 +386,32 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, max_bits:
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
+def judged_pairs(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """pairs: a, b, forest; rows: doc_id, text (binary) -> pairs, each once, + alike: whether the exact
+    Jaccard similarity of the hashed shingle sets is `similarity` or more."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py().lower().split(), shingle).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "grams"])
+
+    pairs = pairs.filter("a <> b").groupBy("a", "b").agg(F.max("forest").alias("forest"))
+    pairs = staged(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = staged(rows.join(ids, "doc_id", "left_semi").mapInArrow(compute, "id long, grams array<long>").distinct(), "shingle_sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = common >= similarity * (F.size("x") + F.size("y") - common)
+    # An id with several texts has several rows here.
+    return staged(both.select("a", "b", "forest", alike.alias("alike")).groupBy("a", "b").agg(F.max("forest").alias("forest"), F.max("alike").alias("alike")), "judged")
+
+
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, component_id (the smallest doc_id reachable by links).
 
-    Texts are linked if their sketches put the Jaccard similarity of their sets of `shingle`-word
-    shingles at `similarity` or more, 1.5 standard errors allowed, and they share the code of one of
-    the bands of min-hashes. Null, empty and short texts, ties and empty tables as in
+    Texts are linked if the Jaccard similarity of their sets of `shingle`-word shingles is `similarity`
+    or more; pairs are looked at that share the code of one of the bands of min-hashes and whose
+    sketches put it at `similarity` less SLACK or more. Null, empty and short texts, ties and empty tables as in
     near_duplicate_components; texts without words are alike.
     """
 
@@ -365,8 +425,18 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     marks = staged(rows.mapInArrow(compute, "doc_id long, fps array<long>, sketch binary"), "sketches")
     distinct = staged(marks.groupBy("fps", "sketch").agg(F.min("doc_id").alias("rep")), "distinct_sketches")
     each = distinct.filter("rep is not null").select("rep", "sketch", F.posexplode("fps").alias("kind", "fp"))
-    max_apart = int(ROUNDS * BINS * (1 - similarity + SLACK) / 2)
-    roots = components(bucket_links(each, 0, 1, max_apart))
+    near, doubtful = (int(ROUNDS * BINS * (1 - similarity + slack) / 2) for slack in (0, SLACK))
+    judged = judged_pairs(bucket_links(each, 0, 1, near, doubtful), rows, similarity, shingle)
+    roots = components(judged.filter("alike"))
+    if not judged.filter("forest and not alike").isEmpty():
+        # A link of a forest that is none may have stood in for others: where its forest has come
+        # apart, all pairs across the parts are looked at.
+        forests = components(judged.filter("forest"))
+        parts = staged(forests.withColumnRenamed("root", "tree").join(roots, "node", "left").select(F.col("node").alias("rep"), "tree", F.coalesce("root", "node").alias("known")), "parts")
+        apart = parts.groupBy("tree").agg(F.min("known").alias("p"), F.max("known").alias("q")).filter("p <> q").select("tree")
+        again = bucket_links(each.join(parts.join(apart, "tree", "left_semi").select("rep", "known"), "rep"), 0, 1, -1, doubtful)
+        more = judged_pairs(again.join(judged.select("a", "b"), ["a", "b"], "left_anti"), rows, similarity, shingle)
+        roots = components(roots.toDF("a", "b").unionByName(more.filter("alike").select("a", "b")))
     found = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fps", "sketch", F.coalesce("root", "rep").alias("component_id"))
     return marks.join(found, ["fps", "sketch"]).select("doc_id", "component_id")
 

@@ -205,3 +205,30 @@ def test_copies_with_one_part_more_or_less_are_found(spark, similarity):
     caught = sum(found[i] == found[i + 1] for i in high)
     print(similarity, caught, len(high))
     assert len(high) > 30 and caught >= 0.97 * len(high)
+
+
+def test_links_are_those_of_the_exact_similarity(spark):
+    """Components are those of all pairs at 0.8 or more, in groups of many copies near that bar too."""
+    rng = random.Random(3)
+    rows = []
+    for share in (0.02, 0.03, 0.045, 0.06):
+        base = [f"w{rng.randrange(40_000)}" for _ in range(200)]
+        for _ in range(30):
+            at = rng.randrange(150)
+            cut = int(400 * share * rng.random()) + 4
+            rows.append((len(rows), " ".join(base[:at] + [f"v{rng.randrange(40_000)}" for _ in range(cut)] + base[at + cut :])))
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({find(i) for i in root}) > 5
+    assert found == {i: find(i) for i in root}
