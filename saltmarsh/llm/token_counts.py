@@ -52,7 +52,7 @@ def revised(old: DataFrame, old_tokenizer: str, new: DataFrame, new_tokenizer: s
 
 
 class Rollup:
-    """Totals in a folder: one sub-folder per committed batch, compacted from time to time.
+    """Totals in a folder: one sub-folder per committed batch.
 
     A batch is written beside the others and renamed to its final name in one step; a batch whose
     final name exists was committed and is left alone. A crash before the rename leaves nothing
@@ -86,10 +86,11 @@ class Rollup:
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.countDistinct("batch").alias("n_batches"))
 
 
-def maintain_token_counts(docs: DataFrame, path: str, tokenizer_file: str | None = None) -> DataFrame:
+def maintain_token_counts(docs: DataFrame, path: str, tokenizer_file: str | None = None, restore: bool = False) -> DataFrame:
     """Loads docs (doc_id, text, lang, source) by word counts, revises them to BPE counts, deletes
-    copies of a text (all but the smallest doc_id), commits the revision a second time, and gives
-    the totals.
+    copies of a text (all but the smallest doc_id), with `restore` inserts them again in a later
+    batch, commits the revision a second time, and gives the totals: of the first of each text, or
+    with `restore` of all documents.
 
     Null source and language are groups of their own; null and empty texts count 0 tokens; rows
     repeated with one doc_id and text are kept once; an empty table gives no totals.
@@ -107,12 +108,16 @@ def maintain_token_counts(docs: DataFrame, path: str, tokenizer_file: str | None
     first = counts.groupBy("sha").agg(F.min(F.struct("doc_id", "source", "lang", "tokens")).alias("f")).select("f.*")
     gone = deleted(bpe, "byte_bpe_50k").unionByName(inserted(first, "byte_bpe_50k"))
     rollup.commit("drop_copies", gone)
+    if restore:
+        back = deleted(first, "byte_bpe_50k").unionByName(inserted(bpe, "byte_bpe_50k"))
+        rollup.commit("restore_copies", back)
     rollup.commit("revise", revision)
     return rollup.totals()
 
 
 def op1_delta_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals that cover every document; those by word counts come to nothing by the revision."""
     import uuid
 
     path = f"{shared_dir(spark)}/token_rollup-{uuid.uuid4().hex}"
-    return maintain_token_counts(table(spark, sf_dir, "documents"), path)
+    return maintain_token_counts(table(spark, sf_dir, "documents"), path, restore=True)

@@ -173,3 +173,13 @@ def test_collisions_are_settled(spark):
     got = pii.assign_surrogates(spark.createDataFrame(rows, "entity string"), "key", max_attempts=200).collect()
     new = {r.surrogate for r in got}
     assert len(got) == len(new) == 256 and not new & {r[0] for r in rows}
+
+
+def test_token_counts_cover_every_document(spark):
+    encode = packing.byte_bpe(packing.tokenizer_path())
+    want = defaultdict(lambda: [0, 0])
+    for r in documents(spark).collect():
+        want[r.source, r.lang][0] += 1
+        want[r.source, r.lang][1] += len(encode(r.text or ""))
+    got = token_counts.op1_delta_token_counts(spark, SF).collect()
+    assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in got if r.tokenizer == "byte_bpe_50k"} == dict(want)
