@@ -18,10 +18,13 @@ FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle",
 NEUTRAL = ("Dr", "Prof")
 _NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
 
+#: What letters and digits mixed follow if they are a secret.
+_AFTER = r"(?<=(?:[Kk]ey|KEY|[Tt]oken|TOKEN|[Ss]ecret|SECRET)[\"']?(?:\s{0,2}(?:[:=]|is)\s{0,2}|\s)[\"']?)"
+
 #: In order: the first that matches at a place counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9_-])(?:(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}|(?:sk|pk|ghp|AKIA)[-_]?[A-Za-z0-9_]{16,64})(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?:(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{32,128}|(?:sk|pk|ghp|AKIA)[-_]?[A-Za-z0-9_]{16,64}|(?=[A-Za-z0-9]{20})(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])" + _AFTER + r"[A-Za-z0-9]{20,128})(?![A-Za-z0-9_-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9-])",
@@ -34,7 +37,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 def entity_kind(entity: Column) -> Column:
     """The type of a found entity."""
-    kind = F.lit("person")
+    # A secret known by the word before it has no such word here; a person has a title and a space.
+    kind = F.when(entity.rlike("^[A-Za-z0-9]+$"), F.lit("secret")).otherwise(F.lit("person"))
     for name, pattern in reversed(list(PATTERNS.items())[:-1]):
         kind = F.when(entity.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
     return kind
@@ -71,8 +75,10 @@ def _scrambled(entity: Column, digest: Column) -> Column:
 
 
 def _hexed(entity: Column, digest: Column) -> Column:
-    """Hex digits for hex digits."""
-    return F.concat_ws("", F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), F.substring(digest, F.pmod(i * 5, F.lit(127)) + 1, F.lit(1))).otherwise(c)))
+    """Hex digits for hex digits, letters of each one's case; all of one case stay so."""
+    digit = lambda i: F.substring(digest, F.pmod(i * 5, F.lit(127)) + 1, F.lit(1))
+    made = F.concat_ws("", F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), digit(i)).when(c.rlike("^[A-F]$"), F.upper(digit(i))).otherwise(c)))
+    return F.when(entity.rlike("[A-F]") & ~entity.rlike("[a-f]"), F.upper(made)).otherwise(made)
 
 
 def _address(entity: Column, digest: Column) -> Column:
@@ -126,7 +132,7 @@ def surrogate(entity: Column, kind: Column, attempt: Column, key: str) -> Column
     """The attempt-th surrogate of an entity under the key."""
     digest = F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(half), attempt.cast("string"), kind, entity), 256) for half in ("a", "b")])
     out = _scrambled(entity, digest)
-    for name, make in (("person", _person), ("email", _email), ("secret", lambda e, d: F.when(e.rlike("^[0-9a-f]+$"), _hexed(e, d)).otherwise(_scrambled(e, d))), ("ip", _address), ("card", _card)):
+    for name, make in (("person", _person), ("email", _email), ("secret", lambda e, d: F.when(e.rlike("^[0-9A-Fa-f]{32,128}$"), _hexed(e, d)).otherwise(_scrambled(e, d))), ("ip", _address), ("card", _card)):
         out = F.when(kind == name, make(entity, digest)).otherwise(out)
     return out
 

@@ -183,3 +183,18 @@ def test_token_counts_cover_every_document(spark):
         want[r.source, r.lang][1] += len(encode(r.text or ""))
     got = token_counts.op1_delta_token_counts(spark, SF).collect()
     assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in got if r.tokenizer == "byte_bpe_50k"} == dict(want)
+
+
+def test_secrets_of_either_case_are_replaced(spark):
+    low = "9233a8ecf7c5" + "0b1d" * 5
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(low))
+    word = "Zq7Xv92LmPw3Rt8YkB5s"
+    texts = [f"token = {low}", f'TOKEN = "{low.upper()}"', f"id {mixed}.", f"api_key: {word}, and", f"a word {word} alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r.doc_id: r for r in pii.replace_personal_data(docs, "k").collect()}
+    assert [list(out[i].kinds) for i in range(5)] == [["secret"]] * 4 + [[]]
+    assert re.fullmatch(r"token = [0-9a-f]{32}", out[0].text) and low not in out[0].text
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{32}"', out[1].text) and low.upper() not in out[1].text
+    assert re.fullmatch(r"id [0-9A-Fa-f]{32}\.", out[2].text) and mixed not in out[2].text
+    assert re.fullmatch(r"api_key: [A-Z][a-z]\d[A-Z][a-z]\d\d[A-Z][a-z][A-Z][a-z]\d[A-Z][a-z]\d[A-Z][a-z][A-Z]\d[a-z], and", out[3].text) and word not in out[3].text
+    assert out[4].text == texts[4]
