@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,12 +26,50 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/saltmarsh"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+#: Tables written inside passing(), to be deleted at its end.
+_passing: list[list[DataFrame]] = []
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and return the written table: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """As written(); the table is deleted when passing() ends, if inside it."""
+    out = written(df, label)
+    if _passing:
+        _passing[-1].append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no plan reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Deletes the tables staged inside when it ends: what is to stay must have been written by then."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        discard(*_passing.pop())
+
+
+def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df written once with a number for each row, and the name of its column. Rows are told apart by
+    it, whatever their identifiers."""
+    row = fresh(df, "_row")
+    return staged(df.withColumn(row, F.monotonically_increasing_id()), label), row
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,10 +126,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def with_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
-    """Semi or anti join of docs with a table of ids (its one column), null matching null."""
-    other = fresh(docs, "_id")
-    ids = ids.toDF(other).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col(other)), how)

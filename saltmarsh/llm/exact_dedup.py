@@ -15,26 +15,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import ascii_lower, staged, table, text_of, with_ids
+from saltmarsh.llm.common import ascii_lower, numbered, staged, table, text_of
 
-RUNS = "doc_id long, sha string, run string, run_size long, run_id long, edge_text binary, edge boolean"
+RUNS = "doc_id long, row long, sha string, run string, run_size long, run_id long, run_row long, edge_text binary, edge boolean"
 
 
-def mark_exact_duplicates(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z. keep: "min" or "max", the identifier
-    that stays. A null text counts as empty, so all null and empty texts are one group. If several
-    rows carry the identifier that stays, all of them are marked kept (they can't be told apart).
-    Null identifiers are never chosen unless a group has no other; such a group keeps all its rows.
-    An empty table gives an empty result. Other columns are ignored.
-    """
+def _marked(rows: DataFrame, keep: str) -> DataFrame:
+    """rows: doc_id, row (a number of its own for each row), norm (binary) -> doc_id, row, keep_id,
+    group_size, kept, text_sha256."""
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
-    best = max if keep == "max" else min
+    sign = -1 if keep == "max" else 1
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by text; each run of equal texts is written when it ends.
@@ -42,60 +36,78 @@ def mark_exact_duplicates(docs: DataFrame, keep: str = "max", id_col: str = "doc
         Only the identifiers of the open run are held.
         """
         task = TaskContext.get().partitionId()
-        ids: list = []
+        members: list[tuple] = []
         text, sha, number = None, None, -1
         done: list[tuple] = []
 
         def close(edge: bool) -> None:
-            if not ids:
+            if not members:
                 return
-            known = [i for i in ids if i is not None]
-            done.append((list(ids), sha, f"{task}.{number}", best(known) if known else None, text if edge else None))
-            ids.clear()
+            best = min(members, key=lambda m: (m[0] is None, sign * (m[0] or 0), m[1]))
+            done.append((list(members), sha, f"{task}.{number}", *best, text if edge else None))
+            members.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if done:
                 n = [len(r[0]) for r in done]
-                spread = np.repeat(np.arange(len(done)), n)
+                spread = pa.array(np.repeat(np.arange(len(done)), n))
                 first = np.concatenate([[0], np.cumsum(n)[:-1]])
                 edges: list = [None] * int(sum(n))
                 for r, at in zip(done, first):
-                    edges[int(at)] = r[4]
-                col = lambda k, t: pa.array([r[k] for r in done], t).take(pa.array(spread))
+                    edges[int(at)] = r[5]
+                col = lambda k, t: pa.array([r[k] for r in done], t).take(spread)
+                each = lambda k: pa.array([m[k] for r in done for m in r[0]], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for r in done for i in r[0]], pa.int64()), col(1, pa.string()), col(2, pa.string()), pa.array(np.repeat(n, n), pa.int64()), col(3, pa.int64()), pa.array(edges, pa.binary()), pa.array([r[4] is not None for r in done], pa.bool_()).take(pa.array(spread))],
-                    ["doc_id", "sha", "run", "run_size", "run_id", "edge_text", "edge"],
+                    [each(0), each(1), col(1, pa.string()), col(2, pa.string()), pa.array(np.repeat(n, n), pa.int64()), col(3, pa.int64()), col(4, pa.int64()), pa.array(edges, pa.binary()), pa.array([r[5] is not None for r in done], pa.bool_()).take(spread)],
+                    ["doc_id", "row", "sha", "run", "run_size", "run_id", "run_row", "edge_text", "edge"],
                 )
                 done.clear()
 
         for batch in batches:
-            for doc_id, now, digest in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for doc_id, row, now, digest in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if now != text:
                     close(edge=number == 0)
                     text, sha, number = now, digest, number + 1
-                ids.append(doc_id)
+                members.append((doc_id, row))
             yield from flush()
         close(edge=True)
         yield from flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_lower(text_of(text_col)).cast("binary").alias("norm"))
     rows = rows.withColumn("sha", F.sha2("norm", 256)).withColumn("head", F.substring("norm", 1, 64))
     ordered = rows.repartitionByRange("head", "sha", "doc_id").sortWithinPartitions("head", "sha", "doc_id")
-    runs = staged(ordered.select("doc_id", "norm", "sha").mapInArrow(neighbours, RUNS), "exact_runs")
-    edge = runs.filter("edge and edge_text is not null").select("run", "run_size", "run_id", "edge_text")
-    pick = F.max if keep == "max" else F.min
-    whole = edge.groupBy("edge_text").agg(F.sum("run_size").alias("whole_size"), pick("run_id").alias("whole_id"))
-    whole = edge.select("run", "edge_text").join(whole, "edge_text").select("run", "whole_size", "whole_id")
-    inner = runs.filter("not edge").select("doc_id", "sha", F.col("run_size").alias("group_size"), F.col("run_id").alias("keep_id"))
-    outer = runs.filter("edge").join(whole, "run").select("doc_id", "sha", F.col("whole_size").alias("group_size"), F.col("whole_id").alias("keep_id"))
-    return inner.unionByName(outer).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    runs = staged(ordered.select("doc_id", "row", "norm", "sha").mapInArrow(neighbours, RUNS), "exact_runs")
+    edge = runs.filter("edge and edge_text is not null").select("run", "run_size", "run_id", "run_row", "edge_text")
+    best = F.min(F.struct(F.col("run_id").isNull(), sign * F.col("run_id"), "run_row", "run_id"))
+    whole = edge.groupBy("edge_text").agg(F.sum("run_size").alias("group_size"), best.alias("_best"))
+    whole = edge.select("run", "edge_text").join(whole, "edge_text").select("run", "group_size", F.col("_best.run_id").alias("keep_id"), F.col("_best.run_row").alias("keep_row"))
+    inner = runs.filter("not edge").select("doc_id", "row", "sha", F.col("run_size").alias("group_size"), F.col("run_id").alias("keep_id"), F.col("run_row").alias("keep_row"))
+    outer = runs.filter("edge").join(whole, "run").select("doc_id", "row", "sha", "group_size", "keep_id", "keep_row")
+    return inner.unionByName(outer).select("doc_id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def _normalised(docs: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), ascii_lower(text_of(text_col)).cast("binary").alias("norm"))
+
+
+def mark_exact_duplicates(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z. keep: "min" or "max", the identifier
+    that stays. Exactly one row of a group is marked kept, also if several carry the identifier
+    that stays. A null text counts as empty, so all null and empty texts are one group; texts may be
+    of any length. Null identifiers are chosen only if a group has no other. An empty table gives
+    an empty result. Other columns, of whatever names, are ignored.
+    """
+    return _marked(_normalised(docs, F.monotonically_increasing_id(), id_col, text_col), keep).drop("row")
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns as they are. Identifiers tell texts apart: rows that
-    share one stay or go together, and go if one of them is a copy of a row that stays."""
-    marked = mark_exact_duplicates(docs, keep, id_col, text_col)
-    return with_ids(docs, marked.filter("not kept").select("doc_id"), "left_anti", id_col)
+    """The rows of docs that stay, one for each text, all columns as they are; rows are told apart by
+    a number of their own, so that repeated rows leave one and rows that share an identifier but not
+    the text all stay. Otherwise as in mark_exact_duplicates."""
+    rows, row = numbered(docs, "exact_rows")
+    gone = _marked(_normalised(rows, F.col(row), id_col, text_col), keep).filter("not kept").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)
 
 
 def op7_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +115,7 @@ def op7_content_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL7 = """
-WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
-g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(d.norm) AS text_sha256
-FROM d JOIN g USING (norm)
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+ row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256 FROM d
 """

@@ -2,8 +2,11 @@
 
 Every document gets a vector of transformed statistics. Per language and source a minimum-
 covariance-determinant estimate of centre and scatter is fitted to all its documents by
-concentration steps from a coordinatewise median start; documents far away by Mahalanobis distance
-are rejected. Only DataFrame functions run on the data.
+concentration steps from several starts, until they settle; the least determinant counts. Documents
+far away by Mahalanobis distance are rejected. The estimates are regularised: centre and scatter are
+weighed against the medians and deviations of the language, which count as PRIOR documents more, so
+that groups of any size, one document too, have an estimate by the same rule. Only DataFrame
+functions run on the data.
 """
 
 from __future__ import annotations
@@ -11,16 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import WORD, staged, table, text_of, with_ids
+from saltmarsh.llm.common import WORD, discard, staged, table, text_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
-#: Share of a group's documents that the estimate is concentrated on, and the concentration steps.
-CORE, STEPS = 0.75, 4
-#: Groups with fewer documents are joined by language, then all together.
-MIN_GROUP = 100
+#: Share of a group's documents that the estimate is concentrated on; documents that the language
+#: counts as in a group's estimate; concentration steps at most, and the change of the log determinant
+#: from which on they go on.
+CORE, PRIOR, STEPS, SETTLED = 0.75, 10.0, 12, 1e-3
+#: Group tables of up to so many rows (of some 20 numbers) are sent to all tasks; larger ones are joined
+#: by a shuffle.
+SENT_GROUPS = 50_000
 #: Chi-square quantiles for 4 degrees of freedom. P(chi2(6) <= the 0.75
 #: quantile of chi2(4)), for the consistency factor of CORE; the 1 - 1e-7 quantile of chi2(4).
 CHI2_6_AT_CORE, CUTOFF = 0.504570, 38.239600
@@ -79,22 +85,34 @@ def statistic_vector() -> list[Column]:
     ]
 
 
-def _estimates(rows: DataFrame, scale: float) -> DataFrame:
-    """Centre and the Cholesky factor of the scatter (times scale, least deviations added) by group."""
-    x = [f"x{i}" for i in DIMS]
-    sums = [F.avg(c).alias(f"m{i}") for i, c in enumerate(x)] + [F.covar_pop(x[i], x[j]).alias(f"s{i}{j}") for i in DIMS for j in range(i + 1)]
-    out = rows.groupBy("grp").agg(*sums)
-    for i in DIMS:
-        out = out.withColumn(f"s{i}{i}", F.col(f"s{i}{i}") * scale + LEAST_SD[i] ** 2)
-        for j in range(i):
-            out = out.withColumn(f"s{i}{j}", F.col(f"s{i}{j}") * scale)
+def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with a written table of a row per group: sent to the rows if it is small, so that a
+    large group stays spread over its tasks."""
+    return rows.join(F.broadcast(groups) if groups.count() <= SENT_GROUPS else groups, keys)
+
+
+def _factor(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Centre (m) and scatter (s) -> centre, Cholesky factor (l) of the scatter and its log determinant."""
+    out = found
     for i in DIMS:
         for j in range(i + 1):
             rest = F.col(f"s{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(LEAST_SD[i] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("grp", *[f"m{i}" for i in DIMS], *[f"l{i}{j}" for i in DIMS for j in range(i + 1)])
+    log_det = sum((2 * F.ln(f"l{i}{i}") for i in DIMS[1:]), 2 * F.ln("l00"))
+    return out.select(*keys, *[f"m{i}" for i in DIMS], *[f"l{i}{j}" for i in DIMS for j in range(i + 1)], log_det.alias("log_det"))
+
+
+def _estimates(rows: DataFrame, prior: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """The regularised centre and scatter of the rows of each group. prior: a row per group."""
+    x = [f"x{i}" for i in DIMS]
+    sums = [F.avg(c).alias(f"a{i}") for i, c in enumerate(x)] + [F.covar_pop(x[i], x[j]).alias(f"c{i}{j}") for i in DIMS for j in range(i + 1)]
+    out = rows.groupBy(*keys).agg(*sums).join(prior, "grp")
+    own = F.col("n") / (F.col("n") + PRIOR)
+    centre = [(own * F.col(f"a{i}") + (1 - own) * F.col(f"p{i}")).alias(f"m{i}") for i in DIMS]
+    spread = [(own * scale * F.col(f"c{i}{j}") + ((1 - own) * F.col(f"t{i}") + LEAST_SD[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i in DIMS for j in range(i + 1)]
+    return _factor(out.select(*keys, *centre, *spread), keys)
 
 
 def _distance() -> Column:
@@ -108,64 +126,81 @@ def _distance() -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
+def _medians(rows: DataFrame, key: str) -> DataFrame:
+    """Coordinatewise medians p and squared deviations t (1.4826 times the median deviation) by key."""
+    mid = staged(rows.groupBy(key).agg(*[F.percentile_approx(f"x{i}", 0.5).alias(f"p{i}") for i in DIMS]), "medians")
+    spread = _with_groups(rows, mid, [key]).groupBy(key).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"p{i}")), 0.5).alias(f"d{i}") for i in DIMS])
+    return mid.join(spread, key).select(key, *[f"p{i}" for i in DIMS], *[F.pow(1.4826 * F.col(f"d{i}"), 2).alias(f"t{i}") for i in DIMS])
+
+
 def mcd_estimates(rows: DataFrame, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """rows: grp, x0..x3 (all documents) -> centre and scatter per group.
+    """rows: grp, lang, x0..x3 (all documents; a grp is of one lang) -> centre and scatter per group.
 
-    Starts from medians and absolute deviations; each step keeps the `core` nearest documents of
-    every group and estimates again from them, which never raises the determinant.
+    Four starts: the group's medians and deviations, those of its language, the moments of all its
+    documents and those of a third. Each step keeps the `core` nearest documents of every group and
+    start and estimates again from them; of the starts the one with the least determinant counts.
     """
-    # Written tables of a row per group are of known size: Spark sends them to the rows and never
-    # shuffles a large group to one place, or shuffles if there are too many groups for that.
-    medians = staged(rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5).alias(f"m{i}") for i in DIMS]), "mcd_medians")
-    near = rows.join(medians, "grp")
-    spread = near.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i in DIMS])
-    found = medians.join(spread, "grp").select("grp", *[f"m{i}" for i in DIMS], *[(F.greatest(1.4826 * F.col(f"a{i}"), F.lit(LEAST_SD[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in DIMS for j in range(i + 1)])
-    for step in range(steps):
-        found = staged(found, "mcd")
-        far = rows.join(found, "grp").withColumn("d2", _distance())
-        limits = staged(far.groupBy("grp").agg(F.percentile_approx("d2", core, 2000).alias("limit")), "mcd_limits")
-        inside = far.join(limits, "grp").filter("d2 <= limit")
-        found = _estimates(inside, core / CHI2_6_AT_CORE if step == steps - 1 else 1.0)
-    return staged(found, "mcd")
-
-
-def judge(docs: DataFrame, min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
+    keys, scale = ["grp", "start"], core / CHI2_6_AT_CORE
+    langs = _medians(rows, "lang")
+    sizes = rows.groupBy("grp").agg(F.max("lang").alias("lang"), F.count("*").alias("n"))
+    prior = staged(sizes.join(langs, "lang").drop("lang").repartition(1), "mcd_prior")
+    own = _medians(rows, "grp").join(prior.select("grp"), "grp")
+    starts = [
+        _factor(t.select("grp", F.lit(k).alias("start"), *[F.col(f"p{i}").alias(f"m{i}") for i in DIMS], *[(F.col(f"t{i}") + LEAST_SD[i] ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in DIMS for j in range(i + 1)]), keys)
+        for k, t in enumerate((own, prior))
+    ]
+    third = F.pmod(F.xxhash64(*[f"x{i}" for i in DIMS]), F.lit(3)) == 0
+    starts += [_estimates(r.withColumn("start", F.lit(k)), prior, keys, scale) for k, r in ((2, rows), (3, rows.filter(third)))]
+    found = starts[0]
+    for more in starts[1:]:
+        found = found.unionByName(more)
+    found = staged(found.repartition(1), "mcd")
+    for _ in range(steps):
+        far = _with_groups(rows, found, ["grp"]).withColumn("d2", _distance()).select("grp", "start", "d2", *[f"x{i}" for i in DIMS])
+        limits = staged(far.groupBy(*keys).agg(F.percentile_approx("d2", core, 2000).alias("limit")).repartition(1), "mcd_limits")
+        inside = _with_groups(far, limits, keys).filter("d2 <= limit")
+        now = staged(_estimates(inside, prior, keys, scale).repartition(1), "mcd")
+        change = now.join(found.select(*keys, F.col("log_det").alias("_was")), keys).agg(F.max(F.abs(F.col("log_det") - F.col("_was")))).first()[0]
+        discard(limits, found)
+        found = now
+        if change is None or change < SETTLED:
+            break
+    least = found.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("_least"))
+    best = found.join(least, "grp").filter("start = _least.start").drop("_least", "start", "log_det")
+    return staged(best.repartition(1), "mcd_best")
+
+
+def _judged(docs: DataFrame, carried: Column, cutoff: float) -> DataFrame:
+    """_doc (what is carried), the statistics and the verdict; one row per row."""
+    base = text_statistics(docs.select(carried.alias("_doc"), "text", "lang", "source")).drop("text")
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source"))
+    base = base.withColumn("base_failed", failed).withColumn("grp", F.concat_ws("\n", lang, source)).withColumn("lang", lang).drop("source")
+    stats = staged(base.select("*", *[x.alias(f"x{i}") for i, x in enumerate(statistic_vector())]), "quality_stats")
+    found = mcd_estimates(stats.filter("not base_failed").select("grp", "lang", *[f"x{i}" for i in DIMS]))
+    # Groups without an estimate have failed documents only.
+    judged = stats.join(F.broadcast(found) if found.count() <= SENT_GROUPS else found, "grp", "left").withColumn("distance2", _distance())
+    kept = ~F.col("base_failed") & (F.col("distance2") <= cutoff)
+    return judged.withColumn("kept", F.coalesce(kept, F.lit(False)))
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """docs: doc_id, text, lang, source -> one row per row with the statistics and the verdict.
 
     base_failed: under 20 words, or over 30% of the words in repeated 8-word windows. kept: not
     base_failed and within the cutoff of its group's estimate. Estimates are fitted to all documents
-    that pass the base rules. Null language or source is a value of its own. A (language, source)
-    with under min_group documents is judged with the others of its language, those that are still
-    too few with all such, and if even these are too few, the base rules alone decide. Null and
-    empty texts fail the base rules; ties and repeated rows get the same verdict; an empty table
-    gives an empty one.
+    that pass the base rules. Null language or source is a value of its own. Null and empty texts
+    fail the base rules; texts may be of any length; ties and repeated rows get the same verdict; an
+    empty table gives an empty one. Other columns, of whatever names, are ignored.
     """
-    base = text_statistics(docs.select("doc_id", "text", "lang", "source")).drop("text")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    base = base.withColumn("base_failed", failed)
-    stats = staged(base.select("*", *[x.alias(f"x{i}") for i, x in enumerate(statistic_vector())]), "quality_stats")
+    judged = _judged(docs, F.col("doc_id"), cutoff)
+    return judged.select(F.col("_doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
-    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source"))
-    keyed = stats.withColumn("_lang", lang).withColumn("_source", source)
-    fit = keyed.filter("not base_failed")
-    fine = fit.groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
-    fine = fine.withColumn("_own", F.col("_n") >= min_group)
-    coarse = fine.filter("not _own").groupBy("_lang").agg((F.sum("_n") >= min_group).alias("_by_lang"))
-    names = fine.join(coarse, "_lang", "left").withColumn("grp", F.when(F.col("_own"), F.concat_ws("\n", "_lang", "_source")).when(F.col("_by_lang"), F.col("_lang")).otherwise(F.lit("all")))
-    enough = names.groupBy("grp").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= min_group).select("grp")
-    names = staged(names.join(enough, "grp", "left_semi").select("_lang", "_source", "grp"), "quality_groups")
-
-    rows = keyed.join(names, ["_lang", "_source"], "left")
-    found = mcd_estimates(rows.filter("not base_failed and grp is not null").select("grp", *[f"x{i}" for i in DIMS]))
-    judged = rows.join(found, "grp", "left").withColumn("distance2", _distance())
-    kept = ~F.col("base_failed") & (F.col("distance2").isNull() | (F.col("distance2") <= cutoff))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance2")
-
-
-def keep_good(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs with a kept doc_id, all columns as they are. Rows that share a doc_id (a null
-    one too) stay or go together: they stay if one of them is kept."""
-    return with_ids(docs, judge(docs, **settings).filter("kept").select("doc_id"), "left_semi")
+
+def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The kept rows of docs, all columns as they are. Each row is judged by its own text, also if
+    others share its doc_id. Otherwise as judge."""
+    return _judged(docs, F.struct(*docs.columns), cutoff).filter("kept").select("_doc.*")
 
 
 def op8_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ texts whose sets of five-word shingles are alike (similar_components). For the l
 fingerprint would not do: at a similarity of 0.8 five-word fingerprints differ in some 10 of 64
 bits. Codes of several min-hashes of the shingle set, of which such texts share one or more
 whatever part of them differs, find the candidates with the same index (at no bits apart), a
-512-bit sketch of the shingle set leaves out the unlike ones in the bucket, and the exact similarity
-of the hashed shingle sets decides on each link that is used.
+512-bit sketch of the shingle set leaves out the unlike ones in the bucket. That gives trees of
+texts that may be alike; within each tree every link is decided by the exact similarity of the
+shingle sets.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import staged, table, text_of, with_ids
+from saltmarsh.llm.common import discard, numbered, staged, table, text_of
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 CHUNK = 1_000_000
@@ -68,6 +69,10 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "do
 #: 1 in 2800 pairs. Rounds and bins of the shingle sketch, and how far its estimate may be
 #: below the similarity for a pair to be looked at (nearly 4 standard errors at a similarity of 0.8).
 BANDS, BAND_ROWS, ROUNDS, BINS, SLACK = 20, 5, 16, 32, 0.1
+#: Rows of a bucket that one task compares; the rows of fuller buckets are candidates of each other
+#: unseen. Rows and shingles of a tree that one task compares; larger trees are compared block by
+#: block, this many rows of them (on average) in every block.
+BUCKET_ROWS, UNIT_ROWS, UNIT_SHINGLES, PIVOTS = 20_000, 2048, 4_000_000, 64
 
 
 def remixed(h: np.ndarray, rounds: np.ndarray) -> np.ndarray:
@@ -156,16 +161,30 @@ def crossed(na: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         yield part[at], k // width, k % width
 
 
+def roots(label: np.ndarray, i: np.ndarray) -> np.ndarray:
+    while not np.array_equal(r := label[i], i):
+        i = r
+    return i
+
+
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Puts the components of i[k] and j[k] together under the first of their rows."""
+    while True:
+        a, b = roots(label, i), roots(label, j)
+        open_ = a != b
+        if not open_.any():
+            return
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+
+
 class GrayIndex:
     """The hierarchical index over codes that are sorted by bucket, then by Gray rank."""
 
-    def __init__(self, bucket: np.ndarray, code: np.ndarray, max_bits: int, sketch: np.ndarray | None = None, max_apart: int = 0, doubtful: int | None = None, label: np.ndarray | None = None):
-        """sketch: (n, words) of uint64; links must be within max_apart of its bits as well. With
-        `doubtful`, rows up to so many bits apart are noted, too. label: the first row of each row's
-        component, if some are known."""
-        self.code, self.max_bits, self.sketch, self.max_apart, self.doubtful = code, max_bits, sketch, max_apart, doubtful
-        self.label = np.arange(len(code)) if label is None else label
-        self.forest, self.doubts, self.n_doubts = [], [], 0
+    def __init__(self, bucket: np.ndarray, code: np.ndarray, max_bits: int, sketch: np.ndarray | None = None, max_apart: int = 0):
+        """sketch: (n, words) of uint64; links must be within max_apart of its bits as well."""
+        self.code, self.max_bits, self.sketch, self.max_apart = code, max_bits, sketch, max_apart
+        self.label = np.arange(len(code))
         new_bucket = np.ones(len(code), dtype=bool)
         new_bucket[1:] = bucket[1:] != bucket[:-1]
         self.starts, self.all_of, self.none_of, self.first_child = [], [], [], []
@@ -183,52 +202,16 @@ class GrayIndex:
         self.leaf_size = np.diff(np.append(self.starts[LEVELS], len(code)))
 
     def root(self, i: np.ndarray) -> np.ndarray:
-        while not np.array_equal(r := self.label[i], i):
-            i = r
-        return i
-
-    def union(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            a, b = self.root(i), self.root(j)
-            open_ = a != b
-            if not open_.any():
-                return
-            i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-            high, low = np.maximum(a, b), np.minimum(a, b)
-            np.minimum.at(self.label, high, low)
-            if self.doubtful is not None:  # the pair by which each root came under another
-                used = np.flatnonzero(self.label[high] == low)
-                used = used[np.unique(high[used], return_index=True)[1]]
-                self.forest.append((i[used], j[used]))
+        return roots(self.label, i)
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
         """Unites rows i and j, whose codes are near, where their sketches are near too."""
         keep = self.label[i] != self.label[j]
         i, j = i[keep], j[keep]
         if self.sketch is not None:
-            apart = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64)
-            if self.doubtful is not None:
-                doubt = (apart > self.max_apart) & (apart <= self.doubtful)
-                self.doubts.append((np.maximum(i[doubt], j[doubt]), np.minimum(i[doubt], j[doubt])))
-                self.n_doubts += int(doubt.sum())
-            keep = apart <= self.max_apart
+            keep = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64) <= self.max_apart
             i, j = i[keep], j[keep]
-        self.union(i, j)
-        if self.n_doubts > 4 * PAIRS:
-            self.open_doubts()
-
-    def open_doubts(self) -> tuple[np.ndarray, np.ndarray]:
-        """The doubtful pairs of different components, each once."""
-        i, j = (np.concatenate(x) for x in zip(*self.doubts)) if self.doubts else (np.zeros(0, np.int64),) * 2
-        keep = self.root(i) != self.root(j)
-        pair = np.unique(i[keep] * len(self.code) + j[keep])
-        self.doubts, self.n_doubts = [(pair // len(self.code), pair % len(self.code))], 0
-        return self.doubts[0]
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(i, j, whether of the forest): a forest of the links, and the doubtful pairs."""
-        parts = [*((*p, True) for p in self.forest), (*self.open_doubts(), False)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
+        unite(self.label, i, j)
 
     def link_leaves(self, a: np.ndarray, b: np.ndarray) -> None:
         """Compares the rows of leaves (rows of one code) a with those of b."""
@@ -282,18 +265,13 @@ class GrayIndex:
         return self.root(np.arange(len(self.code)))
 
 
-def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, max_apart: int = 0, doubtful: int = 0) -> DataFrame:
+def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, max_apart: int = 0) -> DataFrame:
     """fps: fp, rep -> links (a, b), a > b, between reps: a spanning forest per bucket.
 
     fps may have `kind`, an int (only fingerprints of one kind are compared), and `sketch`, a
-    binary of fixed length (only rows within max_apart bits of it are linked). With a sketch each
-    link is a pair that was compared, and there is a third column, forest: false for pairs up to
-    `doubtful` bits apart that no links of their bucket connect; `known`, a long, then names the
-    components known before, within which nothing is compared.
+    binary of fixed length (only rows within max_apart bits of it are linked).
     """
     sketched = "sketch" in fps.columns
-    if sketched and "known" not in fps.columns:
-        fps = fps.withColumn("known", F.col("rep"))
     if "kind" not in fps.columns:
         fps = fps.withColumn("kind", F.lit(0))
     masks = block_masks(blocks or max_bits + 1, max_bits)
@@ -302,8 +280,7 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
     # Key and rank are worked out on either side of the shuffle rather than carried through it.
     # Signed order would put the upper half of the ranks first.
     rows = rows.repartition("slot", key).withColumn("key", key).withColumn("gray", gray_rank(F.col("fp")).bitwiseXOR(F.lit(-(1 << 63))))
-    rows = rows.sortWithinPartitions("slot", "key", "gray").select("slot", "key", "fp", "rep", *["known", "sketch"] * sketched)
-    names = ["a", "b", *["forest"] * sketched]
+    rows = rows.sortWithinPartitions("slot", "key", "gray").select("slot", "key", "fp", "rep", *["sketch"] * sketched)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -312,26 +289,19 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
         def solve(rows: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(rows), dtype=bool)
             new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-            bucket = np.cumsum(new)
             code, rep = np.ascontiguousarray(rows[:, 2]).view(np.uint64), rows[:, 3]
-            if sketched:
-                _, first, at = np.unique(np.column_stack([bucket, rows[:, 4]]), axis=0, return_index=True, return_inverse=True)
-                index = GrayIndex(bucket, code, max_bits, np.ascontiguousarray(rows[:, 5:]).view(np.uint64), max_apart, doubtful, first[at.reshape(-1)])
-                index.search()
-                i, j, forest = index.pairs()
-                a, b = np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])
-                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(forest)], names)
-            label = GrayIndex(bucket, code, max_bits).search()
+            sketch = np.ascontiguousarray(rows[:, 4:]).view(np.uint64) if sketched else None
+            label = GrayIndex(np.cumsum(new), code, max_bits, sketch, max_apart).search()
             low = rep[label]  # the smallest rep of each component
             np.minimum.at(low, label, rep)
             low = low[label]
             out = rep != low
-            return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(low[out])], names)
+            return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(low[out])], ["a", "b"])
 
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[: 4 + sketched]]
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]]
             if sketched and len(batch):
-                cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64).reshape(len(batch), -1))
+                cols.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64).reshape(len(batch), -1))
             held.append(np.column_stack(cols))
             size += len(held[-1])
             if size >= 100_000:
@@ -344,7 +314,7 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
         if size:
             yield solve(np.concatenate(held))
 
-    return rows.mapInArrow(links, "a long, b long, forest boolean" if sketched else "a long, b long")
+    return rows.mapInArrow(links, "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -353,20 +323,20 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps on tables in the shared folder; ends when a round
     changes nothing.
     """
-    edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    old = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = old.unionByName(old.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        edges = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        edges = staged(edges, "large_star")
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        small = edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        large = staged(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large_star")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = staged(small.filter("a <> b").distinct(), "small_star")
+        discard(old, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
+        seen, old = now, edges
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -379,72 +349,188 @@ def near_duplicate_components(docs: DataFrame, shingle: int = SHINGLE, max_bits:
     empty one. Other columns are ignored.
     """
     fps = staged(with_fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct_fps")
-    named = distinct.filter("rep is not null")
-    roots = components(bucket_links(named, max_bits, blocks or blocks_for_size(distinct.count(), max_bits)))
-    found = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(found, "fp").select("doc_id", "fp", "component_id")
+    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct_fps")
+    # A fingerprint stands for itself, so that those of rows without an identifier link others too.
+    links = bucket_links(distinct.select("fp", F.col("fp").alias("rep")), max_bits, blocks or blocks_for_size(distinct.count(), max_bits))
+    found = distinct.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    found = staged(found, "fp_roots")
+    names = found.groupBy("root").agg(F.min("low").alias("component_id"))
+    return fps.join(found.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the Jaccard similarity of the sorted sets i[k] and j[k] is `similarity` or more; i is sorted."""
+    common = np.empty(len(i), np.int64)
+    size = np.array([len(x) for x in sets])
+    edge = np.flatnonzero(np.diff(i, prepend=-1))
+    for at, to in zip(edge, np.append(edge[1:], len(i))):
+        x = sets[i[at]]
+        step = max(1, 4 * CHUNK // max(1, int(size[j[at:to]].max())))
+        for k in range(at, to, step):
+            others = j[k : min(to, k + step)]
+            y = np.concatenate([sets[o] for o in others])
+            hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+            common[k : k + len(others)] = np.add.reduceat(hit, np.cumsum(size[others]) - size[others], dtype=np.int64)
+    return common + 1e-9 >= similarity * (size[i] + size[j] - common)
+
+
+def exact_links(label: np.ndarray, side: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], similarity: float, max_apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between rows of different labels (and sides, but for side -1): pairs
+    within max_apart bits of the sketch, the nearest first, are compared by their sets unless links
+    found before connect them."""
+    m, made = len(sets), []
+    _, first, at = np.unique(label, return_index=True, return_inverse=True)
+    label = first[at.reshape(-1)]
+    near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, PAIRS // m)
+    for lo in range(0, m, step):
+        i, j = np.nonzero(np.arange(m)[None, :] > np.arange(lo, min(m, lo + step))[:, None])
+        i += lo
+        keep = (label[i] != label[j]) & ((side[i] < 0) | (side[i] != side[j]))
+        i, j = i[keep], j[keep]
+        apart = np.zeros(len(i), np.int16)
+        for word in range(sketch.shape[1]):
+            apart += np.bitwise_count(sketch[i, word] ^ sketch[j, word])
+        keep = apart <= max_apart
+        near.append((i[keep].astype(np.int32), j[keep].astype(np.int32), apart[keep]))
+    i, j, apart = (np.concatenate(x) for x in zip(*near))
+    order = np.argsort(apart, kind="stable")
+    i, j, at, width = i[order], j[order], 0, m
+    while at < len(i):
+        a, b = i[at : at + width].astype(np.int64), j[at : at + width].astype(np.int64)
+        at, width = at + width, min(2 * width, 16 * m)
+        keep = roots(label, a) != roots(label, b)
+        order = np.argsort(a[keep], kind="stable")
+        a, b = a[keep][order], b[keep][order]
+        if len(a):
+            yes = alike(sets, a, b, similarity)
+            made.append((a[yes], b[yes]))
+            unite(label, *made[-1])
+    return tuple(np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.int64),) * 2
+
+
+def tree_links(units: DataFrame, similarity: float, shingle: int, max_apart: int) -> DataFrame:
+    """units: unit (anything that sorts), rep, label, side, sketch, text (binary) -> links (a, b) between
+    reps of a unit, by the exact similarity of their shingle sets."""
+    rows = units.repartition("unit").sortWithinPartitions("unit").select("unit", "rep", "label", "side", "sketch", "text")
 
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
 
-def judged_pairs(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """pairs: a, b, forest; rows: doc_id, text (binary) -> pairs, each once, + alike: whether the exact
-    Jaccard similarity of the hashed shingle sets is `similarity` or more."""
+        def solve() -> pa.RecordBatch:
+            rep = np.array([r[0] for r in held])
+            sketch = np.frombuffer(b"".join(r[3] for r in held), np.uint64).reshape(len(held), -1)
+            sets = [shingle_hashes(r[4].lower().split(), shingle) for r in held]
+            i, j = exact_links(np.array([r[1] for r in held]), np.array([r[2] for r in held]), sketch, sets, similarity, max_apart)
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(rep[i], rep[j]))], ["a", "b"])
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t.as_py().lower().split(), shingle).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "grams"])
-
-    pairs = pairs.filter("a <> b").groupBy("a", "b").agg(F.max("forest").alias("forest"))
-    pairs = staged(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(rows.join(ids, "doc_id", "left_semi").mapInArrow(compute, "id long, grams array<long>").distinct(), "shingle_sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = common >= similarity * (F.size("x") + F.size("y") - common)
-    # An id with several texts has several rows here.
-    return staged(both.select("a", "b", "forest", alike.alias("alike")).groupBy("a", "b").agg(F.max("forest").alias("forest"), F.max("alike").alias("alike")), "judged")
-
+            for unit, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if unit != now and held:
+                    yield solve()
+                    held = []
+                now = unit
+                held.append(row)
+        if held:
+            yield solve()
+
+    return rows.mapInArrow(links, "a long, b long")
+
+
+def candidate_trees(each: DataFrame, max_apart: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """each: rep, sketch, kind, fp -> (rep, tree) for the rows that may be like others: texts of one
+    bucket within max_apart bits of the sketch are in one tree, and all texts of a bucket that is too
+    full for one task to compare."""
+    hot = staged(each.groupBy("kind", "fp").agg(F.count("*").alias("_n"), F.min("rep").alias("hub")).filter(F.col("_n") > bucket_rows).select("kind", "fp", "hub"), "hot_buckets")
+    if hot.isEmpty():
+        links = bucket_links(each, 0, 1, max_apart)
+    else:
+        stars = each.select("rep", "kind", "fp").join(hot, ["kind", "fp"]).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        links = bucket_links(each.join(hot, ["kind", "fp"], "left_anti"), 0, 1, max_apart).unionByName(stars)
+    found = components(links)
+    return found.select(F.col("node").alias("rep"), F.col("root").alias("tree")).unionByName(found.select(F.col("root").alias("rep"), F.col("root").alias("tree")).distinct())
 
-def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, component_id (the smallest doc_id reachable by links).
 
-    Texts are linked if the Jaccard similarity of their sets of `shingle`-word shingles is `similarity`
-    or more; pairs are looked at that share the code of one of the bands of min-hashes and whose
-    sketches put it at `similarity` less SLACK or more. Null, empty and short texts, ties and empty tables as in
-    near_duplicate_components; texts without words are alike.
-    """
+def _similar_rows(rows: DataFrame, similarity: float, shingle: int, unit_rows: int = UNIT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """rows: row, text (binary) -> (row, root) for all rows, root being the smallest row reachable."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py().lower().split(), shingle) for t in batch.column(1)]
             fps = [band_codes(h).view(np.int64).tolist() for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array([shingle_sketch(h) for h in sets], pa.binary())], ["doc_id", "fps", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array([shingle_sketch(h) for h in sets], pa.binary())], ["row", "n", "fps", "sketch"])
+
+    max_apart = int(ROUNDS * BINS * (1 - similarity + SLACK) / 2)
+    marks = staged(rows.mapInArrow(compute, "row long, n long, fps array<long>, sketch binary"), "sketches")
+    distinct = staged(marks.groupBy("fps", "sketch").agg(F.min("row").alias("rep"), F.max("n").alias("n")), "distinct_sketches")
+    each = distinct.select("rep", "sketch", F.posexplode("fps").alias("kind", "fp"))
+    trees = candidate_trees(each, max_apart, bucket_rows).join(distinct.select("rep", "n", "sketch"), "rep")
+    trees = staged(trees.join(rows.withColumnRenamed("row", "rep"), "rep"), "trees")
+
+    # A unit is what one task compares: a tree, or a block of a large one with the tree's pivots,
+    # which mostly connect the blocks.
+    size = trees.groupBy("tree").agg(F.count("*").alias("_rows"), F.sum("n").alias("_n"))
+    size = staged(size.select("tree", "_rows", F.ceil(F.greatest(F.col("_rows") / unit_rows, F.col("_n") / UNIT_SHINGLES)).cast("int").alias("_blocks")), "tree_sizes")
+    block = lambda blocks: F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    sized = trees.join(size, "tree")
+    pivot = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.col("_rows")) < PIVOTS
+    blocks = F.when(pivot & (F.col("_blocks") > 1), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array(block(F.col("_blocks"))))
+    units = sized.withColumn("_b", F.explode(blocks)).select(F.struct("tree", "_b").alias("unit"), "rep", F.col("rep").alias("label"), F.lit(-1).alias("side"), "sketch", "text")
+    found = staged(components(tree_links(units, similarity, shingle, max_apart)), "tree_roots")
+    large = staged(size.filter("_blocks > 1").select("tree"), "large_trees")
+    if not large.isEmpty():
+        # Blocks of a large tree across each other: rows of its main component need not meet again,
+        # so they meet only the others, and the others meet themselves.
+        known = trees.join(large, "tree").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
+        known = staged(known, "known_labels")
+        count = known.groupBy("tree", "label").agg(F.count("*").alias("_n"), F.sum("n").alias("_s"))
+        parts = count.groupBy("tree").agg(F.max(F.struct("_n", "_s", "label")).alias("_main"), F.sum("_n").alias("_rows"), F.sum("_s").alias("_all"))
+        per = lambda n, s: F.greatest(F.lit(1), F.ceil(F.greatest(2 * n / unit_rows, 2 * s / UNIT_SHINGLES))).cast("int")
+        parts = staged(parts.select("tree", F.col("_main.label").alias("_main"), per(F.col("_main._n"), F.col("_main._s")).alias("_mains"), per(F.col("_rows") - F.col("_main._n"), F.col("_all") - F.col("_main._s")).alias("_others")), "tree_parts")
+        known = known.join(parts, "tree").withColumn("_is_main", F.col("label") == F.col("_main"))
+        mine = F.when(F.col("_is_main"), block(F.col("_mains"))).otherwise(block(F.col("_others")))
+        others, mains = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("_others", "_mains"))
+        pair = lambda kind, a, b, side: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), side.cast("int").alias("side"))
+        at = F.col("_at")
+        to_others = F.transform(others, lambda o: pair("across", at, o, F.lit(0)))
+        to_mains = F.transform(mains, lambda g: pair("across", g, at, F.lit(1)))
+        among = F.transform(others, lambda o: pair("among", F.least(o, at), F.greatest(o, at), F.when(o == at, -1).otherwise((o < at).cast("int"))))
+        meets = F.when(F.col("_is_main"), to_others).otherwise(F.concat(to_mains, among))
+        again = known.withColumn("_at", mine).withColumn("_u", F.explode(meets))
+        # A block meets itself in one unit, in which no sides are told apart.
+        again = again.select(F.struct("tree", "_u.kind", "_u.a", "_u.b").alias("unit"), "rep", "label", F.col("_u.side").alias("side"), "sketch", "text")
+        links = tree_links(again, similarity, shingle, max_apart)
+        found = components(links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    roots_ = distinct.join(found, distinct["rep"] == found["node"], "left").select("fps", "sketch", F.coalesce("root", "rep").alias("root"))
+    return staged(marks.join(roots_, ["fps", "sketch"]).select("row", "root"), "row_roots")
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row per input row: doc_id, component_id (the smallest doc_id reachable by links).
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    marks = staged(rows.mapInArrow(compute, "doc_id long, fps array<long>, sketch binary"), "sketches")
-    distinct = staged(marks.groupBy("fps", "sketch").agg(F.min("doc_id").alias("rep")), "distinct_sketches")
-    each = distinct.filter("rep is not null").select("rep", "sketch", F.posexplode("fps").alias("kind", "fp"))
-    near, doubtful = (int(ROUNDS * BINS * (1 - similarity + slack) / 2) for slack in (0, SLACK))
-    judged = judged_pairs(bucket_links(each, 0, 1, near, doubtful), rows, similarity, shingle)
-    roots = components(judged.filter("alike"))
-    if not judged.filter("forest and not alike").isEmpty():
-        # A link of a forest that is none may have stood in for others: where its forest has come
-        # apart, all pairs across the parts are looked at.
-        forests = components(judged.filter("forest"))
-        parts = staged(forests.withColumnRenamed("root", "tree").join(roots, "node", "left").select(F.col("node").alias("rep"), "tree", F.coalesce("root", "node").alias("known")), "parts")
-        apart = parts.groupBy("tree").agg(F.min("known").alias("p"), F.max("known").alias("q")).filter("p <> q").select("tree")
-        again = bucket_links(each.join(parts.join(apart, "tree", "left_semi").select("rep", "known"), "rep"), 0, 1, -1, doubtful)
-        more = judged_pairs(again.join(judged.select("a", "b"), ["a", "b"], "left_anti"), rows, similarity, shingle)
-        roots = components(roots.toDF("a", "b").unionByName(more.filter("alike").select("a", "b")))
-    found = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fps", "sketch", F.coalesce("root", "rep").alias("component_id"))
-    return marks.join(found, ["fps", "sketch"]).select("doc_id", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The documents that stay: of each component of similar texts the one with the smallest id."""
-    found = similar_components(docs, similarity, shingle)
-    return with_ids(docs, found.filter("not doc_id <=> component_id").select("doc_id"), "left_anti")
+    Texts are linked if the Jaccard similarity of their sets of `shingle`-word shingles is
+    `similarity` or more; pairs are looked at that links or likely links lead from one to the other
+    (texts that share the code of a band of min-hashes and whose sketches put them at `similarity`
+    less SLACK or more). Rows are told apart by a number of their own: rows with a null id, or with
+    one id and several texts, link others like any other. Null, empty and short texts, ties and
+    empty tables as in near_duplicate_components; texts without words are alike.
+    """
+    rows, row = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text")), "similar_rows")
+    found = _similar_rows(rows.select(F.col(row).alias("row"), "text"), similarity, shingle, **settings)
+    found = staged(rows.select("doc_id", F.col(row).alias("row")).join(found, "row"), "similar")
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, **settings) -> DataFrame:
+    """The documents that stay, all columns as they are: of each component of similar texts the row
+    with the smallest doc_id (null ones last), exactly one. Otherwise as in similar_components."""
+    rows, row = numbered(docs, "near_rows")
+    found = _similar_rows(rows.select(F.col(row).alias("row"), text_of().cast("binary").alias("text")), similarity, shingle, **settings)
+    found = found.join(found.groupBy("root").agg(F.count("*").alias("_n")).filter("_n > 1").select("root"), "root")  # not those alone
+    found = staged(found.join(rows.select(F.col(row).alias("row"), F.col("doc_id").alias("_id")), "row"), "similar")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "row")).alias("_first")).select("root", F.col("_first.row").alias("_stays"))
+    gone = found.join(first, "root").filter("row <> _stays").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)
 
 
 def op6_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ def test_exact_duplicates_of_odd_rows(spark, keep, parts):
     want = []
     for t, ids in groups.items():
         best = (min if keep == "min" else max)([i for i in ids if i is not None], default=None)
-        want += [(i, best, len(ids), i == best, hashlib.sha256(t).hexdigest()) for i in ids]
+        ids.sort(key=lambda i: i != best)  # one row stays, the others go
+        want += [(i, best, len(ids), n == 0, hashlib.sha256(t).hexdigest()) for n, i in enumerate(ids)]
     got = exact_dedup.mark_exact_duplicates(odd_docs(spark, parts), keep).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
@@ -59,6 +60,12 @@ def test_exact_drop_and_empty(spark):
     assert len(texts) == len(set(texts)) == len({norm(r[1]) for r in odd_rows()})
 
 
+def test_exact_drop_tells_rows_apart_not_identifiers(spark):
+    rows = [(1, "same"), (2, "same"), (2, "only here"), (3, "twice"), (3, "twice"), (None, "Same"), (None, "no id"), (None, "no id")]
+    left = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, left.collect()), key=str) == [(1, "same"), (2, "only here"), (3, "twice"), (None, "no id")]
+
+
 def slow_fingerprint(text, k=3):
     w = norm(text).split()
     if not w:
@@ -92,6 +99,13 @@ def test_simhash_equals_brute_force(spark):
     assert got == want and len(set(roots)) < len(rows)
 
 
+def test_rows_without_identifiers_link_others(spark, monkeypatch):
+    codes = {"a": 0, "b": 7, "c": 63}
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs, *_: docs.select("doc_id", simhash.F.when(docs["text"] == "a", 0).when(docs["text"] == "b", 7).otherwise(63).cast("long").alias("fp")))
+    docs = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
+    assert {(r.doc_id, r.fp, r.component_id) for r in simhash.near_duplicate_components(docs).collect()} == {(1, codes["a"], 1), (None, codes["b"], 1), (2, codes["c"], 1)}
+
+
 def test_simhash_of_odd_rows(spark):
     got = simhash.near_duplicate_components(odd_docs(spark)).collect()
     assert len(got) == len(odd_rows())
@@ -207,8 +221,10 @@ def test_copies_with_one_part_more_or_less_are_found(spark, similarity):
     assert len(high) > 30 and caught >= 0.97 * len(high)
 
 
-def test_links_are_those_of_the_exact_similarity(spark):
-    """Components are those of all pairs at 0.8 or more, in groups of many copies near that bar too."""
+@pytest.mark.parametrize("settings", [{}, {"unit_rows": 6}, {"bucket_rows": 4}, {"unit_rows": 9, "bucket_rows": 3}])
+def test_links_are_those_of_the_exact_similarity(spark, settings):
+    """Components are those of all pairs at 0.8 or more, in groups of many copies near that bar too,
+    whatever is compared in one task."""
     rng = random.Random(3)
     rows = []
     for share in (0.02, 0.03, 0.045, 0.06):
@@ -217,7 +233,8 @@ def test_links_are_those_of_the_exact_similarity(spark):
             at = rng.randrange(150)
             cut = int(400 * share * rng.random()) + 4
             rows.append((len(rows), " ".join(base[:at] + [f"v{rng.randrange(40_000)}" for _ in range(cut)] + base[at + cut :])))
-    sets = {i: shingles(t) for i, t in rows}
+    rows = [(None if i == 7 else i, t) for i, t in rows]
+    sets = {i: shingles(t) for i, (_, t) in enumerate(rows)}
     root = {i: i for i in sets}
 
     def find(x):
@@ -229,6 +246,37 @@ def test_links_are_those_of_the_exact_similarity(spark):
         if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
             p, q = sorted((find(a), find(b)))
             root[q] = p
-    found = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), **settings).collect()}
     assert len({find(i) for i in root}) > 5
-    assert found == {i: find(i) for i in root}
+    assert found == {None if i == 7 else i: find(i) for i in root}
+
+
+def test_pairs_are_compared_exactly():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(1, 12)).astype(np.uint64)) for _ in range(40)]
+    i, j = (x.astype(np.int64) for x in np.nonzero(np.triu(np.ones((40, 40)), 1)))
+    want = [len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.8 for a, b in zip(i, j)]
+    assert simhash.alike(sets, i, j, 0.8).tolist() == want and any(want)
+
+
+def test_near_drop_on_sf01_drops_no_text_without_a_link(spark):
+    """Of a thousand documents: what goes is linked to what stays, by the exact similarity alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    inverted = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            inverted[g].append(i)
+    for a, b in {p for ids in inverted.values() for p in itertools.combinations(sorted(ids), 2)}:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    left = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert left == {i for i in sets if find(i) == i}
