@@ -1,14 +1,19 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both models are word bigram models with the same vocabulary, smoothing and pruning, fitted to the
-target documents and to all documents. A document's score is the mean over its tokens of the
-background's minus the target's log probability (the target's loss minus the background's): the
-lower, the more it is like the target.
+Both models are word bigram models with the same vocabulary, the same kept bigrams and the same
+smoothing, fitted to the target documents and to all documents. A document's score is the mean over
+its tokens of the background's minus the target's log probability (the target's loss minus the
+background's): the lower, the more it is like the target.
+
+P(w | h) = max(c(h, w) - D, 0) / c(h) + g(h) P(w), with g(h) such that the probabilities sum to 1 for
+every history h, and P(w) by add-alpha over the vocabulary and <unk>. The vocabulary is the words that
+occur MIN_COUNT times or more, a bigram is kept if it does, at every size of the corpus: counts are
+tables that grow with it. Each chunk of documents asks for its own n-grams only, by a join on the
+n-gram, and is scored where it meets the answers.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,27 +24,24 @@ from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import staged, table, text_of
 
-#: A word is in the vocabulary if it makes up this share of all tokens: at most 1 / VOCAB_SHARE words,
-#: whatever the corpus. All others are <unk>. A bigram has a probability of its own if it makes up
-#: BIGRAM_SHARE of either corpus: at most 2 / BIGRAM_SHARE. Others back off to the word.
-VOCAB_SHARE, BIGRAM_SHARE = 1e-5, 2e-6
-LAMBDA, ALPHA = 0.7, 0.1
-UNK, START = 1, 2
-FLUSH = 1 << 21
-#: Texts are scored and their bigrams counted together up to so many words (or one text).
-TOGETHER = 1 << 16
+#: Occurrences in all documents of a word of the vocabulary and of a kept bigram; what is taken from a
+#: bigram's count for words not seen after its history; what is added to a word's count.
+MIN_COUNT, DISCOUNT, ALPHA = 2, 0.75, 0.1
+#: Documents are counted and scored in chunks of 1 << CHUNK_BITS rows of a partition.
+CHUNK_BITS = 12
+#: Tokens that are counted together; texts are cut into words together up to so many words (or one text).
+FLUSH, TOGETHER = 1 << 21, 1 << 16
+#: The history of a text's first word.
+START = np.uint64(1 << 32)
 
 
-class WordIds:
-    """Words to places in a vocabulary and its 64-bit hashes; remembers the words seen of late."""
+class WordCodes:
+    """Words to 64-bit hashes; remembers the words seen of late."""
 
-    def __init__(self, known: np.ndarray, size: int = 500_000):
+    def __init__(self, size: int = 500_000):
         self.size, self.seen = size, {}
-        self.place = {h: i for i, h in enumerate(known.tolist())}
-        self.ids = np.append(known, UNK)
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        """Places in the vocabulary (its length for <unk>)."""
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         seen = self.seen
         if len(seen) > self.size:
             seen.clear()
@@ -47,24 +49,22 @@ class WordIds:
         if None in out:
             for i, w in enumerate(words):
                 if out[i] is None:
-                    h = xxhash.xxh64_intdigest(w) >> 1
-                    out[i] = seen[w] = self.place.get(h, len(self.place))
-        return np.array(out, dtype=np.int64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        return self.ids[self.places(words)]
+                    out[i] = seen[w] = xxhash.xxh64_intdigest(w)
+        return np.array(out, dtype=np.uint64)
 
 
-def bigram_keys(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 63-bit code for each word with the one before it; at the places `first`, where texts begin, with START."""
-    before = np.empty(len(ids), np.uint64)
-    before[1:] = ids[:-1]
+def bigram_codes(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each word and the one before it (START at the places `first`, where texts begin): the upper 32
+    bits of the history's code, which stand for it, and 32 mixed bits of both."""
+    before = np.empty(len(codes), np.uint64)
+    before[1:] = codes[:-1]
     before[first] = START
+    high = before & np.uint64(0xFFFFFFFF00000000)
     with np.errstate(over="ignore"):
-        mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        mixed = (high * np.uint64(0x9E3779B97F4A7C15)) ^ (codes * np.uint64(0xC2B2AE3D27D4EB4F))
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
+    return high | (mixed >> np.uint64(32))
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -90,144 +90,152 @@ def _firsts(sizes: np.ndarray) -> np.ndarray:
     return (np.cumsum(sizes) - sizes)[sizes > 0]
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """docs: text (binary) -> code, n: occurrences of each word in all of docs; reduced per partition first."""
-
-    def out(seen: Counter) -> pa.RecordBatch:
-        codes = [xxhash.xxh64_intdigest(w) >> 1 for w in seen]
-        return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(seen.values(), pa.int64())], ["code", "n"])
+def count_ngrams(docs: DataFrame) -> DataFrame:
+    """docs: chunk, target (boolean), text (binary) -> chunk, two (whether a bigram), code, n, t: how often
+    it occurs in the chunk, in all documents and in those of the target."""
+    names = ["chunk", "two", "code", "n", "t"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(_words(text.as_py()))
-                if len(seen) > FLUSH // 4:
-                    yield out(seen)
-                    seen.clear()
-        if seen:
-            yield out(seen)
-
-    return docs.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def count_bigrams(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
-    """docs: text (binary) -> code, n: occurrences of each bigram in all of docs; reduced per partition first."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, held, size = WordIds(vocab), [], 0
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def fold() -> None:
-            nonlocal codes, counts, held, size
-            all_codes, at = np.unique(np.concatenate([codes, *held]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, np.ones(size, np.int64)]), len(all_codes)).astype(np.int64)
-            codes, held, size = all_codes, [], 0
+        codes_of = WordCodes()
+        held, size, now = [], 0, None
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
-
-        for words, sizes in _together(text.as_py() for batch in batches for text in batch.column(0)):
-            if words:
-                held.append(bigram_keys(ids_of(words), _firsts(sizes)))
-                size += len(words)
-            if size >= FLUSH:
-                fold()
-                if len(codes) > 2 * FLUSH:
+            words, pairs, wanted = (np.concatenate(x) for x in zip(*held))
+            both, first, at = np.unique(pairs, return_index=True, return_inverse=True)
+            n, t = np.bincount(at, minlength=len(both)), np.bincount(at, wanted, len(both)).astype(np.int64)
+            ones, of = np.unique(words[first], return_inverse=True)
+            code = np.concatenate([ones, both]).view(np.int64)
+            sums = [np.concatenate([np.bincount(of, x, len(ones)).astype(np.int64), x]) for x in (n, t)]
+            two = np.arange(len(code)) >= len(ones)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), now)), pa.array(two), pa.array(code), *map(pa.array, sums)], names)
+
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            for part in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1):
+                if len(part) == 0:
+                    continue
+                if held and (chunk[part[0]] != now or size >= FLUSH):
                     yield out()
-                    codes, counts = codes[:0], counts[:0]
-        fold()
-        if len(codes):
+                    held, size = [], 0
+                now = chunk[part[0]]
+                rows = batch.slice(int(part[0]), len(part))
+                wanted, at = rows.column(1).to_numpy(zero_copy_only=False), 0
+                for words, sizes in _together(t.as_py() for t in rows.column(2)):
+                    if words:
+                        codes = codes_of(words)
+                        held.append((codes, bigram_codes(codes, _firsts(sizes)), np.repeat(wanted[at : at + len(sizes)], sizes)))
+                        size += len(words)
+                    at += len(sizes)
+        if held:
             yield out()
 
-    return docs.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _arrow(df: DataFrame) -> tuple[np.ndarray, ...]:
-    t = df.toArrow()
-    order = np.argsort(t.column("code").to_numpy())
-    return tuple(c.to_numpy()[order] for c in t.columns)
-
-
-class Model:
-    """Log probability differences per unigram and per kept bigram, as sorted arrays of bounded size."""
-
-    def __init__(self, vocab: np.ndarray, uni: np.ndarray, codes: np.ndarray, bi: np.ndarray, totals: np.ndarray):
-        """uni: (words + 1, 2) counts of the vocabulary and <unk>; bi: (codes, 2); totals: (2,)."""
-        self.vocab, self.codes = vocab, codes
-        n = np.maximum(totals, 1.0)
-        self.p_uni = (uni + ALPHA) / (n + ALPHA * len(uni))
-        self.p_bi = bi / n
-
-    def score(self, ids_of: WordIds, words: list[bytes], sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(texts, 2): the mean log probability a token under target and background, by interpolation;
-        NaN for texts without words. words: those of all texts on end."""
-        means = np.full((len(sizes), 2), np.nan)
-        if not words:
-            return means
-        first = _firsts(sizes)
-        at = ids_of.places(words)
-        p = self.p_uni[at]
-        code = bigram_keys(ids_of.ids[at], first)
-        found = np.searchsorted(self.codes, code)
-        found[found == len(self.codes)] = 0
-        hit = np.flatnonzero(self.codes[found] == code) if len(self.codes) else np.zeros(0, np.int64)
-        history = np.empty_like(p)
-        history[1:] = p[:-1]
-        history[first] = starts
-        q = p.copy()
-        q[hit] = LAMBDA * np.minimum(self.p_bi[found[hit]] / history[hit], 1.0) + (1 - LAMBDA) * p[hit]
-        means[sizes > 0] = np.add.reduceat(np.log(q), first) / sizes[sizes > 0, None]
-        return means
-
-
-def fit(docs: DataFrame, target: DataFrame, vocab_share: float = VOCAB_SHARE, bigram_share: float = BIGRAM_SHARE) -> tuple[Model, np.ndarray]:
-    """docs, target: text (binary). Counts cover all of both; what is kept is bounded by the shares."""
-    words = [staged(count_words(d), "words") for d in (target, docs)]
-    totals = np.array([w.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0] for w in words], dtype=float)
-    both = words[1].filter(F.col("n") >= max(2.0, vocab_share * totals[1])).join(words[0].withColumnRenamed("n", "t"), "code", "left")
-    vocab, background, wanted = _arrow(both.select("code", "n", F.coalesce("t", F.lit(0)).cast("long").alias("t")))
-    uni = np.column_stack([wanted, background]).astype(float)
-    uni = np.vstack([uni, totals - uni.sum(0)])
-    pairs = [staged(count_bigrams(d, vocab), "bigrams") for d in (target, docs)]
-    named = pairs[1].withColumnRenamed("n", "b").join(pairs[0].withColumnRenamed("n", "t"), "code", "left").withColumn("t", F.coalesce("t", F.lit(0)).cast("long"))
-    often = (F.col("b") >= max(2.0, bigram_share * totals[1])) | (F.col("t") >= max(2.0, bigram_share * totals[0]))
-    codes, b, t = _arrow(named.filter(often).select("code", "b", "t"))
-    texts = np.array([target.count(), docs.count()], dtype=float)
-    return Model(vocab, uni, codes, np.column_stack([t, b]).astype(float), totals), np.maximum(texts, 1.0) / np.maximum(totals, 1.0)
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    return docs.select("chunk", "target", "text").mapInArrow(count, "chunk long, two boolean, code long, n long, t long")
+
+
+def fit(counts: DataFrame, texts: tuple[int, int], min_count: int = MIN_COUNT) -> tuple[DataFrame, dict]:
+    """counts as by count_ngrams; texts: how many texts with words there are, in all and in the target ->
+    (model, whole): two, code, n, t and for words c_n, c_t (the history's counts), s_n, s_t (the discounted
+    counts of the kept bigrams after it); totals of the corpus and the history START."""
+    whole = counts.groupBy("two", "code").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    whole = staged(whole, "ngrams")
+    kept = whole.filter(F.col("n") >= min_count)
+    history = F.shiftright("code", 32)
+    after = lambda c: F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)))
+    follow = staged(kept.filter("two").groupBy(history.alias("h")).agg(after("n").alias("s_n"), after("t").alias("s_t")), "follow")
+    words = kept.filter("not two")
+    own = words.groupBy(history.alias("h")).agg(F.sum("n").alias("c_n"), F.sum("t").alias("c_t"))
+    own = own.join(follow, "h", "left")
+    words = words.withColumn("h", history).join(own, "h").drop("h")
+    model = words.unionByName(kept.filter("two"), allowMissingColumns=True)
+    sums = whole.filter("not two").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n", "t")]).first()
+    seen = words.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n", "t")]).first()
+    begin = follow.filter(F.col("h") == F.lit(int(START) >> 32)).first()
+    return model, {
+        "total": np.array([sums.n, sums.t], float), "known": np.array([seen.n, seen.t], float), "size": seen.v + 1,
+        "start_c": np.array(texts, float), "start_s": np.array([begin.s_n, begin.s_t] if begin else [0.0, 0.0]),
+    }
+
+
+def word_probability(count: np.ndarray, whole: dict) -> np.ndarray:
+    """P(w) from the counts (words, 2) in all documents and the target."""
+    return (count + ALPHA) / (whole["total"] + ALPHA * whole["size"])
+
+
+def probabilities(word: np.ndarray, before: np.ndarray, pair: np.ndarray, rows: dict, whole: dict) -> np.ndarray:
+    """(tokens, 2): P(word | history) under the background and the target.
+
+    word: places in rows["n"] (the last row is <unk>); before: places of the histories (the last but
+    one is START); pair: counts (tokens, 2) of the bigrams, 0 where none is kept.
+    """
+    p = word_probability(rows["n"], whole)[word]
+    c, s = rows["c"][before], rows["s"][before]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.where(c > 0, np.maximum(pair - DISCOUNT, 0.0) / c, 0.0)
+        rest = np.where(c > 0, np.maximum(1.0 - s / c, 0.0), 1.0)
+    return own + rest * p
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """docs: doc_id, text; target_ids: doc_id of the target's documents -> doc_id, n_tokens,
     target_loss, background_loss, score. One row per row of docs.
 
     Words are runs between ASCII spaces, A-Z lower-cased. Null, empty and wordless texts have 0
-    tokens, null losses and a null score. Ties and repeated rows score alike. Without a target
-    document the target model is uniform. An empty table gives an empty one.
+    tokens, null losses and a null score; texts may be of any length. Ties and repeated rows score
+    alike. A null doc_id is in no target. Without a target document the target model is uniform. An
+    empty table gives an empty one. Other columns, of whatever names, are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
-    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id"))
-    target = staged(rows.join(ids.hint("merge"), "doc_id", "left_semi").select("text"), "lm_target")  # ids grow with the corpus: never broadcast
-    model, starts = fit(rows.select("text"), target)
-    shared = docs.sparkSession.sparkContext.broadcast((model, starts))  # bounded by the shares
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, s = shared.value
-        ids_of = WordIds(m.vocab)
-        for batch in batches:
-            sizes, means = [], []
-            for words, n in _together(text.as_py() for text in batch.column(1)):
-                sizes.append(n)
-                means.append(m.score(ids_of, words, n, s))
-            if not sizes:
-                continue
-            loss = -np.concatenate(means)
-            none = np.isnan(loss[:, 0])
-            values = (loss[:, 0], loss[:, 1], loss[:, 0] - loss[:, 1])
-            cols = [batch.column(0), pa.array(np.concatenate(sizes)), *[pa.array(v, pa.float64(), mask=none) for v in values]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
+    rows = rows.join(ids.hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))  # ids grow with the corpus: never broadcast
+    # Rows of equal doc_id (nulls) may be many: chunks are of rows as they come to a task.
+    rows = staged(rows.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "lm_chunks")
+    has = F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]")
+    texts = rows.agg(F.count_if(has).alias("n"), F.count_if(has & F.col("target")).alias("t")).first()
+    counts = staged(count_ngrams(rows), "lm_counts")
+    model, whole = fit(counts, (texts.n, texts.t), min_count)
+    asked = counts.select("chunk", "two", "code").join(model.hint("merge"), ["two", "code"])
+
+    def score(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
+        two = known.column("two").to_numpy()
+        code = known.column("code").to_numpy().view(np.uint64)
+        columns = {c: known.column(c).cast(pa.float64()).to_numpy() for c in ("n", "t", "c_n", "c_t", "s_n", "s_t")}
+
+        def part(which: np.ndarray) -> tuple[np.ndarray, dict]:
+            found, at = np.unique(code[which], return_index=True)
+            return found, {c: v[which][at] for c, v in columns.items()}
+
+        words, w = part(~two)
+        pairs, b = part(two)
+        two_of = lambda x, a, z, *more: np.vstack([np.column_stack([np.nan_to_num(x[a]), np.nan_to_num(x[z])]), *more])
+        start, none = np.zeros((1, 2)), np.zeros((1, 2))
+        table_ = {"n": two_of(w, "n", "t", start, whole["total"] - whole["known"]), "c": two_of(w, "c_n", "c_t", whole["start_c"], none), "s": two_of(w, "s_n", "s_t", whole["start_s"], none)}
+        pair_counts = two_of(b, "n", "t", none)
+        codes_of, sizes, means = WordCodes(), [], []
+
+        def places(of: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
+            at = np.searchsorted(of, wanted)
+            at[at == len(of)] = 0
+            return np.where(of[at] == wanted, at, missing) if len(of) else np.full(len(wanted), missing)
+
+        for text, n in _together(t.as_py() for t in texts.column("text")):
+            mean = np.full((len(n), 2), np.nan)
+            if text:
+                codes, first = codes_of(text), _firsts(n)
+                word = places(words, codes, len(words) + 1)
+                before = np.empty_like(word)
+                before[1:] = word[:-1]
+                before[first] = len(words)
+                pair = pair_counts[places(pairs, bigram_codes(codes, first), len(pairs))]
+                mean[n > 0] = np.add.reduceat(np.log(probabilities(word, before, pair, table_, whole)), first) / n[n > 0, None]
+            sizes.append(n)
+            means.append(mean)
+        loss = -np.concatenate(means)
+        none_ = np.isnan(loss[:, 0])
+        values = (loss[:, 1], loss[:, 0], loss[:, 1] - loss[:, 0])
+        return pa.table([texts.column("doc_id"), pa.array(np.concatenate(sizes)), *[pa.array(v, pa.float64(), mask=none_) for v in values]], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    chunks = rows.select("chunk", "doc_id", "text").groupBy("chunk")
+    return chunks.cogroup(asked.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

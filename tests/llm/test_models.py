@@ -73,47 +73,67 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(empty_docs(spark), *toxicity.train(empty_docs(spark), labels)).count() == 0
 
 
-def slow_scores(docs, good):
-    """The same models with dictionaries."""
+def slow_models(docs, good):
+    """Vocabulary and P(word | history) of the target and the background, with dictionaries."""
     words = {i: (t or "").encode().lower().split() for i, t in docs.items()}
-    parts = [{i: w for i, w in words.items() if i in good}, words]
-    uni = [Counter(w for ws in p.values() for w in ws) for p in parts]
-    total = [sum(c.values()) for c in uni]
-    vocab = {w for w, n in uni[1].items() if n >= max(2.0, lm_scoring.VOCAB_SHARE * total[1])}
+    often = Counter(w for ws in words.values() for w in ws)
+    vocab = {w for w, n in often.items() if n >= lm_scoring.MIN_COUNT}
     cut = {i: ["<s>", *[w if w in vocab else "<unk>" for w in ws]] for i, ws in words.items()}
-    count = [Counter(), Counter()]
-    pair = [Counter(), Counter()]
-    for k in (0, 1):
-        for i in parts[k]:
-            count[k].update(cut[i][1:])
-            pair[k].update(zip(cut[i], cut[i][1:]))
-    kept = {b for b in pair[1] if pair[1][b] >= max(2.0, lm_scoring.BIGRAM_SHARE * total[1]) or pair[0][b] >= max(2.0, lm_scoring.BIGRAM_SHARE * total[0])}
-    a, lam = lm_scoring.ALPHA, lm_scoring.LAMBDA
-    size = len(vocab) + 1
-    out = {}
-    for i, ws in cut.items():
-        loss = []
-        for k in (0, 1):
-            p = lambda w: (count[k][w] + a) / (total[k] + a * size)  # noqa: B023, E731
-            logs = []
-            for x, y in zip(ws, ws[1:]):
-                before = len(parts[k]) / total[k] if x == "<s>" else p(x)
-                q = p(y)
-                if (x, y) in kept:
-                    q = lam * min(pair[k][x, y] / total[k] / before, 1.0) + (1 - lam) * q
-                logs.append(np.log(q))
-            loss.append(-np.mean(logs) if logs else None)
-        out[i] = None if loss[0] is None else loss[0] - loss[1]
-    return out
+    pairs = Counter(p for ws in words.values() for p in zip(["<s>", *ws], ws))
+    kept = {p for p, n in pairs.items() if n >= lm_scoring.MIN_COUNT}
+    models = []
+    for ids in (good, docs):
+        count, pair, after = Counter(), Counter(), Counter()
+        for i in ids:
+            count.update(cut[i][1:])
+            count["<s>"] += len(cut[i]) > 1
+            pair.update(zip(cut[i], cut[i][1:]))
+        for (h, w), n in pair.items():
+            after[h] += max(n - lm_scoring.DISCOUNT, 0) if (h, w) in kept else 0
+        total = sum(n for w, n in count.items() if w != "<s>")
+
+        def p(h, w, count=count, pair=pair, after=after, total=total):
+            one = (count[w] + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * (len(vocab) + 1))
+            if h == "<unk>" or not count[h]:
+                return one
+            own = max(pair[h, w] - lm_scoring.DISCOUNT, 0) / count[h] if (h, w) in kept else 0
+            return own + (1 - after[h] / count[h]) * one
+
+        models.append(p)
+    return vocab, cut, models
+
+
+def test_probabilities_after_every_history_sum_to_one(spark):
+    docs = {r.doc_id: " ".join((r.text or "").split()[:60]) for r in documents(spark).collect()[:60]}
+    vocab, _, models = slow_models(docs, {i for i in docs if i % 2})
+    for p in models:
+        for h in ["<s>", "<unk>", *vocab]:
+            assert abs(sum(p(h, w) for w in ["<unk>", *vocab]) - 1) < 1e-9
 
 
 def test_scores_equal_dictionary_models(spark):
-    got = {r.doc_id: r.score for r in lm_scoring.op4_cross_entropy_difference(spark, SF).collect()}
-    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1 and toxic = 0").collect()}
-    want = slow_scores({r.doc_id: r.text for r in documents(spark).collect()}, good)
-    assert got.keys() == want.keys()
-    for i in want:
-        assert (got[i] is None) == (want[i] is None) and (want[i] is None or abs(got[i] - want[i]) < 1e-9)
+    got = {r.doc_id: r for r in lm_scoring.op4_cross_entropy_difference(spark, SF).collect()}
+    labelled = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1 and toxic = 0").collect()}
+    docs = {r.doc_id: r.text for r in documents(spark).collect()}
+    _, cut, models = slow_models(docs, labelled & docs.keys())
+    assert got.keys() == docs.keys()
+    for i, ws in cut.items():
+        if len(ws) == 1:
+            assert got[i].score is None
+            continue
+        want = [-np.mean([np.log(p(h, w)) for h, w in zip(ws, ws[1:])]) for p in models]
+        assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [*want, want[0] - want[1]], atol=1e-9)
+
+
+def test_scores_do_not_depend_on_the_chunks(spark, monkeypatch):
+    docs, good = documents(spark), documents(spark).filter("doc_id % 3 = 0").select("doc_id")
+    one = {r.doc_id: r.score for r in lm_scoring.cross_entropy_difference(docs, good).collect()}
+    monkeypatch.setattr(lm_scoring, "CHUNK_BITS", 2)
+    monkeypatch.setattr(lm_scoring, "FLUSH", 500)
+    monkeypatch.setattr(lm_scoring, "TOGETHER", 100)
+    many = {r.doc_id: r.score for r in lm_scoring.cross_entropy_difference(docs, good).collect()}
+    assert one.keys() == many.keys()
+    assert all((one[i] is None and many[i] is None) or abs(one[i] - many[i]) < 1e-9 for i in one)
 
 
 def test_scores_of_odd_rows(spark):
@@ -129,8 +149,6 @@ def test_surrogates_keep_type_form_and_identity(spark):
     rows = pii.op5_keyed_surrogates(spark, SF).collect()
     before = {r.doc_id: r for r in documents(spark).collect()}
     found, pairs = defaultdict(set), {}
-    pattern = spark.sparkContext.broadcast(None)
-    del pattern
     for r in rows:
         if not r.n_entities:
             assert r.text == before[r.doc_id].text
