@@ -1,13 +1,16 @@
 """Surrogates for personal data, by DataFrame functions alone.
 
-Entities are found by pattern, each distinct one gets a keyed surrogate of its own type and form,
-collisions (with another surrogate or with any entity of the corpus) are settled by further
-attempts, and the texts are put together again. One entity has one surrogate wherever it occurs.
+Entities are found by pattern in one pass over the texts; each distinct one gets a keyed surrogate of
+its own type and form, collisions (with another surrogate or with any entity of the corpus) are
+settled by further attempts, and the texts are put together again. What counts as one entity is its
+plain form: numbers without their spacing, addresses without case, and every part of a person's
+name by itself, so that "Dr Anna Schmidt", "Frau Schmidt" and "Anna Schmidt" keep their likeness.
+Names without a title are replaced where the same text has them with one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import staged, table
@@ -30,9 +33,13 @@ PATTERNS = {
     "card": r"(?<![0-9-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "person": r"(?<!\p{L})(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? " + _NAME,
+    "person": r"(?<!\p{L})(?:(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? )+" + _NAME,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+TITLES = r"^(?:(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? )+"
+PREFIX = "^(?:sk|pk|ghp|AKIA)[-_]?"
+#: Attempts at a surrogate after which it becomes longer by a character (a name: by a syllable).
+LENGTHEN = 4
 
 
 def entity_kind(entity: Column) -> Column:
@@ -109,74 +116,147 @@ def _email(entity: Column, digest: Column) -> Column:
     return F.concat(_scrambled(local, digest), F.lit("@"), new_host)
 
 
-def _person(entity: Column, digest: Column) -> Column:
-    """The title stays; every name part becomes syllables of its script with an ending of the gender."""
-    title = F.regexp_extract(entity, r"^[\p{L}]+\.? ", 0)
-    female = F.regexp_replace(F.trim(title), r"\.$", "").isin(*FEMALE)
-    parts = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
+def _secret(entity: Column, digest: Column) -> Column:
+    """The prefix that tells the kind of secret stays."""
+    prefix = F.regexp_extract(entity, PREFIX, 0)
+    rest = F.substring(entity, F.length(prefix) + 1, F.length(entity))
+    return F.when(entity.rlike("^[0-9A-Fa-f]{32,128}$"), _hexed(entity, digest)).otherwise(F.concat(prefix, _scrambled(rest, digest)))
 
-    def name(part: Column, i: Column) -> Column:
-        def syllables(consonants: str, vowels: str, woman: str, man: str) -> Column:
-            letter = lambda s, k: F.substring(F.lit(s), F.pmod(_nibbles(digest, 3 * i + k), F.lit(len(s))) + 1, F.lit(1))
-            made = F.concat(*[letter(s, k) for k, s in ((0, consonants), (1, vowels), (2, consonants), (5, vowels), (6, consonants))])
-            # Given names carry the gender; a family name (the last of two or more) does not.
-            ending = F.when((F.size(parts) > 1) & (i == F.size(parts) - 1), F.lit("")).when(female, F.lit(woman)).otherwise(F.lit(man))
-            return F.initcap(F.concat(made, ending))
 
-        return F.when(part.rlike(r"^\p{IsCyrillic}"), syllables("бвдзклмнрст", "аеио", "а", "ор")).when(part.rlike(r"^\p{IsGreek}"), syllables("βγδκλμνπρστ", "αειο", "α", "ος")).otherwise(syllables("bdfgklmnprstv", "aeiou", "a", "on"))
+def _iban_rest(plain: Column) -> Column:
+    """The account number with the check digits, modulo 97; 1 if they are right."""
+    turned = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, F.lit(1), F.lit(4))), "")
+    value = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(turned, F.lit(0), lambda a, c: F.pmod(F.when(c.rlike("[0-9]"), a * 10).otherwise(a * 100) + value(c), F.lit(97)))
 
-    return F.concat(title, F.concat_ws(" ", F.transform(parts, name)))
 
+def _iban(plain: Column, digest: Column) -> Column:
+    """The country stays; check digits that are right stay right, wrong ones wrong."""
+    country = F.substring(plain, F.lit(1), F.lit(2))
+    account = _scrambled(F.substring(plain, F.lit(5), F.length(plain)), digest)
+    right = 98 - _iban_rest(F.concat(country, F.lit("00"), account))
+    check = F.when(_iban_rest(plain) == 1, right).otherwise(F.pmod(right + 1 + _nibbles(digest, F.lit(31)) % 90, F.lit(97)))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
 
-def surrogate(entity: Column, kind: Column, attempt: Column, key: str) -> Column:
-    """The attempt-th surrogate of an entity under the key."""
-    digest = F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(half), attempt.cast("string"), kind, entity), 256) for half in ("a", "b")])
-    out = _scrambled(entity, digest)
-    for name, make in (("person", _person), ("email", _email), ("secret", lambda e, d: F.when(e.rlike("^[0-9A-Fa-f]{32,128}$"), _hexed(e, d)).otherwise(_scrambled(e, d))), ("ip", _address), ("card", _card)):
-        out = F.when(kind == name, make(entity, digest)).otherwise(out)
-    return out
 
+def _phone(plain: Column, digest: Column) -> Column:
+    """The calling code stays."""
+    code = F.when(plain.startswith("+"), F.regexp_extract(plain, CALLING, 0)).otherwise(F.lit(""))
+    return F.concat(code, _scrambled(F.substring(plain, F.length(code) + 1, F.length(plain)), digest))
 
-def assign_surrogates(entities: DataFrame, key: str, max_attempts: int = 20) -> DataFrame:
-    """entities: distinct `entity` -> entity, kind, surrogate: distinct, and none an entity itself.
+
+#: Calling codes of one and two digits (a fixed value); all others have three.
+CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
+def _name(part: Column, digest: Column, gender: Column, syllables: int) -> Column:
+    """Syllables of the part's script with an ending of the gender, if that is known."""
+
+    def made(consonants: str, vowels: str, woman: str, man: str) -> Column:
+        letter = lambda s, k: F.substring(F.lit(s), F.pmod(_nibbles(digest, F.lit(k)), F.lit(len(s))) + 1, F.lit(1))
+        stem = [letter((consonants, vowels)[k % 2], k) for k in range(2 * syllables + 1)]
+        return F.initcap(F.concat(*stem, F.when(gender == "f", woman).when(gender == "m", man).otherwise("")))
+
+    return F.when(part.rlike(r"^\p{IsCyrillic}"), made("бвдзклмнрст", "аеио", "а", "ор")).when(part.rlike(r"^\p{IsGreek}"), made("βγδκλμνπρστ", "αειο", "α", "ος")).otherwise(made("bdfgklmnprstv", "aeiou", "a", "on"))
+
+
+def plain_form(entity: Column, kind: Column) -> Column:
+    """What makes two spellings one entity."""
+    return F.when(kind.isin("phone", "card", "iban", "ssn"), F.regexp_replace(entity, "[^0-9A-Z+]", "")).when(kind.isin("email", "person"), F.lower(entity)).otherwise(entity)
+
+
+def surrogate(plain: Column, kind: Column, gender: Column, attempt: int, key: str) -> Column:
+    """The attempt-th surrogate of a plain form under the key; later ones are longer."""
+    digest = F.concat(*[F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(half), F.lit(str(attempt)), kind, plain), 256) for half in ("a", "b")])
+    out = _scrambled(plain, digest)
+    for name, make in (("email", _email), ("secret", _secret), ("ip", _address), ("card", _card), ("iban", _iban), ("phone", _phone)):
+        out = F.when(kind == name, make(plain, digest)).otherwise(out)
+    more = attempt // LENGTHEN
+    if more:
+        tail = F.concat(*[F.pmod(_nibbles(digest, F.lit(20 + k)), F.lit(10)).cast("string") for k in range(more)])
+        out = F.when(kind == "email", F.concat(F.substring_index(out, "@", 1), tail, F.lit("@"), F.substring_index(out, "@", -1))).when(kind == "ip", F.concat(out, F.lit(":1"), tail)).otherwise(F.concat(out, tail))
+    return F.when(kind == "person", _name(plain, digest, gender, 2 + more)).otherwise(out)
+
+
+def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """entities: distinct `plain`, `kind`, with `gender` (m, f or null) -> plain, kind, surrogate: distinct
+    within a kind without regard to case, and none an entity of it itself.
 
     All entities make their first attempt; of those that claim one surrogate the first by order
-    keeps it, the others and those that hit a real entity try again, until none is left.
+    keeps it, the others and those that hit a real entity try again, with longer ones after every
+    LENGTHEN attempts, until none is left: there are always free ones.
     """
-    todo = staged(entities.select("entity", entity_kind(F.col("entity")).alias("kind")), "entities")
-    real = todo.select(F.col("entity").alias("surrogate"))
-    done = None
-    for attempt in range(max_attempts):
-        made = staged(todo.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), F.lit(attempt), key)), "attempts")
-        free = made.join(real, "surrogate", "left_anti")
-        if done is not None:
-            free = free.join(done.select("surrogate"), "surrogate", "left_anti")
-        first = Window.partitionBy("surrogate").orderBy("entity")
-        won = free.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("entity", "kind", "surrogate")
-        done = staged(won if done is None else done.unionByName(won), "surrogates")
-        todo = staged(made.join(done, "entity", "left_anti").select("entity", "kind"), "entities")
-        if todo.isEmpty():
-            return done
-    raise RuntimeError(f"entities without a free surrogate after {max_attempts} attempts")
+    todo = staged(entities.select("plain", "kind", "gender"), "entities")
+    taken = todo.select("kind", F.lower("plain").alias("claim"))
+    done: DataFrame | None = None
+    attempt = 0
+    while True:
+        made = todo.withColumn("surrogate", surrogate(F.col("plain"), F.col("kind"), F.col("gender"), attempt, key)).withColumn("claim", F.lower("surrogate"))
+        made = staged(made, "attempts")
+        free = made.join(taken, ["kind", "claim"], "left_anti")
+        won = free.groupBy("kind", "claim").agg(F.min(F.struct("plain", "surrogate")).alias("_w")).select(F.col("_w.plain").alias("plain"), "kind", F.col("_w.surrogate").alias("surrogate"), "claim")
+        won = staged(won, "surrogates")
+        done = won if done is None else done.unionByName(won)
+        left = staged(made.join(won.select("plain", "kind"), ["plain", "kind"], "left_anti").select("plain", "kind", "gender"), "entities")
+        if left.isEmpty():
+            return done.select("plain", "kind", "surrogate")
+        taken, todo, attempt = taken.unionByName(won.select("kind", "claim")), left, attempt + 1
+
+
+def _laid_out(entity: Column, plain_new: Column) -> Column:
+    """The characters of a new plain form in the spacing of the entity; what is left over follows."""
+    signs = r"[0-9A-Z+]"
+    chars = F.split(entity, "")
+    step = F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), lambda a, c: F.when(c.rlike(signs), F.struct(F.concat(a["out"], F.substring(plain_new, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))))
+    return F.concat(step["out"], F.substring(plain_new, step["at"], F.length(plain_new)))
+
+
+def _rendered(part: Column, kind: Column, new: Column) -> Column:
+    loud = (part == F.upper(part)) & (part != F.lower(part)) & (F.length(part) > 1)
+    return F.when(kind.isin("phone", "card", "iban", "ssn"), _laid_out(part, new)).when(kind.isin("email", "person") & loud, F.upper(new)).otherwise(new)
 
 
 def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the text rewritten, + n_entities and kinds (sorted type names).
 
-    A text without entities (null and empty ones too) comes back as it is, with n_entities 0.
-    Repeated rows are rewritten alike. All columns are carried; columns of docs named n_entities or
-    kinds are replaced. An empty table stays empty.
+    A text without entities (null and empty ones too) comes back as it is, with n_entities 0; texts
+    may be of any length. Repeated rows are rewritten alike. All columns are carried; columns of docs
+    named n_entities or kinds are replaced. An empty table stays empty.
     """
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    text = F.col(text_col)
-    has = F.coalesce(text.rlike(ANY), F.lit(False))
-    clean = docs.filter(~has).select(*names, F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
-    rest = F.struct(*[F.lit(None).cast("string").alias(c) if c == text_col else F.col(c) for c in names])
-    hit = docs.filter(has).select(rest.alias("_doc"), F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("_found"), F.split(text, ANY, -1).alias("_gaps"))
-    hit = staged(hit, "with_entities")
-    places = hit.select("_row", F.posexplode("_found").alias("_at", "entity"))
-    named = assign_surrogates(places.groupBy("entity").agg(F.count("*").alias("_n")).select("entity"), key)
-    new = places.join(named, "entity").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", "surrogate", "kind"))).alias("_new"))
+    found = F.coalesce(F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    rows = docs.select(F.struct(*names).alias("_doc"), F.monotonically_increasing_id().alias("_row"), found.alias("_found"))
+    rows = staged(rows, "with_entities")  # the one pass over all texts
+    clean = rows.filter(F.size("_found") == 0).select("_doc.*", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+
+    # Names that the text has with a title, whole and the last part, are found without one, too.
+    text = F.col("_doc")[text_col]
+    whole = F.transform(F.filter("_found", lambda e: e.rlike(TITLES)), lambda e: F.regexp_replace(e, TITLES, ""))
+    last = F.filter(F.transform(whole, lambda e: F.substring_index(e, " ", -1)), lambda e: F.length(e) > 2)
+    known = F.array_sort(F.array_distinct(F.concat(whole, last)), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1))
+    hit = rows.filter(F.size("_found") > 0).withColumn("_known", known)
+    pattern = F.when(F.size("_known") > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join("_known", "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(ANY))
+    hit = staged(hit.select("_doc", "_row", F.regexp_extract_all(text, pattern, F.lit(0)).alias("_found"), F.split(text, pattern, -1).alias("_gaps"), "_known"), "entities_in_place")
+
+    places = hit.select("_row", "_known", F.posexplode("_found").alias("_at", "entity"))
+    kind = F.when(F.array_contains("_known", F.col("entity")), F.lit("person")).otherwise(entity_kind(F.col("entity")))
+    title = F.when(F.col("kind") == "person", F.regexp_extract("entity", TITLES, 0)).otherwise(F.lit(""))
+    places = places.withColumn("kind", kind).withColumn("title", title)
+    rest = F.substring(F.col("entity"), F.length("title") + 1, F.length("entity"))
+    parts = F.when(F.col("kind") == "person", F.split(rest, " ")).otherwise(F.array(F.col("entity")))
+    places = places.withColumn("_parts", parts).select("_row", "_at", "kind", "title", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_j", "part"))
+    bare = F.filter(F.split(F.regexp_replace("title", r"\.", ""), " "), lambda t: t != "")
+    says = F.when(F.arrays_overlap(bare, F.array(*map(F.lit, FEMALE))), "f").when(F.arrays_overlap(bare, F.array(*map(F.lit, MALE))), "m")
+    gives = (F.col("kind") == "person") & ((F.col("_j") < F.col("_n") - 1) | (F.col("_n") == 1))  # a family name has no gender
+    places = staged(places.withColumn("plain", plain_form(F.col("part"), F.col("kind"))).withColumn("_says", F.when(gives, says)), "entity_parts")
+
+    each = places.groupBy("plain", "kind").agg(F.min("_says").alias("_lo"), F.max("_says").alias("_hi"))
+    each = each.select("plain", "kind", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("gender"))
+    named = assign_surrogates(each, key)
+    new = places.join(named, ["plain", "kind"]).withColumn("_new", _rendered(F.col("part"), F.col("kind"), F.col("surrogate")))
+    new = new.groupBy("_row", "_at").agg(F.max("kind").alias("kind"), F.max("title").alias("title"), F.sort_array(F.collect_list(F.struct("_j", "_new"))).alias("_p"))
+    new = new.select("_row", "_at", "kind", F.concat("title", F.array_join("_p._new", " ")).alias("surrogate"))
+    new = new.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", "surrogate", "kind"))).alias("_new"))
     built = hit.join(new, "_row")
     made = F.concat_ws("", F.flatten(F.zip_with("_gaps", F.concat(F.col("_new.surrogate"), F.array(F.lit(""))), lambda g, s: F.array(g, s))))
     built = built.select(*[made.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in names], F.size("_new").alias("n_entities"), F.array_sort(F.array_distinct(F.col("_new.kind"))).alias("kinds"))
