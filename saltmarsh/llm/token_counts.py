@@ -2,15 +2,17 @@
 
 Changes to documents are signed count rows (+1 document and its tokens, or -1 and minus its
 tokens); a revised count is one of each. A batch is reduced to one row per source, language and
-tokenizer version and committed under its identifier; totals are the sums over committed batches.
-Committing a batch again changes nothing.
+tokenizer version and committed under its identifier; totals are the sums over a snapshot and the
+batches committed since. Committing a batch again changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,38 +54,92 @@ def revised(old: DataFrame, old_tokenizer: str, new: DataFrame, new_tokenizer: s
 
 
 class Rollup:
-    """Totals in a folder: one sub-folder per committed batch.
+    """Totals in a folder: batch=<id> folders of committed batches, snapshot=<n> folders with the sums of
+    all batches up to one time.
 
-    A batch is written beside the others and renamed to its final name in one step; a batch whose
-    final name exists was committed and is left alone. A crash before the rename leaves nothing
-    that totals() reads.
+    A batch or snapshot is written beside the others and moved to its final name in one step, which
+    fails if the name is taken: of two writers of one batch one commits, and a crash before the move
+    leaves nothing that totals() reads. A batch's folder stays as the mark that it was committed, also
+    when compact() has emptied it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        conf = spark._jsc.hadoopConfiguration()
+        self.fs = self._at("").getFileSystem(conf)
+        self.files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri(), conf)
 
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
+    def _names(self, kind: str) -> list[str]:
+        """What comes after `kind`= in the folders' names."""
+        if not self.fs.exists(self._at("")):
+            return []
+        return [n.split("=", 1)[1] for n in (s.getPath().getName() for s in self.fs.listStatus(self._at(""))) if n.startswith(f"{kind}=")]
+
+    def _move(self, draft: str, name: str) -> bool:
+        """False if the name is taken; anything else that goes wrong raises."""
+        none = self.spark._sc._gateway.new_array(getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            self.files.rename(self._at(draft), self._at(name), none)
+        except Py4JJavaError as e:
+            if not self.fs.exists(self._at(name)):
+                raise RuntimeError(f"{draft} could not be moved to {name}") from e
+            self.fs.delete(self._at(draft), True)
+            return False
+        return True
+
     def commit(self, batch_id: str, rows: DataFrame) -> bool:
         """Adds a batch of signed rows once; False if it was there already."""
         if "/" in batch_id or "=" in batch_id or batch_id[:1] in ("_", "."):
             raise ValueError("a batch id is a plain name")
         if self.fs.exists(self._at(f"batch={batch_id}")):
             return False
-        draft = f"_draft-{batch_id}"
+        draft = f"_draft-{uuid.uuid4().hex}"
         # Reduced before the shuffle by partial aggregation: a hot source is a few rows a task.
-        rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.mode("overwrite").parquet(f"{self.path}/{draft}")
-        return bool(self.fs.rename(self._at(draft), self._at(f"batch={batch_id}")))
+        rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{self.path}/{draft}")
+        return self._move(draft, f"batch={batch_id}")
+
+    def _state(self) -> tuple[int, set[str], set[str]]:
+        """Number of the newest snapshot (0: none), the batches in it, those after it."""
+        newest = max(map(int, self._names("snapshot")), default=0)
+        held = {r.batch for r in self.spark.read.parquet(f"{self.path}/snapshot={newest}/covers").collect()} if newest else set()
+        return newest, held, set(self._names("batch")) - held
+
+    def _sums(self, newest: int, since: set[str]) -> DataFrame:
+        read = self.spark.read.schema(TOTALS + ", n_batches long")
+        rows = self.spark.createDataFrame([], TOTALS + ", n_batches long")
+        if since:
+            rows = read.parquet(*[f"{self.path}/batch={b}" for b in sorted(since)]).withColumn("n_batches", F.lit(1).cast("long"))
+        if newest:
+            rows = rows.unionByName(read.parquet(f"{self.path}/snapshot={newest}/sums"))
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_batches")])
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, n_batches; groups that came to nothing stay at 0."""
-        if not (self.fs.exists(self._at("")) and any("batch=" in s.getPath().getName() for s in self.fs.listStatus(self._at("")))):
-            rows = self.spark.createDataFrame([], TOTALS + ", batch string")
-        else:
-            rows = self.spark.read.schema(TOTALS + ", batch string").parquet(self.path)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.countDistinct("batch").alias("n_batches"))
+        newest, _, since = self._state()
+        return self._sums(newest, since)
+
+    def compact(self) -> bool:
+        """Sums everything committed so far in a new snapshot, so that totals() needs no older file, and
+        empties the batches that the snapshot before it held (readers of that one go on). False if
+        there was nothing new or another writer was first. The names of the batches, one for each
+        commit, pass through the driver."""
+        newest, held, since = self._state()
+        if not since:
+            return False
+        draft = f"_draft-{uuid.uuid4().hex}"
+        self._sums(newest, since).write.parquet(f"{self.path}/{draft}/sums")
+        self.spark.createDataFrame([(b,) for b in sorted(held | since)], "batch string").coalesce(1).write.parquet(f"{self.path}/{draft}/covers")
+        if not self._move(draft, f"snapshot={newest + 1}"):
+            return False
+        for b in held:
+            for status in self.fs.listStatus(self._at(f"batch={b}")):
+                self.fs.delete(status.getPath(), True)
+        if newest > 1:
+            self.fs.delete(self._at(f"snapshot={newest - 1}"), True)
+        return True
 
 
 def maintain_token_counts(docs: DataFrame, path: str, tokenizer_file: str | None = None, restore: bool = False) -> DataFrame:
@@ -92,8 +148,9 @@ def maintain_token_counts(docs: DataFrame, path: str, tokenizer_file: str | None
     batch, commits the revision a second time, and gives the totals: of the first of each text, or
     with `restore` of all documents.
 
-    Null source and language are groups of their own; null and empty texts count 0 tokens; rows
-    repeated with one doc_id and text are kept once; an empty table gives no totals.
+    Null source and language are groups of their own; null and empty texts count 0 tokens; texts may be of
+    any length; the totals count repeated rows as often as they occur, without `restore` one row of
+    each text; an empty table gives no totals. Other columns, of whatever names, are ignored.
     """
     spark = docs.sparkSession
     text = text_of()
@@ -110,6 +167,7 @@ def maintain_token_counts(docs: DataFrame, path: str, tokenizer_file: str | None
     rollup.commit("drop_copies", gone)
     if restore:
         back = deleted(first, "byte_bpe_50k").unionByName(inserted(bpe, "byte_bpe_50k"))
+        rollup.compact()
         rollup.commit("restore_copies", back)
     rollup.commit("revise", revision)
     return rollup.totals()
@@ -117,7 +175,5 @@ def maintain_token_counts(docs: DataFrame, path: str, tokenizer_file: str | None
 
 def op1_delta_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals that cover every document; those by word counts come to nothing by the revision."""
-    import uuid
-
     path = f"{shared_dir(spark)}/token_rollup-{uuid.uuid4().hex}"
     return maintain_token_counts(table(spark, sf_dir, "documents"), path, restore=True)

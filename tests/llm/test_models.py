@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from fixtures import SF, documents, empty_docs, odd_docs, odd_rows
 from pyspark.sql import functions as F
 
@@ -37,6 +38,26 @@ def test_commits_are_idempotent(spark, tmp_path):
     assert got == {("s", "en"): (1, 7), (None, None): (1, 1)}
 
 
+def test_compaction_keeps_totals_and_commits(spark, tmp_path):
+    rollup, again = (token_counts.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    batch = lambda n: token_counts.inserted(spark.createDataFrame([("s", "en", n)], "source string, lang string, tokens long"), "v1")
+    assert not rollup.compact()
+    want = 0
+    for n in range(1, 6):
+        assert rollup.commit(f"b{n}", batch(n))
+        want += n
+        if n % 2 == 0:
+            assert again.compact() and not rollup.compact()
+        assert [(r.n_docs, r.n_tokens, r.n_batches) for r in rollup.totals().collect()] == [(n, want, n)]
+        assert not again.commit("b1", batch(100))
+    # A batch that another writer commits in the meantime, and a move that fails for another reason.
+    batch(7).write.parquet(f"file://{tmp_path}/r/_late")
+    assert not rollup._move("_late", "batch=b2") and rollup._names("batch").count("b2") == 1
+    with pytest.raises(RuntimeError):
+        rollup._move("_missing", "batch=b9")
+    assert [r.n_tokens for r in again.totals().collect()] == [want]
+
+
 def test_toxic_documents_are_found_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

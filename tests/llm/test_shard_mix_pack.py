@@ -195,8 +195,12 @@ def test_best_fit_and_bound():
     assert len(w.fill) <= 2
 
 
-def test_special_strings_are_text_and_long_runs_pass():
-    encode = packing.byte_bpe(packing.tokenizer_path())
-    assert 50256 not in encode("a <|endoftext|> b")
+def test_added_tokens_and_long_runs_are_as_tokenizers_has_them():
+    import tokenizers
+
+    encode, slow = packing.byte_bpe(packing.tokenizer_path()), tokenizers.Tokenizer.from_file(packing.tokenizer_path())
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "x<|endoftext|>  y\n", "<|endoftext", "don't STOP  now\t\n 12 €äß 😀"):
+        assert encode(t) == slow.encode(t, add_special_tokens=False).ids
+    assert 50256 in encode("a <|endoftext|> b")
     for t in ("a" * 300_000, " " * 300_000, "€" * 100_000):
         assert len(encode(t)) > 0
