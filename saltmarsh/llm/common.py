@@ -26,8 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/saltmarsh"
 
 
-#: Tables written inside passing(), to be deleted at its end.
-_passing: list[list[DataFrame]] = []
+#: Lists of the tables staged inside collecting().
+_collecting: list[list[DataFrame]] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -41,10 +41,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """As written(); the table is deleted when passing() ends, if inside it."""
+    """As written(); collecting() hears of it."""
     out = written(df, label)
-    if _passing:
-        _passing[-1].append(out)
+    if _collecting:
+        _collecting[-1].append(out)
     return out
 
 
@@ -56,13 +56,13 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def passing() -> Iterator[None]:
-    """Deletes the tables staged inside when it ends: what is to stay must have been written by then."""
-    _passing.append([])
+def collecting() -> Iterator[list[DataFrame]]:
+    """The tables staged inside, for discard() when the results have been used."""
+    _collecting.append([])
     try:
-        yield
+        yield _collecting[-1]
     finally:
-        discard(*_passing.pop())
+        _collecting.pop()
 
 
 def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:

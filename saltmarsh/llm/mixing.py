@@ -1,14 +1,21 @@
 """Mixing sources to target weights with fixed-length blocks.
 
-Each source is one long sequence of words, cut into blocks of fixed length. Output shards draw
-multinomial counts per source; the slots drawn of a source are numbered on, slot k taking the
-block at place k of a keyed pseudorandom permutation of the source's block numbers (pass by pass
-when a source is repeated), and blocks are joined by number.
+Each source is one long sequence of words, cut into blocks of fixed length. The blocks that a source
+is to give are dealt to the output shards by a multinomial draw, so that the counts add up to the
+targets and those of a shard are, given their sum, multinomial with the targets' shares. The slots
+drawn of a source are numbered on from shard to shard, slot k taking the block at place k of a keyed
+pseudorandom permutation of the source's block numbers (pass by pass when a source is repeated), and
+blocks are joined by number.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,27 +27,37 @@ SPACE_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 SHARD_BLOCKS = 4096
 
 
+def in_order(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with each row's number in the order of all rows, from 0. Range partitions are numbered where
+    they are; only their sizes are summed in one place."""
+    ranged = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "in_order")
+    part = F.shiftright("_id", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    ranged = ranged.withColumn("_part", part).join(sizes.select("_part", before.alias("_before")), "_part")
+    return ranged.withColumn(out, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_id")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """source, source_size -> + weight, target; one row per source.
 
     Sources by code point, null last, take the weights in turn and share `share` times all words.
-    A target stops at cap times its source's size and the excess is shared again by weight. With
-    the sources in the order of their level cap * size / weight, the first k are full when the
-    level that the others would get, rest / weight left, is not below the k-th one's: one pass.
+    A target stops at cap times its source's size and the excess is shared again by weight, until
+    none is above: each round is one sum over the sources.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1
-    rows = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place.cast("int")))
-    rows = rows.withColumn("_cap", cap * F.col("source_size")).withColumn("_level", F.col("_cap") / F.col("weight"))
-    by_level = Window.orderBy("_level", F.col("source").isNull(), F.col("source"))
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_level.rowsBetween(0, Window.unboundedFollowing)
-    rest = share * F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    rows = rows.withColumn("_water", rest / F.sum("weight").over(after))
-    full = F.col("_level") <= F.col("_water")
-    level = F.min(F.when(~full, F.struct("_level", "_water"))).over(Window.partitionBy())["_water"]
-    target = F.when(full | level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col("weight")))
-    return rows.select("source", "source_size", "weight", target.alias("target"))
+    rows = in_order(sizes, [F.col("source").isNull(), F.col("source")], "_place")
+    place = F.pmod(F.col("_place"), F.lit(len(weights))) + 1
+    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place.cast("int"))).withColumn("_cap", cap * F.col("source_size"))
+    rows = staged(rows.select("source", "source_size", "weight", "_cap"), "mix_weights")
+    total = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("_cap") <= F.lit(level) * F.col("weight")
+        now = rows.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("_cap"))).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("rest")).first()
+        if now.n == n_full or not now.rest:
+            break
+        n_full, level = now.n, (total - (now.held or 0.0)) / now.rest
+    return rows.select("source", "source_size", "weight", F.when(full, F.col("_cap")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
 
 
 def permuted(index: Column, n: Column, seed: Column, inverse: bool = False) -> Column:
@@ -62,35 +79,52 @@ def permuted(index: Column, n: Column, seed: Column, inverse: bool = False) -> C
                 hi, lo = F.pmod(lo - F.pmod(F.xxhash64(seed, F.lit(r), hi), b), b), hi
         return hi * b + lo
 
-    # b*b < n + 2*sqrt(n) + 1: the share of places at n or above is small, and a walk of w steps that
-    # all miss has at most the share to the power w; the walk is written as a fold over 48 steps.
-    step = F.aggregate(F.sequence(F.lit(1), F.lit(48)), rounds(index), lambda x, _: F.when(x < n, x).otherwise(rounds(x)))
+    # b*b < n + 2*sqrt(n) + 1, so under 49 places of a small n are at n or above and a walk ends after as
+    # many steps. Of a larger n they are at most a share of 0.02, and a walk of w steps that all miss has
+    # at most that to the power w. The walk is written as a fold over its steps.
+    longest = F.when(n < 550, b * b - n).otherwise(F.lit(14).cast("long"))
+    steps = F.when(longest > 0, F.sequence(F.lit(1).cast("long"), longest)).otherwise(F.array().cast("array<bigint>"))
+    step = F.aggregate(steps, rounds(index), lambda x, _: F.when(x < n, x).otherwise(rounds(x)))
     return F.when(n <= 1, F.lit(0).cast("long")).otherwise(step)
 
 
-def draw_plan(targets: list[tuple], block_words: int, shard_blocks: int, seed: int) -> list[tuple]:
-    """(source, shard, slot_start, slots) from (source, size, target): what each output shard draws.
+def slots_of(size: Column, target: Column, block_words: int) -> Column:
+    """How many blocks a source gives: those of whole passes, and of the last as many as the words up to the
+    target may lie in."""
+    target = F.floor(target).cast("long")
+    per_pass = F.ceil(size / F.lit(block_words)).cast("long")
+    whole, rest = F.floor(target / size).cast("long"), F.pmod(target, size)
+    part = F.ceil(rest / F.lit(block_words)).cast("long") + F.when((rest > 0) & (per_pass * block_words != size), 1).otherwise(0)
+    return F.when(size > 0, whole * per_pass + F.least(per_pass, part)).otherwise(F.lit(0).cast("long"))
+
+
+def dealt_slots(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+    """source, slots -> source, shard, slot_start, slots: what each output shard draws of each source.
 
-    Shards draw in turn from a multinomial over what is left of each source's slots, so the draws
-    add up to the targets. The plan has a row per source and shard, no data passes through it.
+    A source's slots are drawn for some sqrt(shards) ranges of shards first and for the shards of each
+    range then, from generators of their own: a task never draws for all shards.
     """
-    rng = np.random.default_rng(seed)
-    slots = []
-    for _, size, target in targets:
-        per_pass = -(-size // block_words)
-        whole, rest = divmod(int(target), size) if size else (0, 0)
-        slots.append(whole * per_pass + min(per_pass, -(-rest // block_words) + (1 if rest and per_pass * block_words != size else 0)))
-    left = np.array(slots, dtype=np.int64)
-    start, plan, shard = np.zeros(len(slots), dtype=np.int64), [], 0
-    while left.sum() > 0:
-        want = min(shard_blocks, int(left.sum()))
-        got = np.zeros_like(left)
-        while (short := want - int(got.sum())) > 0:
-            free = left - got
-            got += np.minimum(rng.multinomial(short, free / free.sum()), free)
-        plan += [(t[0], shard, int(s), int(g)) for t, s, g in zip(targets, start, got) if g]
-        start, left, shard = start + got, left - got, shard + 1
-    return plan
+    ranges = math.isqrt(max(shards - 1, 0)) + 1
+    edges = [shards * i // ranges for i in range(ranges + 1)]
+
+    def generator(source: str | None, part: int) -> np.random.Generator:
+        return np.random.default_rng([seed, xxhash.xxh64_intdigest(b"\0null" if source is None else source.encode()), part])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, slots in zip(*(c.to_pylist() for c in batch.columns)):
+                n = generator(source, 0).multinomial(slots, np.diff(edges) / shards)
+                yield pa.RecordBatch.from_arrays([pa.array([source] * ranges, pa.string()), pa.array(range(ranges), pa.int32()), pa.array(np.cumsum(n) - n), pa.array(n)], ["source", "part", "slot_start", "slots"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, part, start, slots in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.arange(edges[part], edges[part + 1])
+                n = generator(source, part + 1).multinomial(slots, np.full(len(own), 1 / len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([source] * len(own), pa.string()), pa.array(own, pa.int32()), pa.array(start + np.cumsum(n) - n), pa.array(n)], ["source", "shard", "slot_start", "slots"])
+
+    parts = sources.select("source", "slots").mapInArrow(first, "source string, part int, slot_start long, slots long").filter("slots > 0")
+    return parts.repartition("source", "part").mapInArrow(second, "source string, shard int, slot_start long, slots long").filter("slots > 0")
 
 
 def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 7, rows_per_block: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -99,12 +133,11 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: i
     rows: docs as staged, with a row number `row`. placed: row, doc_id, source, size with
     source_size, target and `word_start`, the place of the first word in the source's sequence.
     spans: one row per document part that the mix takes: row, doc_id, source, shard, slot, n_pass
-    (how often the source was gone through before), block, doc_start, length (words). A
-    document is taken at most ceil(target / size) times, so never above the cap. Null sources are
+    (how often the source was gone through before), block, doc_start, length (words), at (where in the
+    block). A document is taken at most ceil(target / size) times, so never above the cap. Null sources are
     one source, empty documents are placed and never taken, rows with one doc_id are told apart,
     an empty table gives two empty tables. The same input gives the same mix.
     """
-    spark = docs.sparkSession
     whole_rows = staged(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("size", F.col("size").cast("long")), "mix_rows")
     rows = whole_rows.select("row", "doc_id", "source", "size")
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
@@ -113,9 +146,9 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: i
     placed = running_start(rows, ["source"], ["doc_id", "size"], "size", blocks_for(total, rows_per_block), "word_start")
     placed = placed.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = staged(placed, "mix_placed")
-    # One row per source reaches the driver, for the draws.
-    plan = draw_plan([(r.source, r.source_size, r.target) for r in targets.orderBy(F.col("source").isNull(), "source").collect()], block_words, shard_blocks, seed)
-    drawn = spark.createDataFrame(plan, "source string, shard int, slot_start long, slots long")
+    dealt = staged(targets.select("source", slots_of(F.col("source_size"), F.col("target"), block_words).alias("slots")), "mix_slots")
+    shards = -(-(dealt.agg(F.sum("slots")).first()[0] or 0) // shard_blocks)
+    drawn = dealt_slots(dealt, max(1, shards), seed)
 
     size, target = F.col("source_size"), F.floor("target").cast("long")
     blocks = F.ceil(size / F.lit(block_words)).cast("long")
@@ -134,7 +167,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: i
         return permuted(F.col("block"), blocks, F.xxhash64(key, n_pass), inverse=True)
 
     tail_at = F.when(F.col("block") == blocks - 1, F.col("place")).otherwise(permuted(blocks - 1, blocks, F.xxhash64(key, F.col("n_pass")), inverse=True))
-    each = parts.select("source", "source_size", "target", "block").distinct()
+    each = parts.select("source", "source_size", "target", "block").distinct().repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
     each = each.withColumn("n_pass", F.explode(F.sequence(F.lit(0).cast("long"), whole))).withColumn("place", place(F.col("n_pass")))
     length = F.when(F.col("block") == blocks - 1, tail).otherwise(F.lit(block_words))
     before = F.col("place") * block_words - F.when(tail_at < F.col("place"), block_words - tail).otherwise(0)
@@ -144,7 +177,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: i
     taken = each.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("k") == F.col("_k"))).select(F.col("source").alias("_s"), F.col("block").alias("_b"), "shard", F.col("k").alias("slot"), "n_pass", "limit")
     spans = parts.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     spans = spans.withColumn("length", F.least(F.col("part"), F.col("limit") - F.col("at"))).filter("length > 0")
-    return whole_rows, placed, spans.select("row", "doc_id", "source", "shard", "slot", "n_pass", "block", "doc_start", "length")
+    return whole_rows, placed, spans.select("row", "doc_id", "source", "shard", "slot", "n_pass", "block", "doc_start", "length", "at")
 
 
 def documents_with_sizes(docs: DataFrame) -> DataFrame:
@@ -152,21 +185,25 @@ def documents_with_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix as documents: a row for every stretch of a document that a pass takes without a gap.
+    """The mix as documents, in its order: a row for each part of a document in each slot, the slots of a
+    shard in a keyed random order, shard by shard.
 
-    All columns of docs are carried; a document taken as a whole
-    keeps its text, of another the stretch's words and the white space between them stay. n_chars,
-    if there, is counted anew. Documents without words are never taken.
+    All columns of docs are carried; a document taken as a whole keeps its text, of another the part's
+    words and the white space between them stay. n_chars, if there, is counted anew. Documents without
+    words are never taken; texts may be of any length: a text is cut into all its parts at once.
     """
-    rows, _, spans = mix_sources(docs.select("doc_id", "source", "text", n_words(text_of()).alias("size"), F.struct(*docs.columns).alias("_doc")), **settings)
-    in_pass = Window.partitionBy("row", "n_pass").orderBy("doc_start")
-    gap = F.coalesce(F.lag(F.col("doc_start") + F.col("length")).over(in_pass) != F.col("doc_start"), F.lit(True))
-    runs = spans.withColumn("_gap", gap.cast("int")).withColumn("_run", F.sum("_gap").over(in_pass))
-    runs = runs.groupBy("row", "n_pass", "_run").agg(F.min("doc_start").cast("int").alias("_start"), F.sum("length").cast("int").alias("_length"))
-    joined = rows.join(runs, "row")
-    part = F.slice(F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0)), F.col("_start") + 1, F.col("_length"))
-    text = F.when(F.col("_length") == F.col("size"), F.col("text")).otherwise(F.regexp_replace(F.concat_ws("", part), f"^{SPACE}", ""))
-    made = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    carried = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    rows, _, spans = mix_sources(docs.select("doc_id", "source", n_words(text_of()).alias("size"), "text", carried.alias("_doc")), **settings)
+    turn = F.xxhash64(F.lit(settings.get("seed", 7)), F.coalesce(F.col("source"), F.lit("\0null")), "slot")
+    part = F.struct("shard", turn.alias("turn"), F.col("at"), F.col("doc_start").cast("int").alias("start"), F.col("length").cast("int").alias("length"))
+    parts = spans.select("row", part.alias("_p")).groupBy("row").agg(F.collect_list("_p").alias("_parts"))
+    words = F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0))
+    joined = rows.join(parts, "row").withColumn("_words", words).withColumn("_p", F.explode("_parts")).drop("_parts")
+    piece = F.regexp_replace(F.concat_ws("", F.slice("_words", F.col("_p.start") + 1, F.col("_p.length"))), f"^{SPACE}", "")
+    joined = joined.select("_doc", "_p", F.when(F.col("_p.length") == F.col("size"), F.col("text")).otherwise(piece).alias("text"))
+    order = ["_p.shard", "_p.turn", "_p.at"]
+    joined = joined.repartitionByRange(*order).sortWithinPartitions(*order)
+    made = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return joined.select(*[made[c].alias(c) if c in made else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 

@@ -112,14 +112,16 @@ def test_permutation_is_one(spark):
         assert sorted(r.p for r in rows) == list(range(n)) and all(r.back == r.id for r in rows)
 
 
-def test_shard_counts_are_multinomial_and_add_up():
-    plan = mixing.draw_plan([("a", 64_000, 96_000.0), ("b", 64_000, 32_000.0)], 64, 100, 1)
-    by = defaultdict(dict)
-    for s, shard, start, n in plan:
-        by[shard][s] = n
-    assert sum(d.get("a", 0) for d in by.values()) == 1500 and sum(d.get("b", 0) for d in by.values()) == 500
-    spread = np.std([d.get("a", 0) for k, d in by.items() if sum(d.values()) == 100])
-    assert 2 < spread < 7  # a binomial's is 4.3
+def test_shard_counts_are_multinomial_and_add_up(spark):
+    sources = spark.createDataFrame([("a", 15_000), ("b", 5_000), (None, 0)], "source string, slots long")
+    rows = mixing.dealt_slots(sources, 20, 1).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.dealt_slots(sources.repartition(3), 20, 1).collect()), key=str)
+    by = {s: sorted((r.shard, r.slot_start, r.slots) for r in rows if r.source == s) for s in ("a", "b")}
+    for s, total in (("a", 15_000), ("b", 5_000)):
+        assert [k for k, _, _ in by[s]] == list(range(20))
+        assert [at for _, at, _ in by[s]] == [sum(n for _, _, n in by[s][:k]) for k in range(20)] and sum(n for _, _, n in by[s]) == total
+    assert 13 < np.std([n for _, _, n in by["a"]]) < 45  # a binomial's is 26.7
+    assert mixing.dealt_slots(sources, 1, 1).count() == 2
 
 
 def test_mixed_documents_are_the_spans(spark):
