@@ -1,15 +1,19 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both models are word bigram models with the same vocabulary, the same kept bigrams and the same
-smoothing, fitted to the target documents and to all documents. A document's score is the mean over
-its tokens of the background's minus the target's log probability (the target's loss minus the
-background's): the lower, the more it is like the target.
-
-P(w | h) = max(c(h, w) - D, 0) / c(h) + g(h) P(w), with g(h) such that the probabilities sum to 1 for
-every history h, and P(w) by add-alpha over the vocabulary and <unk>. The vocabulary is the words that
-occur MIN_COUNT times or more, a bigram is kept if it does, at every size of the corpus: counts are
-tables that grow with it. Each chunk of documents asks for its own n-grams only, by a join on the
-n-gram, and is scored where it meets the answers.
+Both models are word bigram models with the same vocabulary and the same smoothing, fitted to the
+target documents and to all documents. A document's score is the mean over its tokens of the
+background's minus the target's log probability (the target's loss minus the background's): the
+lower, the more it is like the target.
+
+P(w | h) = LAMBDA c(h, w) / c(h) + (1 - LAMBDA) P(w), with P(w) by add-alpha over the vocabulary, and
+P(w) alone after a history that the model hasn't seen. The vocabulary is all words and an end mark,
+which follows the last word of every text, so that the probabilities after each history sum to 1. No
+count is left out, at any size of the corpus.
+
+Counts don't pass through rows of their own: a chunk of documents sends its distinct n-grams as
+sorted codes, cut into ranges, and a task adds up all chunks' counts in one range and answers each
+chunk. An n-gram that occurs once needs no answer but a bit. The chunk is cut again from the same
+scan and meets its answers by its number.
 """
 
 from __future__ import annotations
@@ -19,20 +23,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import staged, table, text_of
 
-#: Occurrences in all documents of a word of the vocabulary and of a kept bigram; what is taken from a
-#: bigram's count for words not seen after its history; what is added to a word's count.
-MIN_COUNT, DISCOUNT, ALPHA = 2, 0.75, 0.1
-#: Documents are counted and scored in chunks of 1 << CHUNK_BITS rows of a partition.
-CHUNK_BITS = 12
-#: Tokens that are counted together; texts are cut into words together up to so many words (or one text).
-FLUSH, TOGETHER = 1 << 21, 1 << 16
-#: The history of a text's first word.
-START = np.uint64(1 << 32)
+#: Weight of the bigram's share; what is added to a word's count.
+LAMBDA, ALPHA = 0.7, 0.1
+#: Bytes of text in a chunk and, on average, behind the n-grams of a range of codes.
+CHUNK_BYTES, RANGE_BYTES = 16 << 20, 24 << 20
+#: Texts are cut into words together up to so many words (or one text).
+TOGETHER = 1 << 16
+#: Target ids up to so many (8 bytes each) are sent to all tasks; more are joined by a shuffle.
+SENT_IDS = 4_000_000
+#: Marks that no word can be: before the first and after the last word of a text.
+START, END = b"\t", b"\n"
+#: Bits of a code: collisions are one in some 30,000 codes for ten billion different n-grams.
+BITS = 48
 
 
 class WordCodes:
@@ -53,129 +61,160 @@ class WordCodes:
         return np.array(out, dtype=np.uint64)
 
 
-def bigram_codes(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each word and the one before it (START at the places `first`, where texts begin): the upper 32
-    bits of the history's code, which stand for it, and 32 mixed bits of both."""
-    before = np.empty(len(codes), np.uint64)
-    before[1:] = codes[:-1]
-    before[first] = START
-    high = before & np.uint64(0xFFFFFFFF00000000)
+def bigram_codes(codes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A code of BITS bits for each word after another."""
     with np.errstate(over="ignore"):
-        mixed = (high * np.uint64(0x9E3779B97F4A7C15)) ^ (codes * np.uint64(0xC2B2AE3D27D4EB4F))
+        mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (codes * np.uint64(0xC2B2AE3D27D4EB4F))
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return high | (mixed >> np.uint64(32))
+    return (mixed ^ (mixed >> np.uint64(32))) >> np.uint64(64 - BITS)
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
-def _together(texts: Iterator[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(words of some texts on end, number of words of each), for about TOGETHER words at a time."""
-    words, sizes = [], []
+def _codes_of_texts(texts: list[bytes], codes_of: WordCodes) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the words of all texts on end, each text that has words ending with END, and how many
+    words each has. A-Z count as a-z."""
+    found, words, sizes = [np.zeros(0, np.uint64)], [], []
     for text in texts:
-        more = _words(text)
-        words += more
+        more = text.lower().split()
         sizes.append(len(more))
+        if more:
+            words += more
+            words.append(END)
         if len(words) >= TOGETHER:
-            yield words, np.array(sizes, np.int64)
-            words, sizes = [], []
-    if sizes:
-        yield words, np.array(sizes, np.int64)
+            found.append(codes_of(words))
+            words = []
+    if words:
+        found.append(codes_of(words))
+    return np.concatenate(found), np.array(sizes, np.int64)
+
+
+class Ngrams:
+    """The n-grams of a chunk: for kind 0 (words) and 1 (bigrams) the sorted codes, how often each occurs
+    in the chunk and in its target texts, and the place of each token's n-gram among them."""
+
+    def __init__(self, texts: list[bytes], wanted: np.ndarray, codes_of: WordCodes):
+        words, self.sizes = _codes_of_texts(texts, codes_of)
+        self.spans = self.sizes + (self.sizes > 0)
+        self.first = (np.cumsum(self.spans) - self.spans)[self.sizes > 0]
+        before = np.empty_like(words)
+        before[1:] = words[:-1]
+        before[self.first] = codes_of([START])[0]
+        flag = np.repeat(wanted, self.spans)
+        self.codes, self.place, self.n, self.t = [], [], [], []
+        for codes in (words >> np.uint64(64 - BITS), bigram_codes(words, before)):
+            one, at, n = np.unique(codes, return_inverse=True, return_counts=True)
+            self.codes.append(one)
+            self.place.append(at)
+            self.n.append(n.astype(np.int64))
+            self.t.append(np.bincount(at, flag, len(one)).astype(np.int64))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(number, rows) of a partition's chunks: rows in their order, up to CHUNK_BYTES of the last column."""
+    number, rows, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            rows.append(row)
+            size += len(row[-1])
+            if size >= CHUNK_BYTES:
+                yield number, rows
+                number, rows, size = number + 1, [], 0
+    if rows:
+        yield number, rows
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)
 
 
-def _firsts(sizes: np.ndarray) -> np.ndarray:
-    """Where the texts that have words begin."""
-    return (np.cumsum(sizes) - sizes)[sizes > 0]
+def _unpack(blob: bytes, dtype: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype)
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """docs: chunk, target (boolean), text (binary) -> chunk, two (whether a bigram), code, n, t: how often
-    it occurs in the chunk, in all documents and in those of the target."""
-    names = ["chunk", "two", "code", "n", "t"]
+SENT = "kind int, part int, chunk long, size long, codes binary, n binary, t binary"
+ANSWER = "kind int, part int, chunk long, size long, often binary, n binary, t binary, sum_n long, sum_t long"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sent_ngrams(rows: DataFrame, ranges: int) -> DataFrame:
+    """rows: target, text (binary) -> a row per chunk, kind and range of codes that it has any of."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes_of = WordCodes()
-        held, size, now = [], 0, None
-
-        def out() -> pa.RecordBatch:
-            words, pairs, wanted = (np.concatenate(x) for x in zip(*held))
-            both, first, at = np.unique(pairs, return_index=True, return_inverse=True)
-            n, t = np.bincount(at, minlength=len(both)), np.bincount(at, wanted, len(both)).astype(np.int64)
-            ones, of = np.unique(words[first], return_inverse=True)
-            code = np.concatenate([ones, both]).view(np.int64)
-            sums = [np.concatenate([np.bincount(of, x, len(ones)).astype(np.int64), x]) for x in (n, t)]
-            two = np.arange(len(code)) >= len(ones)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), now)), pa.array(two), pa.array(code), *map(pa.array, sums)], names)
+        edges = np.array([(i << BITS) // ranges for i in range(1, ranges)], np.uint64)
+        for number, chunk in _chunks(batches):
+            grams = Ngrams([r[1] for r in chunk], np.array([r[0] for r in chunk], bool), codes_of)
+            cols: list[list] = [[] for _ in range(7)]
+            for kind, (codes, n, t) in enumerate(zip(grams.codes, grams.n, grams.t)):
+                cut = np.concatenate([[0], np.searchsorted(codes, edges), [len(codes)]])
+                raw = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
+                for part in np.flatnonzero(np.diff(cut)):
+                    at = slice(cut[part], cut[part + 1])
+                    for col, v in zip(cols, (kind, part, number, cut[part + 1] - cut[part], raw[at].tobytes(), _pack(n[at]), _pack(t[at]))):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3))], [c.split()[0] for c in SENT.split(", ")])
+
+    return rows.select("target", "text").mapInArrow(send, SENT)
+
+
+def added_up(sent: DataFrame) -> DataFrame:
+    """Answers: per chunk, kind and range which of its codes occur more than once in all, and the counts of
+    those; per kind and range (chunk -1) the number of codes and the sums of their counts."""
+    names = [c.split()[0] for c in ANSWER.split(", ")]
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def solve() -> pa.RecordBatch:
+            kind, part = held[0][:2]
+            sizes = [r[3] for r in held]
+            raw = np.zeros((sum(sizes), 8), np.uint8)
+            raw[:, : BITS // 8] = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, BITS // 8)
+            _, at = np.unique(raw.view("<u8").reshape(-1), return_inverse=True)
+            n, t = (np.bincount(at, np.concatenate([_unpack(r[k], "i8", r[3]) for r in held])).astype(np.int64) for k in (5, 6))
+            cols: list[list] = [[kind], [part], [-1], [len(n)], [None], [None], [None], [int(n.sum())], [int(t.sum())]]
+            for r, lo, hi in zip(held, np.cumsum([0, *sizes]), np.cumsum(sizes)):
+                mine = at[lo:hi]
+                often = n[mine] > 1
+                for col, v in zip(cols, (kind, part, r[2], r[3], np.packbits(often).tobytes(), _pack(n[mine[often]]), _pack(t[mine[often]]), None, None)):
+                    col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         for batch in batches:
-            chunk = batch.column(0).to_numpy()
-            for part in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1):
-                if len(part) == 0:
-                    continue
-                if held and (chunk[part[0]] != now or size >= FLUSH):
-                    yield out()
-                    held, size = [], 0
-                now = chunk[part[0]]
-                rows = batch.slice(int(part[0]), len(part))
-                wanted, at = rows.column(1).to_numpy(zero_copy_only=False), 0
-                for words, sizes in _together(t.as_py() for t in rows.column(2)):
-                    if words:
-                        codes = codes_of(words)
-                        held.append((codes, bigram_codes(codes, _firsts(sizes)), np.repeat(wanted[at : at + len(sizes)], sizes)))
-                        size += len(words)
-                    at += len(sizes)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:2] != row[:2]:
+                    yield solve()
+                    held = []
+                held.append(row)
         if held:
-            yield out()
-
-    return docs.select("chunk", "target", "text").mapInArrow(count, "chunk long, two boolean, code long, n long, t long")
-
-
-def fit(counts: DataFrame, texts: tuple[int, int], min_count: int = MIN_COUNT) -> tuple[DataFrame, dict]:
-    """counts as by count_ngrams; texts: how many texts with words there are, in all and in the target ->
-    (model, whole): two, code, n, t and for words c_n, c_t (the history's counts), s_n, s_t (the discounted
-    counts of the kept bigrams after it); totals of the corpus and the history START."""
-    whole = counts.groupBy("two", "code").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    whole = staged(whole, "ngrams")
-    kept = whole.filter(F.col("n") >= min_count)
-    history = F.shiftright("code", 32)
-    after = lambda c: F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)))
-    follow = staged(kept.filter("two").groupBy(history.alias("h")).agg(after("n").alias("s_n"), after("t").alias("s_t")), "follow")
-    words = kept.filter("not two")
-    own = words.groupBy(history.alias("h")).agg(F.sum("n").alias("c_n"), F.sum("t").alias("c_t"))
-    own = own.join(follow, "h", "left")
-    words = words.withColumn("h", history).join(own, "h").drop("h")
-    model = words.unionByName(kept.filter("two"), allowMissingColumns=True)
-    sums = whole.filter("not two").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n", "t")]).first()
-    seen = words.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n", "t")]).first()
-    begin = follow.filter(F.col("h") == F.lit(int(START) >> 32)).first()
-    return model, {
-        "total": np.array([sums.n, sums.t], float), "known": np.array([seen.n, seen.t], float), "size": seen.v + 1,
-        "start_c": np.array(texts, float), "start_s": np.array([begin.s_n, begin.s_t] if begin else [0.0, 0.0]),
-    }
-
-
-def word_probability(count: np.ndarray, whole: dict) -> np.ndarray:
-    """P(w) from the counts (words, 2) in all documents and the target."""
-    return (count + ALPHA) / (whole["total"] + ALPHA * whole["size"])
-
-
-def probabilities(word: np.ndarray, before: np.ndarray, pair: np.ndarray, rows: dict, whole: dict) -> np.ndarray:
-    """(tokens, 2): P(word | history) under the background and the target.
-
-    word: places in rows["n"] (the last row is <unk>); before: places of the histories (the last but
-    one is START); pair: counts (tokens, 2) of the bigrams, 0 where none is kept.
-    """
-    p = word_probability(rows["n"], whole)[word]
-    c, s = rows["c"][before], rows["s"][before]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        own = np.where(c > 0, np.maximum(pair - DISCOUNT, 0.0) / c, 0.0)
-        rest = np.where(c > 0, np.maximum(1.0 - s / c, 0.0), 1.0)
-    return own + rest * p
+            yield solve()
+
+    return sent.repartition("kind", "part").sortWithinPartitions("kind", "part", "chunk").mapInArrow(add, ANSWER)
+
 
+def _answered(grams: Ngrams, kind: int, answers: list[dict]) -> np.ndarray:
+    """(codes, 2): counts in all documents and in the target of a chunk's n-grams of a kind."""
+    mine = sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["part"])
+    if sum(a["size"] for a in mine) != len(grams.codes[kind]):
+        raise RuntimeError("a chunk was cut otherwise the second time: the documents must be a table that is read the same way twice")
+    counts = np.column_stack([np.ones(len(grams.codes[kind]), np.int64), grams.t[kind]])  # what occurs once, occurs here
+    at = 0
+    for a in mine:
+        often = at + np.flatnonzero(np.unpackbits(np.frombuffer(a["often"], np.uint8), count=a["size"]))
+        for k, c in enumerate("nt"):
+            counts[often, k] = _unpack(a[c], "i8", len(often))
+        at += a["size"]
+    return counts.astype(float)
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+
+def token_losses(word: np.ndarray, history: np.ndarray, pair: np.ndarray, total: np.ndarray, vocab: int) -> np.ndarray:
+    """(tokens, 2) from the counts (tokens, 2) of the words, their histories and their bigrams."""
+    p = (word + ALPHA) / (total + ALPHA * vocab)
+    share = np.divide(pair, history, out=np.zeros_like(p), where=history > 0)
+    return -np.log(np.where(history > 0, LAMBDA * share + (1 - LAMBDA) * p, p))
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """docs: doc_id, text; target_ids: doc_id of the target's documents -> doc_id, n_tokens,
     target_loss, background_loss, score. One row per row of docs.
 
@@ -186,56 +225,46 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, min_count:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
-    rows = rows.join(ids.hint("merge"), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))  # ids grow with the corpus: never broadcast
-    # Rows of equal doc_id (nulls) may be many: chunks are of rows as they come to a task.
-    rows = staged(rows.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "lm_chunks")
-    has = F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]")
-    texts = rows.agg(F.count_if(has).alias("n"), F.count_if(has & F.col("target")).alias("t")).first()
-    counts = staged(count_ngrams(rows), "lm_counts")
-    model, whole = fit(counts, (texts.n, texts.t), min_count)
-    asked = counts.select("chunk", "two", "code").join(model.hint("merge"), ["two", "code"])
-
-    def score(key: tuple, texts: pa.Table, known: pa.Table) -> pa.Table:
-        two = known.column("two").to_numpy()
-        code = known.column("code").to_numpy().view(np.uint64)
-        columns = {c: known.column(c).cast(pa.float64()).to_numpy() for c in ("n", "t", "c_n", "c_t", "s_n", "s_t")}
-
-        def part(which: np.ndarray) -> tuple[np.ndarray, dict]:
-            found, at = np.unique(code[which], return_index=True)
-            return found, {c: v[which][at] for c, v in columns.items()}
-
-        words, w = part(~two)
-        pairs, b = part(two)
-        two_of = lambda x, a, z, *more: np.vstack([np.column_stack([np.nan_to_num(x[a]), np.nan_to_num(x[z])]), *more])
-        start, none = np.zeros((1, 2)), np.zeros((1, 2))
-        table_ = {"n": two_of(w, "n", "t", start, whole["total"] - whole["known"]), "c": two_of(w, "c_n", "c_t", whole["start_c"], none), "s": two_of(w, "s_n", "s_t", whole["start_s"], none)}
-        pair_counts = two_of(b, "n", "t", none)
-        codes_of, sizes, means = WordCodes(), [], []
-
-        def places(of: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
-            at = np.searchsorted(of, wanted)
-            at[at == len(of)] = 0
-            return np.where(of[at] == wanted, at, missing) if len(of) else np.full(len(wanted), missing)
-
-        for text, n in _together(t.as_py() for t in texts.column("text")):
-            mean = np.full((len(n), 2), np.nan)
-            if text:
-                codes, first = codes_of(text), _firsts(n)
-                word = places(words, codes, len(words) + 1)
-                before = np.empty_like(word)
-                before[1:] = word[:-1]
-                before[first] = len(words)
-                pair = pair_counts[places(pairs, bigram_codes(codes, first), len(pairs))]
-                mean[n > 0] = np.add.reduceat(np.log(probabilities(word, before, pair, table_, whole)), first) / n[n > 0, None]
-            sizes.append(n)
-            means.append(mean)
-        loss = -np.concatenate(means)
-        none_ = np.isnan(loss[:, 0])
-        values = (loss[:, 1], loss[:, 0], loss[:, 1] - loss[:, 0])
-        return pa.table([texts.column("doc_id"), pa.array(np.concatenate(sizes)), *[pa.array(v, pa.float64(), mask=none_) for v in values]], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    chunks = rows.select("chunk", "doc_id", "text").groupBy("chunk")
-    return chunks.cogroup(asked.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    few = ids.count() <= SENT_IDS
+    rows = rows.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    # Both passes must read the same rows in the same order: a plain scan does, a shuffle's result must be written.
+    rows = rows if few else staged(rows, "lm_rows")
+    ranges = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // RANGE_BYTES)
+    answers = staged(added_up(sent_ngrams(rows, ranges)), "lm_answers")
+    whole = {r.kind: r for r in answers.filter("chunk < 0").groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("size", "sum_n", "sum_t")]).collect()}  # two rows
+    total = np.array([whole[0].sum_n, whole[0].sum_t], float) if whole else np.zeros(2)
+    vocab = whole[0]["size"] if whole else 0
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk in _chunks(batches):
+            ids_, flags, texts = zip(*chunk)
+            lengths = np.array([len(t) for t in texts], np.int64)
+            cols = [pa.array([number]), pa.array([ids_], pa.list_(pa.int64())), pa.array([flags], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int64())), pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["chunk", "ids", "flags", "lengths", "texts"])
+
+    def score(key: tuple, packed: pa.Table, known: pa.Table) -> pa.Table:
+        row, found = packed.to_pylist()[0], known.to_pylist()
+        edges = np.cumsum([0, *row["lengths"]])
+        blob = pa.decompress(row["texts"], int(edges[-1]), "zstd", asbytes=True) if edges[-1] else b""
+        codes_of = WordCodes()
+        grams = Ngrams([blob[a:b] for a, b in zip(edges, edges[1:])], np.array(row["flags"], bool), codes_of)
+        means = np.full((len(grams.sizes), 2), np.nan)
+        if len(grams.first):
+            counts = _answered(grams, 0, found)
+            word, pair = counts[grams.place[0]], _answered(grams, 1, found)[grams.place[1]]
+            history = np.empty_like(word)
+            history[1:] = word[:-1]
+            ends = grams.first + grams.spans[grams.sizes > 0] - 1
+            history[grams.first] = word[ends[0]]  # as many texts begin as end
+            losses = token_losses(word, history, pair, total, vocab)
+            losses[ends] = 0.0  # of a text's own words only
+            means[grams.sizes > 0] = np.add.reduceat(losses, grams.first) / grams.sizes[grams.sizes > 0, None]
+        none = np.isnan(means[:, 0])
+        values = (means[:, 1], means[:, 0], means[:, 1] - means[:, 0])
+        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(grams.sizes), *[pa.array(v, pa.float64(), mask=none) for v in values]], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    packed = rows.select("doc_id", "target", "text").mapInArrow(pack, "chunk long, ids array<long>, flags array<boolean>, lengths array<long>, texts binary")
+    return packed.groupBy("chunk").cogroup(answers.filter("chunk >= 0").groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,30 +95,18 @@ def test_toxicity_of_odd_rows(spark):
 
 
 def slow_models(docs, good):
-    """Vocabulary and P(word | history) of the target and the background, with dictionaries."""
-    words = {i: (t or "").encode().lower().split() for i, t in docs.items()}
-    often = Counter(w for ws in words.values() for w in ws)
-    vocab = {w for w, n in often.items() if n >= lm_scoring.MIN_COUNT}
-    cut = {i: ["<s>", *[w if w in vocab else "<unk>" for w in ws]] for i, ws in words.items()}
-    pairs = Counter(p for ws in words.values() for p in zip(["<s>", *ws], ws))
-    kept = {p for p, n in pairs.items() if n >= lm_scoring.MIN_COUNT}
+    """Vocabulary and P(word | history) of the background and the target, with dictionaries."""
+    cut = {i: ["<s>", *ws, "</s>"] if (ws := (t or "").encode().lower().split()) else [] for i, t in docs.items()}
+    vocab = {w for ws in cut.values() for w in ws[1:]}
     models = []
-    for ids in (good, docs):
-        count, pair, after = Counter(), Counter(), Counter()
-        for i in ids:
-            count.update(cut[i][1:])
-            count["<s>"] += len(cut[i]) > 1
-            pair.update(zip(cut[i], cut[i][1:]))
-        for (h, w), n in pair.items():
-            after[h] += max(n - lm_scoring.DISCOUNT, 0) if (h, w) in kept else 0
+    for ids in (docs, good):
+        count = Counter(w for i in ids for w in cut[i])
+        pair = Counter(p for i in ids for p in zip(cut[i], cut[i][1:]))
         total = sum(n for w, n in count.items() if w != "<s>")
 
-        def p(h, w, count=count, pair=pair, after=after, total=total):
-            one = (count[w] + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * (len(vocab) + 1))
-            if h == "<unk>" or not count[h]:
-                return one
-            own = max(pair[h, w] - lm_scoring.DISCOUNT, 0) / count[h] if (h, w) in kept else 0
-            return own + (1 - after[h] / count[h]) * one
+        def p(h, w, count=count, pair=pair, total=total):
+            one = (count[w] + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * len(vocab))
+            return lm_scoring.LAMBDA * pair[h, w] / count[h] + (1 - lm_scoring.LAMBDA) * one if count[h] else one
 
         models.append(p)
     return vocab, cut, models
@@ -128,33 +116,34 @@ def test_probabilities_after_every_history_sum_to_one(spark):
     docs = {r.doc_id: " ".join((r.text or "").split()[:60]) for r in documents(spark).collect()[:60]}
     vocab, _, models = slow_models(docs, {i for i in docs if i % 2})
     for p in models:
-        for h in ["<s>", "<unk>", *vocab]:
-            assert abs(sum(p(h, w) for w in ["<unk>", *vocab]) - 1) < 1e-9
+        for h in ["<s>", *(vocab - {"</s>"})]:
+            assert abs(sum(p(h, w) for w in vocab) - 1) < 1e-9
+
+
+def assert_scores(got, docs, good):
+    _, cut, models = slow_models(docs, good)
+    assert got.keys() == docs.keys()
+    for i, ws in cut.items():
+        if not ws:
+            assert got[i].score is None and got[i].n_tokens == 0
+            continue
+        background, target = (-np.mean([np.log(p(h, w)) for h, w in zip(ws[:-1], ws[1:-1])]) for p in models)
+        assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [target, background, target - background], atol=1e-9)
 
 
 def test_scores_equal_dictionary_models(spark):
     got = {r.doc_id: r for r in lm_scoring.op4_cross_entropy_difference(spark, SF).collect()}
     labelled = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1 and toxic = 0").collect()}
     docs = {r.doc_id: r.text for r in documents(spark).collect()}
-    _, cut, models = slow_models(docs, labelled & docs.keys())
-    assert got.keys() == docs.keys()
-    for i, ws in cut.items():
-        if len(ws) == 1:
-            assert got[i].score is None
-            continue
-        want = [-np.mean([np.log(p(h, w)) for h, w in zip(ws, ws[1:])]) for p in models]
-        assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [*want, want[0] - want[1]], atol=1e-9)
-
-
-def test_scores_do_not_depend_on_the_chunks(spark, monkeypatch):
-    docs, good = documents(spark), documents(spark).filter("doc_id % 3 = 0").select("doc_id")
-    one = {r.doc_id: r.score for r in lm_scoring.cross_entropy_difference(docs, good).collect()}
-    monkeypatch.setattr(lm_scoring, "CHUNK_BITS", 2)
-    monkeypatch.setattr(lm_scoring, "FLUSH", 500)
-    monkeypatch.setattr(lm_scoring, "TOGETHER", 100)
-    many = {r.doc_id: r.score for r in lm_scoring.cross_entropy_difference(docs, good).collect()}
-    assert one.keys() == many.keys()
-    assert all((one[i] is None and many[i] is None) or abs(one[i] - many[i]) < 1e-9 for i in one)
+    assert_scores(got, docs, labelled & docs.keys())
+
+
+def test_scores_do_not_depend_on_chunks_and_ranges(spark, monkeypatch):
+    docs = {r.doc_id: r.text for r in documents(spark).collect()}
+    for name, value in (("CHUNK_BYTES", 9000), ("RANGE_BYTES", 20_000), ("TOGETHER", 100), ("SENT_IDS", 0)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    got = lm_scoring.cross_entropy_difference(documents(spark), documents(spark).filter("doc_id % 3 = 0").select("doc_id"))
+    assert_scores({r.doc_id: r for r in got.collect()}, docs, {i for i in docs if i % 3 == 0})
 
 
 def test_scores_of_odd_rows(spark):
