@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,12 +160,25 @@ def mask_date(as_of: Column, lag_days: int = 45) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Accents off, lower case, trimmed. Decomposes to base letters with ICU through collation-free
-    built-ins: marks are removed after translate() of the accented Latin letters."""
+    """Accents off, lower case, trimmed, by built-in functions: accented Latin letters by table, marks of
+    other scripts removed. fold_exactly also takes composed letters of other scripts apart."""
     plain = F.translate(F.lower(text), ACCENTED, BASE)
     return F.trim(F.regexp_replace(plain, r"\p{M}", ""))
 
 
+def fold_exactly(text: Column) -> Column:
+    """Compatibility decomposition of all scripts, marks off, case folded, trimmed; for building an index,
+    once: it runs in Python, in Arrow batches."""
+    @F.pandas_udf("string")
+    def folded(values: pd.Series) -> pd.Series:
+        import unicodedata
+
+        strip = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold().strip()
+        return values.map(strip, na_action="ignore")
+
+    return folded(text)
+
+
 def _latin_letters() -> tuple[str, str]:
     """Accented Latin letters and their base letters, from the Unicode tables."""
     import unicodedata
@@ -219,3 +233,17 @@ def place_label(name: Column, country: Column, code: Column, water: Column, sour
     """Name, country (else its code), and the water body of ports."""
     some = lambda c: F.nullif(F.trim(c), F.lit(""))
     return F.concat_ws(", ", some(name), F.coalesce(some(country), some(code)), F.when(source == "wpi", some(water)))
+
+
+def detail_row() -> list[Column]:
+    """What is told of one cell: columns of texts from latitude, longitude, the measurements and `time`,
+    `age_s`; missing values are dashes."""
+    level = F.col("sea_level_anomaly_m") * 100
+    return [
+        latlon_text(F.col("latitude"), F.col("longitude")).alias("position"), sea_state(F.col("wave_height_m")).alias("sea_state"),
+        number_text(F.col("wave_height_m"), 2, "m").alias("wave_height"), number_text(F.col("wave_period_s"), 1, "s").alias("wave_period"),
+        F.coalesce(bearing_text(F.col("wave_direction_deg")), F.lit("–")).alias("wave_from"), number_text(F.col("wave_power_kw_m"), 1, "kW/m").alias("wave_power"),
+        number_text(F.col("current_velocity_kmh"), 2, "km/h").alias("current_speed"), F.coalesce(bearing_text(F.col("current_direction_deg")), F.lit("–")).alias("current_toward"),
+        number_text(F.col("sst_celsius"), 2, "°C").alias("sea_temperature"), number_text(level, 1, "cm").alias("sea_level"),
+        utc_text(F.col("time")).alias("observed"), age_text(F.col("age_s")).alias("age"),
+    ]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +75,7 @@ def key_figures(rows: DataFrame, keys: list[str], time: str = "time") -> DataFra
 
 
 def store_statistics(obs: DataFrame) -> DataFrame:
-    return obs.agg(F.count("*").alias("total"), F.count_if(~F.col("is_forecast")).alias("analyses"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), F.approx_count_distinct("port_id", 0.01).alias("ports_about"))
+    return obs.agg(F.count("*").alias("total"), F.count_if(~F.col("is_forecast")).alias("analyses"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), F.count_distinct("port_id").alias("ports"))
 
 
 def latest_analysis(obs: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,7 +94,3 @@ def strongest(rows: DataFrame, speed: str, fraction: float, keys: list[str], tie
     n = F.count("*").over(Window.partitionBy(*keys))
     keep = F.greatest(F.lit(1), F.floor(n * fraction)) if fraction > 0 else F.lit(0)
     return ranked.withColumn("rank", rank).withColumn("_keep", keep).filter("rank <= _keep").drop("_keep")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -104,6 +104,13 @@ class ObservationFilter:
         return out if self.limit is None else out.limit(self.limit)
 
 
+def look_back(obs: DataFrame, now_ms: int, days: int = 0, port_id: str | None = None, cap: int | None = None) -> DataFrame:
+    """Analyses up to now of the last `days` days (0: all there are) at a port or everywhere; cap: the
+    earliest so many rows of them, if it is set."""
+    start = now_ms - days * 86_400_000 if days else None
+    return ObservationFilter(start_ms=start, end_ms=now_ms, port_id=port_id, order="asc" if cap else None, limit=cap).apply(obs)
+
+
 def _owns(column: str) -> Column:
     """Whether the row's source may overwrite the column."""
     limited = [s for s in OWNED if column not in OWNED[s] or column in FILL_ONLY.get(s, [])]

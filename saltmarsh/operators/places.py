@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import scalar as S
+from saltmarsh.session import settled
 
 
 def across_seam(places: DataFrame, longitude: str, margin: float) -> DataFrame:
@@ -22,7 +23,8 @@ def nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id
     beyond 180 degrees. See exact_nearest_places for the k nearest of all.
 
     Each pad is a join on grid cells of that width between the points not served so far and the
-    places, so no point meets a place outside the nine cells around it.
+    places, so no point meets a place outside the nine cells around it. What a pad found and the
+    points left are written, so that a later pad doesn't search the earlier ones again.
     """
     left, out = points.select(point_id, F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon")), None
     right = places.select(F.col(place_id).alias("place"), F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon"))
@@ -34,9 +36,11 @@ def nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id
         hit = asked.join(held, ["_cy", "_cx"]).filter((F.abs(F.col("_plat") - F.col("_lat")) <= pad) & (F.abs(F.col("_plon") - F.col("_lon")) <= pad))
         hit = hit.select(point_id, "_lat", "_lon", "place", "_plat", "_plon", S.haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("distance_km"))
         rank = F.row_number().over(Window.partitionBy(point_id).orderBy("distance_km", "place"))
-        best = hit.withColumn("rank", rank).filter(F.col("rank") <= k)
+        best = settled(hit.withColumn("rank", rank).filter(F.col("rank") <= k), "nearest")
         out = best if out is None else out.unionByName(best)
-        left = left.join(best.select(point_id).distinct(), point_id, "left_anti")
+        left = settled(left.join(best.select(point_id).distinct(), point_id, "left_anti"), "not_near")
+        if left.isEmpty():
+            break
     return _with_bearing(out, point_id)
 
 
@@ -44,7 +48,7 @@ def _with_bearing(found: DataFrame, point_id: str) -> DataFrame:
     return found.select(point_id, "place", "rank", "distance_km", S.initial_bearing(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("bearing_deg"))
 
 
-def exact_nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1, widths: tuple[float, ...] = (0.03, 0.12, 0.5)) -> DataFrame:
+def exact_nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1, widths: tuple[float, ...] = (0.03, 0.12, 0.25, 0.5, 1.0)) -> DataFrame:
     """The k nearest places of every point, over poles and antimeridian.
 
     Points and places are laid on the unit sphere and into cubes of a width. The 27 cubes around a
@@ -71,11 +75,14 @@ def exact_nearest_places(points: DataFrame, places: DataFrame, point_id: str, pl
             reach = 2 * S.EARTH_KM * math.asin(width / 2) * (1 - 1e-9)
             hit = hit.filter(F.col("distance_km") <= reach)
         best = hit.withColumn("rank", rank).filter(F.col("rank") <= k)
+        best = settled(best, "nearest")
         if width < 2.0:
             full = best.filter(F.col("rank") == k).select(point_id)
             best = best.join(full, point_id, "left_semi")
-            left = left.join(full, point_id, "left_anti")
+            left = settled(left.join(full, point_id, "left_anti"), "not_near")
         out = best if out is None else out.unionByName(best)
+        if width < 2.0 and left.isEmpty():
+            break
     return _with_bearing(out, point_id)
 
 
@@ -146,10 +153,17 @@ def equal_area_points(spark: SparkSession, spacing: float, max_latitude: float =
     return rows.select(F.bround("lat", 4).alias("latitude"), F.bround(-180.0 + (F.col("_i") + 0.5) * 360.0 / F.col("_n"), 4).alias("longitude"))
 
 
+#: Letters of a word's beginning by which a search joins; longer beginnings are compared after that.
+PREFIX = 8
+
+
+def search_words(text: Column) -> Column:
+    return F.filter(F.split(S.fold(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+
+
 def search_index(places: DataFrame, place_id: str, fields: list[str]) -> DataFrame:
-    """token, prefix, place: one row per distinct folded word."""
-    words = F.array_distinct(F.filter(F.split(S.fold(F.concat_ws(" ", *fields)), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    return places.select(F.col(place_id).alias("place"), F.explode(words).alias("token")).withColumn("prefix", F.substring("token", 1, 2))
+    """token, place: one row per distinct folded word."""
+    return places.select(F.col(place_id).alias("place"), F.explode(F.array_distinct(search_words(F.concat_ws(" ", *fields)))).alias("token"))
 
 
 def search_tier(name: Column, query: Column) -> Column:
@@ -160,21 +174,34 @@ def search_tier(name: Column, query: Column) -> Column:
 
 def search_places(queries: DataFrame, places: DataFrame, place_id: str, name: str, fields: list[str], top: int = 12) -> DataFrame:
     """queries: query. All words of a query must occur, the last as a beginning; ranked by tier,
-    population, ports first, shorter name. Joins run on whole words or the first two letters."""
-    tokens = F.slice(F.filter(F.split(S.fold(F.col("query")), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), 1, 6)
-    asked = queries.select("query").distinct().withColumn("_t", tokens).withColumn("_n", F.size("_t")).filter("_n > 0")
+    population, ports first, shorter name. Whole words are joined as they are, beginnings with the
+    index's beginnings of the same length, up to PREFIX letters, so that a query meets few words that
+    it doesn't begin."""
+    asked = queries.select("query").distinct().withColumn("_t", F.slice(search_words(F.col("query")), 1, 6)).withColumn("_n", F.size("_t")).filter("_n > 0")
     each = asked.select("query", "_n", F.posexplode("_t").alias("_at", "_word"))
     index = search_index(places, place_id, fields)
     whole = each.filter("_at < _n - 1").join(index, F.col("_word") == F.col("token")).select("query", "_n", "_at", "place")
-    last = each.filter("_at = _n - 1").withColumn("_p", F.substring("_word", 1, 2))
-    long = last.filter("length(_word) > 1").join(index, F.col("_p") == F.col("prefix")).filter("startswith(token, _word)").select("query", "_n", "_at", "place")
-    one = last.filter("length(_word) = 1").join(index.withColumn("_first", F.substring("token", 1, 1)), F.col("_word") == F.col("_first")).select("query", "_n", "_at", "place")
-    hits = whole.unionByName(long).unionByName(one).distinct().groupBy("query", "place", "_n").agg(F.count("*").alias("_got")).filter("_got = _n")
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(PREFIX))), lambda n: F.substring("token", F.lit(1), n))
+    begun = index.withColumn("_prefix", F.explode(starts))
+    last = each.filter("_at = _n - 1").withColumn("_p", F.substring("_word", 1, PREFIX))
+    last = last.join(begun, F.col("_p") == F.col("_prefix")).filter("startswith(token, _word)").select("query", "_n", "_at", "place")
+    hits = whole.unionByName(last).distinct().groupBy("query", "place", "_n").agg(F.count("*").alias("_got")).filter("_got = _n")
     found = hits.join(places.withColumnRenamed(place_id, "place"), "place").withColumn("tier", search_tier(F.col(name), F.col("query")))
     by = Window.partitionBy("query").orderBy("tier", F.desc_nulls_last("population"), F.col("source") != "wpi", F.length(name), "place")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top).select("query", "rank", "place", F.col(name).alias("name"), "tier", "population")
 
 
+def search_pool(hits: DataFrame, popular: DataFrame, keys: list[str]) -> DataFrame:
+    """Two sets of candidates as one, each candidate once; where both have it the hits' row stays."""
+    rows = hits.withColumn("_from", F.lit(0)).unionByName(popular.withColumn("_from", F.lit(1)), allowMissingColumns=True)
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_from"))).filter("_n = 1").drop("_n", "_from")
+
+
+def by_key(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of one place, port or saved specification; a literal that reaches the scan."""
+    return rows.filter(F.col(key) == F.lit(value))
+
+
 def build_gazetteer(ports: DataFrame, cities: DataFrame, countries: DataFrame) -> DataFrame:
     """Ports first, then cities, the first of each port_id; empty country names looked up."""
     rows = ports.withColumn("_kind", F.lit(0)).unionByName(cities.withColumn("_kind", F.lit(1)), allowMissingColumns=True)

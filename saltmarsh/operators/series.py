@@ -49,7 +49,8 @@ def resample(obs: DataFrame, interval: str = "1d", start: Column | None = None,
 def fill_gaps(rows: DataFrame, columns: list[str], how: str, keys: list[str], order: str) -> DataFrame:
     """zero, ffill, or linear by position with the edges taking the nearest value."""
     by = Window.partitionBy(*keys).orderBy(order)
-    past, future = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    # What comes next is the last of the rows seen from the end: frames that grow, not ones that shrink.
+    past, future = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (by, Window.partitionBy(*keys).orderBy(F.desc(order))))
     if how == "zero":
         return rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
     if how == "ffill":
@@ -59,7 +60,7 @@ def fill_gaps(rows: DataFrame, columns: list[str], how: str, keys: list[str], or
         made = {}
         for c in columns:
             known = F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v")))
-            p, n = F.last(known, ignorenulls=True).over(past), F.first(known, ignorenulls=True).over(future)
+            p, n = F.last(known, ignorenulls=True).over(past), F.last(known, ignorenulls=True).over(future)
             between = p["v"] + (n["v"] - p["v"]) * F.try_divide(F.col("_i") - p["i"], n["i"] - p["i"])
             made[c] = F.coalesce(c, between, p["v"], n["v"])
         return rows.withColumns(made).drop("_i")
@@ -113,24 +114,31 @@ def warm_spells(rows: DataFrame, value: str, keys: list[str], order: str, window
     return rows.withColumn("warm_spell", F.col("_hot") & (run >= min_duration)).drop("_hot", "_island")
 
 
+def chart_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have a finite value in each of the plotted columns."""
+    return rows.withColumns({c: S.clean(F.col(c)) for c in columns}).dropna(subset=columns)
+
+
 def lttb(rows: DataFrame, keys: list[str], x: str, y: str, points: int) -> DataFrame:
     """Largest-triangle downsampling: at most `points` rows per series, first and last among them.
 
     Buckets are found by windows; the choice along the buckets, each depending on the one before,
-    is a fold over the series' bucket arrays. Rows with a null or non-finite y are dropped.
+    is a fold over the series' bucket arrays, which hold the number and the coordinates of each row
+    only; whole rows are joined to the chosen numbers. Rows with a null or non-finite y are dropped.
     """
     clean = rows.withColumn("_y", S.clean(F.col(y))).filter("_y is not null").withColumn("_x", F.col(x).cast("double"))
-    by = Window.partitionBy(*keys).orderBy("_x")
+    others = [c for c in rows.columns if c not in (x, y, *keys)]
+    by = Window.partitionBy(*keys).orderBy("_x", "_y", *others)  # ties in a defined order
     n = F.count("*").over(Window.partitionBy(*keys))
     clean = clean.withColumn("_j", F.row_number().over(by) - 1).withColumn("_n", n)
     if points < 3:
         return clean.drop("_y", "_x", "_j", "_n")
     size = (F.col("_n") - 2) / F.lit(float(points - 2))
     inner = (F.col("_j") > 0) & (F.col("_j") < F.col("_n") - 1)
-    bucket = F.when(F.col("_n") <= points, F.col("_j")).when(F.col("_j") == 0, -1).when(inner, F.ceil(F.col("_j") / size) - 1).otherwise(points - 2)
-    point = F.struct(F.col("_j").alias("j"), F.col("_x").alias("x"), F.col("_y").alias("y"), F.struct(*rows.columns).alias("row"))
-    buckets = clean.groupBy(*keys, "_n", bucket.cast("int").alias("_b")).agg(F.sort_array(F.collect_list(point)).alias("p"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"))
-    series = buckets.groupBy(*keys, "_n").agg(F.sort_array(F.collect_list(F.struct("_b", "p", "mx", "my"))).alias("s"))
+    bucket = F.when(F.col("_j") == 0, -1).when(inner, F.ceil(F.col("_j") / size) - 1).otherwise(points - 2)
+    point = F.struct(F.col("_j").alias("j"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+    buckets = clean.filter(F.col("_n") > points).groupBy(*keys, bucket.cast("int").alias("_b")).agg(F.sort_array(F.collect_list(point)).alias("p"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"))
+    series = buckets.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "p", "mx", "my"))).alias("s"))
 
     def choose(acc: Column, i: Column) -> Column:
         last, here, ahead = F.element_at(acc, -1), F.element_at("s", i), F.element_at("s", F.least(i + 1, F.size("s")))
@@ -139,5 +147,9 @@ def lttb(rows: DataFrame, keys: list[str], x: str, y: str, points: int) -> DataF
         return F.concat(acc, F.array(best))
 
     picked = F.aggregate(F.sequence(F.lit(2), F.size("s")), F.slice(F.element_at("s", 1)["p"], 1, 1), choose)
-    chosen = F.when((F.col("_n") <= points) | (F.size("s") < 2), F.flatten(F.transform("s", lambda b: b["p"]))).otherwise(picked)
-    return series.select(F.explode(chosen).alias("c")).select("c.row.*")
+    chosen = series.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(F.transform(picked, lambda q: q["j"])).alias("_at"))
+    same = F.col("_j") == F.col("_at")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    few = clean.filter(F.col("_n") <= points).select(*rows.columns)
+    return few.unionByName(clean.filter(F.col("_n") > points).join(chosen, same, "left_semi").select(*rows.columns))

@@ -11,7 +11,8 @@ from saltmarsh.operators import observations as O
 from saltmarsh.operators import places as P
 from saltmarsh.operators import planning as L
 from saltmarsh.operators import series as R
-from saltmarsh.plans.queries import DAYS, HAV, OBS, XY, obs, placed, query, r4, read, sq
+from saltmarsh.operators import analytics as A
+from saltmarsh.plans.queries import BEARING, DAYS, HAV, OBS, XY, obs, placed, query, r4, r6, read, sq
 from saltmarsh.session import shared_folder
 from saltmarsh.sources import exports, readers
 from saltmarsh.streaming import observations as X
@@ -83,7 +84,14 @@ def coastal_cities(spark, d):
     return readers.city_rows(lines, ocean).select("port_id", "port_name", "population")
 
 
-@query()
+CELL = "CAST(least(greatest(floor({y} + 90), 0), 179) * 360 + least(greatest(floor({x} + 180 - 360 * floor(({x} + 180) / 360)), 0), 359) AS INTEGER)"
+WRAPPED = "({x} + 180 - 360 * floor(({x} + 180) / 360)) - 180"
+
+
+@query(f"""WITH {SUPPLIERS}, {CUSTOMERS}, o AS (SELECT DISTINCT {CELL.format(y='lat', x='lon')} AS cell_id FROM s), m AS (SELECT dy, dx FROM range(-4, 5) a(dy), range(-4, 5) b(dx)),
+t AS (SELECT c_custkey, greatest(abs(dy), abs(dx)) AS ring, sqrt(dy * dy + power(dx * cos(radians(plat)), 2)) AS far, dy, dx, plat + dy AS y, CASE WHEN dy = 0 AND dx = 0 THEN plon ELSE {WRAPPED.format(x='(plon + dx)')} END AS x FROM c, m),
+h AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY ring, far, dy, dx) AS n FROM t WHERE (abs(y) <= 90 OR ring = 0) AND {CELL.format(y='y', x='x')} IN (SELECT cell_id FROM o))
+SELECT c.c_custkey, round(y, 4) AS ocean_latitude, round(x, 4) AS ocean_longitude, CAST(ring AS INTEGER) AS ring FROM c LEFT JOIN h ON h.c_custkey = c.c_custkey AND n = 1""")
 def nearest_ocean_cells(spark, d):
     ocean = suppliers(spark, d).select(S.mask_cell(F.col("latitude"), F.col("longitude")).alias("cell_id"))
     return L.nearest_ocean(customers(spark, d), ocean, "c_custkey").select("c_custkey", *r4("ocean_latitude", "ocean_longitude"), "ring")
@@ -97,9 +105,16 @@ def resolved_cells(spark, d):
     return L.resolve_cells(suppliers(spark, d), gridded, "s_suppkey", "v", 5.0).select("s_suppkey", *r4("cell_latitude", "cell_longitude"), F.round("distance_km", 3).alias("distance_km"))
 
 
-@query()
+DIRECTIONS = "(VALUES (1, 1, 0), (2, -1, 0), (3, 0, 1), (4, 0, -1), (5, 1, 1), (6, 1, -1), (7, -1, 1), (8, -1, -1)) d(k, dy, dx)"
+
+
+@query(f"""WITH {SUPPLIERS}, {CUSTOMERS}, o AS (SELECT DISTINCT floor(plat) AS y, floor(plon) AS x FROM c),
+m AS (SELECT 0 AS ordinal, 0.0::DOUBLE AS dy, 0.0::DOUBLE AS dx UNION ALL SELECT 8 * i + k, step * dy, step * dx FROM (VALUES (0, 0.25::DOUBLE), (1, 0.5), (2, 1.0)) st(i, step), {DIRECTIONS}),
+t AS (SELECT s_suppkey, ordinal, greatest(-90.0, least(90.0, lat + dy)) AS y, CASE WHEN ordinal = 0 THEN lon ELSE {WRAPPED.format(x='(lon + dx)')} END AS x FROM s, m),
+h AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY ordinal) AS n FROM t WHERE EXISTS (SELECT 1 FROM o WHERE o.y = floor(t.y) AND o.x = floor(t.x)))
+SELECT s.s_suppkey, round(y, 4) AS marine_latitude, round(x, 4) AS marine_longitude FROM s LEFT JOIN h ON h.s_suppkey = s.s_suppkey AND n = 1""")
 def marine_cell_search(spark, d):
-    return L.marine_cells(suppliers(spark, d), customers(spark, d), "s_suppkey", cell=1.0)
+    return L.marine_cells(suppliers(spark, d), customers(spark, d), "s_suppkey", cell=1.0).select("s_suppkey", *r4("marine_latitude", "marine_longitude"))
 
 
 @query()
@@ -128,10 +143,10 @@ SPEC = {"start": "2024-01-03", "end": "2024-01-12", "scope_mode": "bbox", "min_l
 
 @query(OBS + f""", k AS (SELECT date_trunc('day', time) AS w, count(*) AS n, avg(sst_celsius) AS sst, avg(wave_power_kw_m) AS pw FROM p WHERE NOT is_forecast AND latitude BETWEEN -40 AND 60 AND time >= '2024-01-03' AND time < '2024-01-13' GROUP BY ALL),
 g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-13', INTERVAL 1 DAY)) AS w)
-SELECT g.w AS window_start, coalesce(n, 0) AS observation_count, CAST(sum(coalesce(n, 0)) OVER (ORDER BY g.w) AS BIGINT) AS cumulative_observations, round(sst, 4) AS sst_celsius, round(coalesce(pw * 24, 0), 3) AS wave_energy_kwh_m, round(ln(1 + coalesce(pw * 24, 0)), 4) AS log1p_wave_energy_kwh_m FROM g LEFT JOIN k ON g.w = k.w""")
+SELECT g.w AS window_start, coalesce(n, 0) AS observation_count, CAST(sum(coalesce(n, 0)) OVER (ORDER BY g.w) AS BIGINT) AS cumulative_observations, round(sst, 6) AS sst_celsius, round(CASE WHEN count(sst) OVER () >= 8 AND count(sst) OVER b >= 5 AND stddev_pop(sst) OVER b > 1e-9 THEN (sst - avg(sst) OVER b) / stddev_pop(sst) OVER b END, 4) AS sst_celsius_z, round(coalesce(pw * 24, 0), 3) AS wave_energy_kwh_m, round(ln(1 + coalesce(pw * 24, 0)), 4) AS log1p_wave_energy_kwh_m FROM g LEFT JOIN k ON g.w = k.w WINDOW b AS (ORDER BY g.w ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)""")
 def export_by_spec(spark, d):
     out = exports.run_spec(obs(spark, d), SPEC)
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "observation_count", "cumulative_observations", *r4("sst_celsius", "log1p_wave_energy_kwh_m"), F.round("wave_energy_kwh_m", 3).alias("wave_energy_kwh_m"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "observation_count", "cumulative_observations", *r6("sst_celsius"), *r4("sst_celsius_z", "log1p_wave_energy_kwh_m"), F.round("wave_energy_kwh_m", 3).alias("wave_energy_kwh_m"))
 
 
 @query(OBS + f"SELECT strftime(date_trunc('second', time), '%Y-%m-%dT%H:%M:%SZ') AS time, latitude, longitude, {sq('wave_height_m', 'wave_power_kw_m')}, is_forecast FROM p")
@@ -140,19 +155,25 @@ def raw_export(spark, d):
     return exports.csv_rows(rows).select("time", "latitude", "longitude", *r4("wave_height_m", "wave_power_kw_m"), "is_forecast")
 
 
-@query(OBS + "SELECT count(*) AS n, 16 AS n_columns FROM obs")
+@query(OBS + """SELECT count(*) AS n, 16 AS n_columns, strftime(min(time), '%Y-%m-%d') AS first_day, strftime(max(time), '%Y-%m-%d') AS last_day, 'analysis' AS sst_nature, 'CC BY 4.0' AS licence, 5 AS n_providers FROM obs""")
 def export_manifest(spark, d):
     made = exports.manifest(exports.raw_projection(obs(spark, d)), SPEC)
-    return made.select(F.get_json_object("manifest", "$.result.rows").cast("long").alias("n"), F.json_array_length(F.get_json_object("manifest", "$.data_dictionary")).alias("n_columns"))
+    entry = "array<struct<column:string,nature:string>>"
+    got = lambda path: F.get_json_object("manifest", path)
+    sst = F.filter(F.from_json(got("$.data_dictionary"), entry), lambda e: e["column"] == "sst_celsius")[0]["nature"]
+    givers = F.from_json(got("$.providers"), "array<struct<provider:string,licence:string>>")
+    licence = F.filter(givers, lambda p: p["provider"] == "Open-Meteo Marine")[0]["licence"]
+    return made.select(got("$.result.rows").cast("long").alias("n"), F.json_array_length(got("$.data_dictionary")).alias("n_columns"), F.substring(got("$.result.time_covered.first"), 1, 10).alias("first_day"), F.substring(got("$.result.time_covered.last"), 1, 10).alias("last_day"), sst.alias("sst_nature"), licence.alias("licence"), F.size(givers).alias("n_providers"))
 
 
-@query(f"WITH {CUSTOMERS}, {SUPPLIERS}, g AS (SELECT c_custkey % 500 AS k, 0 AS kind, CAST(c_acctbal AS BIGINT) AS pop FROM c UNION ALL SELECT s_suppkey % 500 + 400, 1, CAST(s_acctbal AS BIGINT) FROM s), f AS (SELECT k, min(kind) AS kind, arg_max(pop, struct_pack(a := -kind, b := pop)) AS pop FROM g GROUP BY k) SELECT count(*) AS entries, count(*) FILTER (WHERE kind = 0) AS ports, count(*) FILTER (WHERE kind = 1) AS cities, count(*) FILTER (WHERE kind = 0 AND pop > 0) AS enriched FROM f")
+@query(f"WITH {CUSTOMERS}, {SUPPLIERS}, g AS (SELECT c_custkey % 500 AS k, 0 AS kind, CAST(c_acctbal AS BIGINT) AS pop FROM c UNION ALL SELECT s_suppkey % 500 + 400, 1, CAST(s_acctbal AS BIGINT) FROM s), f AS (SELECT k, min(kind) AS kind, arg_max(pop, struct_pack(a := -kind, b := pop)) AS pop FROM g GROUP BY k) SELECT count(*) AS entries, count(*) FILTER (WHERE kind = 0) AS ports, count(*) FILTER (WHERE kind = 1) AS cities, count(*) FILTER (WHERE kind = 0 AND pop > 0) AS enriched, (SELECT n_name FROM nation WHERE n_nationkey = 6) AS country FROM f")
 def gazetteer_figures(spark, d):
     row = lambda df, key, shift, name, pop, src: df.select((F.col(key) % 500 + shift).cast("string").alias("port_id"), F.col(name).alias("port_name"), F.lit("FR").alias("country_code"), F.lit("").alias("country_name"), F.round(pop).cast("long").alias("population"), F.lit(src).alias("source"))
     ports = row(customers(spark, d), "c_custkey", 0, "c_name", "c_acctbal", "wpi")
     cities = row(suppliers(spark, d), "s_suppkey", 400, "s_name", "s_acctbal", "geonames")
     names = read(spark, d, "nation").filter("n_nationkey = 6").select(F.lit("FR").alias("country_code"), F.col("n_name").alias("country_name"))
-    return L.gazetteer_counts(P.build_gazetteer(ports, cities, names))
+    built = P.build_gazetteer(ports, cities, names)
+    return L.gazetteer_counts(built).crossJoin(built.agg(F.when(F.count_distinct("country_name") == 1, F.min("country_name")).alias("country")))  # one row each
 
 
 @query(OBS + "SELECT event_id, printf('%.2f°', abs(latitude)) || CASE WHEN latitude >= 0 THEN 'N' ELSE 'S' END || ' ' || printf('%.2f°', abs(longitude)) || CASE WHEN longitude >= 0 THEN 'E' ELSE 'W' END AS place, strftime(time, '%Y-%m-%d %H:%M UTC') AS at, CASE WHEN current_velocity_kmh < 2 THEN '0–2 km/h' WHEN current_velocity_kmh < 5 THEN '2–5 km/h' WHEN current_velocity_kmh < 10 THEN '5–10 km/h' ELSE 'over 10 km/h' END AS band FROM obs")
@@ -256,3 +277,77 @@ def tracked_ports(spark, d):
     old = port(customers(spark, d), F.col("c_custkey"), "c_name", 1, F.col("latitude"), F.col("c_acctbal"))
     new = port(suppliers(spark, d), F.col("s_suppkey") + 5, "s_name", 2, F.when(F.col("s_acctbal") > 0, F.col("latitude") + 0.5), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")))
     return O.upsert_tracked_ports(old, new).select("port_id", "port_name", *r4("latitude", "marine_latitude", "elevation_m"), "added_at")
+
+
+@query(OBS + """SELECT event_id, round(latitude, 3) || ',' || round(longitude, 3) AS place, CASE WHEN sst_celsius IS NULL THEN latitude ELSE sst_celsius END AS either, epoch_us(time) // 1000 > 1704500000000 AS ahead,
+ ['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'][(floor(wave_direction_deg / 22.5 + 0.5)::INT % 16) + 1] || ' ' || wave_direction_deg::INT || '°' AS heading,
+ CASE WHEN age < 0 THEN 'in ' || floor(-age / 60)::BIGINT || 'm' WHEN age < 60 THEN age || 's ago' WHEN age < 3600 THEN floor(age / 60)::BIGINT || 'm ago' WHEN age < 86400 THEN floor(age / 3600)::BIGINT || 'h ago' ELSE floor(age / 86400)::BIGINT || 'd ago' END AS age,
+ coalesce(printf('%.2f', sst_celsius) || ' °C', '–') AS shown, round(latitude + (1.6 + 6 * current_velocity_kmh / 150) * cos(radians(wave_direction_deg)), 9) AS arrow_lat,
+ round(longitude + (1.6 + 6 * current_velocity_kmh / 150) * sin(radians(wave_direction_deg)) / greatest(0.25, cos(radians(latitude))), 9) AS arrow_lon,
+ coalesce(wave_height_m > 1 AND sst_celsius > 12, false) AS both_high, longitude - 360 * floor(longitude / 360) AS lon_0360, event_id % 2 = 1 AS moved, CAST(time AS DATE) - 45 AS mask_day,
+ CASE WHEN size < 1000 THEN size || ' B' WHEN size < 1000000 THEN printf('%.1f kB', size / 1e3) WHEN size < 1e9 THEN printf('%.1f MB', size / 1e6) ELSE printf('%.1f GB', size / 1e9) END AS bytes
+ FROM (SELECT *, (event_id * 7919) % 400000 - 1000 AS age, event_id * event_id * 31 AS size FROM obs)""")
+def reading_functions(spark, d):
+    o = obs(spark, d)
+    col, lat, lon, odd = F.col, F.col("latitude"), F.col("longitude"), F.col("event_id") % 2
+    to_lat, to_lon = S.flow_arrow(lat, lon, col("wave_direction_deg"), col("current_velocity_kmh"), F.lit(150.0))
+    return o.select(
+        "event_id", S.cell_key(lat, lon).alias("place"), S.marine_coordinate(col("sst_celsius"), lat).alias("either"), S.forecast_flag(col("timestamp"), 1_704_500_000_000).alias("ahead"), S.bearing_text(col("wave_direction_deg")).alias("heading"),
+        S.age_text((col("event_id") * 7919) % 400_000 - 1000).alias("age"), S.number_text(col("sst_celsius"), 2, "°C").alias("shown"), F.round(to_lat, 9).alias("arrow_lat"), F.round(to_lon, 9).alias("arrow_lon"),
+        S.joint_anomaly(col("wave_height_m") - 1 + 2, col("sst_celsius") - 12 + 2).alias("both_high"), S.encode_longitude(lon, "0360").alias("lon_0360"), S.moved_cell(lat, lon, lat + odd * 0.02, lon).alias("moved"),
+        S.mask_date(F.to_date("time")).alias("mask_day"), S.bytes_text(col("event_id") * col("event_id") * 31).alias("bytes"),
+    )
+
+
+@query(f"WITH {CUSTOMERS} SELECT c_custkey, c_name || ', ' || n_name || CASE WHEN c_custkey % 2 = 0 THEN ', North Sea' ELSE '' END AS label FROM c JOIN nation ON n_nationkey = c_nationkey")
+def place_labels(spark, d):
+    rows = customers(spark, d).join(F.broadcast(read(spark, d, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    label = S.place_label(F.col("c_name"), F.when(F.col("c_custkey") % 3 > 0, F.col("n_name")).otherwise(F.lit(" ")), F.col("n_name"), F.lit("North Sea"), F.when(F.col("c_custkey") % 2 == 0, "wpi").otherwise("geonames"))
+    return rows.select("c_custkey", label.alias("label"))
+
+
+@query(OBS + ", l AS (SELECT cell, arg_max(wave_power_kw_m, struct_pack(t := time, v := wave_power_kw_m)) FILTER (WHERE wave_power_kw_m IS NOT NULL) AS pw, max(time) AS latest FROM p GROUP BY cell) SELECT round(max(pw), 4) AS peak_power, (SELECT cell FROM l WHERE pw IS NOT NULL ORDER BY pw DESC, cell LIMIT 1) AS peak_cell, count(pw) AS cells, max(latest) AS newest FROM l")
+def pulse_figures(spark, d):
+    latest = A.latest_per_cell(obs(spark, d), ["cell"], ["wave_power_kw_m"], "time")
+    return A.pulse(latest, "wave_power_kw_m", "cell").select(*r4("peak_power"), "peak_cell", "cells", "newest")
+
+
+@query(DAYS + """, n AS (SELECT cell, count(sst_celsius) AS n FROM p GROUP BY cell), z AS (SELECT cell, day, CASE WHEN count(sst_celsius) OVER w >= 8 AND stddev_pop(sst_celsius) OVER w > 1e-9 THEN (sst_celsius - avg(sst_celsius) OVER w) / stddev_pop(sst_celsius) OVER w END AS z FROM d WHERE sst_celsius IS NOT NULL WINDOW w AS (PARTITION BY cell ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+l AS (SELECT cell, arg_max(z, day) FILTER (WHERE z IS NOT NULL) AS z, count(*) AS days FROM z GROUP BY cell) SELECT round(max(z), 4) AS max_z, count(*) FILTER (WHERE z > 0.5) AS cells_over, count(z) AS cells FROM l JOIN n USING (cell) WHERE n >= 24 AND days >= 10""")
+def sst_anomaly_figures(spark, d):
+    return A.sst_anomalies(obs(spark, d), "cell", threshold=0.5).select(*r4("max_z"), "cells_over", "cells")
+
+
+@query(OBS + "SELECT count(*) AS total, count(*) FILTER (WHERE NOT is_forecast) AS analyses, CAST(epoch_us(min(time)) // 1000 AS BIGINT) AS first_ts, CAST(epoch_us(max(time)) // 1000 AS BIGINT) AS last_ts, count(DISTINCT source) AS ports FROM obs")
+def store_figures(spark, d):
+    return A.store_statistics(obs(spark, d).withColumn("port_id", F.col("source")))
+
+
+@query(OBS + "SELECT source, CAST(epoch_us(max(time)) // 1000 AS BIGINT) AS latest FROM obs WHERE NOT is_forecast GROUP BY source")
+def latest_analyses(spark, d):
+    return A.latest_analysis(obs(spark, d), ["source"])
+
+
+@query(OBS + ", h AS (SELECT event_id, cell, source FROM obs), f AS (SELECT cell, source, min(event_id) AS first FROM h GROUP BY ALL) SELECT cell, string_agg(source, ',' ORDER BY first) AS sources FROM f GROUP BY cell")
+def contributing_sources(spark, d):
+    """The sources of each cell's merged reading, in order of arrival."""
+    o = obs(spark, d).withColumn("obs_id", F.col("cell")).withColumn("ingest_seq", F.col("event_id")).withColumn("port_id", F.lit(None).cast("string")).withColumn("is_historical_cache", F.lit(False))
+    return O.merge_observations(o).select(F.col("obs_id").alias("cell"), F.array_join("sources", ",").alias("sources"))
+
+
+@query(OBS + "SELECT event_id FROM obs WHERE NOT is_forecast AND epoch_us(time) // 1000 BETWEEN 1704067200000 + 86400000 * 10 - 86400000 * 7 AND 1704067200000 + 86400000 * 10 AND source = (SELECT min(source) FROM obs)")
+def readings_looked_back(spark, d):
+    """Seven days of one port's analyses."""
+    o = obs(spark, d)
+    port = o.agg(F.min("source")).first()[0]
+    return O.look_back(o.withColumn("port_id", F.col("source")), 1_704_067_200_000 + 86_400_000 * 10, 7, port).select("event_id")
+
+
+@query(f"WITH {CUSTOMERS} SELECT c_custkey % 40 AS k, min(c_custkey) FILTER (WHERE c_acctbal > 5000) AS hit, min(c_custkey) AS any_key FROM c GROUP BY ALL HAVING max(c_acctbal) > 5000")
+def pooled_candidates(spark, d):
+    """Candidates from two searches, each once, the first search's row first."""
+    c = customers(spark, d).withColumn("k", F.col("c_custkey") % 40)
+    rich = c.filter("c_acctbal > 5000").groupBy("k").agg(F.min("c_custkey").alias("hit"))
+    every = c.groupBy("k").agg(F.min("c_custkey").alias("any_key"))
+    pool = P.search_pool(rich, every.select("k", F.lit(None).cast("long").alias("hit")), ["k"])
+    return pool.filter("hit is not null").join(every, "k").select("k", "hit", "any_key")

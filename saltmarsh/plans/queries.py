@@ -42,8 +42,13 @@ def r4(*names: str):
     return [F.round(n, 4).alias(n) for n in names]
 
 
-def sq(*names: str) -> str:
-    return ", ".join(f"round({n}, 4) AS {n}" for n in names)
+def sq(*names: str, places: int = 4) -> str:
+    return ", ".join(f"round({n}, {places}) AS {n}" for n in names)
+
+
+def r6(*names: str):
+    """Means of raw readings are compared at six places: at four they have ties."""
+    return [F.round(n, 6).alias(n) for n in names]
 
 
 QUERIES: dict = {}
@@ -88,24 +93,44 @@ def observations_in_radius(spark, d):
 @query(OBS + """, b AS (SELECT cell, date_trunc('day', min(time)) AS lo, max(time) AS hi FROM p GROUP BY cell),
 grid AS (SELECT cell, unnest(generate_series(lo, CASE WHEN date_trunc('day', hi) < hi THEN date_trunc('day', hi) + INTERVAL 1 DAY ELSE hi END, INTERVAL 1 DAY)) AS window_start FROM b),
 g AS (SELECT cell, date_trunc('day', time) AS window_start, count(*) AS n, avg(sst_celsius) AS sst, max(wave_height_m) AS hm, avg(wave_power_kw_m) AS pw FROM p GROUP BY ALL)
-SELECT cell, window_start, coalesce(n, 0) AS observation_count, round(sst, 4) AS sst_celsius, round(hm, 4) AS wave_height_m_max, round(coalesce(pw * 24, 0), 3) AS energy_kwh_m FROM grid LEFT JOIN g USING (cell, window_start)""")
+SELECT cell, window_start, coalesce(n, 0) AS observation_count, round(sst, 6) AS sst_celsius, round(hm, 4) AS wave_height_m_max, round(coalesce(pw * 24, 0), 3) AS energy_kwh_m FROM grid LEFT JOIN g USING (cell, window_start)""")
 def daily_resample(spark, d):
     out = R.resample(obs(spark, d), "1d", keys=["cell"])
-    return out.select("cell", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "observation_count", *r4("sst_celsius", "wave_height_m_max"), F.round("energy_kwh_m", 3).alias("energy_kwh_m"))
+    return out.select("cell", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "observation_count", *r6("sst_celsius"), *r4("wave_height_m_max"), F.round("energy_kwh_m", 3).alias("energy_kwh_m"))
 
 
-@query()
+SIX = "INTERVAL 6 HOUR"
+
+
+@query(OBS + f""", w AS (SELECT cell, time_bucket({SIX}, time) AS window_start, count(*) AS n, avg(sst_celsius) AS sst, max(wave_height_m) AS hm, avg(wave_power_kw_m) AS pw FROM p GROUP BY ALL),
+b AS (SELECT cell, time_bucket({SIX}, min(time)) AS lo, max(time) AS hi FROM p GROUP BY cell),
+g AS (SELECT cell, unnest(generate_series(lo, CASE WHEN time_bucket({SIX}, hi) < hi THEN time_bucket({SIX}, hi) + {SIX} ELSE hi END, {SIX})) AS window_start FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY window_start) AS i FROM g LEFT JOIN w USING (cell, window_start)),
+k AS (SELECT *, last_value(CASE WHEN sst IS NOT NULL THEN struct_pack(i := i, v := sst) END IGNORE NULLS) OVER past AS sp, first_value(CASE WHEN sst IS NOT NULL THEN struct_pack(i := i, v := sst) END IGNORE NULLS) OVER future AS sn,
+ last_value(CASE WHEN hm IS NOT NULL THEN struct_pack(i := i, v := hm) END IGNORE NULLS) OVER past AS hp, first_value(CASE WHEN hm IS NOT NULL THEN struct_pack(i := i, v := hm) END IGNORE NULLS) OVER future AS hn FROM r
+ WINDOW past AS (PARTITION BY cell ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), future AS (PARTITION BY cell ORDER BY window_start ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT cell, window_start, round(coalesce(sst, sp.v + (sn.v - sp.v) * (i - sp.i) / (sn.i - sp.i), sp.v, sn.v), 9) AS sst_celsius, round(coalesce(hm, hp.v + (hn.v - hp.v) * (i - hp.i) / (hn.i - hp.i), hp.v, hn.v), 9) AS wave_height_m_max,
+ round(sum(coalesce(pw * 6, 0)) OVER past, 3) AS cumulative_energy_kwh_m, CAST(sum(coalesce(n, 0)) OVER past AS BIGINT) AS cumulative_observation_count FROM k WINDOW past AS (PARTITION BY cell ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def six_hourly_linear(spark, d):
     out = R.resample(obs(spark, d), "6h", keys=["cell"], fill="linear")
-    return R.running_totals(out, ["observation_count", "energy_kwh_m"], ["cell"], "window_start").select("cell", "window_start", *r4("sst_celsius", "wave_height_m_max", "wave_direction_deg", "cumulative_energy_kwh_m"), "cumulative_observation_count")
+    out = R.running_totals(out, ["observation_count", "energy_kwh_m"], ["cell"], "window_start")
+    return out.select("cell", F.col("window_start").cast("timestamp_ntz").alias("window_start"), *[F.round(c, 9).alias(c) for c in ("sst_celsius", "wave_height_m_max")], F.round("cumulative_energy_kwh_m", 3).alias("cumulative_energy_kwh_m"), "cumulative_observation_count")
+
+
+@query(OBS + """SELECT source, date_trunc('day', time) AS window_start, count(*) AS observation_count,
+ round(fmod(degrees(atan2(avg(sin(radians(wave_direction_deg))), avg(cos(radians(wave_direction_deg))))) + 360, 360), 6) AS wave_direction_deg FROM p GROUP BY ALL""")
+def daily_bearings(spark, d):
+    """Mean bearings per source and day, groups of many readings."""
+    out = R.resample(obs(spark, d), "1d", keys=["source"]).filter("observation_count > 0")
+    return out.select("source", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "observation_count", *r6("wave_direction_deg"))
 
 
 DAYS = OBS + ", d AS (SELECT cell, date_trunc('day', time) AS day, avg(sst_celsius) AS sst_celsius, avg(wave_height_m) AS wave_height_m FROM p GROUP BY ALL) "
 
 
-@query(DAYS + f"SELECT cell, day, {sq('sst_celsius', 'wave_height_m')} FROM d")
+@query(DAYS + f"SELECT cell, day, {sq('sst_celsius', 'wave_height_m', places=6)} FROM d")
 def daily_alignment(spark, d):
-    return R.daily_means(obs(spark, d), ["sst_celsius", "wave_height_m"], ["cell"]).select("cell", F.col("day").cast("timestamp_ntz").alias("day"), *r4("sst_celsius", "wave_height_m"))
+    return R.daily_means(obs(spark, d), ["sst_celsius", "wave_height_m"], ["cell"]).select("cell", F.col("day").cast("timestamp_ntz").alias("day"), *r6("sst_celsius", "wave_height_m"))
 
 
 @query(DAYS + "SELECT cell, day, round(CASE WHEN count(wave_height_m) OVER w >= 5 AND stddev_pop(wave_height_m) OVER w > 1e-9 THEN (wave_height_m - avg(wave_height_m) OVER w) / stddev_pop(wave_height_m) OVER w END, 4) AS z FROM d WINDOW w AS (PARTITION BY cell ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)")
@@ -149,9 +174,9 @@ def exceedance(spark, d):
     return A.exceedance_days(obs(spark, d), level, 0.6, ["cell"]).withColumn("percent_over", F.round("percent_over", 4))
 
 
-@query(OBS + "SELECT cell, count(*) AS n, min(time) AS first_time, max(time) AS last_time, round(avg(sst_celsius), 4) AS mean_sst, round(max(wave_power_kw_m), 4) AS max_power, round(avg(sea_level_anomaly_m) * 100, 3) AS mean_level_cm FROM p GROUP BY cell")
+@query(OBS + "SELECT cell, count(*) AS n, min(time) AS first_time, max(time) AS last_time, round(avg(sst_celsius), 6) AS mean_sst, round(max(wave_power_kw_m), 4) AS max_power, round(avg(sea_level_anomaly_m) * 100, 3) AS mean_level_cm FROM p GROUP BY cell")
 def key_figures(spark, d):
-    return A.key_figures(obs(spark, d), ["cell"]).select("cell", "n", "first_time", "last_time", *r4("mean_sst", "max_power"), F.round("mean_level_cm", 3).alias("mean_level_cm"))
+    return A.key_figures(obs(spark, d), ["cell"]).select("cell", "n", "first_time", "last_time", *r6("mean_sst"), *r4("max_power"), F.round("mean_level_cm", 3).alias("mean_level_cm"))
 
 
 @query(OBS + """, s AS (SELECT cell AS obs_id, event_id AS q, CASE source WHEN (SELECT min(source) FROM obs) THEN 'erddap_sst' WHEN (SELECT max(source) FROM obs) THEN 'erddap_sla' ELSE 'open_meteo' END AS source, wave_height_m AS h, sst_celsius AS sst, sea_level_anomaly_m AS sla, is_forecast FROM obs),
@@ -175,14 +200,17 @@ def placed(df, key, a, b):
     return df.withColumn("latitude", ((k * a) % 1600).cast("double") / 10 - 80).withColumn("longitude", ((k * b) % 3600).cast("double") / 10 - 180)
 
 
+BEARING = "round(fmod(degrees(atan2(sin(radians(plon - lon)) * cos(radians(plat)), cos(radians(lat)) * sin(radians(plat)) - sin(radians(lat)) * cos(radians(plat)) * cos(radians(plon - lon)))) + 360, 360), 4) AS bearing_deg"
+
+
 @query(f"""WITH s AS (SELECT s_suppkey, {XY.format(k='s_suppkey', a=617, b=1543, p='')} FROM supplier), c AS (SELECT c_custkey, {XY.format(k='c_custkey', a=389, b=1117, p='p')} FROM customer),
-j AS (SELECT s_suppkey, c_custkey AS place, {HAV.format(a='lat', b='plat', c='lon', d='plon')} AS km, CASE WHEN greatest(abs(lat - plat), abs(lon - plon)) <= 2 THEN 1 WHEN greatest(abs(lat - plat), abs(lon - plon)) <= 5 THEN 2 WHEN greatest(abs(lat - plat), abs(lon - plon)) <= 15 THEN 3 ELSE 4 END AS pad FROM s, c WHERE abs(lat - plat) <= 45 AND abs(lon - plon) <= 45),
+j AS (SELECT s_suppkey, c_custkey AS place, lat, lon, plat, plon, {HAV.format(a='lat', b='plat', c='lon', d='plon')} AS km, CASE WHEN greatest(abs(lat - plat), abs(lon - plon)) <= 2 THEN 1 WHEN greatest(abs(lat - plat), abs(lon - plon)) <= 5 THEN 2 WHEN greatest(abs(lat - plat), abs(lon - plon)) <= 15 THEN 3 ELSE 4 END AS pad FROM s, c WHERE abs(lat - plat) <= 45 AND abs(lon - plon) <= 45),
 m AS (SELECT *, min(pad) OVER (PARTITION BY s_suppkey) AS best FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY km, place) AS rank FROM m WHERE pad = best)
-SELECT s_suppkey, place, rank, round(km, 3) AS distance_km FROM r WHERE rank <= 3""")
+SELECT s_suppkey, place, rank, round(km, 3) AS distance_km, {BEARING} FROM r WHERE rank <= 3""")
 def nearest_three(spark, d):
     s = placed(read(spark, d, "supplier"), "s_suppkey", 617, 1543)
     c = placed(read(spark, d, "customer"), "c_custkey", 389, 1117)
-    return P.nearest_places(s, c, "s_suppkey", "c_custkey", 3).select("s_suppkey", "place", "rank", F.round("distance_km", 3).alias("distance_km"))
+    return P.nearest_places(s, c, "s_suppkey", "c_custkey", 3).select("s_suppkey", "place", "rank", F.round("distance_km", 3).alias("distance_km"), *r4("bearing_deg"))
 
 
 @query(f"""WITH s AS (SELECT s_suppkey, {XY.format(k='s_suppkey', a=617, b=1543, p='')} FROM supplier), c AS (SELECT CAST(c_acctbal AS BIGINT) AS pop, {XY.format(k='c_custkey', a=389, b=1117, p='p')} FROM customer)
@@ -214,7 +242,11 @@ def downsampled_heights(spark, d):
     return R.lttb(obs(spark, d).select("cell", "event_id", "time", "wave_height_m").withColumn("x", F.unix_millis(F.col("time").cast("timestamp"))), ["cell"], "x", "wave_height_m", 20).select("cell", "event_id", *r4("wave_height_m"))
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey AS place, p_name AS name, p_size::BIGINT AS population, trim(lower(p_name)) AS folded, list_distinct(list_filter(string_split_regex(trim(lower(p_name)), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')) AS tokens FROM part),
+q AS (SELECT query, trim(lower(query)) AS folded, list_filter(string_split_regex(trim(lower(query)), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')[1:6] AS words FROM (SELECT DISTINCT substr(p_name, 1, 6) AS query FROM part)),
+h AS (SELECT query, place, name, population, CASE WHEN t.folded = q.folded THEN 0 WHEN starts_with(t.folded, q.folded) THEN 1 WHEN contains(t.folded, ' ' || q.folded) THEN 2 WHEN contains(t.folded, q.folded) THEN 3 ELSE 4 END AS tier
+ FROM q, t WHERE len(words) > 0 AND list_has_all(tokens, words[1:len(words) - 1]) AND len(list_filter(tokens, lambda w: starts_with(w, words[len(words)]))) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, population DESC NULLS LAST, length(name), place) AS rank FROM h) SELECT query, rank, place, name, tier, population FROM r WHERE rank <= 12""")
 def part_search(spark, d):
     parts = read(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").cast("long").alias("population"), F.lit("city").alias("source"))
     asked = parts.select(F.substring("p_name", 1, 6).alias("query"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "saltmarsh", **conf: str) -> SparkSession:
@@ -21,3 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file:///tmp/checkpoints/saltmarsh"
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again: what follows doesn't repeat how it was made."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

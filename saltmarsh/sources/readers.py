@@ -61,13 +61,13 @@ def gridded_rows(lines: DataFrame) -> DataFrame:
     """lines: file, value -> file, cells (map of column name to text), one row per data line.
 
     Every file has its own header; the units line and lines of another length go, and a file
-    without a header (an error document) gives nothing.
+    without a header (an error document) gives nothing. Of columns of one name the first counts.
     """
     parts = lines.select("file", F.split(F.trim("value"), ",").alias("_v"))
     is_header = F.array_contains("_v", "time") & F.array_contains("_v", "latitude") & F.array_contains("_v", "longitude")
     headers = parts.filter(is_header).groupBy("file").agg(F.first("_v").alias("_h"))
     rows = parts.filter(~is_header).join(headers, "file").filter("size(_v) = size(_h)")
-    rows = rows.select("file", F.map_from_arrays(F.array_distinct("_h"), "_v").alias("cells"))
+    rows = rows.select("file", F.map_from_entries(F.filter(F.arrays_zip(F.col("_h").alias("k"), F.col("_v").alias("v")), lambda p, i: F.array_position("_h", p["k"]) == i + 1)).alias("cells"))
     return rows.filter(S.iso_time(F.col("cells")["time"]).isNotNull())
 
 
@@ -149,3 +149,8 @@ def country_names(lines: DataFrame) -> DataFrame:
     code = F.upper(F.trim(F.get("_f", F.lit(0))))
     rows = rows.select("_n", code.alias("country_code"), F.trim(F.get("_f", F.lit(4))).alias("country_name")).filter("country_code <> ''")
     return rows.groupBy("country_code").agg(F.max_by("country_name", "_n").alias("country_name"))
+
+
+def ocean_cell_count(mask: DataFrame) -> DataFrame:
+    """One row: how many cells the mask has, and whether it has none."""
+    return mask.agg(F.count("*").alias("cells"), (F.count("*") == 0).alias("is_empty"))

@@ -31,6 +31,11 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], ", ".join(STORED))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def merge_into(path: str, batch: DataFrame, now_ms: int) -> DataFrame:
     """Merges a batch of validated rows (obs_id, source, ingest_seq) into the table at path, by day.
 
@@ -49,7 +54,8 @@ def merge_into(path: str, batch: DataFrame, now_ms: int) -> DataFrame:
     merged.withColumn("obs_date", F.to_date(F.timestamp_millis("timestamp"))).select(*[c.split()[0] for c in STORED]).write.parquet(beside)
     done = spark.read.schema(", ".join(STORED)).parquet(beside)
     done.repartition("obs_date", F.pmod(F.xxhash64("obs_id"), F.lit(32))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obs_date").parquet(path)
-    return done
+    delete(spark, beside)
+    return stored(spark, path).filter(F.col("obs_date").isin(days))
 
 
 def _record(batch_id: int, valid: DataFrame, rejected: DataFrame, path: str | None) -> None:
@@ -124,6 +130,21 @@ def write_updates(changes: DataFrame, path: str, checkpoint: str, **trigger) ->
     return changes.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def compact(spark: SparkSession, path: str, keys: list[str], last: int) -> None:
+    """Puts the newest versions among the batches up to `last` in its place and removes the ones before it,
+    while no stream writes batches up to `last`; newest() reads the same before and after."""
+    rows = spark.read.parquet(path).filter(F.col("batch_id") <= last)
+    names = [r[0] for r in rows.select("batch_id").distinct().collect()]  # one a batch
+    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    beside = f"{path.rstrip('/')}_{uuid.uuid4().hex}"
+    rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r")).select(*keys, "_r.*").write.parquet(beside)
+    spark.read.parquet(beside).write.mode("overwrite").parquet(f"{path}/batch_id={last}")
+    for n in names:
+        if n != last:
+            delete(spark, f"{path}/batch_id={n}")
+    delete(spark, beside)
+
+
 def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The last version of every key among the batches that write_updates kept."""
     rows = spark.read.parquet(path)

@@ -103,7 +103,7 @@ def test_exports_round_trip(spark, tmp_path):
     back = spark.read.csv(f"file://{tmp_path}/x/data", header=True).first()
     assert back.time == "2024-01-01T05:00:00Z"
     made = json.loads(spark.read.text(f"file://{tmp_path}/x/manifest.json").first()[0])
-    assert made["result"]["rows"] == 1 and made["query"] == {"mode": "raw"} and len(made["providers"]) == 3
+    assert made["result"]["rows"] == 1 and made["query"] == {"mode": "raw"} and len(made["providers"]) == 5  # with the two gazetteers that port_id is from
     exports.write_parquet(raw, f"file://{tmp_path}/y")
     assert spark.read.parquet(f"file://{tmp_path}/y").first().time == t
     assert exports.file_name("a b/c", "csv", dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)) == "a_b_c_20240101T000000Z.csv"
@@ -217,3 +217,83 @@ def test_tracked_ports_keep_what_they_know(spark):
     got = {r.port_id: tuple(r)[1:] for r in O.upsert_tracked_ports(old, new).collect()}
     assert got == {"a": ("New", "fr", "France", 1.0, 2.0, 1.5, 2.5, 3.0, 10, 20, 5), "b": ("Kept", "de", "Germany", 3.0, 4.0, None, None, 7.0, 11, None, None), "c": ("Added", "es", None, 5.0, 6.0, None, None, None, 12, None, None)}
     assert O.upsert_tracked_ports(old.limit(0), new).count() == 2 and O.upsert_tracked_ports(old, new.limit(0)).count() == 2
+
+
+def slow_lttb(rows, points):
+    """(x, y) rows sorted by x -> the chosen ones, bucket by bucket."""
+    n = len(rows)
+    if n <= points:
+        return rows
+    size = (n - 2) / (points - 2)
+    edges = [int(math.floor(size * i)) + 1 for i in range(points - 1)]
+    kept = [rows[0]]
+    for i in range(points - 2):
+        here = rows[edges[i] : edges[i + 1]]
+        ahead = rows[edges[i + 1] : edges[i + 2]] if i + 2 < len(edges) else [rows[-1]]
+        mx, my = (sum(p[k] for p in ahead) / len(ahead) for k in (0, 1))
+        ax, ay = kept[-1]
+        kept.append(max(here, key=lambda p: abs((ax - mx) * (p[1] - ay) - (ax - p[0]) * (my - ay))))
+    return [*kept, rows[-1]]
+
+
+@pytest.mark.parametrize("points", [3, 10, 27])
+def test_downsampling_equals_brute_force(spark, points):
+    series = {k: [(float(i), math.sin(i * k) * 5 + (i * 7919 % 13)) for i in range(n)] for k, n in ((1, 100), (2, 57), (3, 8))}
+    rows = [(k, i, x, y) for k, s in series.items() for i, (x, y) in enumerate(s)] + [(1, 500, 500.0, float("nan")), (1, 501, 501.0, None)]
+    got = R.lttb(spark.createDataFrame(rows, "k int, id int, x double, y double").repartition(3), ["k"], "x", "y", points).collect()
+    for k, s in series.items():
+        assert sorted((r.x, r.y) for r in got if r.k == k) == slow_lttb(s, points)
+
+
+def test_folding_of_scripts(spark):
+    names = ["Ålesund", "Córdoba ", "Πάτρα", "Й йод", "ﬁn", "ＡＢＣ", None, "Straße"]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", S.fold_exactly(F.col("n")).alias("f"), S.fold(F.col("n")).alias("q")).collect()
+    assert [r.f for r in sorted(got)] == ["alesund", "cordoba", "πατρα", "и иод", "fin", "abc", None, "strasse"]
+    assert sorted(got)[0].q == "alesund"
+
+
+def test_detail_row_and_chart_rows(spark):
+    full = spark.createDataFrame([(10.0, -20.0, 1.5, 8.0, 90.0, 12.345, 3.0, None, 15.0, 0.123, dt.datetime(2024, 1, 2, 3, 4), 90)], "latitude double, longitude double, wave_height_m double, wave_period_s double, wave_direction_deg double, wave_power_kw_m double, current_velocity_kmh double, current_direction_deg double, sst_celsius double, sea_level_anomaly_m double, time timestamp, age_s int")
+    r = full.select(*S.detail_row()).first().asDict()
+    assert r["position"] == "10.00°N 20.00°W" and r["sea_state"] == "Moderate" and r["wave_from"] == "E 90°" and r["current_toward"] == "–"
+    assert r["sea_level"] == "12.3 cm" and r["wave_height"] == "1.50 m" and r["age"] == "1m ago" and r["observed"] == "2024-01-02 03:04 UTC"
+    rows = spark.createDataFrame([(1.0, 1.0), (None, 1.0), (float("nan"), 2.0), (2.0, None)], "a double, b double")
+    assert [tuple(r) for r in R.chart_rows(rows, ["a", "b"]).collect()] == [(1.0, 1.0)]
+
+
+def test_a_repeated_header_column_spoils_no_file(spark):
+    lines = [("bad", "time,latitude,longitude,sst,sst"), ("bad", "2024-01-01T00:00:00Z,1.0,2.0,3.0,9.0"), ("good", "time,latitude,longitude,sst"), ("good", "2024-01-01T00:00:00Z,1.0,2.0,4.0")]
+    got = readers.gridded_observations(spark.createDataFrame(lines, "file string, value string"), "sst").collect()
+    assert sorted(r.sst_celsius for r in got) == [3.0, 4.0]
+    count = readers.ocean_cell_count(readers.ocean_mask(spark.createDataFrame(lines, "file string, value string"))).first()
+    assert (count.cells, count.is_empty) == (1, False)
+
+
+def test_pools_lookups_and_ordered_places(spark):
+    hits = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "query string, port_id string, n int")
+    more = spark.createDataFrame([("q", "b", 9), ("r", "b", 9)], "query string, port_id string, n int")
+    assert sorted(map(tuple, P.search_pool(hits, more, ["query", "port_id"]).collect())) == [("q", "a", 1), ("q", "b", 2), ("r", "b", 9)]
+    assert [r.n for r in P.by_key(hits, "port_id", "b").collect()] == [2]
+    places = spark.createDataFrame([("c1", "Z", "geonames", 9), ("p1", "B", "wpi", None), ("p2", "A", "wpi", 5)], "port_id string, port_name string, source string, population long")
+    assert [r.port_id for r in L.gazetteer_order(places).collect()] == ["p2", "p1", "c1"]
+
+
+def test_compacted_updates_read_the_same(spark, tmp_path):
+    path = f"file://{tmp_path}/u"
+    for n, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2)], [("c", 3)])):
+        spark.createDataFrame(rows, "k string, v int").write.parquet(f"{path}/batch_id={n}")
+    read = lambda: sorted(tuple(r) for r in X.newest(spark, path, ["k"]).collect())
+    before = read()
+    X.compact(spark, path, ["k"], 1)
+    assert read() == before == [("a", 2), ("b", 1), ("c", 3)]
+    assert sorted(p.name for p in (tmp_path / "u").iterdir()) == ["batch_id=1", "batch_id=2"]
+
+
+def test_dictionary_says_what_columns_are(spark):
+    names = ["window_start", "observation_count", "wave_energy_kwh_m", "wave_height_m_max", "distance_km", "sst_celsius", "sst_celsius_z", "log1p_wave_energy_kwh_m", "other"]
+    got = {r.column: r for r in exports.dictionary_for(spark.createDataFrame([(n,) for n in names], "column string")).collect()}
+    assert got.keys() == set(names) and got["window_start"].nature == "metadata" and got["sst_celsius"].nature == "analysis" and got["distance_km"].unit == "km"
+    assert got["sst_celsius_z"].nature == got["other"].nature == "derived" and "temperature" in got["sst_celsius_z"].description
+    assert [n for n, r in got.items() if r.description == "derived column"] == ["other"]
+    givers = {r.provider: r for r in exports.providers_for(spark.createDataFrame([("sst_celsius",)], "column string")).collect()}
+    assert givers.keys() == {"Open-Meteo Marine", "NOAA OISST v2.1"} and givers["Open-Meteo Marine"].licence == "CC BY 4.0"
