@@ -57,7 +57,9 @@ def severity_grade(quality: str = "quality", toxic: str = "toxic"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """grade and sparse features of a bounded sample: the labelled documents first by hash of doc_id."""
+    """grade and sparse features of a bounded sample: the labelled documents first by hash of doc_id, and of
+    their rows max_train at most, however many have one doc_id. Null labels and doc_ids teach nothing;
+    texts may be null, empty or of any length; other columns, of whatever names, are ignored."""
     graded = labels.select("doc_id", severity_grade().alias("grade")).filter("grade is not null and doc_id is not null")
     chosen = graded.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # max_train rows at most
@@ -68,7 +70,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
             x = [np.array(sorted(features(t.as_py())), "<i4").tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(x, pa.binary())], ["doc_id", "grade", "x"])
 
-    return rows.mapInArrow(extract, "doc_id long, grade int, x binary")
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "grade", "text").mapInArrow(extract, "doc_id long, grade int, x binary")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_train)
 
 
 def fit(grades: np.ndarray, rows: list[np.ndarray], n_grades: int = GRADES, min_docs: int = MIN_DOCS, l1: float = 3e-4, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
 def score(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, at_least: float = 0.5) -> DataFrame:
     """doc_id, toxic, grade, expected_severity, p_toxic: one row per row of docs.
 
-    toxic: p_toxic >= at_least. grade: the largest k with P(grade >= k) >= at_least. Null, empty and wordless texts have no
-    features and get the grade of the thresholds alone; whole texts are read, of any length;
-    repeated rows score alike; an empty table gives an empty one.
+    toxic: p_toxic >= at_least. grade: the largest k with P(grade >= k) >= at_least. Null, empty and
+    wordless texts have no features and get the grade of the thresholds alone; whole texts are read, of
+    any length; repeated rows score alike; an empty table gives an empty one. Other columns, of
+    whatever names, are ignored.
     """
     live = np.flatnonzero(weights)
     table_ = dict(zip(live.tolist(), weights[live].tolist()))

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from fixtures import SF, documents, empty_docs, odd_docs, odd_rows
 from pyspark.sql import functions as F
 
@@ -94,6 +95,56 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(empty_docs(spark), *toxicity.train(empty_docs(spark), labels)).count() == 0
 
 
+def test_severity_equals_brute_force(spark):
+    """Every document's expected severity from its words and their beginnings, one at a time."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    weights, thresholds, cutoff = toxicity.train(documents(spark), labels)
+    got = {r.doc_id: r for r in toxicity.op3_ordinal_toxicity(spark, SF).collect()}
+    rows = documents(spark).collect()
+    assert got.keys() == {r.doc_id for r in rows}
+    for r in rows:
+        words = set(re.findall(r"[^\W\d_]{2,}", (r.text or "").lower()))
+        names = words | {f"{w[:n]}*" for w in words for n in (4, 5, 6, 7) if len(w) >= n}
+        score = sum(weights[p] for p in {xxhash.xxh32_intdigest(n) % toxicity.BUCKETS for n in names})
+        above = [1 / (1 + np.exp(t - score)) for t in thresholds]
+        assert abs(got[r.doc_id].expected_severity - sum(above)) < 1e-9 and got[r.doc_id].toxic == (above[0] >= cutoff)
+        assert got[r.doc_id].grade == sum(p >= cutoff for p in above)
+
+
+def test_ordinal_fit_is_the_best_of_its_likelihood():
+    """No step in any weight or threshold raises the likelihood less its penalty."""
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(400)]
+    truth = np.array([1.5, -1.0, 0.0, 0.7, 0.0, -0.5])
+    grades = np.array([int(s > 0.3) + int(s > 1.5) for s in (truth[r].sum() + rng.logistic() for r in rows)])
+    l1 = 1e-3
+    weights, thresholds = toxicity.fit(grades, rows, l1=l1, steps=4000)
+
+    def loss(w, t):
+        score = np.array([w[r].sum() for r in rows])
+        p = 1 / (1 + np.exp(-(score[:, None] - t)))
+        y = grades[:, None] > np.arange(len(t))
+        return -np.where(y, np.log(p), np.log(1 - p)).sum(1).mean() + l1 * np.abs(w).sum()
+
+    best = loss(weights[:6], thresholds)
+    for k in np.flatnonzero(weights[:6]):
+        for step in (-0.02, 0.02):
+            moved = weights[:6].copy()
+            moved[k] += step
+            assert loss(moved, thresholds) > best - 1e-6
+    for k in range(len(thresholds)):
+        for step in (-0.02, 0.02):
+            moved = thresholds.copy()
+            moved[k] += step
+            assert loss(weights[:6], moved) > best - 1e-6
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"word number {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_rows(docs, labels, 10).count() == 10
+
+
 def slow_models(docs, good):
     """Vocabulary and P(word | history) of the background and the target, with dictionaries."""
     cut = {i: ["<s>", *ws, "</s>"] if (ws := (t or "").encode().lower().split()) else [] for i, t in docs.items()}
