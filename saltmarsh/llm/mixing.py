@@ -174,8 +174,9 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: i
     limit = F.when(F.col("n_pass") < whole, length).otherwise(F.greatest(F.lit(0), F.least(length, rest - before)))
     each = each.withColumn("limit", limit).filter("limit > 0").withColumn("k", F.col("n_pass") * blocks + F.col("place"))
     slots = drawn.withColumn("k", F.explode(F.sequence(F.col("slot_start"), F.col("slot_start") + F.col("slots") - 1))).select(F.col("source").alias("_source"), "shard", F.col("k").alias("_k"))
-    taken = each.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("k") == F.col("_k"))).select(F.col("source").alias("_s"), F.col("block").alias("_b"), "shard", F.col("k").alias("slot"), "n_pass", "limit")
-    spans = parts.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    # Both sides grow with the mix, though what they are exploded from looks small: never sent whole.
+    taken = each.join(slots.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("k") == F.col("_k"))).select(F.col("source").alias("_s"), F.col("block").alias("_b"), "shard", F.col("k").alias("slot"), "n_pass", "limit")
+    spans = parts.join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     spans = spans.withColumn("length", F.least(F.col("part"), F.col("limit") - F.col("at"))).filter("length > 0")
     return whole_rows, placed, spans.select("row", "doc_id", "source", "shard", "slot", "n_pass", "block", "doc_start", "length", "at")
 
