@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from saltmarsh.plans import more_queries  # noqa: F401
+from saltmarsh.plans import more_queries, small_queries  # noqa: F401
 from saltmarsh.plans.queries import QUERIES, SQL
 
 SIZES = ("sf0.001", "sf0.01")
