@@ -12,7 +12,7 @@ from saltmarsh.operators import places as P
 from saltmarsh.operators import planning as L
 from saltmarsh.operators import series as R
 from saltmarsh.operators import analytics as A
-from saltmarsh.plans.queries import BEARING, DAYS, HAV, OBS, XY, obs, placed, query, r4, r6, read, sq
+from saltmarsh.plans.queries import DAYS, HAV, OBS, XY, obs, placed, query, r4, r6, read, sq
 from saltmarsh.session import shared_folder
 from saltmarsh.sources import exports, readers
 from saltmarsh.streaming import observations as X
