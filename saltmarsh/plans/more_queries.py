@@ -209,7 +209,8 @@ def folder(spark, name):
 @query(DAYS + ", n AS (SELECT cell, date_trunc('day', time) AS day, count(*) AS n FROM p GROUP BY ALL) SELECT d.cell, d.day AS window_start, n AS observation_count, round(d.sst_celsius, 6) AS sst_celsius, round(d.wave_height_m, 6) AS wave_height_m FROM d JOIN n ON n.cell = d.cell AND n.day = d.day")
 def streamed_resample(spark, d):
     out = folder(spark, "resampled")
-    X.write_updates(X.resample_stream(streamed(spark, d), "1d", ["cell"]), f"{out}/rows", f"{out}/log").awaitTermination()
+    # The files may come in any order of time: no row of the table is too late.
+    X.write_updates(X.resample_stream(streamed(spark, d), "1d", ["cell"], late="36500 days"), f"{out}/rows", f"{out}/log").awaitTermination()
     return X.newest(spark, f"{out}/rows", ["cell", "window_start"]).select("cell", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "observation_count", *[F.round(c, 6).alias(c) for c in ("sst_celsius", "wave_height_m")])
 
 
