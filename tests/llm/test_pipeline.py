@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from fixtures import SF, empty_docs, odd_docs
 from test_dedup import norm, shingles
 from test_quality import slow_verdicts
@@ -26,6 +27,11 @@ def stages(spark, docs, folder):
         docs = out
 
 
+@pytest.fixture(scope="module")
+def staged(spark, tmp_path_factory):
+    return list(stages(spark, spark.read.parquet(f"{SF}/documents.parquet"), tmp_path_factory.mktemp("stages")))
+
+
 def good_documents(docs):
     statistics = quality.text_statistics(docs).select("doc_id", "lang", "source", "n_words", "n_repeat_words", *[c.alias(f"x{i}") for i, c in enumerate(quality.statistic_vector())]).collect()
     failed = lambda r: r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
@@ -56,9 +62,9 @@ def apart(rows):
     return {i for i in root if find(i) == i}
 
 
-def test_stages_equal_brute_force(spark, tmp_path):
+def test_stages_equal_brute_force(staged):
     encode = slow_ids()
-    for name, docs, out in stages(spark, spark.read.parquet(f"{SF}/documents.parquet"), tmp_path):
+    for name, docs, out in staged:
         before, after = docs.collect(), out.collect()
         ids = Counter(r.doc_id for r in after)
         if name != "packing":
@@ -96,8 +102,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
             assert all(n == 2048 or n & (n - 1) == 0 for n in sequences.values())
 
 
-def test_run_gives_the_stages_result(spark, tmp_path):
-    *_, (_, _, last) = stages(spark, spark.read.parquet(f"{SF}/documents.parquet"), tmp_path)
+def test_run_gives_the_stages_result(spark, staged):
+    last = staged[-1][2]
     whole = lambda df: Counter(int(i) for r in df.select("ids").collect() for i in np.frombuffer(r.ids, "<u4"))
     found = corpus_pipeline.run(spark, SF)
     assert whole(found) == whole(last) and found.count() > 0
