@@ -32,7 +32,7 @@ from saltmarsh.llm.common import staged, table, text_of
 #: Weight of the bigram's share; what is added to a word's count.
 LAMBDA, ALPHA = 0.7, 0.1
 #: Bytes of text in a chunk and, on average, behind the n-grams of a range of codes.
-CHUNK_BYTES, RANGE_BYTES = 16 << 20, 24 << 20
+CHUNK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 #: Texts are cut into words together up to so many words (or one text).
 TOGETHER = 1 << 16
 #: Target ids up to so many (8 bytes each) are sent to all tasks; more are joined by a shuffle.
@@ -46,7 +46,7 @@ BITS = 48
 class WordCodes:
     """Words to 64-bit hashes; remembers the words seen of late."""
 
-    def __init__(self, size: int = 500_000):
+    def __init__(self, size: int = 200_000):
         self.size, self.seen = size, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
