@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from saltmarsh.llm import exact_dedup, lm_scoring, mixing, packing, pii, quality, sharding, simhash, token_counts, toxicity
+from saltmarsh.llm import exact_dedup, lexical_search, lm_scoring, mixing, odd_sketch, packing, pii, quality, sharding, simhash, spelling, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,16 @@ def queries() -> dict:
         "op8_mcd_quality": quality.op8_mcd_quality,
         "op9_hash_tree_shards": sharding.op9_hash_tree_shards,
         "op10_block_mix": mixing.op10_block_mix,
+        "op11_reversed_search": lexical_search.op11_reversed_search,
+        "op12_spelling_composition": spelling.op12_spelling_composition,
+        "op13_odd_sketch_minhash": odd_sketch.op13_odd_sketch_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_content_sort_dedup": exact_dedup.SQL7}
+    return {
+        "op7_content_sort_dedup": exact_dedup.SQL7,
+        "op11_reversed_search": lexical_search.SQL11,
+        "op12_spelling_composition": spelling.SQL12,
+        "op13_odd_sketch_minhash": odd_sketch.SQL13,
+    }

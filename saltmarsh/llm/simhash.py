@@ -20,13 +20,13 @@ shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import discard, numbered, staged, table, text_of
@@ -451,20 +451,40 @@ def candidate_trees(each: DataFrame, max_apart: int, bucket_rows: int = BUCKET_R
     return found.select(F.col("node").alias("rep"), F.col("root").alias("tree")).unionByName(found.select(F.col("root").alias("rep"), F.col("root").alias("tree")).distinct())
 
 
-def _similar_rows(rows: DataFrame, similarity: float, shingle: int, unit_rows: int = UNIT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """rows: row, text (binary) -> (row, root) for all rows, root being the smallest row reachable."""
+def _set_marks(h: np.ndarray) -> tuple[np.ndarray, bytes]:
+    return band_codes(h), shingle_sketch(h)
+
+
+def set_marks(rows: DataFrame, shingle: int, marks: Callable[[np.ndarray], tuple[np.ndarray, bytes]]) -> DataFrame:
+    """rows: row, text (binary) -> row, n (distinct shingles), fps (codes of which similar sets share
+    one), sketch, same (a digest of the set)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py().lower().split(), shingle) for t in batch.column(1)]
-            fps = [band_codes(h).view(np.int64).tolist() for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array([shingle_sketch(h) for h in sets], pa.binary())], ["row", "n", "fps", "sketch"])
+            made = [marks(h) for h in sets]
+            fps, same = [c.view(np.int64).tolist() for c, _ in made], [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary()), pa.array(same, pa.binary())], ["row", "n", "fps", "sketch", "same"])
 
+    return rows.mapInArrow(compute, "row long, n long, fps array<long>, sketch binary, same binary")
+
+
+def _similar_rows(rows: DataFrame, similarity: float, shingle: int, unit_rows: int = UNIT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """rows: row, text (binary) -> (row, root) for all rows, root being the smallest row reachable."""
     max_apart = int(ROUNDS * BINS * (1 - similarity + SLACK) / 2)
-    marks = staged(rows.mapInArrow(compute, "row long, n long, fps array<long>, sketch binary"), "sketches")
-    distinct = staged(marks.groupBy("fps", "sketch").agg(F.min("row").alias("rep"), F.max("n").alias("n")), "distinct_sketches")
-    each = distinct.select("rep", "sketch", F.posexplode("fps").alias("kind", "fp"))
-    trees = candidate_trees(each, max_apart, bucket_rows).join(distinct.select("rep", "n", "sketch"), "rep")
+    marks = staged(set_marks(rows, shingle, _set_marks), "sketches")
+    return confirmed_rows(rows, marks, similarity, shingle, max_apart, unit_rows, bucket_rows).select("row", "root")
+
+
+def confirmed_rows(rows: DataFrame, marks: DataFrame, similarity: float, shingle: int, max_apart: int, unit_rows: int = UNIT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """rows: row, text (binary); marks: theirs, as set_marks gives them -> (row, n, root) for all rows,
+    root being the smallest row reachable. Pairs that share a code and whose sketches are within
+    max_apart bits are candidates; links are decided by the whole sets."""
+    distinct = staged(marks.groupBy("same", "fps", "sketch").agg(F.min("row").alias("rep"), F.max("n").alias("n")), "distinct_sketches")
+    each = distinct.select("rep", F.posexplode("fps").alias("kind", "fp"))
+    # A code that only one set has is in no pair.
+    each = each.withColumn("_n", F.count("*").over(Window.partitionBy("kind", "fp"))).filter("_n > 1").drop("_n").join(distinct.select("rep", "sketch"), "rep")
+    trees = candidate_trees(staged(each, "shared_codes"), max_apart, bucket_rows).join(distinct.select("rep", "n", "sketch"), "rep")
     trees = staged(trees.join(rows.withColumnRenamed("row", "rep"), "rep"), "trees")
 
     # A unit is what one task compares: a tree, or a block of a large one with the tree's pivots,
@@ -501,8 +521,8 @@ def _similar_rows(rows: DataFrame, similarity: float, shingle: int, unit_rows: i
         again = again.select(F.struct("tree", "_u.kind", "_u.a", "_u.b").alias("unit"), "rep", "label", F.col("_u.side").alias("side"), "sketch", "text")
         links = tree_links(again, similarity, shingle, max_apart)
         found = components(links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    roots_ = distinct.join(found, distinct["rep"] == found["node"], "left").select("fps", "sketch", F.coalesce("root", "rep").alias("root"))
-    return staged(marks.join(roots_, ["fps", "sketch"]).select("row", "root"), "row_roots")
+    roots_ = distinct.join(found, distinct["rep"] == found["node"], "left").select("same", F.coalesce("root", "rep").alias("root"))
+    return staged(marks.join(roots_, "same").select("row", "n", "root"), "row_roots")
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
