@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import scalar as S
+from saltmarsh.operators.space import AXES, PlaceTree, gap, morton, on_sphere, span, sum_of_squares
 from saltmarsh.session import settled
 
 
@@ -18,72 +19,63 @@ def across_seam(places: DataFrame, longitude: str, margin: float) -> DataFrame:
     return places.withColumn(longitude, F.explode(copies))
 
 
+def _asked(points: DataFrame, point_id: str) -> DataFrame:
+    """A row and a number for every point that has a position, whatever its identifier."""
+    rows = points.select(point_id, F.col("latitude").cast("double").alias("_lat"), F.col("longitude").cast("double").alias("_lon"))
+    rows = rows.select("*", *on_sphere(F.col("_lat"), F.col("_lon"))).filter("_x <= 1 and _z <= 1")
+    return settled(rows.withColumn("_row", F.monotonically_increasing_id()), "points")
+
+
+def place_tree(places: DataFrame, place_id: str, k: int, seam: float | None = None) -> PlaceTree:
+    """The tree of the places that have a position. Of places in one spot the k with the smallest
+    place_id are enough. seam: also copies, 360 degrees on, of those within so many degrees of the
+    antimeridian."""
+    held = places.select(F.col(place_id).alias("place"), F.col("latitude").cast("double").alias("_plat"), F.col("longitude").cast("double").alias("_plon"))
+    held = held.withColumn("_n", F.row_number().over(Window.partitionBy("_plat", "_plon").orderBy("place"))).filter(F.col("_n") <= k).drop("_n")
+    held = held.select("*", *[c.alias(f"_p{a}") for c, a in zip(on_sphere(F.col("_plat"), F.col("_plon")), AXES)]).filter("_px <= 1 and _pz <= 1")
+    if seam is not None:
+        held = across_seam(held, "_plon", seam)
+    # Copies have leaves of their own: with the originals' their boxes would go around the globe.
+    order = [F.abs("_plon") > 180, morton([F.col(f"_p{a}") for a in AXES])]
+    return PlaceTree(held, order, ["_plat", "_plon", *[f"_p{a}" for a in AXES]])
+
+
+def _ranked(hit: DataFrame, point_id: str, k: int) -> DataFrame:
+    """The k nearest of the places that points have met."""
+    hit = hit.withColumn("distance_km", S.haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")))
+    hit = hit.withColumn("rank", F.row_number().over(Window.partitionBy("_row").orderBy("distance_km", "place"))).filter(F.col("rank") <= k)
+    return hit.select(point_id, "place", "rank", "distance_km", S.initial_bearing(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("bearing_deg"))
+
+
 def nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1, pads: tuple[float, ...] = (2.0, 5.0, 15.0, 45.0), wrap: bool = False) -> DataFrame:
     """The k nearest places in the first box (of +-pad degrees) that holds any; wrap: boxes go on
     beyond 180 degrees. See exact_nearest_places for the k nearest of all.
 
-    Each pad is a join on grid cells of that width between the points not served so far and the
-    places, so no point meets a place outside the nine cells around it. What a pad found and the
-    points left are written, so that a later pad doesn't search the earlier ones again.
+    Two descents of the tree of places: one for the distance in degrees of the nearest place, which
+    tells the box, one for the k nearest places in it. Rows are points, each its own: points with
+    one identifier or a null one have their places each. Points without a position, or without a
+    place in the last box, have none. Ties: the smaller place_id.
     """
-    left, out = points.select(point_id, F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon")), None
-    right = places.select(F.col(place_id).alias("place"), F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon"))
-    for pad in pads:
-        cell = lambda c: F.floor(c / pad)  # noqa: B023, E731
-        near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        asked = left.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near)).withColumn("_cy", cell(F.col("_lat")) + F.col("_dy")).withColumn("_cx", cell(F.col("_lon")) + F.col("_dx"))
-        held = (across_seam(right, "_plon", pad) if wrap else right).withColumn("_cy", cell(F.col("_plat"))).withColumn("_cx", cell(F.col("_plon")))
-        hit = asked.join(held, ["_cy", "_cx"]).filter((F.abs(F.col("_plat") - F.col("_lat")) <= pad) & (F.abs(F.col("_plon") - F.col("_lon")) <= pad))
-        hit = hit.select(point_id, "_lat", "_lon", "place", "_plat", "_plon", S.haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("distance_km"))
-        rank = F.row_number().over(Window.partitionBy(point_id).orderBy("distance_km", "place"))
-        best = settled(hit.withColumn("rank", rank).filter(F.col("rank") <= k), "nearest")
-        out = best if out is None else out.unionByName(best)
-        left = settled(left.join(best.select(point_id).distinct(), point_id, "left_anti"), "not_near")
-        if left.isEmpty():
-            break
-    return _with_bearing(out, point_id)
-
-
-def _with_bearing(found: DataFrame, point_id: str) -> DataFrame:
-    return found.select(point_id, "place", "rank", "distance_km", S.initial_bearing(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("bearing_deg"))
-
-
-def exact_nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1, widths: tuple[float, ...] = (0.03, 0.12, 0.25, 0.5, 1.0)) -> DataFrame:
+    asked, tree = _asked(points, point_id), place_tree(places, place_id, k, pads[-1] if wrap else None)
+    degrees = (("_plat", "_lat"), ("_plon", "_lon"))
+    met = tree.reached(asked.select("_row", "_lat", "_lon"), F.greatest(*[gap(*d) for d in degrees]), F.greatest(*[span(*d) for d in degrees]), 1)
+    apart = F.greatest(F.abs(F.col("_plat") - F.col("_lat")), F.abs(F.col("_plon") - F.col("_lon")))
+    first = met.groupBy("_row").agg(F.min(apart).alias("_apart"))
+    box = first.select("_row", F.array_min(F.filter(F.array(*map(F.lit, pads)), lambda p: p >= F.col("_apart"))).alias("_pad")).filter("_pad is not null")
+    boxed = asked.join(box, "_row")
+    meets, inside = ((F.greatest(*[f(*d) for d in degrees]) <= F.col("_pad")) for f in (gap, span))
+    hit = tree.reached(boxed, F.when(meets, sum_of_squares(gap)), F.when(inside, sum_of_squares(span)), k)
+    return _ranked(hit.filter(apart <= F.col("_pad")), point_id, k)
+
+
+def exact_nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id: str, k: int = 1) -> DataFrame:
     """The k nearest places of every point, over poles and antimeridian.
 
-    Points and places are laid on the unit sphere and into cubes of a width. The 27 cubes around a
-    point hold everything within one width of it (chord length), so k places at most that far are
-    final; points that have fewer go on to the next width, those left after the last meet all
-    places, which none but the points of near-empty regions do. Ties: the smaller place_id.
+    One descent of the tree of places on the unit sphere, by chords. Rows are points, each its own, as
+    in nearest_places; points without a position have no places. Ties: the smaller place_id.
     """
-    def on_sphere(lat: Column, lon: Column) -> list[Column]:
-        lat, lon = F.radians(lat), F.radians(lon)
-        return [(F.cos(lat) * F.cos(lon)).alias("_x"), (F.cos(lat) * F.sin(lon)).alias("_y"), F.sin(lat).alias("_z")]
-
-    left = points.select(point_id, F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), *on_sphere(F.col("latitude"), F.col("longitude"))).filter("_x is not null and _z is not null")
-    right = places.select(F.col(place_id).alias("place"), F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon"), *on_sphere(F.col("latitude"), F.col("longitude")))
-    rank, near, out = F.row_number().over(Window.partitionBy(point_id).orderBy("distance_km", "place")), F.array(*[F.lit(i) for i in (-1, 0, 1)]), None
-    for width in (*widths, 2.0):  # within cubes of width 2 around it lies the whole sphere
-        cube = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
-        asked, held = left, right.select("place", "_plat", "_plon", *[cube(f"_{a}").alias(f"_c{a}") for a in "xyz"])
-        for a in "xyz":
-            asked = asked.withColumn(f"_c{a}", F.explode(F.transform(near, lambda i: cube(f"_{a}") + i)))  # noqa: B023
-        hit = asked.join(held, ["_cx", "_cy", "_cz"])
-        hit = hit.select(point_id, "_lat", "_lon", "place", "_plat", "_plon", S.haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon")).alias("distance_km"))
-        if width < 2.0:
-            # A little less than the width, for rounding.
-            reach = 2 * S.EARTH_KM * math.asin(width / 2) * (1 - 1e-9)
-            hit = hit.filter(F.col("distance_km") <= reach)
-        best = hit.withColumn("rank", rank).filter(F.col("rank") <= k)
-        best = settled(best, "nearest")
-        if width < 2.0:
-            full = best.filter(F.col("rank") == k).select(point_id)
-            best = best.join(full, point_id, "left_semi")
-            left = settled(left.join(full, point_id, "left_anti"), "not_near")
-        out = best if out is None else out.unionByName(best)
-        if width < 2.0 and left.isEmpty():
-            break
-    return _with_bearing(out, point_id)
+    tree = place_tree(places, place_id, k)
+    return _ranked(tree.reached(_asked(points, point_id), sum_of_squares(gap), sum_of_squares(span), k), point_id, k)
 
 
 def attach_city_population(ports: DataFrame, cities: DataFrame, port_id: str, radius_km: float = 35.0, wrap: bool = False) -> DataFrame:

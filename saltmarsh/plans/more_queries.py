@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from saltmarsh.operators import planning as L
 from saltmarsh.operators import series as R
 from saltmarsh.operators import analytics as A
 from saltmarsh.plans.queries import DAYS, HAV, OBS, XY, obs, placed, query, r4, r6, read, sq
-from saltmarsh.session import shared_folder
+from saltmarsh.session import own_folder as folder
 from saltmarsh.sources import exports, readers
 from saltmarsh.streaming import observations as X
 
@@ -202,10 +201,6 @@ def streamed(spark, d):
     return obs(spark, d, events).withColumn("time", F.col("time").cast("timestamp"))
 
 
-def folder(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(DAYS + ", n AS (SELECT cell, date_trunc('day', time) AS day, count(*) AS n FROM p GROUP BY ALL) SELECT d.cell, d.day AS window_start, n AS observation_count, round(d.sst_celsius, 6) AS sst_celsius, round(d.wave_height_m, 6) AS wave_height_m FROM d JOIN n ON n.cell = d.cell AND n.day = d.day")
 def streamed_resample(spark, d):
     out = folder(spark, "resampled")

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from saltmarsh.operators import observations as O
 from saltmarsh.operators import series as R
 from saltmarsh.operators.analytics import latest_per_cell
+from saltmarsh.session import delete
 from saltmarsh.sources import readers
 
 STORED = [
@@ -31,11 +32,6 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], ", ".join(STORED))
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def merge_into(path: str, batch: DataFrame, now_ms: int) -> DataFrame:
     """Merges a batch of validated rows (obs_id, source, ingest_seq) into the table at path, by day.
 
