@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import scalar as S
+from saltmarsh.operators.ordered import Blocks, in_order, positions
 from saltmarsh.schema import BEARINGS
+from saltmarsh.session import settled
 
 INTERVALS = {"1h": ("1 hour", 1.0), "6h": ("6 hours", 6.0), "1d": ("1 day", 24.0), "1w": ("7 days", 168.0)}
 #: Columns with a mean per window, and those with a peak.
@@ -39,37 +45,63 @@ def resample(obs: DataFrame, interval: str = "1d", start: Column | None = None,
     spans = spans.withColumn("_lo", floor(F.col("_lo"))).withColumn("_top", F.col("_hi"))
     spans = spans.withColumn("_hi_floor", floor(F.col("_top")))
     last = F.when(F.col("_hi_floor") < F.col("_top"), F.col("_hi_floor") + F.expr(f"INTERVAL {step}")).otherwise(F.col("_hi_floor"))
-    grid = spans.select(*keys, F.explode(F.sequence("_lo", last, F.expr(f"INTERVAL {step}"))).alias("window_start"))
+    grid = calendar_rows(spans.withColumn("_last", last), keys, "_lo", "_last", step, "window_start")
     out = grid.join(found, [*keys, "window_start"], "left")
     out = out.withColumn("observation_count", F.coalesce("observation_count", F.lit(0)))
     out = out.withColumn("energy_kwh_m", F.coalesce(S.window_energy(F.col("wave_power_kw_m"), hours), F.lit(0.0)))
-    return fill_gaps(out, [*MEANS, *[f"{c}_max" for c in PEAKS]], fill, keys, "window_start")
+    columns = [*MEANS, *[f"{c}_max" for c in PEAKS]]
+    if how_to_fill(fill) in ("ffill", "linear"):
+        return _filled(Blocks(settled(out, "resampled"), keys), columns, fill).drop("_at", "_block")
+    return fill_gaps(out.drop("_at", "_block"), columns, fill, keys, "window_start")
+
+
+#: Windows of a calendar that one task makes at a time.
+CALENDAR_BLOCK = 4096
+
+
+def calendar_rows(spans: DataFrame, keys: list[str], first: str, last: str, step: str, name: str) -> DataFrame:
+    """keys, name: a row for every step from first to last; `_at`, its number, and `_block`. A long series is
+    made block by block, on all tasks."""
+    count, unit = step.split()
+    of = lambda n: F.expr(f"INTERVAL {int(count) * n} {unit}")
+    blocks = spans.select(*keys, F.col(last).alias("_last"), F.posexplode(F.sequence(first, last, of(CALENDAR_BLOCK))).alias("_block", "_start")).repartition(*keys, "_block")
+    rows = blocks.select(*keys, "_block", F.posexplode(F.sequence("_start", F.least("_last", F.col("_start") + of(CALENDAR_BLOCK - 1)), of(1))).alias("_i", name))
+    return rows.select(*keys, name, "_block", (F.col("_block").cast("long") * CALENDAR_BLOCK + F.col("_i")).alias("_at"))
+
+
+def how_to_fill(how: str) -> str:
+    return "linear" if how == "interpolate" else how
+
+
+def _filled(blocks: Blocks, columns: list[str], how: str, at: str = "_at") -> DataFrame:
+    """at: the rows' positions."""
+    made = {}
+    for c in columns:
+        if how_to_fill(how) == "ffill":
+            made[c] = blocks.last_known(c, F.col(c))
+            continue
+        known = F.when(F.col(c).isNotNull(), F.struct(F.col(at).alias("i"), F.col(c).alias("v")))
+        p, n = blocks.last_known(c, known), blocks.next_known(c, known)
+        between = p["v"] + (n["v"] - p["v"]) * F.try_divide(F.col(at) - p["i"], n["i"] - p["i"])
+        made[c] = F.coalesce(c, between, p["v"], n["v"])
+    return blocks.with_columns(made)
 
 
 def fill_gaps(rows: DataFrame, columns: list[str], how: str, keys: list[str], order: str) -> DataFrame:
-    """zero, ffill, or linear by position with the edges taking the nearest value."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    # What comes next is the last of the rows seen from the end: frames that grow, not ones that shrink.
-    past, future = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (by, Window.partitionBy(*keys).orderBy(F.desc(order))))
+    """zero, ffill, or linear by position with the edges taking the nearest value. A series of any length
+    is filled block by block (see ordered.Blocks), also without keys."""
     if how == "zero":
         return rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
-    if how == "ffill":
-        return rows.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in columns})
-    if how in ("linear", "interpolate"):
-        rows = rows.withColumn("_i", F.row_number().over(by))
-        made = {}
-        for c in columns:
-            known = F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v")))
-            p, n = F.last(known, ignorenulls=True).over(past), F.last(known, ignorenulls=True).over(future)
-            between = p["v"] + (n["v"] - p["v"]) * F.try_divide(F.col("_i") - p["i"], n["i"] - p["i"])
-            made[c] = F.coalesce(c, between, p["v"], n["v"])
-        return rows.withColumns(made).drop("_i")
-    return rows
+    if how_to_fill(how) not in ("ffill", "linear"):
+        return rows
+    held = positions(in_order(rows, keys, [order]), keys)
+    return _filled(Blocks(held, keys), columns, how, "_j").drop("_at", "_block", "_j")
 
 
 def running_totals(rows: DataFrame, columns: list[str], keys: list[str], order: str) -> DataFrame:
-    past = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({f"cumulative_{c}": F.sum(c).over(past) for c in columns})
+    """Adds cumulative_ columns, summed block by block (see ordered.Blocks)."""
+    blocks = Blocks(in_order(rows, keys, [order]), keys)
+    return blocks.with_columns({f"cumulative_{c}": blocks.running_sum(c, F.col(c)) for c in columns}).drop("_at", "_block")
 
 
 def daily_means(obs: DataFrame, columns: list[str], keys: list[str], time: str = "time") -> DataFrame:
@@ -102,7 +134,7 @@ def warm_spells(rows: DataFrame, value: str, keys: list[str], order: str, window
     if calendar:
         days = daily_means(rows, [value], keys, order)
         spans = days.groupBy(*keys).agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
-        grid = spans.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
+        grid = calendar_rows(spans, keys, "_lo", "_hi", "1 day", "day").drop("_at", "_block")
         rows, order = grid.join(days, [*keys, "day"], "left"), "day"
     by = Window.partitionBy(*keys).orderBy(order)
     before = by.rowsBetween(-window, -1)
@@ -119,37 +151,89 @@ def chart_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({c: S.clean(F.col(c)) for c in columns}).dropna(subset=columns)
 
 
+def _hull(points: list[tuple[int, float, float]]) -> list[tuple[int, float, float]]:
+    """The corners of the convex hull of (j, x, y) sorted by x, then y; in that order."""
+    corners: dict[int, tuple[int, float, float]] = {}
+    for side in (1, -1):
+        chain: list[tuple[int, float, float]] = []
+        for p in points:
+            while len(chain) > 1 and side * ((chain[-1][1] - chain[-2][1]) * (p[2] - chain[-2][2]) - (chain[-1][2] - chain[-2][2]) * (p[1] - chain[-2][1])) >= 0:
+                chain.pop()
+            chain.append(p)
+        corners.update((p[0], p) for p in chain)
+    return [corners[j] for j in sorted(corners)]
+
+
+def _bucket_corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_series, _b, _j, _x, _y: of each batch's rows of a bucket the corners of their hull."""
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        series, bucket, *rest = (c[order] for c in columns)
+        edges = np.flatnonzero((np.diff(series, prepend=series[:1] - 1) != 0) | (np.diff(bucket, prepend=bucket[:1] - 1) != 0)).tolist()
+        rows = list(zip(*(c.tolist() for c in rest)))
+        found = [(series[a], bucket[a], *p) for a, b in zip(edges, [*edges[1:], len(rows)]) for p in _hull(rows[a:b])]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), batch.schema)], schema=batch.schema)
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_series, _b, _j, _x, _y, _mx, _my, sorted by the first three -> _series, _j: of each bucket the corner of the
+    largest triangle with the one chosen before and the mean of the bucket after. What is carried from row to
+    row: the corner chosen last and the corners of the bucket at hand."""
+    now, last, held, ahead = (None, None), None, [], None
+    out: list[tuple[int, int]] = []
+
+    def choose() -> None:
+        nonlocal last
+        corners = _hull(held)
+        if ahead[0] is None or last is None:
+            last = corners[0]  # the series' first and last buckets have one row
+        else:
+            (_, ax, ay), (mx, my) = last, ahead
+            last = max(corners, key=lambda p: abs((ax - mx) * (p[2] - ay) - (ax - p[1]) * (my - ay)))
+        out.append((now[0], last[0]))
+
+    for batch in batches:
+        for series, bucket, j, x, y, mx, my in zip(*(c.to_pylist() for c in batch.columns)):
+            if (series, bucket) != now:
+                if held:
+                    choose()
+                if series != now[0]:
+                    last = None
+                now, held, ahead = (series, bucket), [], (mx, my)
+            held.append((j, x, y))
+            if len(held) > 1000:
+                held = _hull(held)
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], ["_series", "_j"])
+        out.clear()
+    if held:
+        choose()
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], ["_series", "_j"])
+
+
 def lttb(rows: DataFrame, keys: list[str], x: str, y: str, points: int) -> DataFrame:
     """Largest-triangle downsampling: at most `points` rows per series, first and last among them.
 
-    Buckets are found by windows; the choice along the buckets, each depending on the one before,
-    is a fold over the series' bucket arrays, which hold the number and the coordinates of each row
-    only; whole rows are joined to the chosen numbers. Rows with a null or non-finite y are dropped.
+    Rows are numbered by series in blocks, wherever they lie. A triangle over a bucket's rows is largest
+    at a corner of their convex hull, whatever was chosen before; so tasks reduce their parts of
+    a bucket to such corners, and only these pass, in order, through the choice that depends on the
+    one before. Rows with a null or non-finite x or y are dropped; ties in x go by y, then by the other
+    columns; of triangles that are equal (but for rounding) the first row's counts.
     """
-    clean = rows.withColumn("_y", S.clean(F.col(y))).filter("_y is not null").withColumn("_x", F.col(x).cast("double"))
+    clean = rows.withColumn("_y", S.clean(F.col(y))).withColumn("_x", S.clean(F.col(x).cast("double"))).filter("_y is not null and _x is not null")
     others = [c for c in rows.columns if c not in (x, y, *keys)]
-    by = Window.partitionBy(*keys).orderBy("_x", "_y", *others)  # ties in a defined order
-    n = F.count("*").over(Window.partitionBy(*keys))
-    clean = clean.withColumn("_j", F.row_number().over(by) - 1).withColumn("_n", n)
+    clean = positions(in_order(clean, keys, ["_x", "_y", *others]), keys, counted=True)
     if points < 3:
-        return clean.drop("_y", "_x", "_j", "_n")
+        return clean.select(*rows.columns)
     size = (F.col("_n") - 2) / F.lit(float(points - 2))
     inner = (F.col("_j") > 0) & (F.col("_j") < F.col("_n") - 1)
     bucket = F.when(F.col("_j") == 0, -1).when(inner, F.ceil(F.col("_j") / size) - 1).otherwise(points - 2)
-    point = F.struct(F.col("_j").alias("j"), F.col("_x").alias("x"), F.col("_y").alias("y"))
-    buckets = clean.filter(F.col("_n") > points).groupBy(*keys, bucket.cast("int").alias("_b")).agg(F.sort_array(F.collect_list(point)).alias("p"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"))
-    series = buckets.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "p", "mx", "my"))).alias("s"))
-
-    def choose(acc: Column, i: Column) -> Column:
-        last, here, ahead = F.element_at(acc, -1), F.element_at("s", i), F.element_at("s", F.least(i + 1, F.size("s")))
-        area = lambda q: F.abs((last["x"] - ahead["mx"]) * (q["y"] - last["y"]) - (last["x"] - q["x"]) * (ahead["my"] - last["y"]))
-        best = F.aggregate(here["p"], F.element_at(here["p"], 1), lambda a, q: F.when(area(q) > area(a), q).otherwise(a))
-        return F.concat(acc, F.array(best))
-
-    picked = F.aggregate(F.sequence(F.lit(2), F.size("s")), F.slice(F.element_at("s", 1)["p"], 1, 1), choose)
-    chosen = series.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(F.transform(picked, lambda q: q["j"])).alias("_at"))
-    same = F.col("_j") == F.col("_at")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    many = clean.filter(F.col("_n") > points).select("_series", bucket.cast("long").alias("_b"), "_j", "_x", "_y")
+    means = many.groupBy("_series", "_b").agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    ahead = means.withColumn("_b", F.col("_b") - 1).filter("_b >= 0")
+    corners = many.mapInArrow(_bucket_corners, "_series long, _b long, _j long, _x double, _y double")
+    passed = corners.join(ahead, ["_series", "_b"], "left").repartition("_series").sortWithinPartitions("_series", "_b", "_j")
+    chosen = passed.select("_series", "_b", "_j", "_x", "_y", "_mx", "_my").mapInArrow(_chosen, "_series long, _j long")
     few = clean.filter(F.col("_n") <= points).select(*rows.columns)
-    return few.unionByName(clean.filter(F.col("_n") > points).join(chosen, same, "left_semi").select(*rows.columns))
+    return few.unionByName(clean.filter(F.col("_n") > points).join(chosen, ["_series", "_j"], "left_semi").select(*rows.columns))

@@ -237,7 +237,11 @@ def strongest_currents(spark, d):
     return A.strongest(obs(spark, d), "current_velocity_kmh", 0.25, ["cell"], ["event_id"]).select("cell", "event_id", "rank")
 
 
-@query()
+@query(OBS.replace("WITH e", "WITH RECURSIVE e") + """, s AS (SELECT cell, event_id, wave_height_m, epoch_ms(time)::DOUBLE AS x, wave_height_m AS y, row_number() OVER (PARTITION BY cell ORDER BY time, wave_height_m, event_id) - 1 AS j, count(*) OVER (PARTITION BY cell) AS n FROM p WHERE isfinite(wave_height_m)),
+b AS MATERIALIZED (SELECT *, CASE WHEN j = 0 THEN -1 WHEN j < n - 1 THEN ceil(j / ((n - 2) / 18::DOUBLE)) - 1 ELSE 18 END AS b FROM s WHERE n > 20), m AS MATERIALIZED (SELECT cell, b, avg(x) AS mx, avg(y) AS my FROM b GROUP BY ALL),
+r AS (SELECT cell, b, struct_pack(j := j, x := x, y := y) AS a FROM b WHERE j = 0 UNION ALL SELECT cell, b, a FROM (SELECT q.cell, q.b, arg_max(struct_pack(j := q.j, x := q.x, y := q.y), struct_pack(area := abs((r.a.x - coalesce(mx, 0)) * (q.y - r.a.y) - (r.a.x - q.x) * (coalesce(my, 0) - r.a.y)), j := -q.j)) AS a
+ FROM r JOIN b q ON q.cell = r.cell AND q.b = r.b + 1 LEFT JOIN m ON m.cell = q.cell AND m.b = q.b + 1 GROUP BY q.cell, q.b))
+SELECT cell, event_id, round(wave_height_m, 4) AS wave_height_m FROM s WHERE n <= 20 UNION ALL SELECT b.cell, b.event_id, round(b.wave_height_m, 4) FROM b JOIN r ON r.cell = b.cell AND r.a.j = b.j""")
 def downsampled_heights(spark, d):
     return R.lttb(obs(spark, d).select("cell", "event_id", "time", "wave_height_m").withColumn("x", F.unix_millis(F.col("time").cast("timestamp"))), ["cell"], "x", "wave_height_m", 20).select("cell", "event_id", *r4("wave_height_m"))
 
