@@ -1,4 +1,4 @@
-"""Spatial joins, place search, sample grids, backfill plans."""
+"""Spatial joins, sample grids, backfill plans."""
 
 from __future__ import annotations
 
@@ -145,50 +145,6 @@ def equal_area_points(spark: SparkSession, spacing: float, max_latitude: float =
     return rows.select(F.bround("lat", 4).alias("latitude"), F.bround(-180.0 + (F.col("_i") + 0.5) * 360.0 / F.col("_n"), 4).alias("longitude"))
 
 
-#: Letters of a word's beginning by which a search joins; longer beginnings are compared after that.
-PREFIX = 8
-
-
-def search_words(text: Column) -> Column:
-    return F.filter(F.split(S.fold(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-
-
-def search_index(places: DataFrame, place_id: str, fields: list[str]) -> DataFrame:
-    """token, place: one row per distinct folded word."""
-    return places.select(F.col(place_id).alias("place"), F.explode(F.array_distinct(search_words(F.concat_ws(" ", *fields)))).alias("token"))
-
-
-def search_tier(name: Column, query: Column) -> Column:
-    """0 the name itself, 1 its beginning, 2 a word's beginning, 3 inside, 4 elsewhere."""
-    n, q = S.fold(name), S.fold(query)
-    return F.when(n == q, 0).when(F.startswith(n, q), 1).when(F.contains(n, F.concat(F.lit(" "), q)), 2).when(F.contains(n, q), 3).otherwise(4)
-
-
-def search_places(queries: DataFrame, places: DataFrame, place_id: str, name: str, fields: list[str], top: int = 12) -> DataFrame:
-    """queries: query. All words of a query must occur, the last as a beginning; ranked by tier,
-    population, ports first, shorter name. Whole words are joined as they are, beginnings with the
-    index's beginnings of the same length, up to PREFIX letters, so that a query meets few words that
-    it doesn't begin."""
-    asked = queries.select("query").distinct().withColumn("_t", F.slice(search_words(F.col("query")), 1, 6)).withColumn("_n", F.size("_t")).filter("_n > 0")
-    each = asked.select("query", "_n", F.posexplode("_t").alias("_at", "_word"))
-    index = search_index(places, place_id, fields)
-    whole = each.filter("_at < _n - 1").join(index, F.col("_word") == F.col("token")).select("query", "_n", "_at", "place")
-    starts = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(PREFIX))), lambda n: F.substring("token", F.lit(1), n))
-    begun = index.withColumn("_prefix", F.explode(starts))
-    last = each.filter("_at = _n - 1").withColumn("_p", F.substring("_word", 1, PREFIX))
-    last = last.join(begun, F.col("_p") == F.col("_prefix")).filter("startswith(token, _word)").select("query", "_n", "_at", "place")
-    hits = whole.unionByName(last).distinct().groupBy("query", "place", "_n").agg(F.count("*").alias("_got")).filter("_got = _n")
-    found = hits.join(places.withColumnRenamed(place_id, "place"), "place").withColumn("tier", search_tier(F.col(name), F.col("query")))
-    by = Window.partitionBy("query").orderBy("tier", F.desc_nulls_last("population"), F.col("source") != "wpi", F.length(name), "place")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top).select("query", "rank", "place", F.col(name).alias("name"), "tier", "population")
-
-
-def search_pool(hits: DataFrame, popular: DataFrame, keys: list[str]) -> DataFrame:
-    """Two sets of candidates as one, each candidate once; where both have it the hits' row stays."""
-    rows = hits.withColumn("_from", F.lit(0)).unionByName(popular.withColumn("_from", F.lit(1)), allowMissingColumns=True)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_from"))).filter("_n = 1").drop("_n", "_from")
-
-
 def by_key(rows: DataFrame, key: str, value) -> DataFrame:
     """The row of one place, port or saved specification; a literal that reaches the scan."""
     return rows.filter(F.col(key) == F.lit(value))

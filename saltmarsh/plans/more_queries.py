@@ -9,6 +9,7 @@ from saltmarsh.functions import scalar as S
 from saltmarsh.operators import observations as O
 from saltmarsh.operators import places as P
 from saltmarsh.operators import planning as L
+from saltmarsh.operators import search as Q
 from saltmarsh.operators import series as R
 from saltmarsh.operators import analytics as A
 from saltmarsh.plans.queries import DAYS, HAV, OBS, XY, obs, placed, query, r4, r6, read, sq
@@ -83,6 +84,24 @@ def coastal_cities(spark, d):
     return readers.city_rows(lines, ocean).select("port_id", "port_name", "population")
 
 
+@query(f"""WITH {CUSTOMERS}, t AS (SELECT 'geonames:' || c_custkey AS place, 'Porté ' || translate(c_name, 'aeo', 'áëô') AS name, c_custkey % 90 * 10::BIGINT AS population, 'port ' || lower(c_name) || ' sankt ' || chr(97 + (c_custkey % 26)::INT) || c_custkey % 7 || ' baie' AS words, c_custkey FROM c),
+q AS (SELECT DISTINCT 'Sànkt ' || chr(65 + (n % 26)::INT) || n % 7 AS query, 'sankt ' || chr(97 + (n % 26)::INT) || n % 7 AS folded FROM (SELECT s_suppkey AS n FROM s) UNION ALL VALUES ('b', 'b'), ('BAÏE', 'baie'), ('porte c', 'porte c')),
+h AS (SELECT query, place, name, population, CASE WHEN starts_with(strip_accents(lower(name)), folded) THEN 1 WHEN contains(strip_accents(lower(name)), ' ' || folded) THEN 2 WHEN contains(strip_accents(lower(name)), folded) THEN 3 ELSE 4 END AS tier
+ FROM q, t WHERE CASE WHEN folded IN ('b', 'baie', 'porte c') THEN true ELSE regexp_extract(words, 'sankt (.*) baie', 1) = substr(folded, 7) END),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, population DESC, length(name), place) AS rank FROM h) SELECT query, rank, place, name, tier, population FROM r WHERE rank <= 12""".replace("WITH c AS", f"WITH {SUPPLIERS}, c AS"))
+def cities_by_other_names(spark, d):
+    """Cities with accents in their names, found by their alternate names and without the accents."""
+    key, none = F.col("c_custkey"), F.lit("")
+    fields = [none] * 19
+    other = F.concat(F.lit("Sänkt "), F.chr(65 + key % 26), (key % 7).cast("string"), F.lit(",Baïe"))
+    fields[0], fields[1], fields[3], fields[4], fields[5], fields[8], fields[14] = key.cast("string"), F.concat(F.lit("Porté "), F.translate("c_name", "aeo", "áëô")), other, F.col("latitude").cast("string"), F.col("longitude").cast("string"), F.lit("xx"), (key % 90 * 10).cast("string")
+    cities = readers.city_rows(customers(spark, d).select(F.concat_ws("\t", *fields).alias("value")))
+    n = F.col("s_suppkey")
+    asked = suppliers(spark, d).select(F.concat(F.lit("Sànkt "), F.chr(65 + n % 26), (n % 7).cast("string")).alias("query"))
+    asked = asked.unionByName(spark.createDataFrame([("b",), ("BAÏE",), ("porte c",)], "query string"))
+    return Q.search_places(asked, cities, "port_id", "port_name", ["port_name", "alt_names"])
+
+
 CELL = "CAST(least(greatest(floor({y} + 90), 0), 179) * 360 + least(greatest(floor({x} + 180 - 360 * floor(({x} + 180) / 360)), 0), 359) AS INTEGER)"
 WRAPPED = "({x} + 180 - 360 * floor(({x} + 180) / 360)) - 180"
 
@@ -345,5 +364,5 @@ def pooled_candidates(spark, d):
     c = customers(spark, d).withColumn("k", F.col("c_custkey") % 40)
     rich = c.filter("c_acctbal > 5000").groupBy("k").agg(F.min("c_custkey").alias("hit"))
     every = c.groupBy("k").agg(F.min("c_custkey").alias("any_key"))
-    pool = P.search_pool(rich, every.select("k", F.lit(None).cast("long").alias("hit")), ["k"])
+    pool = Q.search_pool(rich, every.select("k", F.lit(None).cast("long").alias("hit")), ["k"])
     return pool.filter("hit is not null").join(every, "k").select("k", "hit", "any_key")

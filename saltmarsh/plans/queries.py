@@ -12,6 +12,7 @@ from saltmarsh.functions import scalar as S
 from saltmarsh.operators import analytics as A
 from saltmarsh.operators import observations as O
 from saltmarsh.operators import places as P
+from saltmarsh.operators import search as Q
 from saltmarsh.operators import series as R
 
 OBS = """WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
@@ -254,4 +255,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, population
 def part_search(spark, d):
     parts = read(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").cast("long").alias("population"), F.lit("city").alias("source"))
     asked = parts.select(F.substring("p_name", 1, 6).alias("query"))
-    return P.search_places(asked, parts, "p_partkey", "p_name", ["p_name"])
+    return Q.search_places(asked, parts, "p_partkey", "p_name", ["p_name"])

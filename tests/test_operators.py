@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from saltmarsh.functions import scalar as S
 from saltmarsh.operators import observations as O
 from saltmarsh.operators import places as P
+from saltmarsh.operators import search as Q
 from saltmarsh.operators import planning as L
 from saltmarsh.operators import series as R
 from saltmarsh.schema import MEASURES, SAVED
@@ -272,7 +273,7 @@ def test_a_repeated_header_column_spoils_no_file(spark):
 def test_pools_lookups_and_ordered_places(spark):
     hits = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "query string, port_id string, n int")
     more = spark.createDataFrame([("q", "b", 9), ("r", "b", 9)], "query string, port_id string, n int")
-    assert sorted(map(tuple, P.search_pool(hits, more, ["query", "port_id"]).collect())) == [("q", "a", 1), ("q", "b", 2), ("r", "b", 9)]
+    assert sorted(map(tuple, Q.search_pool(hits, more, ["query", "port_id"]).collect())) == [("q", "a", 1), ("q", "b", 2), ("r", "b", 9)]
     assert [r.n for r in P.by_key(hits, "port_id", "b").collect()] == [2]
     places = spark.createDataFrame([("c1", "Z", "geonames", 9), ("p1", "B", "wpi", None), ("p2", "A", "wpi", 5)], "port_id string, port_name string, source string, population long")
     assert [r.port_id for r in L.gazetteer_order(places).collect()] == ["p2", "p1", "c1"]
