@@ -6,6 +6,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/saltmarsh"
 
 
-#: Lists of the tables staged inside collecting().
-_collecting: list[list[DataFrame]] = []
+#: The tables staged inside the collecting() at hand, of this thread.
+_collecting: ContextVar[list[DataFrame] | None] = ContextVar("collecting", default=None)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -43,8 +44,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """As written(); collecting() hears of it."""
     out = written(df, label)
-    if _collecting:
-        _collecting[-1].append(out)
+    held = _collecting.get()
+    if held is not None:
+        held.append(out)
     return out
 
 
@@ -58,11 +60,18 @@ def discard(*tables: DataFrame) -> None:
 @contextmanager
 def collecting() -> Iterator[list[DataFrame]]:
     """The tables staged inside, for discard() when the results have been used."""
-    _collecting.append([])
+    tables: list[DataFrame] = []
+    before = _collecting.set(tables)
     try:
-        yield _collecting[-1]
+        yield tables
     finally:
-        _collecting.pop()
+        _collecting.reset(before)
+
+
+def reads(df: DataFrame, tables: list[DataFrame]) -> bool:
+    """Whether any of the staged tables is still to be read for df."""
+    names = {t.written_to.rsplit("/", 1)[-1] for t in tables}
+    return any(part in names for file in df.inputFiles() for part in file.split("/"))
 
 
 def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:

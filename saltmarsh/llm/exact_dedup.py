@@ -3,7 +3,8 @@
 Sampled splitters range-partition the normalised bytes, each partition is sorted by Spark's external
 sort, and neighbours are compared in full. The sort key is the first 64 bytes, then the text's
 SHA-256 (so that the splitters the driver samples stay short, however long the texts), then the id
-(so that a group of copies of any size spreads over as many partitions as it needs). A run of equal
+and the row's number (so that a group of copies of any size spreads over as many partitions as it
+needs, whatever its ids). A run of equal
 texts that touches the first or last row of a partition may go on in the next one; such edge runs,
 two per partition at most, are matched by full text afterwards.
 """
@@ -74,7 +75,7 @@ def _marked(rows: DataFrame, keep: str) -> DataFrame:
         yield from flush()
 
     rows = rows.withColumn("sha", F.sha2("norm", 256)).withColumn("head", F.substring("norm", 1, 64))
-    ordered = rows.repartitionByRange("head", "sha", "doc_id").sortWithinPartitions("head", "sha", "doc_id")
+    ordered = rows.repartitionByRange("head", "sha", "doc_id", "row").sortWithinPartitions("head", "sha", "doc_id", "row")
     runs = staged(ordered.select("doc_id", "row", "norm", "sha").mapInArrow(neighbours, RUNS), "exact_runs")
     edge = runs.filter("edge and edge_text is not null").select("run", "run_size", "run_id", "run_row", "edge_text")
     best = F.min(F.struct(F.col("run_id").isNull(), sign * F.col("run_id"), "run_row", "run_id"))

@@ -227,8 +227,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(True))
     few = ids.count() <= SENT_IDS
     rows = rows.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
-    # Both passes must read the same rows in the same order: a plain scan does, a shuffle's result must be written.
-    rows = rows if few else staged(rows, "lm_rows")
+    # Both passes must cut the same chunks: of a written table, not of rows that may come otherwise again.
+    rows = staged(rows, "lm_rows")
     ranges = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // RANGE_BYTES)
     answers = staged(added_up(sent_ngrams(rows, ranges)), "lm_answers")
     whole = {r.kind: r for r in answers.filter("chunk < 0").groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("size", "sum_n", "sum_t")]).collect()}  # two rows

@@ -3,6 +3,7 @@
 import itertools
 import re
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -114,3 +115,19 @@ def test_odd_and_empty_documents_pass_all_stages(spark, tmp_path):
         for name, before, out in stages(spark, docs, tmp_path / str(n)):
             assert name == "packing" or out.columns == before.columns
             assert n == 0 or out.count() == 0
+
+
+def test_stages_chain_lazily_and_runs_leave_each_other_alone(spark, staged):
+    """No stage's result is written before the next is called, in two runs at once; both give what stages
+    written one by one give."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def lazily(_):
+        out = docs
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            out = stage(spark, out, SF)
+        return sorted(r.doc_id for r in out.select("doc_id").collect())
+
+    want = sorted(r.doc_id for r in staged[2][2].select("doc_id").collect())
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(lazily, range(2))) == [want, want]
