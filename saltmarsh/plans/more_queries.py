@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -213,6 +214,10 @@ def scope_summaries(spark, d):
     return L.scope_summary(obs(spark, d), ["cell"])
 
 
+#: The files may come in any order of time, so no row is too late and no cell silent.
+ALWAYS = timedelta(days=36_500)
+
+
 def streamed(spark, d):
     """events as a stream of observations."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
@@ -231,7 +236,7 @@ def streamed_resample(spark, d):
 @query(OBS + "SELECT cell, round(arg_max(sst_celsius, struct_pack(t := time, v := sst_celsius)) FILTER (WHERE sst_celsius IS NOT NULL), 4) AS sst_celsius, round(arg_max(wave_height_m, struct_pack(t := time, v := wave_height_m)), 4) AS wave_height_m FROM p GROUP BY cell")
 def streamed_latest(spark, d):
     out = folder(spark, "latest")
-    X.write_updates(X.live_cells(streamed(spark, d), ["cell"], ["sst_celsius", "wave_height_m"]), f"{out}/rows", f"{out}/log").awaitTermination()
+    X.write_updates(X.live_cells(streamed(spark, d), ["cell"], ["sst_celsius", "wave_height_m"], late="36500 days", silent=ALWAYS), f"{out}/rows", f"{out}/log").awaitTermination()
     return X.newest(spark, f"{out}/rows", ["cell"]).select("cell", *r4("sst_celsius", "wave_height_m"))
 
 

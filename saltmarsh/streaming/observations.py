@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from saltmarsh.operators import observations as O
 from saltmarsh.operators import series as R
-from saltmarsh.operators.analytics import latest_per_cell
 from saltmarsh.session import delete
 from saltmarsh.sources import readers
+from saltmarsh.streaming.snapshots import Versions
 
 STORED = [
     "obs_id string", "latitude double", "longitude double", "timestamp long", "port_id string", *[f"{m} double" for m in O.MEASURES],
@@ -22,36 +25,40 @@ STORED = [
 ]
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame:
-    """The merged table; an empty one if nothing has been written."""
-    try:
-        return spark.read.schema(", ".join(STORED)).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], ", ".join(STORED))
+def versions(spark: SparkSession, path: str) -> Versions:
+    """The merged table's versions, by day."""
+    return Versions(spark, path, "obs_date", ", ".join(STORED))
 
 
-def merge_into(path: str, batch: DataFrame, now_ms: int) -> DataFrame:
+def stored(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The merged table as of a version, the newest by default; an empty one if nothing has been written."""
+    return versions(spark, path).rows(version)
+
+
+def merge_into(path: str, batch: DataFrame, now_ms: int, writer: tuple[str, int] | None = None) -> DataFrame:
     """Merges a batch of validated rows (obs_id, source, ingest_seq) into the table at path, by day.
 
-    Days without new rows are not touched. The days' new content is first written beside the table
-    and then put in place by dynamic partition overwrite, so that nothing is read and overwritten at
-    once; merging the same batch again changes no value, so a batch retried after a failure is safe.
-    Rows however late correct earlier ones; a forecast once replaced stays an analysis.
+    Days without new rows are not touched. The days' new content becomes part of the table in one
+    step, as a new version: readers see the table before or after it, a failure leaves the one
+    before, and of writers at one time the later one merges again into what the earlier one made.
+    Merging the same batch again changes no value; with writer (a name and a batch's number) it isn't
+    merged again. Rows however late correct earlier ones; a forecast once replaced stays an analysis.
     """
     spark = batch.sparkSession
     new = batch.withColumn("obs_date", F.to_date(F.timestamp_millis("timestamp"))).withColumn("sources", F.lit(None).cast("array<string>")).withColumn("created_at", F.lit(now_ms)).withColumn("updated_at", F.lit(now_ms))
     days = [r[0] for r in new.select("obs_date").distinct().collect()]  # a day a row: the partitions to be rewritten
-    old = stored(spark, path).filter(F.col("obs_date").isin(days)).withColumn("source", F.lit(None).cast("string")).withColumn("ingest_seq", F.lit(-1).cast("long"))
-    columns = [c.split()[0] for c in STORED] + ["source", "ingest_seq"]
-    merged = O.merge_observations(old.select(columns).unionByName(new.select(columns)))
-    beside = f"{path.rstrip('/')}_{uuid.uuid4().hex}"
-    merged.withColumn("obs_date", F.to_date(F.timestamp_millis("timestamp"))).select(*[c.split()[0] for c in STORED]).write.parquet(beside)
-    done = spark.read.schema(", ".join(STORED)).parquet(beside)
-    done.repartition("obs_date", F.pmod(F.xxhash64("obs_id"), F.lit(32))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("obs_date").parquet(path)
-    delete(spark, beside)
-    return stored(spark, path).filter(F.col("obs_date").isin(days))
+    names = [c.split()[0] for c in STORED]
+
+    def merged(old: DataFrame) -> DataFrame:
+        old = old.withColumn("source", F.lit(None).cast("string")).withColumn("ingest_seq", F.lit(-1).cast("long"))
+        rows = O.merge_observations(old.select(*names, "source", "ingest_seq").unionByName(new.select(*names, "source", "ingest_seq")))
+        rows = rows.withColumn("obs_date", F.to_date(F.timestamp_millis("timestamp"))).select(*names)
+        return rows.repartition("obs_date", F.pmod(F.xxhash64("obs_id"), F.lit(32)))
+
+    table = versions(spark, path)
+    if not days:
+        return table.rows()
+    return table.rows(table.commit(merged, days, writer), days)
 
 
 def _record(batch_id: int, valid: DataFrame, rejected: DataFrame, path: str | None) -> None:
@@ -75,7 +82,7 @@ def merge_stream(readings: DataFrame, path: str, checkpoint: str, now_ms: Callab
             if quarantine:
                 bad.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
             _record(batch_id, good, bad, metrics)
-            merge_into(path, good, now_ms())
+            merge_into(path, good, now_ms(), (checkpoint, batch_id))
         finally:
             kept.unpersist()
 
@@ -88,25 +95,71 @@ def payload_stream(payloads: DataFrame, path: str, checkpoint: str, now_ms: Call
 
     def each(batch: DataFrame, batch_id: int) -> None:
         now = now_ms()
-        hours = readers.marine_hours(batch, now)
-        if hits:
-            readers.had_data(hours).write.mode("overwrite").parquet(f"{hits}/batch_id={batch_id}")
-        sequence = batch.select("payload_id", "ingest_seq")
-        rows = hours.filter("usable").join(sequence, "payload_id").drop("usable", "payload_id", "location")
-        for m in O.MEASURES:
-            if m not in rows.columns:
-                rows = rows.withColumn(m, F.lit(None).cast("double"))
-        good, bad = O.validate(rows)
-        _record(batch_id, good, bad, metrics)
-        merge_into(path, good, now)
+        hours = readers.marine_hours(batch, now).persist()  # parsed once for all that follows
+        try:
+            if hits:
+                readers.had_data(hours).write.mode("overwrite").parquet(f"{hits}/batch_id={batch_id}")
+            sequence = batch.select("payload_id", "ingest_seq")
+            rows = hours.filter("usable").join(sequence, "payload_id").drop("usable", "payload_id", "location")
+            for m in O.MEASURES:
+                if m not in rows.columns:
+                    rows = rows.withColumn(m, F.lit(None).cast("double"))
+            good, bad = O.validate(rows)
+            _record(batch_id, good, bad, metrics)
+            merge_into(path, good, now, (checkpoint, batch_id))
+        finally:
+            hours.unpersist()
 
     return payloads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def live_cells(readings: DataFrame, key: list[str], columns: list[str], time: str = "time", late: str = "12 hours") -> DataFrame:
-    """The last value of every column per cell, as a stream for update mode. State: a row a cell;
-    readings later than the watermark are the reader's to filter on `latest`."""
-    return latest_per_cell(readings.withWatermark(time, late), key, columns, time)
+class LiveCell(StatefulProcessor):
+    """A cell's last values, until it has been silent for so long that the watermark is past it."""
+
+    def __init__(self, key: list[str], columns: list[str], time: str, silent_ms: int, state: StructType):
+        self.key, self.columns, self.time, self.silent_ms, self.schema = key, columns, time, silent_ms, state
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("cell", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else (None,) * (2 * len(self.columns) + 1)
+        latest, known = held[0], {c: (held[2 * i + 1], held[2 * i + 2]) for i, c in enumerate(self.columns)}
+        for frame in rows:
+            latest = max(t for t in (latest, frame[self.time].max()) if t is not None and t == t)
+            for c in self.columns:
+                some = frame[[self.time, c]].dropna()
+                if len(some):
+                    # Of values at one time the greatest, as in analytics.latest_per_cell.
+                    at, value = some.sort_values([self.time, c]).iloc[-1]
+                    known[c] = max((known[c], (at, value)), key=lambda k: (k[0] is not None, *(k if k[0] is not None else ())))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(latest.timestamp() * 1000) + self.silent_ms)
+        self.state.update((latest, *(v for c in self.columns for v in known[c])))
+        yield pd.DataFrame([(*key, *(known[c][1] for c in self.columns), latest)], columns=[*self.key, *self.columns, "latest"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def live_cells(readings: DataFrame, key: list[str], columns: list[str], time: str = "time", late: str = "1 hour", silent: timedelta = timedelta(hours=12)) -> DataFrame:
+    """The last value of every column per cell, as a stream for update mode: a row for each cell that a
+    batch has readings of. The state is a row for each cell that isn't silent: one without a reading
+    for `silent` before the watermark is dropped and begins anew if it comes back. Rows later than the
+    watermark are dropped. Sets the session's state store to RocksDB, which timers need.
+    """
+    readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    types = {f.name: f.dataType for f in readings.schema}
+    at = StructField("latest", TimestampType())
+    state = StructType([at, *[f for c in columns for f in (StructField(f"{c}_at", TimestampType()), StructField(c, types[c]))]])
+    out = StructType([*[StructField(k, types[k]) for k in key], *[StructField(c, types[c]) for c in columns], at])
+    rows = readings.select(*key, F.col(time).cast("timestamp").alias(time), *columns).filter(F.col(time).isNotNull()).withWatermark(time, late)
+    return rows.groupBy(*key).transformWithStateInPandas(LiveCell(key, columns, time, int(silent.total_seconds() * 1000), state), out, "Update", "EventTime")
 
 
 def resample_stream(readings: DataFrame, interval: str = "1d", keys: list[str] | None = None, time: str = "time", late: str = "2 days") -> DataFrame:
