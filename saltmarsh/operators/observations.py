@@ -125,25 +125,37 @@ def merge_observations(batches: DataFrame, key: str = "obs_id", order: str = "in
     only fill takes its first value if no other is there. A forecast becomes an analysis for good,
     history is remembered, sources are listed as they came. Rows merged before may take part as the
     first of their key: their array `sources` stands for `source`, and created_at and updated_at, if
-    present, become the earliest and the latest. One shuffle on the key.
+    present, become the earliest and the latest. Versions are aggregated before they are sent: by key and
+    source, then by key.
     """
-    first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
-    rows = batches.withColumn("_first", first)
     seq = F.col(order)
-    out = []
+    tags = F.coalesce("sources", F.array("source")) if "sources" in batches.columns else F.array("source")
+    # Versions are reduced by key and source where they lie, so that a key with any number of them sends a
+    # row a source and task; what is kept of a column is a value and the version that it is from.
+    made, done = [], []
+
+    def kept(c: str, when: Column, last: bool) -> Column:
+        """The value of the last (or first) version for which `when` holds."""
+        name, by = f"_{len(made)}", F.when(when, seq)
+        made.extend([(F.max_by if last else F.min_by)(c, by).alias(name), (F.max if last else F.min)(by).alias(f"{name}q")])
+        return (F.max_by if last else F.min_by)(name, f"{name}q")
+
+    every = F.lit(True)
     for c in MEASURES:
         has = F.col(c).isNotNull()
-        value = F.max_by(c, F.when(has & (F.col("_first") | _owns(c)), seq))
+        # The owner's last value; else the first version's, whoever it is from; else what may fill.
+        values = [kept(c, has & _owns(c), True), kept(c, every, False)]
         fills = [s for s in FILL_ONLY if c in FILL_ONLY[s]]
         if fills:
-            value = F.coalesce(value, F.min_by(c, F.when(has & F.col("source").isin(fills), seq)))
-        out.append(value.alias(c))
-    fixed = [F.min_by(c, order).alias(c) for c in ("latitude", "longitude", "timestamp")]
-    port = F.max_by("port_id", F.when(F.col("port_id").isNotNull(), seq)).alias("port_id")
-    tags = F.coalesce("sources", F.array("source")) if "sources" in batches.columns else F.array("source")
-    listed = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(seq.alias("q"), tags.alias("s")))), lambda x: x["s"]))).alias("sources")
-    ages = [f(c).alias(c) for f, c in ((F.min, "created_at"), (F.max, "updated_at")) if c in batches.columns]
-    return rows.groupBy(key).agg(*fixed, port, *out, F.bool_and("is_forecast").alias("is_forecast"), F.bool_or("is_historical_cache").alias("is_historical_cache"), listed, *ages, F.min(order).alias("created_seq"), F.max(order).alias("updated_seq"))
+            values.append(kept(c, has & F.col("source").isin(fills), False))
+        done.append(F.coalesce(*values).alias(c))
+    fixed = [kept(c, every, False).alias(c) for c in ("latitude", "longitude", "timestamp")]
+    port = kept("port_id", F.col("port_id").isNotNull(), True).alias("port_id")
+    ages = [(c, f) for f, c in ((F.min, "created_at"), (F.max, "updated_at")) if c in batches.columns]
+    flags = [("is_forecast", F.bool_and), ("is_historical_cache", F.bool_or), *ages]
+    by_source = batches.withColumn("_tags", tags).groupBy(key, "_tags").agg(*made, *[f(c).alias(c) for c, f in flags], F.min(order).alias("_low"), F.max(order).alias("_high"))
+    listed = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col("_low").alias("q"), F.col("_tags").alias("s")))), lambda x: x["s"]))).alias("sources")
+    return by_source.groupBy(key).agg(*fixed, port, *done, *[f(c).alias(c) for c, f in flags[:2]], listed, *[f(c).alias(c) for c, f in ages], F.min("_low").alias("created_seq"), F.max("_high").alias("updated_seq"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], overwrite: list[str], keep_if_null: list[str], keep: list[str]) -> DataFrame:

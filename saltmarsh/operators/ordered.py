@@ -9,8 +9,16 @@ take what came to theirs.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from saltmarsh.session import settled
 
@@ -86,3 +94,53 @@ def positions(rows: DataFrame, keys: list[str], counted: bool = False) -> DataFr
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = rows.join(each, same).withColumn("_j", F.col("_at") - F.col("_first") + F.col("_start"))
     return out.drop("_b", "_first", "_start", *[f"_k{i}" for i in range(len(keys))])
+
+
+#: Rows of a chunk, if the window isn't longer.
+CHUNK = 4096
+
+
+def with_halo(rows: DataFrame, window: int, chunk: int | None = None) -> DataFrame:
+    """rows: as positions(counted=True) gives them -> with `_chunk` and `_halo`: each series cut into chunks of
+    rows, each of which also has the `window` rows before it, marked as halo."""
+    size = max(chunk or CHUNK, window, 1)
+    mine = F.floor(F.col("_j") / size)
+    ahead = F.col("_j") % size >= size - window
+    places = F.when(ahead, F.array(F.struct(mine.alias("c"), F.lit(False).alias("h")), F.struct((mine + 1).alias("c"), F.lit(True).alias("h")))).otherwise(F.array(F.struct(mine.alias("c"), F.lit(False).alias("h"))))
+    out = rows.withColumn("_p", F.explode(places)).withColumn("_chunk", F.col("_p.c")).withColumn("_halo", F.col("_p.h")).drop("_p")
+    return out.repartition("_series", "_chunk").sortWithinPartitions("_series", "_chunk", "_j")
+
+
+def above_trailing_quantile(rows: DataFrame, value: str, window: int, share: float, least: int, name: str) -> DataFrame:
+    """rows: as with_halo() gives them -> without the halo, with `name`: whether value is above the quantile of
+    the `window` rows before it, of which `least` or more have a value. The values in the window are kept in
+    order from row to row: one goes in and one out."""
+    schema = StructType([*rows.schema, StructField(name, BooleanType())])
+
+    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple = (None, None)
+        recent: deque = deque()
+        held: list[float] = []
+        for batch in batches:
+            out = []
+            for series, chunk, v in zip(*(batch.column(c).to_pylist() for c in ("_series", "_chunk", value))):
+                if (series, chunk) != now:
+                    now = (series, chunk)
+                    recent.clear()
+                    held.clear()
+                above = False
+                if v is not None and len(held) >= least:
+                    at = (len(held) - 1) * share
+                    low = math.floor(at)
+                    high = min(low + 1, len(held) - 1)
+                    edge = held[low] if at == low else (low + 1 - at) * held[low] + (at - low) * held[high]
+                    above = v > edge
+                out.append(above)
+                recent.append(v)
+                if v is not None:
+                    insort(held, v)
+                if len(recent) > window and (gone := recent.popleft()) is not None:
+                    del held[bisect_left(held, gone)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, name]).filter(pc.invert(batch.column("_halo")))
+
+    return rows.mapInArrow(slide, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.functions import scalar as S
-from saltmarsh.operators.ordered import Blocks, in_order, positions
+from saltmarsh.operators.ordered import Blocks, above_trailing_quantile, in_order, positions, with_halo
 from saltmarsh.schema import BEARINGS
 from saltmarsh.session import settled
 
@@ -129,21 +129,23 @@ def warm_spells(rows: DataFrame, value: str, keys: list[str], order: str, window
 
     calendar: first to daily means with a row for every day between a series' first and last, so
     that the window and the duration count days and a day without a value ends a spell; `order` is
-    then a time and the result has the keys, `day`, the value and warm_spell.
+    then a time and the result has the keys, `day`, the value and warm_spell. Rows of one time are in a
+    fixed, but any order. Series of any length are worked on in chunks, on all tasks; null and
+    non-finite values end a spell and count in no quantile.
     """
     if calendar:
         days = daily_means(rows, [value], keys, order)
         spans = days.groupBy(*keys).agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
         grid = calendar_rows(spans, keys, "_lo", "_hi", "1 day", "day").drop("_at", "_block")
         rows, order = grid.join(days, [*keys, "day"], "left"), "day"
-    by = Window.partitionBy(*keys).orderBy(order)
-    before = by.rowsBetween(-window, -1)
-    hot = (F.count(value).over(before) >= max(10, 2 * min_duration)) & (F.col(value) > F.percentile(value, share).over(before))
-    enough = F.count(value).over(Window.partitionBy(*keys)) >= min_duration
-    rows = rows.withColumn("_hot", F.coalesce(hot & enough, F.lit(False)))
-    rows = rows.withColumn("_island", F.row_number().over(by) - F.sum(F.col("_hot").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    run = F.count("*").over(Window.partitionBy(*keys, "_hot", "_island"))
-    return rows.withColumn("warm_spell", F.col("_hot") & (run >= min_duration)).drop("_hot", "_island")
+    names = rows.columns
+    held = positions(in_order(rows.withColumn("_v", S.clean(F.col(value))), keys, [order]), keys, counted=True)
+    hot = above_trailing_quantile(with_halo(held, window), "_v", window, share, max(10, 2 * min_duration), "_hot")
+    hot = Blocks(settled(hot.drop("_chunk", "_halo"), "hot_rows"), keys)
+    hot = hot.with_columns({"_island": F.col("_j") - hot.running_sum("hot", F.col("_hot").cast("int"))})
+    # Of hot rows in a row each has one more before it and one more place: the difference tells the spell.
+    run = F.count("*").over(Window.partitionBy("_series", "_hot", "_island"))
+    return hot.withColumn("warm_spell", F.col("_hot") & (run >= min_duration)).select(*names, "warm_spell")
 
 
 def chart_rows(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -298,3 +298,19 @@ def test_dictionary_says_what_columns_are(spark):
     assert [n for n, r in got.items() if r.description == "derived column"] == ["other"]
     givers = {r.provider: r for r in exports.providers_for(spark.createDataFrame([("sst_celsius",)], "column string")).collect()}
     assert givers.keys() == {"Open-Meteo Marine", "NOAA OISST v2.1"} and givers["Open-Meteo Marine"].licence == "CC BY 4.0"
+
+
+def test_a_key_with_very_many_versions(spark):
+    """A third of all rows are versions of one reading; what is sent of them is a row a source and task."""
+    n = F.col("id")
+    rows = spark.range(0, 300_000, 1, 12).select(
+        F.when(n % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), n)).alias("obs_id"), n.alias("ingest_seq"), F.element_at(F.array(*map(F.lit, ("erddap_sst", "open_meteo", "erddap_sla"))), ((n / 3).cast("int") % 3 + 1)).alias("source"),
+        F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"), F.lit(0).cast("long").alias("timestamp"), F.lit(None).cast("string").alias("port_id"), (n % 2 == 0).alias("is_forecast"), F.lit(False).alias("is_historical_cache"), *[F.when(n % 5 != 0, n.cast("double")).alias(m) for m in MEASURES],
+    )
+    merged = O.merge_observations(rows)
+    assert merged.count() == 200_001
+    hot = merged.filter("obs_id = 'hot'").first()
+    assert hot.sources == ["erddap_sst", "open_meteo", "erddap_sla"] and (hot.created_seq, hot.updated_seq, hot.is_forecast) == (0, 299_997, False)
+    # Waves are open_meteo's: its last version with a value.
+    assert hot.wave_height_m == max(i for i in range(0, 300_000, 3) if i // 3 % 3 == 1 and i % 5)
+    assert "Window" not in merged._jdf.queryExecution().optimizedPlan().toString()

@@ -101,3 +101,27 @@ def test_hull_keeps_every_corner():
         for a, b in rng.normal(size=(40, 2)):
             assert max(a * q[1] + b * q[2] for q in hull) == pytest.approx(max(a * q[1] + b * q[2] for q in p))
         assert len(R._hull([(i, float(i), 0.5) for i in range(1000)])) == 2
+
+
+@pytest.mark.parametrize("window, chunk", [(20, 64), (90, 10), (1, 7)])
+def test_spells_over_chunks_equal_brute_force(spark, monkeypatch, window, chunk):
+    monkeypatch.setattr(ordered, "CHUNK", chunk)
+    rng = np.random.default_rng(window)
+    series = {"a": 900, "b": 30, None: 200, "short": 3}
+    rows = [(k, i, None if rng.random() < 0.1 else float(np.round(rng.normal() + (2 if i // 7 % 5 == 0 else 0), 1))) for k, n in series.items() for i in range(n)]
+    rows[50] = ("a", 50, float("nan"))
+    got = {(r.k, r.i): r.warm_spell for r in R.warm_spells(frame(spark, rows), "v", ["k"], "i", window, 0.7, 3).collect()}
+    for key in series:
+        v = [x if x is not None and x == x else None for k, _, x in rows if k == key]
+        hot = []
+        for i, x in enumerate(v):
+            before = [y for y in v[max(0, i - window) : i] if y is not None]
+            hot.append(x is not None and len(before) >= 10 and x > np.quantile(before, 0.7) + 1e-12)
+        for i in range(len(v)):
+            a, b = i, i
+            while hot[i] and a > 0 and hot[a - 1]:
+                a -= 1
+            while hot[i] and b + 1 < len(v) and hot[b + 1]:
+                b += 1
+            assert got[key, i] == (hot[i] and b - a + 1 >= 3)
+    assert any(got.values()) == (window > 1) and len(got) == len(rows)
