@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,20 +46,27 @@ def in_box(lat: Column, lon: Column, south: float, north: float, west: float, ea
     return lat.between(south, north) & lon.between(min(west, east), max(west, east))
 
 
-def in_radius(lat: Column, lon: Column, centre: tuple[float, float], radius_km: float) -> Column:
-    """A box of literals, which reaches the Parquet statistics, and the exact distance."""
-    import math
-
+def radius_box(centre: tuple[float, float], radius_km: float) -> tuple[float, float, list[tuple[float, float]]]:
+    """South, north and the spans from west to east (none: all around) that hold everything in the radius."""
     clat, clon = centre
     dlat = radius_km / 111.32
-    box = lat.between(max(-90.0, clat - dlat), min(90.0, clat + dlat))
     cos = math.cos(math.radians(min(89.999, abs(clat) + dlat)))
     dlon = dlat / max(cos, 1e-6)
+    spans = []
     if dlon < 180 and abs(clat) + dlat < 90:
-        wrap = lambda v: (v + 180) % 360 - 180
-        west, east = wrap(clon - dlon), wrap(clon + dlon)
-        box &= ((lon >= west) & (lon <= east)) if west <= east else ((lon >= west) | (lon <= east))
-    return box & (S.haversine_km(lat, lon, F.lit(clat), F.lit(clon)) <= radius_km)
+        west, east = ((v + 180) % 360 - 180 for v in (clon - dlon, clon + dlon))
+        spans = [(west, east)] if west <= east else [(west, math.inf), (-math.inf, east)]
+    return max(-90.0, clat - dlat), min(90.0, clat + dlat), spans
+
+
+def in_radius(lat: Column, lon: Column, centre: tuple[float, float], radius_km: float) -> Column:
+    """A box of literals, which reaches the Parquet statistics, and the exact distance."""
+    south, north, spans = radius_box(centre, radius_km)
+    box = lat.between(south, north)
+    if spans:
+        sides = [reduce(lambda a, b: a & b, [c for c, there in ((lon >= w, w > -math.inf), (lon <= e, e < math.inf)) if there]) for w, e in spans]
+        box &= reduce(lambda a, b: a | b, sides)
+    return box & (S.haversine_km(lat, lon, F.lit(centre[0]), F.lit(centre[1])) <= radius_km)
 
 
 @dataclass
@@ -95,6 +103,17 @@ class ObservationFilter:
         parts += [F.col(c).isNotNull() for c in self.require_columns if c in columns]
         return reduce(lambda a, b: a & b, parts)
 
+    def boxes(self) -> list[tuple[float, float, list[tuple[float, float]]]]:
+        """South, north and spans from west to east (none: all around) of which rows must be in all."""
+        out = []
+        if self.bbox:
+            south, north, west, east = self.bbox
+            seam = self.wrap and west > east
+            out.append((min(south, north), max(south, north), [(west, math.inf), (-math.inf, east)] if seam else [(min(west, east), max(west, east))]))
+        if self.centre and self.radius_km:
+            out.append(radius_box(self.centre, self.radius_km))
+        return out
+
     def apply(self, obs: DataFrame) -> DataFrame:
         out = obs.filter(self.condition(obs.columns))
         if self.centre and self.radius_km:

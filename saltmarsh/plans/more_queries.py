@@ -15,6 +15,7 @@ from saltmarsh.operators import series as R
 from saltmarsh.operators import analytics as A
 from saltmarsh.plans.queries import DAYS, HAV, OBS, XY, obs, placed, query, r4, r6, read, sq
 from saltmarsh.session import own_folder as folder
+from saltmarsh.sources import clustered as C
 from saltmarsh.sources import exports, readers
 from saltmarsh.streaming import observations as X
 
@@ -103,6 +104,25 @@ def cities_by_other_names(spark, d):
     return Q.search_places(asked, cities, "port_id", "port_name", ["port_name", "alt_names"])
 
 
+@query(OBS + "SELECT event_id, cell FROM obs WHERE latitude BETWEEN -10 AND 30 AND longitude BETWEEN -60 AND 20 AND epoch_us(time) // 1000 BETWEEN 1704500000000 AND 1706000000000 AND NOT is_forecast")
+def clustered_box(spark, d):
+    """A box and a span of days out of observations stored by day and along a curve."""
+    path = folder(spark, "clustered")
+    C.write_clustered(obs(spark, d), path)
+    return C.read_clustered(spark, path, O.ObservationFilter(start_ms=1_704_500_000_000, end_ms=1_706_000_000_000, bbox=(-10, 30, -60, 20))).select("event_id", "cell")
+
+
+@query(OBS + "SELECT source, count(*) AS n, true AS median_within, true AS p99_within FROM p WHERE wave_height_m IS NOT NULL GROUP BY source")
+def sketched_quantiles(spark, d):
+    """Quantiles from sketches of days and cells, merged by source: whether their ranks are within 0.2 % of what was asked for."""
+    o = obs(spark, d)
+    shares = {"median": 0.5, "p99": 0.99}
+    found = A.merged_quantiles(A.quantile_sketches(o, "wave_height_m", ["source", "cell"]), shares, ["source"])
+    rows = o.filter("wave_height_m is not null").join(found, "source").groupBy("source", "n")
+    below = {c: (F.count_if(F.col("wave_height_m") < F.col(c)), F.count_if(F.col("wave_height_m") <= F.col(c))) for c in shares}
+    return rows.agg(*[((lo / F.count("*") <= p + 0.002) & (hi / F.count("*") >= p - 0.002)).alias(f"{c}_within") for (c, p), (lo, hi) in zip(shares.items(), below.values())])
+
+
 CELL = "CAST(least(greatest(floor({y} + 90), 0), 179) * 360 + least(greatest(floor({x} + 180 - 360 * floor(({x} + 180) / 360)), 0), 359) AS INTEGER)"
 WRAPPED = "({x} + 180 - 360 * floor(({x} + 180) / 360)) - 180"
 
