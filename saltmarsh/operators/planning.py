@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from saltmarsh.functions import scalar as S
 from saltmarsh.operators import places as P
+from saltmarsh.operators.ordered import in_order, positions
 
 #: The first day with data of each marine variable, and the day for unknown ones.
 ARCHIVE_FLOORS = {"wave_height": "2021-12-01", "wave_period": "2021-12-01", "wave_direction": "2021-12-01", "ocean_current_velocity": "2022-01-01", "ocean_current_direction": "2022-01-01", "sea_surface_temperature": "2022-12-01"}
@@ -52,10 +53,14 @@ def nearest_ocean(points: DataFrame, ocean: DataFrame, key: str, rings: int = 4)
     return points.select(key).join(best, key, "left").select(key, F.col("b._lat").alias("ocean_latitude"), F.col("b._lon").alias("ocean_longitude"), F.col("b.ring").alias("ring"))
 
 
-def resolve_cells(points: DataFrame, gridded: DataFrame, key: str, value: str, half_span: float = 0.75) -> DataFrame:
+def resolve_cells(points: DataFrame, gridded: DataFrame, key: str, value: str, half_span: float = 0.75, day: str | None = None, last_day: str | None = None, days: int = 10) -> DataFrame:
     """key, cell_latitude, cell_longitude (4 places), distance_km: the nearest gridded row with a value
     in the box around the point, null without one. Joined on squares as wide as the box's half; the
-    box stops at the seam of longitudes."""
+    box stops at the seam of longitudes. day (a date column) and last_day: only rows of the `days` days
+    that end with it."""
+    if day is not None and last_day is not None:
+        end = F.lit(last_day).cast("date")
+        gridded = gridded.filter(F.col(day).between(F.date_sub(end, days - 1), end))
     square = lambda c: F.floor(c / half_span)
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     asked = points.select(key, "latitude", "longitude").withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near))
@@ -153,9 +158,18 @@ def scope_summary(obs: DataFrame, keys: list[str], time: str = "time") -> DataFr
     return obs.groupBy(*keys).agg(F.count("*").alias("n"), F.to_date(F.min(time)).alias("first_day"), F.to_date(F.max(time)).alias("last_day"))
 
 
+def _gazetteer() -> list[Column]:
+    return [F.col("source") != "wpi", F.desc_nulls_last("population"), F.col("port_name"), F.col("port_id")]
+
+
 def gazetteer_order(places: DataFrame) -> DataFrame:
     """Ports first, then by population and name."""
-    return places.orderBy(F.col("source") != "wpi", F.desc_nulls_last("population"), "port_name", "port_id")
+    return places.orderBy(*_gazetteer())
+
+
+def gazetteer_positions(places: DataFrame) -> DataFrame:
+    """The places with `position`, their number in that order from 1, found on all tasks."""
+    return positions(in_order(places, [], _gazetteer()), []).withColumn("position", F.col("_j") + 1).drop("_at", "_block", "_j")
 
 
 def earliest(obs: DataFrame, cap: int, tie: str = "obs_id") -> DataFrame:
@@ -165,8 +179,8 @@ def earliest(obs: DataFrame, cap: int, tie: str = "obs_id") -> DataFrame:
 
 
 def repeatable_sample(rows: DataFrame, key: str, n: int = 4000, seed: int = 0) -> DataFrame:
-    """The n rows with the smallest hashed keys: the same ones on every run and layout."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """The n rows with the smallest digests of seed and key: the same ones on every run and layout."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def preview(rows: DataFrame, n: int = 25, places: int = 3, width: int = 26) -> DataFrame:

@@ -136,12 +136,13 @@ def nearest_ocean_cells(spark, d):
     return L.nearest_ocean(customers(spark, d), ocean, "c_custkey").select("c_custkey", *r4("ocean_latitude", "ocean_longitude"), "ring")
 
 
-@query(f"""WITH {SUPPLIERS}, {CUSTOMERS}, j AS (SELECT s_suppkey, plat, plon, {HAV.format(a='lat', b='plat', c='lon', d='plon')} AS km FROM s, c WHERE c_acctbal > 0 AND abs(lat - plat) <= 5 AND abs(lon - plon) <= 5),
+@query(f"""WITH {SUPPLIERS}, {CUSTOMERS}, j AS (SELECT s_suppkey, plat, plon, {HAV.format(a='lat', b='plat', c='lon', d='plon')} AS km FROM s, c WHERE c_acctbal > 0 AND c_custkey % 30 BETWEEN 11 AND 20 AND abs(lat - plat) <= 5 AND abs(lon - plon) <= 5),
 r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY km, plat, plon) AS n FROM j)
 SELECT s.s_suppkey, round(plat, 4) AS cell_latitude, round(plon, 4) AS cell_longitude, round(km, 3) AS distance_km FROM s LEFT JOIN r ON r.s_suppkey = s.s_suppkey AND n = 1""")
 def resolved_cells(spark, d):
-    gridded = customers(spark, d).withColumn("v", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
-    return L.resolve_cells(suppliers(spark, d), gridded, "s_suppkey", "v", 5.0).select("s_suppkey", *r4("cell_latitude", "cell_longitude"), F.round("distance_km", 3).alias("distance_km"))
+    """Of gridded rows of thirty days those of the ten that end with the twentieth."""
+    gridded = customers(spark, d).withColumn("v", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 30).cast("int")))
+    return L.resolve_cells(suppliers(spark, d), gridded, "s_suppkey", "v", 5.0, "day", "2024-01-21").select("s_suppkey", *r4("cell_latitude", "cell_longitude"), F.round("distance_km", 3).alias("distance_km"))
 
 
 DIRECTIONS = "(VALUES (1, 1, 0), (2, -1, 0), (3, 0, 1), (4, 0, -1), (5, 1, 1), (6, 1, -1), (7, -1, 1), (8, -1, -1)) d(k, dy, dx)"
@@ -156,10 +157,19 @@ def marine_cell_search(spark, d):
     return L.marine_cells(suppliers(spark, d), customers(spark, d), "s_suppkey", cell=1.0).select("s_suppkey", *r4("marine_latitude", "marine_longitude"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CUSTOMERS}, o AS MATERIALIZED (SELECT DISTINCT CAST(floor(plat + 90) * 360 + floor(plon + 180) AS INTEGER) AS cell_id FROM c),
+s AS (SELECT 0 AS step, 1.0::DOUBLE AS low, 40.0::DOUBLE AS high, NULL::DOUBLE AS best, false AS done UNION ALL
+ SELECT step + 1, CASE WHEN n > 40 OR n = 0 THEN CASE WHEN n > 40 THEN sp ELSE low END ELSE low END, CASE WHEN n > 40 THEN high ELSE sp END, CASE WHEN n > 0 THEN sp ELSE best END, n > 0 AND abs(n - 40) <= 3
+ FROM (SELECT t.step, t.low, t.high, t.best, t.sp, count(o.cell_id) AS n FROM (SELECT *, (low + high) / 2 AS sp FROM s WHERE NOT done AND step < 24) t
+  LEFT JOIN (SELECT i, j FROM range(161) a(i), range(361) b(j)) g ON g.i < floor(160 / t.sp + 1) AND -80 + t.sp / 2 + g.i * t.sp <= 80 AND g.j < greatest(1, round_even(360.0 * cos(radians(-80 + t.sp / 2 + g.i * t.sp)) / t.sp, 0))
+  LEFT JOIN o ON o.cell_id = CAST(floor(round_even(-80 + t.sp / 2 + g.i * t.sp, 4) + 90) * 360 + floor(round_even(-180.0::DOUBLE + (g.j + 0.5::DOUBLE) * 360.0::DOUBLE / greatest(1, round_even(360.0 * cos(radians(-80 + t.sp / 2 + g.i * t.sp)) / t.sp, 0)), 4) + 180) AS INTEGER)
+  GROUP BY t.step, t.low, t.high, t.best, t.sp)),
+f AS (SELECT best AS sp FROM s ORDER BY step DESC LIMIT 1), b AS (SELECT sp, -80 + sp / 2 + i * sp AS y FROM f, range(161) a(i) WHERE i < floor(160 / sp + 1) AND -80 + sp / 2 + i * sp <= 80),
+n AS (SELECT *, CAST(greatest(1, round_even(360.0 * cos(radians(y)) / sp, 0)) AS INTEGER) AS n FROM b), p AS (SELECT round_even(y, 4) AS latitude, round_even(-180.0::DOUBLE + (j + 0.5::DOUBLE) * 360.0::DOUBLE / n, 4) AS longitude FROM (SELECT *, unnest(range(n)) AS j FROM n))
+SELECT printf('%.4f', latitude) || '|' || printf('%.4f', longitude) AS grid_id, latitude, longitude FROM p WHERE CAST(floor(latitude + 90) * 360 + floor(longitude + 180) AS INTEGER) IN (SELECT cell_id FROM o)""")
 def ocean_sample_grid(spark, d):
     ocean = customers(spark, d).select(S.mask_cell(F.col("latitude"), F.col("longitude")).alias("cell_id")).distinct()
-    return L.grid_rows(L.macro_grid(spark, ocean, 40))
+    return L.grid_rows(L.macro_grid(spark, ocean, 40)).select("grid_id", "latitude", "longitude")
 
 
 @query(f"""WITH {SUPPLIERS}, {CUSTOMERS}, r AS (SELECT s_suppkey AS port_id, s_suppkey % 3 AS dataset, lat, lon, greatest(DATE '2023-01-01' + CAST(s_suppkey % 50 AS INTEGER), DATE '2023-01-10') AS a, least(DATE '2023-01-01' + CAST(s_suppkey % 90 AS INTEGER), DATE '2023-03-20') AS b FROM s),

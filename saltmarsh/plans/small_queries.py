@@ -11,6 +11,7 @@ from saltmarsh.operators import planning as L
 from saltmarsh.operators import series as R
 from saltmarsh.plans.more_queries import CUSTOMERS, MS, SUPPLIERS, customers, folder, streamed, suppliers
 from saltmarsh.plans.queries import OBS, obs, query, r4, read
+from saltmarsh.schema import DICTIONARY, PROVIDERS, RAW_COLUMNS
 from saltmarsh.sources import exports, readers
 from saltmarsh.streaming import observations as X
 
@@ -173,3 +174,60 @@ def streamed_payloads(spark, d):
     out = folder(spark, "payloads")
     X.payload_stream(payloads, f"{out}/table", f"{out}/log", lambda: 4_000_000_000_000).awaitTermination()
     return X.stored(spark, f"{out}/table").select("latitude", "longitude", "timestamp", *r4("wave_height_m"))
+
+
+@query(OBS + "SELECT event_id FROM obs ORDER BY md5('7|' || event_id), event_id LIMIT 400")
+def sampled_readings(spark, d):
+    """A sample of 400 that is the same on every run."""
+    return L.repeatable_sample(obs(spark, d), "event_id", 400, 7).select("event_id")
+
+
+@query(OBS + "SELECT CAST(event_id AS VARCHAR) AS event_id, printf('%.3f', latitude) AS latitude, substr(strftime(time, '%Y-%m-%d %H:%M:%S') || ' and so on', 1, 26) AS said, printf('%.3f', wave_height_m) AS wave_height_m, CAST(is_forecast AS VARCHAR) AS is_forecast FROM obs ORDER BY obs.event_id LIMIT 25")
+def previewed_rows(spark, d):
+    rows = obs(spark, d).withColumn("said", F.concat(F.date_format("time", "yyyy-MM-dd HH:mm:ss"), F.lit(" and so on"))).select("event_id", "latitude", "said", "wave_height_m", "is_forecast")
+    return L.preview(rows.orderBy("event_id"))
+
+
+@query(f"WITH {CUSTOMERS}, p AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'wpi' ELSE 'geonames' END AS source, CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 50 END AS population FROM c) SELECT CAST(c_custkey AS VARCHAR) AS port_id, row_number() OVER (ORDER BY source <> 'wpi', population DESC NULLS LAST, c_name, CAST(c_custkey AS VARCHAR)) AS position FROM p")
+def gazetteer_positions(spark, d):
+    k = F.col("c_custkey")
+    places = customers(spark, d).select(k.cast("string").alias("port_id"), F.col("c_name").alias("port_name"), F.when(k % 3 == 0, "wpi").otherwise("geonames").alias("source"), F.when(k % 7 > 0, k % 50).alias("population"))
+    return L.gazetteer_positions(places).select("port_id", "position")
+
+
+@query("SELECT c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 3 ELSE c_custkey END AS last_used FROM customer ORDER BY last_used DESC, name LIMIT 40")
+def newest_specifications(spark, d):
+    """The forty run or saved last."""
+    k = F.col("c_custkey").cast("long")
+    saved = read(spark, d, "customer").select(F.col("c_name").alias("name"), F.lit("{}").alias("spec_json"), F.lit("").alias("notes"), k.alias("created_at"), F.when(k % 4 == 0, k * 3).alias("last_run_at"), F.lit(None).cast("long").alias("last_rows"))
+    return exports.list_specs(saved).limit(40).select("name", F.coalesce("last_run_at", "created_at").alias("last_used"))
+
+
+@query("SELECT o_orderkey, regexp_replace(substr(o_orderpriority || '/' || o_orderstatus || ' ' || repeat('x', o_orderkey % 60), 1, 48), '[^\\w-]', '_', 'g') || '_' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '.csv' AS file FROM orders")
+def export_file_names(spark, d):
+    prefix = F.concat("o_orderpriority", F.lit("/"), "o_orderstatus", F.lit(" "), F.repeat(F.lit("x"), (F.col("o_orderkey") % 60).cast("int")))
+    return read(spark, d, "orders").select("o_orderkey", exports.file_names(prefix, "csv", F.col("o_orderdate")).alias("file"))
+
+
+def _values(rows: list) -> str:
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+
+
+RAW_ENTRIES = [(c, *DICTIONARY[c]) for c in RAW_COLUMNS]
+
+
+@query(f"SELECT *, (SELECT count(*) FROM events) AS rows FROM (VALUES {_values(RAW_ENTRIES)}) t(\"column\", unit, nature, provider, description)")
+def export_dictionary(spark, d):
+    """The whole data dictionary of an export's manifest."""
+    made = exports.manifest(exports.raw_projection(obs(spark, d)), {"mode": "raw"})
+    entries = F.from_json(F.get_json_object("manifest", "$.data_dictionary"), "array<struct<" + ", ".join(f"{c}: string" for c in exports.ENTRY) + ">>")
+    return made.select(F.get_json_object("manifest", "$.result.rows").cast("long").alias("rows"), F.explode(entries).alias("e")).select("e.*", "rows")
+
+
+@query(f"SELECT *, (SELECT count(*) FROM events) AS rows FROM (VALUES {_values([(p, *v) for p, v in PROVIDERS.items()])}) t(provider, role, nature, licence, url, coverage)")
+def export_providers(spark, d):
+    """All providers of an export's manifest, as they are given there."""
+    made = exports.manifest(exports.raw_projection(obs(spark, d)), {"mode": "raw"})
+    givers = F.from_json(F.get_json_object("manifest", "$.providers"), "array<struct<" + ", ".join(f"{c}: string" for c in exports.GIVER) + ">>")
+    return made.select(F.get_json_object("manifest", "$.result.rows").cast("long").alias("rows"), F.explode(givers).alias("g")).select("g.*", "rows")

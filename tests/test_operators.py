@@ -314,3 +314,33 @@ def test_a_key_with_very_many_versions(spark):
     # Waves are open_meteo's: its last version with a value.
     assert hot.wave_height_m == max(i for i in range(0, 300_000, 3) if i // 3 % 3 == 1 and i % 5)
     assert "Window" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_caveats_say_what_was_done():
+    raw = exports.caveats({"mode": "raw"}, exports.RAW_COLUMNS)
+    assert not any("Windows" in c or "_z" in c or "cap" in c for c in raw) and any("wave_height_m" in c and "model" in c for c in raw) and any("1981" in c for c in raw)
+    made = exports.caveats({"interval": "6h", "fill": "ffill"}, ["window_start", "sst_celsius", "sst_celsius_z"], True)
+    assert any("6h" in c and "last value before" in c for c in made) and any("_z" in c for c in made) and any("row cap" in c for c in made)
+    assert any("are empty" in c for c in exports.caveats({}, ["window_start"])) and not any("altimetry" in c for c in made)
+
+
+def test_readme_of_a_manifest(spark):
+    rows = exports.raw_projection(spark.createDataFrame([Row(timestamp=0, latitude=1.0, longitude=2.0, wave_height_m=2.0)]))
+    made = json.loads(exports.manifest(rows, {"mode": "raw"}, truncated=True, made_at="2024-05-06").first()[0])
+    text = exports.readme_text(made)
+    assert "1 rows" in text and "mode: raw" in text and "cut at the row cap" in text and "2024-05-06" in text
+    assert all(c in text for c in exports.RAW_COLUMNS) and all(p in text for p in ("Open-Meteo Marine", "GeoNames")) and all(c in text for c in made["caveats"])
+
+
+def test_file_names_of_columns_and_of_text(spark):
+    now = dt.datetime(2024, 5, 6, 7, 8, 9, tzinfo=dt.timezone.utc)
+    for prefix in ("Nord/See 2024", "a_b-c", "é x" * 30, ""):
+        row = spark.createDataFrame([(prefix,)], "p string").select(exports.file_names(F.col("p"), "csv", F.timestamp_seconds(F.lit(int(now.timestamp())))))
+        assert row.first()[0] == exports.file_name(prefix, "csv", now)
+
+
+def test_cells_of_ten_days(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "k int, latitude double, longitude double")
+    rows = spark.createDataFrame([(0.1, 0.0, 1.0, dt.date(2024, 1, 1)), (0.2, 0.0, 1.0, dt.date(2024, 1, 2)), (0.3, 0.0, 1.0, dt.date(2024, 1, 11)), (0.05, 0.0, 1.0, dt.date(2024, 1, 12)), (0.01, 0.0, None, dt.date(2024, 1, 5))], "latitude double, longitude double, v double, day date")
+    cell = lambda *a: L.resolve_cells(points, rows, "k", "v", 0.75, *a).first().cell_latitude
+    assert cell() == 0.05 and cell("day", "2024-01-11") == 0.2 and cell("day", "2024-01-10") == 0.1 and cell("day", "2024-01-30") is None
