@@ -19,7 +19,27 @@ from saltmarsh.llm.common import staged, table
 MALE = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Doña", "Госпожа", "Κυρία")
 NEUTRAL = ("Dr", "Prof")
-_NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
+TITLED = "|".join(MALE + FEMALE + NEUTRAL)
+LOUD = "|".join(t.upper() for t in MALE + FEMALE + NEUTRAL)
+#: Words with a capital that end a name, and that alone are no name of somebody met before.
+COMMON = (
+    "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",
+    "Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag", "Sonntag", "Januar", "Februar", "März", "Mai", "Juni", "Juli", "Oktober", "Dezember",
+    "Lundi", "Mardi", "Mercredi", "Jeudi", "Vendredi", "Samedi", "Dimanche", "Lunes", "Martes", "Miércoles", "Jueves", "Viernes", "Sábado", "Domingo",
+    "The", "This", "That", "These", "There", "Then", "When", "Where", "What", "Who", "Why", "How", "And", "But", "For", "From", "With", "About", "After", "Before", "On", "In", "At", "As", "If", "It", "Its", "He", "She", "We", "They", "You", "Your", "Our", "His", "Her", "My",
+    "Is", "Was", "Are", "Were", "Will", "Would", "Can", "Could", "Should", "Has", "Have", "Had", "Did", "Does", "Please", "Dear", "Yes", "No", "Not",
+    "Der", "Die", "Das", "Und", "Ich", "Wir", "Sie", "Er", "Es", "Am", "Im", "Le", "La", "Les", "Un", "Une", "Il", "Elle", "Nous", "Vous", "Je", "El", "Los", "Las", "Una", "Ella", "Ellos", "Nosotros",
+)
+_PART, _LOUD_PART = r"\p{Lu}[\p{L}'’-]+", r"\p{Lu}[\p{Lu}'’-]+"
+
+
+def _more(part: str, words: tuple[str, ...], most: int) -> str:
+    """Further parts of a name."""
+    return r"(?: (?!(?:" + "|".join(words) + r")(?![\p{L}'’-]))" + part + r"){0," + str(most) + "}"
+
+
+#: In loud texts, where every word has capitals, a name has two parts at most.
+_PERSON = r"(?:(?:" + TITLED + r")\.? )+" + _PART + _more(_PART, COMMON, 2) + r"|(?:(?:" + LOUD + r")\.? )+" + _LOUD_PART + _more(_LOUD_PART, tuple(w.upper() for w in COMMON), 1) + r"(?!\p{L})"
 
 #: What letters and digits mixed follow if they are a secret.
 _AFTER = r"(?<=(?:[Kk]ey|KEY|[Tt]oken|TOKEN|[Ss]ecret|SECRET)[\"']?(?:\s{0,2}(?:[:=]|is)\s{0,2}|\s)[\"']?)"
@@ -33,12 +53,14 @@ PATTERNS = {
     "card": r"(?<![0-9-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "person": r"(?<!\p{L})(?:(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? )+" + _NAME,
+    # Not of a beauty contest.
+    "person": r"(?<!\p{L})(?!(?<=[Tt]he )Miss )(?:" + _PERSON + ")",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-TITLES = r"^(?:(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? )+"
+TITLES = r"^(?:(?:" + TITLED + "|" + LOUD + r")\.? )+"
 PREFIX = "^(?:sk|pk|ghp|AKIA)[-_]?"
-#: Attempts at a surrogate after which it becomes longer by a character (a name: by a syllable).
+#: Attempts at a surrogate after which it becomes longer by a character (a name: by a syllable; an address,
+#: of which there are four thousand million, stays one).
 LENGTHEN = 4
 
 
@@ -150,12 +172,18 @@ CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9
 
 
 def _name(part: Column, digest: Column, gender: Column, syllables: int) -> Column:
-    """Syllables of the part's script with an ending of the gender, if that is known."""
+    """Syllables of the part's script with an ending of the gender, if that is known; a letter with an
+    apostrophe before the name and a hyphen in it stay."""
 
     def made(consonants: str, vowels: str, woman: str, man: str) -> Column:
-        letter = lambda s, k: F.substring(F.lit(s), F.pmod(_nibbles(digest, F.lit(k)), F.lit(len(s))) + 1, F.lit(1))
-        stem = [letter((consonants, vowels)[k % 2], k) for k in range(2 * syllables + 1)]
-        return F.initcap(F.concat(*stem, F.when(gender == "f", woman).when(gender == "m", man).otherwise("")))
+        def stem(digest: Column) -> Column:
+            letter = lambda s, k: F.substring(F.lit(s), F.pmod(_nibbles(digest, F.lit(k)), F.lit(len(s))) + 1, F.lit(1))
+            return F.concat(*[letter((consonants, vowels)[k % 2], k) for k in range(2 * syllables + 1)])
+
+        ending = F.when(gender == "f", woman).when(gender == "m", man).otherwise("")
+        lead = F.regexp_extract(part, r"^\p{L}{1,2}['’](?=\p{L}{2})", 0)
+        second = F.when(part.rlike(r"\p{L}-\p{L}"), F.concat(F.lit("-"), F.initcap(stem(F.reverse(digest))))).otherwise("")
+        return F.concat(F.initcap(lead), F.initcap(stem(digest)), second, ending)
 
     return F.when(part.rlike(r"^\p{IsCyrillic}"), made("бвдзклмнрст", "аеио", "а", "ор")).when(part.rlike(r"^\p{IsGreek}"), made("βγδκλμνπρστ", "αειο", "α", "ος")).otherwise(made("bdfgklmnprstv", "aeiou", "a", "on"))
 
@@ -174,7 +202,7 @@ def surrogate(plain: Column, kind: Column, gender: Column, attempt: int, key: st
     more = attempt // LENGTHEN
     if more:
         tail = F.concat(*[F.pmod(_nibbles(digest, F.lit(20 + k)), F.lit(10)).cast("string") for k in range(more)])
-        out = F.when(kind == "email", F.concat(F.substring_index(out, "@", 1), tail, F.lit("@"), F.substring_index(out, "@", -1))).when(kind == "ip", F.concat(out, F.lit(":1"), tail)).otherwise(F.concat(out, tail))
+        out = F.when(kind == "email", F.concat(F.substring_index(out, "@", 1), tail, F.lit("@"), F.substring_index(out, "@", -1))).when(kind == "ip", out).otherwise(F.concat(out, tail))
     return F.when(kind == "person", _name(plain, digest, gender, 2 + more)).otherwise(out)
 
 
@@ -231,8 +259,13 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
 
     # Names that the text has with a title, whole and the last part, are found without one, too.
     text = F.col("_doc")[text_col]
-    whole = F.transform(F.filter("_found", lambda e: e.rlike(TITLES)), lambda e: F.regexp_replace(e, TITLES, ""))
-    last = F.filter(F.transform(whole, lambda e: F.substring_index(e, " ", -1)), lambda e: F.length(e) > 2)
+    bare = lambda e: F.regexp_replace(e, TITLES, "")
+    uncommon = lambda e: ~F.lower(e).isin(*[w.lower() for w in COMMON])
+    titled = F.filter("_found", lambda e: e.rlike(TITLES))
+    whole = F.filter(F.transform(titled, bare), uncommon)
+    # In a loud text the second word may be any word: only whole names are known by it.
+    quiet = F.filter(titled, lambda e: ~e.rlike(r"^(?:" + LOUD + r")\.? "))
+    last = F.filter(F.transform(quiet, lambda e: F.substring_index(bare(e), " ", -1)), lambda e: (F.length(e) > 2) & uncommon(e))
     known = F.array_sort(F.array_distinct(F.concat(whole, last)), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1))
     hit = rows.filter(F.size("_found") > 0).withColumn("_known", known)
     pattern = F.when(F.size("_known") > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join("_known", "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(ANY))
@@ -245,8 +278,8 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     rest = F.substring(F.col("entity"), F.length("title") + 1, F.length("entity"))
     parts = F.when(F.col("kind") == "person", F.split(rest, " ")).otherwise(F.array(F.col("entity")))
     places = places.withColumn("_parts", parts).select("_row", "_at", "kind", "title", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_j", "part"))
-    bare = F.filter(F.split(F.regexp_replace("title", r"\.", ""), " "), lambda t: t != "")
-    says = F.when(F.arrays_overlap(bare, F.array(*map(F.lit, FEMALE))), "f").when(F.arrays_overlap(bare, F.array(*map(F.lit, MALE))), "m")
+    titles = F.filter(F.split(F.lower(F.regexp_replace("title", r"\.", "")), " "), lambda t: t != "")
+    says = F.when(F.arrays_overlap(titles, F.array(*[F.lit(t.lower()) for t in FEMALE])), "f").when(F.arrays_overlap(titles, F.array(*[F.lit(t.lower()) for t in MALE])), "m")
     gives = (F.col("kind") == "person") & ((F.col("_j") < F.col("_n") - 1) | (F.col("_n") == 1))  # a family name has no gender
     places = staged(places.withColumn("plain", plain_form(F.col("part"), F.col("kind"))).withColumn("_says", F.when(gives, says)), "entity_parts")
 
