@@ -61,7 +61,8 @@ class PlaceTree:
             node = F.shiftright("_at", shift)
             level = below.groupBy(node.alias("_node")).agg(F.sum("_n").alias("_n"), *[F.min(f"_lo_{c}").alias(f"_lo_{c}") for c in boxes], *[F.max(f"_hi_{c}").alias(f"_hi_{c}") for c in boxes])
             parent = F.shiftright("_node", shifts[i + 1] - shift) if i + 1 < len(shifts) else F.lit(0).cast("long")
-            level = settled(level.withColumn("_parent", parent), "tree_level")
+            level = level.withColumn("_parent", parent)
+            level = level if i else settled(level, "tree_leaves")  # the upper levels are made of these few rows where they are used
             self.levels.insert(0, level)
             # The nodes take the place of their rows in the next level.
             below = level.withColumn("_at", F.shiftleft("_node", shift)).drop("_node", "_parent")

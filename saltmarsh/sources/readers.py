@@ -57,6 +57,10 @@ def had_data(hours: DataFrame) -> DataFrame:
     return hours.groupBy("payload_id", "location").agg(F.bool_or("usable").alias("had_data"))
 
 
+#: Headers, a row a file, that are sent to all tasks at most.
+HEADERS = 10_000
+
+
 def gridded_rows(lines: DataFrame) -> DataFrame:
     """lines: file, value -> file, cells (map of column name to text), one row per data line.
 
@@ -66,7 +70,9 @@ def gridded_rows(lines: DataFrame) -> DataFrame:
     parts = lines.select("file", F.split(F.trim("value"), ",").alias("_v"))
     is_header = F.array_contains("_v", "time") & F.array_contains("_v", "latitude") & F.array_contains("_v", "longitude")
     headers = parts.filter(is_header).groupBy("file").agg(F.first("_v").alias("_h"))
-    rows = parts.filter(~is_header).join(headers, "file").filter("size(_v) = size(_h)")
+    # A file's lines stay where they are read, however many a file has, unless there are very many files.
+    few = headers.select("file").limit(HEADERS + 1).count() <= HEADERS
+    rows = parts.filter(~is_header).join(F.broadcast(headers) if few else headers, "file").filter("size(_v) = size(_h)")
     rows = rows.select("file", F.map_from_entries(F.filter(F.arrays_zip(F.col("_h").alias("k"), F.col("_v").alias("v")), lambda p, i: F.array_position("_h", p["k"]) == i + 1)).alias("cells"))
     return rows.filter(S.iso_time(F.col("cells")["time"]).isNotNull())
 

@@ -62,7 +62,8 @@ def merge_into(path: str, batch: DataFrame, now_ms: int, writer: tuple[str, int]
 
 
 def _record(batch_id: int, valid: DataFrame, rejected: DataFrame, path: str | None) -> None:
-    """One row of metrics a batch: rows, places, rejects; a retried batch replaces its row."""
+    """One row of metrics a batch: rows, places (places_about is counted to within some 1 %), rejects; a retried
+    batch replaces its row."""
     if path:
         facts = valid.agg(F.count("*").alias("rows"), F.approx_count_distinct(F.struct("latitude", "longitude"), 0.01).alias("places_about"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
         facts.crossJoin(rejected.agg(F.count("*").alias("rejected"))).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")  # one row each
