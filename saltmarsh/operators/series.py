@@ -75,16 +75,16 @@ def how_to_fill(how: str) -> str:
 
 def _filled(blocks: Blocks, columns: list[str], how: str, at: str = "_at") -> DataFrame:
     """at: the rows' positions."""
-    made = {}
+    if how_to_fill(how) == "ffill":
+        return blocks.with_columns({c: blocks.last_known(c, F.col(c)) for c in columns})
+    ends, made = {}, {}
     for c in columns:
-        if how_to_fill(how) == "ffill":
-            made[c] = blocks.last_known(c, F.col(c))
-            continue
         known = F.when(F.col(c).isNotNull(), F.struct(F.col(at).alias("i"), F.col(c).alias("v")))
-        p, n = blocks.last_known(c, known), blocks.next_known(c, known)
+        ends |= {f"_before_{c}": blocks.last_known(c, known), f"_after_{c}": blocks.next_known(c, known)}
+        p, n = F.col(f"_before_{c}"), F.col(f"_after_{c}")
         between = p["v"] + (n["v"] - p["v"]) * F.try_divide(F.col(at) - p["i"], n["i"] - p["i"])
         made[c] = F.coalesce(c, between, p["v"], n["v"])
-    return blocks.with_columns(made)
+    return blocks.with_columns(ends).withColumns(made).drop(*ends)
 
 
 def fill_gaps(rows: DataFrame, columns: list[str], how: str, keys: list[str], order: str) -> DataFrame:
@@ -100,6 +100,7 @@ def fill_gaps(rows: DataFrame, columns: list[str], how: str, keys: list[str], or
 
 def running_totals(rows: DataFrame, columns: list[str], keys: list[str], order: str) -> DataFrame:
     """Adds cumulative_ columns, summed block by block (see ordered.Blocks)."""
+    rows = settled(rows, "to_be_summed")  # else the splitters' sample would work them out once more
     blocks = Blocks(in_order(rows, keys, [order]), keys)
     return blocks.with_columns({f"cumulative_{c}": blocks.running_sum(c, F.col(c)) for c in columns}).drop("_at", "_block")
 

@@ -35,7 +35,8 @@ def morton(columns: list[Column], low: float = -1.0, high: float = 1.0) -> Colum
     def spread(c: Column) -> Column:
         c = F.least(F.greatest(F.floor((c - low) / (high - low) * (1 << 21)), F.lit(0)), F.lit((1 << 21) - 1)).cast("long")
         for by, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-            c = c.bitwiseOR(F.shiftleft(c, by)).bitwiseAND(F.lit(mask))
+            # A step is a function of one value, so that the expression doesn't double with every step.
+            c = F.transform(F.array(c), lambda x: x.bitwiseOR(F.shiftleft(x, by)).bitwiseAND(F.lit(mask)))[0]  # noqa: B023
         return c
 
     code = F.lit(0).cast("long")
@@ -49,7 +50,8 @@ class PlaceTree:
     and _lo_c, _hi_c for every column c of the boxes."""
 
     def __init__(self, places: DataFrame, order: list[Column], boxes: list[str]):
-        ordered = places.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        by = {f"_by{i}": c for i, c in enumerate(order)}
+        ordered = places.withColumns(by).repartitionByRange(*by).sortWithinPartitions(*by).drop(*by).withColumn("_at", F.monotonically_increasing_id())
         rows = settled(ordered, "places_in_order")
         inner = (1 << PARTITION_BIT) - 1
         top = rows.agg(F.coalesce(F.max(F.col("_at").bitwiseAND(F.lit(inner))), F.lit(0)), F.coalesce(F.max(F.shiftright("_at", PARTITION_BIT)), F.lit(0))).first()

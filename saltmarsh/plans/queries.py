@@ -114,6 +114,7 @@ SELECT cell, window_start, round(coalesce(sst, sp.v + (sn.v - sp.v) * (i - sp.i)
  round(sum(coalesce(pw * 6, 0)) OVER past, 3) AS cumulative_energy_kwh_m, CAST(sum(coalesce(n, 0)) OVER past AS BIGINT) AS cumulative_observation_count FROM k WINDOW past AS (PARTITION BY cell ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def six_hourly_linear(spark, d):
     out = R.resample(obs(spark, d), "6h", keys=["cell"], fill="linear")
+    out = out.select("cell", "window_start", "sst_celsius", "wave_height_m_max", "observation_count", "energy_kwh_m")
     out = R.running_totals(out, ["observation_count", "energy_kwh_m"], ["cell"], "window_start")
     return out.select("cell", F.col("window_start").cast("timestamp_ntz").alias("window_start"), *[F.round(c, 9).alias(c) for c in ("sst_celsius", "wave_height_m_max")], F.round("cumulative_energy_kwh_m", 3).alias("cumulative_energy_kwh_m"), "cumulative_observation_count")
 
