@@ -17,20 +17,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm import simhash
 from saltmarsh.llm.common import SPACE, numbered, staged, table, text_of
+# By name: a function that runs in tasks would take the module along with it, whole.
+from saltmarsh.llm.simhash import CHUNK, SEED, confirmed_rows, remixed
+from saltmarsh.llm.simhash import set_marks as marks_of_sets
 
 #: Samples, the bits they are folded into, and bands and samples in each: at a similarity of 0.8 two
 #: sets share no band in 1 pair of 7 million. How far an estimate may be below the similarity for a
 #: pair to be confirmed or not: five standard errors at 0.8.
 SAMPLES, BITS, BANDS, BAND_ROWS, SLACK = 256, 1024, 40, 5, 0.15
-MULTIPLIERS = simhash.remixed(np.array([simhash.SEED], dtype=np.uint64), np.arange(1000, 1000 + SAMPLES))[:, 0] | np.uint64(1)
+MULTIPLIERS = remixed(np.array([SEED], dtype=np.uint64), np.arange(1000, 1000 + SAMPLES))[:, 0] | np.uint64(1)
 
 
 def min_hashes(h: np.ndarray) -> np.ndarray:
     """SAMPLES min-hashes of a set of hashes."""
     low = np.full(SAMPLES, (1 << 64) - 1, dtype=np.uint64)
-    step = max(1, simhash.CHUNK // (4 * SAMPLES))
+    step = max(1, CHUNK // (4 * SAMPLES))
     for at in range(0, len(h), step):
         low = np.minimum(low, (h[None, at : at + step] * MULTIPLIERS[:, None]).min(axis=1))
     return low
@@ -38,8 +40,8 @@ def min_hashes(h: np.ndarray) -> np.ndarray:
 
 def odd_sketch(samples: np.ndarray) -> bytes:
     """A bit for the parity of the samples that fall on it; a sample falls by its value and number."""
-    place = simhash.remixed(samples, np.arange(1))[0] ^ MULTIPLIERS
-    place = simhash.remixed(place, np.arange(1))[0] % np.uint64(BITS)
+    place = remixed(samples, np.arange(1))[0] ^ MULTIPLIERS
+    place = remixed(place, np.arange(1))[0] % np.uint64(BITS)
     return np.packbits(np.bincount(place.astype(np.int64), minlength=BITS) & 1, bitorder="little").tobytes()
 
 
@@ -57,7 +59,7 @@ def most_apart(similarity: float) -> int:
 def set_marks(h: np.ndarray) -> tuple[np.ndarray, bytes]:
     samples = min_hashes(h)
     bands = samples[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), simhash.SEED) for b in bands], dtype=np.uint64), odd_sketch(samples)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in bands], dtype=np.uint64), odd_sketch(samples)
 
 
 def odd_sketch_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -76,8 +78,8 @@ def odd_sketch_components(docs: DataFrame, similarity: float = 0.8, shingle: int
     rows = rows.withColumnRenamed(row, "row")
     worded = F.col("text").rlike(SPACE.replace("[", "[^", 1))
     texts = rows.filter(worded).select("row", F.col("text").cast("binary").alias("text"))
-    marks = staged(simhash.set_marks(texts, shingle, set_marks), "odd_sketches")
-    found = simhash.confirmed_rows(texts, marks, similarity, shingle, most_apart(similarity - SLACK), **settings)
+    marks = staged(marks_of_sets(texts, shingle, set_marks), "odd_sketches")
+    found = confirmed_rows(texts, marks, similarity, shingle, most_apart(similarity - SLACK), **settings)
     found = staged(rows.select("doc_id", "row").join(found, "row"), "odd_components")
     names = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     alone = rows.filter(~worded).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
