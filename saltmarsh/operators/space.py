@@ -45,6 +45,23 @@ def morton(columns: list[Column], low: float = -1.0, high: float = 1.0) -> Colum
     return code
 
 
+def hilbert(x: Column, y: Column, bits: int = 16) -> Column:
+    """Where the Hilbert curve over the square from -1 to 1 meets (x, y); null if either is. Unlike the Morton
+    code's, its stretches are in one piece, so that boxes around them hardly overlap."""
+    whole = lambda c: F.least(F.greatest(F.floor((c + 1) / 2 * (1 << bits)), F.lit(0)), F.lit((1 << bits) - 1)).cast("long")
+
+    def step(now: Column, bit: Column) -> Column:
+        right, up = now["x"].bitwiseAND(bit) > 0, now["y"].bitwiseAND(bit) > 0
+        quarter = F.when(up, F.when(right, 2).otherwise(1)).otherwise(F.when(right, 3).otherwise(0))
+        # The lower quarters are mirrored; of the numbers only the bits below still count.
+        turned = lambda a, b: F.when(up, now[a]).when(right, F.bitwise_not(now[b])).otherwise(now[b])
+        return F.struct(turned("x", "y").alias("x"), turned("y", "x").alias("y"), (now["d"] * 4 + quarter).alias("d"))
+
+    powers = F.array(*[F.lit(1 << b).cast("long") for b in reversed(range(bits))])
+    start = F.struct(whole(x).alias("x"), whole(y).alias("y"), F.lit(0).cast("long").alias("d"))
+    return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(powers, start, step, lambda now: now["d"]))
+
+
 class PlaceTree:
     """rows: the places with `_node`, the number of their leaf. levels, the top one first: _node, _parent, _n
     and _lo_c, _hi_c for every column c of the boxes."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.operators.observations import ObservationFilter
-from saltmarsh.operators.space import morton
+from saltmarsh.operators.space import hilbert
 
 #: Files that are named to the scan one by one at most; a filter that meets more reads the folder.
 NAMED = 5000
@@ -22,7 +22,7 @@ SIDES = ("latitude", "longitude", "timestamp")
 def write_clustered(obs: DataFrame, path: str, rows_per_file: int = 1_000_000, tasks: int | None = None) -> None:
     """obs: with latitude, longitude and timestamp (ms). Rows without a position come last in their day; rows
     without a time are a partition of their own. A day of any size is written by as many tasks as it needs."""
-    rows = obs.withColumn("obs_date", F.to_date(F.timestamp_millis("timestamp"))).withColumn("_curve", morton([F.col("latitude") / 90, F.col("longitude") / 180]))
+    rows = obs.withColumn("obs_date", F.to_date(F.timestamp_millis("timestamp"))).withColumn("_curve", hilbert(F.col("latitude") / 90, F.col("longitude") / 180))
     by = ["obs_date", F.asc_nulls_last("_curve")]
     rows = rows.repartitionByRange(*([tasks] if tasks else []), *by).sortWithinPartitions(*by).drop("_curve")
     rows.write.option("maxRecordsPerFile", rows_per_file).partitionBy("obs_date").parquet(f"{path}/rows")

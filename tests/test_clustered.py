@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.operators import analytics as A
 from saltmarsh.operators.observations import ObservationFilter
+from saltmarsh.operators.space import hilbert
 from saltmarsh.sources import clustered as C
 
 DAY = 86_400_000
@@ -76,3 +77,14 @@ def test_sketches_of_parts_are_as_good_as_one(spark):
     few = A.merged_quantiles(A.quantile_sketches(rows.limit(1500), "v", ["k"]), {"median": 0.5}, []).first()
     exact = sorted(r.v for r in rows.limit(1500).collect() if r.v == r.v)
     assert few.median == exact[(few.n + 1) // 2 - 1]
+
+
+def test_the_curve_meets_every_cell_once_and_goes_on_to_a_neighbour(spark):
+    n = 16
+    at = lambda c: (c + 0.5) / n * 2 - 1
+    cells = spark.range(n * n).select(at(F.col("id") % n).alias("x"), at(F.floor(F.col("id") / n)).alias("y"))
+    found = sorted((r.d, r.x, r.y) for r in cells.select("x", "y", hilbert(F.col("x"), F.col("y"), 4).alias("d")).collect())
+    assert [d for d, _, _ in found] == list(range(n * n))
+    assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 2 / n for a, b in zip(found, found[1:]))
+    edges = spark.createDataFrame([(None, 0.0), (0.0, None), (1.0, 1.0), (float("nan"), 0.0)], "x double, y double")
+    assert [r.d is None for r in edges.select(hilbert(F.col("x"), F.col("y")).alias("d")).collect()] == [True, True, False, False]
