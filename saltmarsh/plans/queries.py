@@ -219,7 +219,7 @@ def nearest_three(spark, d):
 SELECT s_suppkey, max(pop) AS city_population FROM s LEFT JOIN c ON pop > 0 AND abs(floor(lat) - floor(plat)) <= 1 AND abs(floor(lon) - floor(plon)) <= 1 AND {HAV.format(a='lat', b='plat', c='lon', d='plon')} <= 35 GROUP BY s_suppkey""")
 def port_city_population(spark, d):
     s = placed(read(spark, d, "supplier"), "s_suppkey", 617, 1543).select("s_suppkey", "latitude", "longitude")
-    c = placed(read(spark, d, "customer"), "c_custkey", 389, 1117).withColumn("population", F.round("c_acctbal").cast("long"))
+    c = placed(read(spark, d, "customer"), "c_custkey", 389, 1117).withColumn("population", F.bround("c_acctbal").cast("long"))
     return P.attach_city_population(s, c, "s_suppkey").select("s_suppkey", "city_population")
 
 
