@@ -302,7 +302,7 @@ def nearest_across_seam(spark, d):
 @query(f"""WITH {SUPPLIERS}, c AS (SELECT CAST(c_acctbal AS BIGINT) AS pop, {XY.format(k='c_custkey', a=389, b=1117, p='p')} FROM customer)
 SELECT s_suppkey, max(pop) AS city_population FROM s LEFT JOIN c ON pop > 0 AND abs(floor(lat) - floor(plat)) <= 1 AND least(abs(floor(lon) - floor(plon)), 360 - abs(floor(lon) - floor(plon))) <= 1 AND {HAV.format(a='lat', b='plat', c='lon', d='plon')} <= 100 GROUP BY s_suppkey""")
 def port_population_across_seam(spark, d):
-    cities = customers(spark, d).withColumn("population", F.round("c_acctbal").cast("long"))
+    cities = customers(spark, d).withColumn("population", F.bround("c_acctbal").cast("long"))
     return P.attach_city_population(suppliers(spark, d), cities, "s_suppkey", 100.0, wrap=True).select("s_suppkey", "city_population")
 
 
