@@ -36,21 +36,48 @@ def point_box(lat: Column, lon: Column, pad: float = 0.25) -> dict[str, Column]:
     return {"min_lat": F.greatest(F.lit(-90.0), lat - pad), "max_lat": F.least(F.lit(90.0), lat + pad), "min_lon": lon - pad, "max_lon": lon + pad}
 
 
+#: Cells of the mask, of which a word of it tells CELLS_A_WORD.
+MASK_CELLS, CELLS_A_WORD = 64_800, 64
+
+
+def mask_words(ocean: DataFrame) -> DataFrame:
+    """One row, `_mask`: a bit for every cell of the mask, in 1,013 numbers. ocean: cell_id."""
+    word = lambda c: F.floor(c / CELLS_A_WORD)
+    held = ocean.select("cell_id").distinct().groupBy(word(F.col("cell_id")).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("cell_id", F.lit(CELLS_A_WORD)).cast("int"))).alias("_bits"))
+    words = ocean.sparkSession.range(-(-MASK_CELLS // CELLS_A_WORD)).withColumnRenamed("id", "_word").join(held, "_word", "left")
+    listed = F.array_sort(F.collect_list(F.struct("_word", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"))))
+    return words.agg(listed.alias("_l")).select(F.col("_l._bits").alias("_mask"))
+
+
 def nearest_ocean(points: DataFrame, ocean: DataFrame, key: str, rings: int = 4) -> DataFrame:
     """key, ocean_latitude, ocean_longitude, ring: the point itself if it lies in the ocean, else the
     nearest offset of whole degrees in the first ring with any; null if no ring has one.
 
-    A point meets at most (2 * rings + 1)^2 cells of the mask, by cell number.
+    Every point is looked at by itself, ring by ring, in the bits of the mask (8 KB, sent to all tasks):
+    points are only dealt to the tasks, and no task holds what it tries. Rows are points, each its own; one
+    without a key has no cell.
     """
-    span = lambda: F.explode(F.sequence(F.lit(-rings), F.lit(rings)))
-    tried = points.select(key, "latitude", "longitude", span().alias("_dy")).select("*", span().alias("_dx"))
-    lat = F.col("latitude") + F.col("_dy")
-    lon = F.when((F.col("_dy") == 0) & (F.col("_dx") == 0), F.col("longitude")).otherwise(S.wrap_longitude(F.col("longitude") + F.col("_dx")))
-    tried = tried.select(key, F.greatest(F.abs("_dy"), F.abs("_dx")).alias("ring"), F.hypot(F.col("_dy").cast("double"), F.col("_dx") * F.cos(F.radians("latitude"))).alias("_far"), "_dy", "_dx", lat.alias("_lat"), lon.alias("_lon"))
-    tried = tried.filter((F.abs("_lat") <= 90) | (F.col("ring") == 0)).withColumn("cell_id", S.mask_cell(F.col("_lat"), F.col("_lon")))
-    hit = tried.join(F.broadcast(ocean.select("cell_id").distinct()), "cell_id", "left_semi")  # at most 64,800 cells
-    best = hit.groupBy(key).agg(F.min(F.struct("ring", "_far", "_dy", "_dx", "_lat", "_lon")).alias("b"))
-    return points.select(key).join(best, key, "left").select(key, F.col("b._lat").alias("ocean_latitude"), F.col("b._lon").alias("ocean_longitude"), F.col("b.ring").alias("ring"))
+    lat, lon, mask = F.col("latitude"), F.col("longitude"), F.col("_mask")
+
+    def first(ring: int) -> Column:
+        around = [(dy, dx) for dy in range(-ring, ring + 1) for dx in range(-ring, ring + 1) if max(abs(dy), abs(dx)) == ring]
+        moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in around])
+
+        def place(m: Column) -> Column:
+            x = S.wrap_longitude(lon + m["dx"]) if ring else lon
+            return F.struct(F.hypot(m["dy"].cast("double"), m["dx"] * F.cos(F.radians(lat))).alias("far"), m["dy"].alias("dy"), m["dx"].alias("dx"), (lat + m["dy"]).alias("lat"), x.alias("lon"), F.lit(ring).alias("ring"))
+
+        def in_ocean(c: Column) -> Column:
+            cell = S.mask_cell(c["lat"], c["lon"])
+            bit = F.getbit(F.get(mask, F.floor(cell / CELLS_A_WORD).cast("int")), F.pmod(cell, F.lit(CELLS_A_WORD)).cast("int")) == 1
+            return (F.abs(c["lat"]) <= 90) & bit if ring else bit
+
+        return F.array_min(F.filter(F.transform(moves, place), in_ocean))
+
+    # A ring is worked out only if those before it have no cell.
+    best = F.when(F.col(key).isNotNull(), F.coalesce(*map(first, range(rings + 1))))
+    found = points.select(key, "latitude", "longitude").repartition(key).crossJoin(F.broadcast(mask_words(ocean))).select(key, best.alias("b"))
+    return found.select(key, F.col("b.lat").alias("ocean_latitude"), F.col("b.lon").alias("ocean_longitude"), F.col("b.ring").alias("ring"))
 
 
 def resolve_cells(points: DataFrame, gridded: DataFrame, key: str, value: str, half_span: float = 0.75, day: str | None = None, last_day: str | None = None, days: int = 10) -> DataFrame:
