@@ -62,7 +62,7 @@ def nearest_places(points: DataFrame, places: DataFrame, point_id: str, place_id
     apart = F.greatest(F.abs(F.col("_plat") - F.col("_lat")), F.abs(F.col("_plon") - F.col("_lon")))
     first = met.groupBy("_row").agg(F.min(apart).alias("_apart"))
     box = first.select("_row", F.array_min(F.filter(F.array(*map(F.lit, pads)), lambda p: p >= F.col("_apart"))).alias("_pad")).filter("_pad is not null")
-    boxed = asked.join(box, "_row")
+    boxed = settled(asked.join(box, "_row"), "boxed_points")  # points are counted before they go down
     meets, inside = ((F.greatest(*[f(*d) for d in degrees]) <= F.col("_pad")) for f in (gap, span))
     hit = tree.reached(boxed, F.when(meets, sum_of_squares(gap)), F.when(inside, sum_of_squares(span)), k)
     return _ranked(hit.filter(apart <= F.col("_pad")), point_id, k)

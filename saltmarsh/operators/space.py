@@ -21,6 +21,8 @@ from saltmarsh.session import settled
 #: 2 ** STEP rows in a leaf, and nodes in a node; partitions are numbered from this bit of a row's number on.
 STEP, PARTITION_BIT = 5, 33
 AXES = ("x", "y", "z")
+#: Points that go down the tree in one task: each meets some hundred nodes or places at a time, which are sorted.
+POINTS = 2048
 
 
 def on_sphere(lat: Column, lon: Column) -> list[Column]:
@@ -87,9 +89,13 @@ class PlaceTree:
             below = level.withColumn("_at", F.shiftleft("_node", shift)).drop("_node", "_parent")
 
     def reached(self, points: DataFrame, lower: Column, upper: Column, k: int) -> DataFrame:
-        """points: _row, ... -> the points' columns with the columns of every place that may be among the k
+        """points: _row, ... (written: they are counted first) -> the points' columns with the columns of every place that may be among the k
         nearest. lower, upper: the least and the greatest distance to anything in the box; null for a
         box that holds nothing wanted, and for one that may hold things that aren't."""
+        # Dealt by a number of tasks of our own: what points meet grows within a task, after the shuffle whose
+        # bytes would else tell how many tasks there are.
+        tasks = max(1, -(-points.count() // POINTS))
+        points = points.repartition(tasks, "_row")
         mine = points.columns
         mine_only = Window.partitionBy("_row")
         held = lambda by: F.sum("_n").over(mine_only.orderBy(F.asc_nulls_last(by)).rowsBetween(Window.unboundedPreceding, 0))
@@ -103,7 +109,7 @@ class PlaceTree:
             now = now.withColumn("_reach", F.least("_reach", more(reach))).filter("_lower <= _reach")
             now = now.select(*mine, "_node", "_reach", "_n", "_lower") if level is self.levels[-1] else now.select(*mine, "_node", "_reach")
         # The k-th distance in the nearest leaves leaves out most of the others.
-        now = settled(now, "leaves_reached")
+        now = settled(now, "leaves_reached").repartition(tasks, "_row")
         first = now.withColumn("_held", held("_lower")).filter(F.col("_held") - F.col("_n") < k).join(self.rows, "_node")
         first = first.withColumns({f"_{side}_{c}": F.col(c) for c in self.boxes for side in ("lo", "hi")}).select("_row", upper.alias("_kth")).filter("_kth is not null")
         kth = first.withColumn("_n", F.row_number().over(mine_only.orderBy("_kth"))).filter(F.col("_n") == k).select("_row", "_kth")
