@@ -84,14 +84,23 @@ def day_bounds_ms(day: Column) -> tuple[Column, Column]:
     return start, start + 86_399_000
 
 
+DEGREES = r"^([0-9]+(?:\.[0-9]+)?)\s*[°D ]?\s*(?:([0-9]+(?:\.[0-9]+)?)\s*['′M ]?\s*)?(?:([0-9]+(?:\.[0-9]+)?)\s*[\"″S]?\s*)?([NSEW])$"
+#: Parts degrees, minutes, seconds and hemisphere; no text that matches has it.
+MARK = "\u0001"
+
+
 def dms(text: Column) -> Column:
     """Degrees, minutes and seconds with a hemisphere, or signed decimals; junk is null."""
-    t = F.upper(F.trim(text))
-    part = lambda i: F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)?)\s*[°D ]?\s*(?:([0-9]+(?:\.[0-9]+)?)\s*['′M ]?\s*)?(?:([0-9]+(?:\.[0-9]+)?)\s*[\"″S]?\s*)?([NSEW])$", i)
-    num = lambda c: F.coalesce(F.nullif(c, F.lit("")).try_cast("double"), F.lit(0.0))
-    size = num(part(1)) + num(part(2)) / 60.0 + num(part(3)) / 3600.0
-    signed = F.when(part(4).isin("S", "W"), -size).otherwise(size)
-    return F.when(part(4) != "", signed).otherwise(clean(t))
+    # Functions of one value, so that the text is matched once, not once for every use of a part.
+    cut = F.transform(F.array(F.upper(F.trim(text))), lambda t: F.struct(t.alias("t"), F.when(~F.contains(t, F.lit(MARK)), F.split(F.regexp_replace(t, DEGREES, f"{MARK}$1{MARK}$2{MARK}$3{MARK}$4"), MARK)).alias("p")))
+
+    def number(r: Column) -> Column:
+        num = lambda i: F.coalesce(F.get(r["p"], F.lit(i)).try_cast("double"), F.lit(0.0))
+        size = num(1) + num(2) / 60.0 + num(3) / 3600.0
+        signed = F.when(F.substring(F.get(r["p"], F.lit(4)), 1, 1).isin("S", "W"), -size).otherwise(size)
+        return F.when(F.size(r["p"]) == 5, signed).otherwise(clean(r["t"]))
+
+    return F.get(F.transform(cut, number), F.lit(0))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
