@@ -124,18 +124,26 @@ class LiveCell(StatefulProcessor):
         self.handle, self.state = handle, handle.getValueState("cell", self.schema)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else (None,) * (2 * len(self.columns) + 1)
+        # A call of the state goes to the JVM and back, a frame's methods take longer than its few rows: neither
+        # is used more often than needed.
+        begun = self.state.get()
+        held = begun or (None,) * (2 * len(self.columns) + 1)
         latest, known = held[0], {c: (held[2 * i + 1], held[2 * i + 2]) for i, c in enumerate(self.columns)}
         for frame in rows:
-            latest = max(t for t in (latest, frame[self.time].max()) if t is not None and t == t)
+            times = frame[self.time].to_numpy()
+            latest = max(t for t in (latest, pd.Timestamp(times.max())) if t is not None and t == t)
             for c in self.columns:
-                some = frame[[self.time, c]].dropna()
-                if len(some):
+                values = frame[c].to_numpy()
+                some = ~pd.isna(values)
+                if some.any():
                     # Of values at one time the greatest, as in analytics.latest_per_cell.
-                    at, value = some.sort_values([self.time, c]).iloc[-1]
-                    known[c] = max((known[c], (at, value)), key=lambda k: (k[0] is not None, *(k if k[0] is not None else ())))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
+                    top = times[some].max()
+                    value = values[some & (times == top)].max()
+                    here = (pd.Timestamp(top), value.item() if hasattr(value, "item") else value)
+                    known[c] = max((known[c], here), key=lambda k: (k[0] is not None, *(k if k[0] is not None else ())))
+        if begun:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
         self.handle.registerTimer(int(latest.timestamp() * 1000) + self.silent_ms)
         self.state.update((latest, *(v for c in self.columns for v in known[c])))
         yield pd.DataFrame([(*key, *(known[c][1] for c in self.columns), latest)], columns=[*self.key, *self.columns, "latest"])
