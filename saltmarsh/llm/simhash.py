@@ -9,13 +9,13 @@ members. A bucket gives a spanning forest of its links, never all pairs, and the
 into components by alternating star contraction.
 
 Two kinds of links: fingerprints of shingles within a few bits (near_duplicate_components), and
-texts whose sets of five-word shingles are alike (similar_components). For the latter one
-fingerprint would not do: at a similarity of 0.8 five-word fingerprints differ in some 10 of 64
-bits. Codes of several min-hashes of the shingle set, of which such texts share one or more
-whatever part of them differs, find the candidates with the same index (at no bits apart), a
-512-bit sketch of the shingle set leaves out the unlike ones in the bucket. That gives trees of
-texts that may be alike; within each tree every link is decided by the exact similarity of the
-shingle sets.
+texts whose sets of five-word shingles are alike (similar_components). Candidates for the latter are
+texts whose fingerprints, the same ones, are within as few bits. Those alone would not do: at a
+similarity of 0.8 five-word fingerprints differ in some 10 of 64 bits. So codes of several
+min-hashes of the shingle set, of which such texts share one or more whatever part of them differs,
+give the candidates further apart, with the same index (at no bits). A 512-bit sketch of the shingle
+set leaves out the unlike ones in the bucket. That gives trees of texts that may be alike; within
+each tree every link is decided by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -265,11 +265,12 @@ class GrayIndex:
         return self.root(np.arange(len(self.code)))
 
 
-def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, max_apart: int = 0) -> DataFrame:
+def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None, max_apart: int = 0, bucket_rows: int | None = None) -> DataFrame:
     """fps: fp, rep -> links (a, b), a > b, between reps: a spanning forest per bucket.
 
     fps may have `kind`, an int (only fingerprints of one kind are compared), and `sketch`, a
-    binary of fixed length (only rows within max_apart bits of it are linked).
+    binary of fixed length (only rows within max_apart bits of it are linked). The rows of a bucket
+    of more than bucket_rows are not compared but linked to one of them, near or not.
     """
     sketched = "sketch" in fps.columns
     if "kind" not in fps.columns:
@@ -277,6 +278,13 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
     masks = block_masks(blocks or max_bits + 1, max_bits)
     rows = fps.withColumn("slot", F.explode(F.sequence(F.col("kind") * len(masks), F.col("kind") * len(masks) + len(masks) - 1))).drop("kind")
     key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("slot") % len(masks) + 1))
+    stars = None
+    if bucket_rows is not None:
+        hot = staged(rows.groupBy("slot", key.alias("key")).agg(F.count("*").alias("_n"), F.min("rep").alias("hub")).filter(F.col("_n") > bucket_rows).select("slot", "key", "hub"), "hot_buckets")
+        if not hot.isEmpty():
+            rows = rows.withColumn("key", key)
+            stars = rows.join(hot, ["slot", "key"]).filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+            rows = rows.join(hot, ["slot", "key"], "left_anti").drop("key")
     # Key and rank are worked out on either side of the shuffle rather than carried through it.
     # Signed order would put the upper half of the ranks first.
     rows = rows.repartition("slot", key).withColumn("key", key).withColumn("gray", gray_rank(F.col("fp")).bitwiseXOR(F.lit(-(1 << 63))))
@@ -314,7 +322,8 @@ def bucket_links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None =
         if size:
             yield solve(np.concatenate(held))
 
-    return rows.mapInArrow(links, "a long, b long")
+    found = rows.mapInArrow(links, "a long, b long")
+    return found if stars is None else found.unionByName(stars)
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -437,16 +446,14 @@ def tree_links(units: DataFrame, similarity: float, shingle: int, max_apart: int
     return rows.mapInArrow(links, "a long, b long")
 
 
-def candidate_trees(each: DataFrame, max_apart: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """each: rep, sketch, kind, fp -> (rep, tree) for the rows that may be like others: texts of one
-    bucket within max_apart bits of the sketch are in one tree, and all texts of a bucket that is too
+def candidate_trees(each: DataFrame, max_apart: int, bucket_rows: int = BUCKET_ROWS, prints: DataFrame | None = None) -> DataFrame:
+    """each: rep, sketch, kind, fp; prints: rep, sketch, fp -> (rep, tree) for the rows that may be like
+    others: texts of one bucket that are within max_apart bits of the sketch, and those of `prints`
+    within MAX_BITS of the fingerprint too, are in one tree, and all texts of a bucket that is too
     full for one task to compare."""
-    hot = staged(each.groupBy("kind", "fp").agg(F.count("*").alias("_n"), F.min("rep").alias("hub")).filter(F.col("_n") > bucket_rows).select("kind", "fp", "hub"), "hot_buckets")
-    if hot.isEmpty():
-        links = bucket_links(each, 0, 1, max_apart)
-    else:
-        stars = each.select("rep", "kind", "fp").join(hot, ["kind", "fp"]).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-        links = bucket_links(each.join(hot, ["kind", "fp"], "left_anti"), 0, 1, max_apart).unionByName(stars)
+    links = bucket_links(each, 0, 1, max_apart, bucket_rows)
+    if prints is not None:
+        links = bucket_links(prints, MAX_BITS, blocks_for_size(prints.count()), max_apart, bucket_rows).unionByName(links)
     found = components(links)
     return found.select(F.col("node").alias("rep"), F.col("root").alias("tree")).unionByName(found.select(F.col("root").alias("rep"), F.col("root").alias("tree")).distinct())
 
@@ -455,36 +462,50 @@ def _set_marks(h: np.ndarray) -> tuple[np.ndarray, bytes]:
     return band_codes(h), shingle_sketch(h)
 
 
-def set_marks(rows: DataFrame, shingle: int, marks: Callable[[np.ndarray], tuple[np.ndarray, bytes]]) -> DataFrame:
+def set_marks(rows: DataFrame, shingle: int, marks: Callable[[np.ndarray], tuple[np.ndarray, bytes]], fingerprints: bool = False) -> DataFrame:
     """rows: row, text (binary) -> row, n (distinct shingles), fps (codes of which similar sets share
-    one), sketch, same (a digest of the set)."""
+    one), sketch, same (a digest of the set) and, if asked for, the text's fingerprint."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t.as_py().lower().split(), shingle) for t in batch.column(1)]
+            sets, prints = [], []
+            for t in batch.column(1):
+                words = t.as_py().lower().split()
+                sets.append(shingle_hashes(words, shingle))
+                if fingerprints:
+                    prints.append(fingerprint(words))
             made = [marks(h) for h in sets]
             fps, same = [c.view(np.int64).tolist() for c, _ in made], [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary()), pa.array(same, pa.binary())], ["row", "n", "fps", "sketch", "same"])
+            cols = [batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary()), pa.array(same, pa.binary())]
+            if fingerprints:
+                cols.append(pa.array(np.array(prints, dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(cols, ["row", "n", "fps", "sketch", "same", "fingerprint"][: len(cols)])
 
-    return rows.mapInArrow(compute, "row long, n long, fps array<long>, sketch binary, same binary")
+    return rows.mapInArrow(compute, "row long, n long, fps array<long>, sketch binary, same binary" + ", fingerprint long" * fingerprints)
 
 
 def _similar_rows(rows: DataFrame, similarity: float, shingle: int, unit_rows: int = UNIT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """rows: row, text (binary) -> (row, root) for all rows, root being the smallest row reachable."""
     max_apart = int(ROUNDS * BINS * (1 - similarity + SLACK) / 2)
-    marks = staged(set_marks(rows, shingle, _set_marks), "sketches")
+    marks = staged(set_marks(rows, shingle, _set_marks, fingerprints=True), "sketches")
     return confirmed_rows(rows, marks, similarity, shingle, max_apart, unit_rows, bucket_rows).select("row", "root")
 
 
 def confirmed_rows(rows: DataFrame, marks: DataFrame, similarity: float, shingle: int, max_apart: int, unit_rows: int = UNIT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """rows: row, text (binary); marks: theirs, as set_marks gives them -> (row, n, root) for all rows,
-    root being the smallest row reachable. Pairs that share a code and whose sketches are within
-    max_apart bits are candidates; links are decided by the whole sets."""
+    root being the smallest row reachable. Pairs whose sketches are within max_apart bits and that
+    share a code, or have fingerprints within MAX_BITS where marks has these, are candidates; links are
+    decided by the whole sets."""
     distinct = staged(marks.groupBy("same", "fps", "sketch").agg(F.min("row").alias("rep"), F.max("n").alias("n")), "distinct_sketches")
     each = distinct.select("rep", F.posexplode("fps").alias("kind", "fp"))
     # A code that only one set has is in no pair.
     each = each.withColumn("_n", F.count("*").over(Window.partitionBy("kind", "fp"))).filter("_n > 1").drop("_n").join(distinct.select("rep", "sketch"), "rep")
-    trees = candidate_trees(staged(each, "shared_codes"), max_apart, bucket_rows).join(distinct.select("rep", "n", "sketch"), "rep")
+    prints = None
+    if "fingerprint" in marks.columns:
+        # Texts with one set may have several fingerprints, which count repeats: all of them lead to it.
+        prints = marks.select("same", F.col("fingerprint").alias("fp")).distinct().join(distinct.select("same", "rep", "sketch"), "same")
+        prints = staged(prints.select("fp", "rep", "sketch"), "set_fingerprints")
+    trees = candidate_trees(staged(each, "shared_codes"), max_apart, bucket_rows, prints).join(distinct.select("rep", "n", "sketch"), "rep")
     trees = staged(trees.join(rows.withColumnRenamed("row", "rep"), "rep"), "trees")
 
     # A unit is what one task compares: a tree, or a block of a large one with the tree's pivots,
@@ -530,8 +551,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
 
     Texts are linked if the Jaccard similarity of their sets of `shingle`-word shingles is
     `similarity` or more; pairs are looked at that links or likely links lead from one to the other
-    (texts that share the code of a band of min-hashes and whose sketches put them at `similarity`
-    less SLACK or more). Rows are told apart by a number of their own: rows with a null id, or with
+    (texts whose fingerprints are within MAX_BITS or that share the code of a band of min-hashes, and
+    whose sketches put them at `similarity` less SLACK or more). Rows are told apart by a number of their own: rows with a null id, or with
     one id and several texts, link others like any other. Null, empty and short texts, ties and
     empty tables as in near_duplicate_components; texts without words are alike.
     """
